@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chat_format", "exact_dedup"]
+MODULES = ["chat_format", "near_dedup", "exact_dedup"]
 
 
 def _modules():
