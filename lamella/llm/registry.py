@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chat_format", "near_dedup", "exact_dedup", "language_id"]
+MODULES = ["mixing", "packing", "chat_format", "near_dedup", "exact_dedup", "language_id"]
 
 
 def _modules():
