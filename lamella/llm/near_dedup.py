@@ -34,7 +34,10 @@ SHINGLE = 5
 THRESHOLD = 75  # percent
 COORDS = 48
 MATCHES = 22
-BLOCK = 256  # rows of a list that are compared at a time
+SHORT = 64  # up to this length, a list's pairs are joined
+LONG_COORDS = 10
+BLOCK_ROWS = 1024  # of longer lists, so many rows or shingles are compared at a time
+BLOCK_VALUES = 1_000_000
 
 _rng = np.random.RandomState(7)
 _MULTIPLY = _rng.randint(0, 1 << 62, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,49 +152,106 @@ def postings(reps: DataFrame) -> DataFrame:
     return prefix.select("id", F.explode("own.token").alias("token"))
 
 
-def _led(posted: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each list's members with its leader, where their components differ."""
-    order = F.col("id") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
-    first = posted.groupBy("token").agg(
-        F.min(F.struct(order.alias("o"), "id", "root")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")
-    )
-    first = first.filter("r0 <> r1").select("token", F.col("lead.id").alias("leader"), F.col("lead.root").alias("leads"))
-    return posted.join(first, "token").filter("root <> leads").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+def _led(posted: DataFrame) -> DataFrame:
+    """Pairs of each list's members with its smallest id."""
+    first = posted.groupBy("token").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("length")).filter("length > 1").select("token", "b")
+    return posted.join(first, "token").filter("id <> b").select(F.col("id").alias("a"), "b")
+
+
+def _shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two groups of sorted sets, by slices of their common values."""
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.int64)
+
+    def membership(sets, values):
+        m = np.zeros((len(sets), len(values)), np.float32)
+        for i, s in enumerate(sets):
+            own = s[np.searchsorted(s, values[0]) : np.searchsorted(s, values[-1], side="right")]
+            at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+            m[i, at[values[at] == own]] = 1
+        return m
+
+    for at in range(0, len(common), 4096):
+        values = common[at : at + 4096]
+        out += np.rint(membership(left, values) @ membership(right, values).T).astype(np.int64)
+    return out
 
 
 def _compare_block(key, table):
-    """Pairs of different components with enough collisions between two blocks of one list."""
-    low, high = key[1].as_py(), key[2].as_py()
-    block, ids, root = (table.column(c).to_numpy() for c in ("block", "id", "root"))
-    sig = np.vstack([np.asarray(s) for s in table.column("sig").to_pylist()])
+    """Confirmed links between two blocks of one list that join different components (a spanning set of them)."""
+    token, low, high = (k.as_py() for k in key)
+    coordinate = token & 63
+    block, ids, root, n = (table.column(c).to_numpy() for c in ("block", "id", "root", "n"))
+    sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDS)
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    matches = np.zeros((len(left), len(right)), np.int16)
+    first = np.full(matches.shape, COORDS, np.int16)
+    for k in reversed(range(COORDS)):
+        same = sig[left, k][:, None] == sig[right, k][None, :]
+        matches += same
+        first[same] = k
+    # A pair that shares several coordinates is compared in the list of the first one only.
+    wanted = (matches >= MATCHES) & (first == coordinate) & (root[left][:, None] != root[right][None, :])
+    if low == high:
+        wanted &= ids[left][:, None] < ids[right][None, :]
     a, b = [], []
-    for i in left:
-        hits = right[((sig[right] == sig[i]).sum(axis=1) >= MATCHES) & (root[right] != root[i])]
-        if low == high:
-            hits = hits[ids[hits] > ids[i]]
-        a.append(np.full(len(hits), ids[i]))
-        b.append(ids[hits])
-    empty = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
-
-
-def _rest(posted: DataFrame, reps: DataFrame) -> DataFrame:
-    """All pairs from different components that meet in a list."""
-    lists = posted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("length"))
-    mixed = posted.join(lists.filter("r0 <> r1").select("token", "length"), "token")
-    short = mixed.filter(f"length <= {BLOCK}")
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    if len(rows):
+        body = table.column("body")
+        sets = [np.frombuffer(body[int(i)].as_buffer(), np.uint64) for i in range(len(ids))]
+        shared = _shared_sizes([sets[i] for i in left[rows]], [sets[i] for i in right[columns]])
+        union = n[left[rows]][:, None] + n[right[columns]][None, :] - shared
+        parent: dict[int, int] = {}
+
+        def top(r):
+            while parent.setdefault(r, r) != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        for i, j in zip(*np.nonzero((100 * shared >= THRESHOLD * union) & wanted[np.ix_(rows, columns)])):
+            x, y = left[rows[i]], right[columns[j]]
+            p, q = top(int(root[x])), top(int(root[y]))
+            if p != q:
+                parent[p] = q
+                a.append(ids[x]), b.append(ids[y])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _mixed(posted: DataFrame) -> DataFrame:
+    """Lists that hold several components, with their length and total set size."""
+    lists = posted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("length"), F.sum("n").alias("total"))
+    return lists.filter("r0 <> r1").select("token", "length", "total")
+
+
+def _rest(posted: DataFrame, reps: DataFrame, bodies: DataFrame, tested: DataFrame) -> DataFrame:
+    """Links between documents of different components that meet in a list.
+
+    Short lists give their pairs to the join that confirms links. Documents of long
+    ones are compared by blocks inside the tasks, which pass on only links that join
+    components. Those documents are listed under ``LONG_COORDS`` fixed coordinates: a pair at
+    similarity 0.75 shares none of them with probability 1e-6.
+    """
+    sizes = reps.select("id", "n")
+    met = posted.join(_mixed(posted.withColumn("n", F.lit(0))), "token").drop("total")
+    short = met.filter(f"length <= {SHORT}")
     other = short.select("token", F.col("id").alias("b"), F.col("root").alias("rb"))
-    few = short.withColumnRenamed("id", "a").join(other, "token").filter("a < b AND root <> rb").select("a", "b")
-    long = mixed.filter(f"length > {BLOCK}").withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
+    few = short.withColumnRenamed("id", "a").join(other, "token").filter("a < b AND root <> rb").select("a", "b").distinct()
+    few = _links(durable(_colliding(few.join(tested, ["a", "b"], "left_anti"), reps)), bodies)
+
+    hot = durable(met.filter(f"length > {SHORT}").select("id", "root").distinct())
+    if hot.isEmpty():
+        return few
+    listed = durable(reps.join(hot, "id").select("id", "root", "n", F.explode(F.slice("sig", 1, LONG_COORDS)).alias("token")))
+    blocks = F.greatest(F.ceil(F.col("length") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_VALUES)).cast("int")
     dealt = (
-        long.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        listed.join(_mixed(listed).withColumn("blocks", blocks), "token")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(reps.select("id", "sig"), "id")
-        .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root", "sig")
+        .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root", "n")
     )
-    many = dealt.groupBy("token", "low", "high").applyInArrow(_compare_block, "a long, b long")
-    return few.union(many)
+    filled = dealt.join(reps.select("id", "sig"), "id").join(bodies, "id")
+    return few.union(filled.groupBy("token", "low", "high").applyInArrow(_compare_block, "a long, b long"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +268,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alike = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = durable(alike.filter("copies > 1").drop("copies"))
     classed = signed.join(copies, key, "left")
-    members = durable(classed.select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    members = durable(classed.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
     reps = durable(classed.filter("n > 0 AND id IS NOT NULL AND (rep IS NULL OR rep = id)").select("id", "n", "sig").dropDuplicates(["id"]))
 
     posted = durable(postings(reps))
@@ -217,27 +277,15 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     bodies = durable(texts.mapInArrow(_full_sets, "id long, body binary").dropDuplicates(["id"]))
 
-    roots, links, tested = None, None, None
-    for turn in range(3):
-        if roots is None:
-            now = posted.withColumn("root", F.col("id"))
-        else:
-            now = posted.join(roots, "id", "left").select("token", "id", F.coalesce("root", "id").alias("root"))
-        met = _ordered(_led(now, turn) if turn < 2 else _rest(now, reps))
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(_colliding(met, reps))
-        found = durable(_links(pairs, bodies))
-        tested = pairs if tested is None else tested.union(pairs)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        roots = components(links)
-
-    if roots is None:
-        out = members.withColumn("component_id", F.col("rep"))
-    else:
-        out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
+    now = posted.withColumn("root", F.col("id"))
+    tested = durable(_colliding(_ordered(_led(now)), reps))
+    links = durable(_links(tested, bodies))
+    roots = components(links)
+    now = durable(posted.join(roots, "id", "left").select("token", "id", F.coalesce("root", "id").alias("root")))
+    found = durable(_rest(now, reps, bodies, tested))
+    if not found.isEmpty():
+        roots = components(links.union(found))
+    out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     kept = F.col("id").isNull() | (F.col("id") == F.col("component_id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
