@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mixing", "packing", "license_scan", "topk", "chat_format", "near_dedup", "exact_dedup", "language_id", "line_dedup"]
+MODULES = [
+    "mixing", "packing", "license_scan", "topk", "chat_format", "lm_score", "near_dedup", "exact_dedup", "language_id", "line_dedup",
+]
 
 
 def _modules():
