@@ -76,7 +76,7 @@ def with_parameters(files: DataFrame, params: DataFrame) -> DataFrame:
 
 def alignments(lines: DataFrame) -> DataFrame:
     """Alignment sets: ``reference,<key>``, ``source,<key>,6 numbers``, or a bare 2x3 (two lines of three)."""
-    parts = lines.withColumn("p", F.transform(F.split("line", ","), F.trim))
+    parts = lines.withColumn("p", F.transform(F.split("line", ","), lambda x: F.trim(x)))
     reference = parts.filter("p[0] = 'reference'").groupBy("path").agg(F.max("p")[1].alias("ref"))
     numbers = [F.try_element_at("p", F.lit(i + 3)).try_cast("double").alias(k) for i, k in enumerate(("m00", "m01", "m02", "m10", "m11", "m12"))]
     tagged = parts.filter("p[0] = 'source'").select("path", F.col("p")[1].alias("source"), *numbers)
