@@ -88,6 +88,18 @@ def discover(spark: SparkSession, paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(run, "root string, shape array<long>, chunks array<int>, committed int, status string, warnings array<string>, error string")
 
 
+def attributes(roots: DataFrame) -> DataFrame:
+    """``root, attrs`` (JSON text) of stores, read on the executors."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"root": pdf["root"], "attrs": [json.dumps(_load(os.path.join(r, ".zattrs"))) for r in pdf["root"]]})
+
+    return roots.select("root").mapInPandas(run, "root string, attrs string")
+
+
 def _box(text: str, shape: list[int]) -> list[tuple[int, int]]:
     """Half-open ranges of z, y, x inside the shape; empty parts take the full axis."""
     parts = (text.split(",") + ["", "", ""])[:3]
