@@ -86,7 +86,7 @@ def _newton(cells: DataFrame, sources: pd.DataFrame) -> DataFrame:
         by_class = F.create_map(*[F.lit(x) for c, m in zip(classes, mu) for x in (int(c), float(m))])
         rates = cells.join(duals, "sid").withColumn("rate", _tilt(F.col("lam") + by_class[F.col("_cls")]))
         slope = F.col("words") * F.col("rate") * (1 - F.col("rate") / CAP)
-        sums = rates.groupBy("sid", "_cls").agg(F.sum(F.col("words") * F.col("rate")).alias("g"), F.sum(slope).alias("h")).toPandas()
+        sums = rates.groupBy("sid", "_cls").agg(F.sum(F.col("words") * F.col("rate")).alias("g"), F.sum(slope).alias("h")).toPandas().sort_values(["sid", "_cls"])  # one order of summation
         i, j = sums["sid"].to_numpy(int), np.searchsorted(classes, sums["_cls"])
         g, h = sums["g"].to_numpy(float), sums["h"].to_numpy(float)
         ridge = RIDGE * want_c
