@@ -245,12 +245,13 @@ def richardson_lucy(image: np.ndarray, psf: np.ndarray, rounds: int, variation:
     kernel = np.zeros(shape)
     kernel[tuple(slice(0, n) for n in psf.shape)] = psf / psf.sum()
     kernel = np.roll(kernel, [-(n // 2) for n in psf.shape], axis=tuple(range(psf.ndim)))
+    axes = tuple(range(len(shape)))
     otf = np.fft.rfftn(kernel)
     estimate = np.full(shape, max(image.mean(), 1e-6))
     for _ in range(rounds):
-        blurred = np.fft.irfftn(np.fft.rfftn(estimate) * otf, shape)
+        blurred = np.fft.irfftn(np.fft.rfftn(estimate) * otf, shape, axes)
         ratio = image / np.maximum(blurred, 1e-6)
-        gain = np.fft.irfftn(np.fft.rfftn(ratio) * np.conj(otf), shape)
+        gain = np.fft.irfftn(np.fft.rfftn(ratio) * np.conj(otf), shape, axes)
         if variation:
             slope = np.stack(np.gradient(estimate))
             norm = np.sqrt((slope**2).sum(0)) + 1e-6

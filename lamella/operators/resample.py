@@ -106,8 +106,9 @@ def covered_planes(step: float, pixel: float, angle: float, extents: tuple[int,
     a = math.radians(angle)
     out = []
     for plane in range(depth):
-        shift = step / pixel * plane
-        lo_y, hi_y = (y_out[0] - shift) / math.cos(a), (y_out[1] - shift) / math.cos(a)
+        # A sample between two planes reads both, so a plane serves positions up to one plane away.
+        lo_y = (y_out[0] - step / pixel * (plane + 1)) / math.cos(a)
+        hi_y = (y_out[1] - step / pixel * (plane - 1)) / math.cos(a)
         lo_z, hi_z = (height - 1) - z_out[1] / math.sin(a), (height - 1) - z_out[0] / math.sin(a)
         first, last = math.floor(max(lo_y, lo_z, 0)) - 1, math.ceil(min(hi_y, hi_z, height - 1)) + 1
         first, last = max(first, 0), min(last, height - 1)
