@@ -106,8 +106,8 @@ def next_stage(stage: int) -> int:
 def trimmed_range(voxels: DataFrame, keys: list[str], partner: Column, share: float = 0.00005) -> DataFrame:
     """Tail-trimmed range per channel; a blank channel (no spread) takes its partner's."""
     ranges = saturated_range(voxels, keys, share * 200)
-    other = ranges.withColumnsRenamed({"low": "plow", "high": "phigh", "c": "pc"})
-    joined = ranges.withColumn("_p", partner).join(other, [ranges["t"] == other["t"], F.col("_p") == F.col("pc")], "left").drop(other["t"])
+    other = ranges.withColumnsRenamed({"low": "plow", "high": "phigh", "c": "pc", "t": "pt"})
+    joined = ranges.withColumn("_p", partner).join(other, [F.col("t") == F.col("pt"), F.col("_p") == F.col("pc")], "left")
     blank = F.col("low") >= F.col("high")
     return joined.select(*keys, F.when(blank, F.coalesce("plow", "low")).otherwise(F.col("low")).alias("low"), F.when(blank, F.coalesce("phigh", "high")).otherwise(F.col("high")).alias("high"))
 
