@@ -30,7 +30,7 @@ CHUNK_XY, GZIP_LEVEL, STATE = 512, 1, "opm_write_state"
 AXES = [("t", "time", "second"), ("c", "channel", None), ("z", "space", "micrometer"), ("y", "space", "micrometer"), ("x", "space", "micrometer")]
 
 SCHEMA = "t int, c int, z int, y0 int, x0 int, h int, w int, px array<int>"
-CHUNKS_PER_TASK = 64
+CHUNKS_PER_TASK = 512
 
 
 def _load(path: str) -> dict:
@@ -240,20 +240,24 @@ class OmeZarr(DataSource):
 
 
 def to_chunks(voxels: DataFrame, chunk: int = CHUNK_XY) -> DataFrame:
-    """Voxels as chunk rows (t, c, z, cy, cx, h, w, data); one group is one chunk."""
-    keyed = voxels.select("t", "c", "z", F.floor(F.col("y") / chunk).alias("cy"), F.floor(F.col("x") / chunk).alias("cx"), "y", "x", "v")
+    """Voxels as chunk rows (t, c, z, cy, cx, h, w, data): gathered in the JVM, packed a batch at a time."""
+    cell = F.struct((F.col("y") % chunk).cast("int").alias("y"), (F.col("x") % chunk).cast("int").alias("x"), F.col("v").cast("int").alias("v"))
+    key = [F.col(k).cast("int").alias(k) for k in "tcz"] + [F.floor(F.col(a) / chunk).cast("int").alias(f"c{a}") for a in "yx"]
+    cells = voxels.groupBy(*key).agg(F.collect_list(cell).alias("p"), F.max(cell["y"]).alias("h"), F.max(cell["x"]).alias("w"))
+    rows = cells.select("t", "c", "z", "cy", "cx", (F.col("h") + 1).alias("h"), (F.col("w") + 1).alias("w"), "p.y", "p.x", "p.v")
 
-    def run(pdf):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        first = pdf.iloc[0]
-        y, x = (pdf["y"] - first["cy"] * chunk).to_numpy(), (pdf["x"] - first["cx"] * chunk).to_numpy()
-        block = np.zeros((int(y.max()) + 1, int(x.max()) + 1), "<u2")
-        block[y, x] = pdf["v"]
-        row = [*(int(first[k]) for k in ("t", "c", "z", "cy", "cx")), *block.shape, block.tobytes()]
-        return pd.DataFrame([row], columns=["t", "c", "z", "cy", "cx", "h", "w", "data"])
+        for batch in batches:
+            data = []
+            for h, w, y, x, v in zip(*(batch.column(k) for k in ("h", "w", "y", "x", "v"))):
+                block = np.zeros((h.as_py(), w.as_py()), "<u2")
+                block[y.values.to_numpy(), x.values.to_numpy()] = v.values.to_numpy()
+                data.append(block.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(data, pa.binary())], [*batch.schema.names[:7], "data"])
 
-    return keyed.groupBy("t", "c", "z", "cy", "cx").applyInPandas(run, "t int, c int, z int, cy int, cx int, h int, w int, data binary")
+    return rows.mapInArrow(run, "t int, c int, z int, cy int, cx int, h int, w int, data binary")
 
 
 def to_voxels(chunks: DataFrame) -> DataFrame:
