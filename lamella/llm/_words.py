@@ -16,6 +16,7 @@ SEGMENT = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+EXACT = np.arange(256, dtype=np.uint8)  # for word_hashes: case counts
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -24,7 +25,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         size = max(n, SEGMENT)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -52,7 +53,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def _hash_segment(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_segment(raw: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -64,10 +65,10 @@ def _hash_segment(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     before[inner] = True
     after[inner - 1] = True
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = _power_table(n)
+    up, down = power_table(n)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    np.cumsum((letters[raw].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
     words = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix(words), np.searchsorted(start, offsets)
 
@@ -86,7 +87,7 @@ def _cut(raw: np.ndarray, at: int, stop: int) -> int:
     return stop
 
 
-def word_hashes(column: pa.Array):
+def word_hashes(column: pa.Array, letters: np.ndarray = _LOWER):
     """Yield (first row, end row, word hashes, word offsets by row) over a text column."""
     raw, offsets = buffers(column)
     row, rows = 0, len(offsets) - 1
@@ -95,12 +96,12 @@ def word_hashes(column: pa.Array):
         end = min(end, rows)
         lo, hi = int(offsets[row]), int(offsets[end])
         if hi - lo <= SEGMENT:
-            yield (row, end, *_hash_segment(raw[lo:hi], offsets[row : end + 1] - lo))
+            yield (row, end, *_hash_segment(raw[lo:hi], offsets[row : end + 1] - lo, letters))
         else:  # a single long text
             parts = []
             while lo < hi:
                 cut = _cut(raw, lo, hi)
-                parts.append(_hash_segment(raw[lo:cut], np.array([0, cut - lo]))[0])
+                parts.append(_hash_segment(raw[lo:cut], np.array([0, cut - lo]), letters)[0])
                 lo = cut
             words = np.concatenate(parts)
             yield row, end, words, np.array([0, len(words)])

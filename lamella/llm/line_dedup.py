@@ -1,4 +1,4 @@
-"""Line deduplication over content-defined chunks of lines.
+"""Line deduplication: repeated chunks of lines, and every repeated passage of words.
 
 A document's lines are cut into chunks where a rolling hash over the last ``WINDOW``
 line hashes is divisible by ``DIVISOR``. The cuts depend only on nearby lines, so a
@@ -6,22 +6,40 @@ passage that several documents share gets the same inner chunks wherever it stan
 A chunk of several lines and at least ``MIN_WORDS`` words that occurs more than once in
 the corpus is removed everywhere but in its first place. Occurrences are grouped by
 digest and by the chunk's whole bytes, so only equal bytes count as a repetition.
+
+Besides, each run of ``PASSAGE`` words that occurs more than once is removed but for its
+first place, wherever lines and chunks begin. Every such run is found: the least hash among
+its runs of ``ANCHOR`` words depends on its words alone, so equal runs have equal anchors.
+Anchors and chunks that occur twice set bits of a filter of fixed size. The runs around one
+anchor are a segment; segments that pass the filter (some by chance) are grouped whole by
+128 hash bits of their words, and all but the first go. Where an anchor has several segments,
+the runs of the first of each are grouped one by one, as they can be equal in part.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._shared import bounded_batches, read
+from lamella.llm._shared import bounded_batches, durable, read
+from lamella.llm._words import EXACT, mix, power_table, word_hashes
 
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
 MIN_WORDS = 10
+PASSAGE = 50
+ANCHOR = 25
+FILTER_BITS = 1 << 27  # a fuller filter lets more through to the grouping, it loses nothing
+BLOCK_BITS = 1 << 16
+
+_WORD = re.compile(r"[^ \t\n\v\f\r]+")  # words as in _words
 
 
 def chunks(text: str) -> list[list[str]]:
@@ -45,36 +63,196 @@ def _removable(chunk: list[str]) -> bool:
     return len(chunk) >= MIN_LINES and sum(len(x.split()) for x in chunk) >= MIN_WORDS
 
 
-def _emit(batches):
-    """(doc_id, place, body) of the removable chunks, each once a document."""
+def _key(body: str) -> int:
+    return int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _removable_chunks(text: str):
+    """(place, body) of the removable chunks, each once a document."""
+    seen = set()
+    for place, chunk in enumerate(chunks(text)):
+        if _removable(chunk) and (body := "\n".join(chunk)) not in seen:
+            seen.add(body)
+            yield place, body
+
+
+def _hash(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words of each span."""
+    up, down = power_table(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:-1], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin])
+
+
+def _lanes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _hash(words, begin, end), _hash(mix(words ^ np.uint64(0x5851F42D4C957F2D)), begin, end)
+
+
+def _segments(words: np.ndarray, offsets: np.ndarray):
+    """(anchor hash, row, first passage's place in the row, first passage, number of passages) of the segments of whole rows."""
+    if len(words) < PASSAGE:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
+    begin = np.arange(len(words) - ANCHOR + 1)
+    runs = _hash(words, begin, begin + ANCHOR)
+    at, size, width = begin, 1, PASSAGE - ANCHOR + 1
+    while size < width:  # place of the leftmost least hash of each passage
+        step = min(size, width - size)
+        left, right = at[:-step], at[step:]
+        at, size = np.where(runs[right] < runs[left], right, left), size + step
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    starts = np.flatnonzero(row[: len(at)] == row[PASSAGE - 1 :])
+    at = at[starts]
+    fresh = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    starts, number = starts[fresh], np.diff(np.append(fresh, len(at)))
+    return runs[at[fresh]], row[starts], starts - offsets[row[starts]], starts, number
+
+
+def _units(batches):
+    """Keys of all anchors and removable chunks."""
     for batch in batches:
-        ids, places, bodies, rows = batch.column(0), [], [], []
-        for row, text in enumerate(batch.column(1)):
-            seen = set()
-            for place, chunk in enumerate(chunks(text.as_py() or "")):
-                if _removable(chunk) and (body := "\n".join(chunk)) not in seen:
-                    seen.add(body)
-                    rows.append(row), places.append(place), bodies.append(body)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(bodies, pa.string())], ["doc_id", "place", "body"])
+        found = [np.array([_key(body) for text in batch.column(1) for _, body in _removable_chunks(text.as_py() or "")], np.uint64)]
+        for _, _, words, offsets in word_hashes(batch.column(1), EXACT):
+            found.append(_segments(words, offsets)[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+
+def _packed(batches):
+    """(block, bits) of a partition's blocks of the filter."""
+    bits = [b.column(0).to_numpy() for b in batches if b.num_rows]
+    if bits:
+        bits = np.unique(np.concatenate(bits))
+        blocks, first = np.unique(bits // BLOCK_BITS, return_index=True)
+        for block, part in zip(blocks, np.split(bits, first[1:])):
+            flags = np.zeros(BLOCK_BITS, np.uint8)
+            flags[part % BLOCK_BITS] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+
+def _filter(keys: DataFrame):
+    """A broadcast filter of the keys; FILTER_BITS whatever the input."""
+    bit = keys.select(F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit"))
+    blocks = bit.repartition(F.expr(f"bit div {BLOCK_BITS}")).mapInArrow(_packed, "block long, bits binary")
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in blocks.toLocalIterator():
+        out[r["block"] * BLOCK_BITS // 8 :][: BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _tags(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return mix(mix(ids.view(np.uint64)) + places.view(np.uint64))
+
+
+def _emit(shared):
+    """What passes the filter: (doc_id, place, body) of chunks, (doc_id, place, anchor, n, a, b, tag) of segments."""
+
+    def run(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
+        names = ["doc_id", "place", "body", "anchor", "n", "a", "b", "tag"]
+        for batch in batches:
+            ids, places, bodies, rows = batch.column(0), [], [], []
+            for row, text in enumerate(batch.column(1)):
+                for place, body in _removable_chunks(text.as_py() or ""):
+                    if _passes(bits, np.array([_key(body)], np.uint64))[0]:
+                        rows.append(row), places.append(place), bodies.append(body)
+            nothing = [pa.nulls(len(rows), pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(places, pa.int64()), pa.array(bodies, pa.string()), *nothing], names)
+            ids = ids.to_numpy()
+            for first, _, words, offsets in word_hashes(batch.column(1), EXACT):
+                anchor, row, place, start, n = _segments(words, offsets)
+                use = _passes(bits, anchor)
+                anchor, row, place, start, n = (x[use] for x in (anchor, row, place, start, n))
+                if len(row):
+                    a, b = _lanes(words, start, start + n + PASSAGE - 1)
+                    own = ids[first + row]
+                    columns = [anchor.view(np.int64), n, a.view(np.int64), b.view(np.int64), _tags(own, place).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(place), pa.nulls(len(row), pa.string()), *map(pa.array, columns)], names)
+
+    return run
+
+
+def _emit_passages(shared):
+    """(doc_id, place, a, b) of the single passages of the segments whose tags pass the filter."""
+
+    def run(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, _, words, offsets in word_hashes(batch.column(1), EXACT):
+                _, row, place, start, n = _segments(words, offsets)
+                use = _passes(bits, _tags(ids[first + row], place))
+                row, place, start, n = (x[use] for x in (row, place, start, n))
+                if len(row):
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    begin = np.repeat(start, n) + step
+                    a, b = _lanes(words, begin, begin + PASSAGE)
+                    columns = [np.repeat(ids[first + row], n), np.repeat(place, n) + step, a.view(np.int64), b.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "place", "a", "b"])
+
+    return run
+
+
+def _inside(text: str) -> list[tuple[int, int]]:
+    """Spans of words of one text that repeat an earlier passage of it."""
+    out = []
+    for _, _, words, _ in word_hashes(pa.array([text]), EXACT):
+        first = {}
+        begins = np.arange(max(0, len(words) - PASSAGE + 1))
+        for at, key in enumerate(zip(*(x.tolist() for x in _lanes(words, begins, begins + PASSAGE)))):
+            if (begin := first.setdefault(key, at)) < at:
+                out.append((max(at, begin + PASSAGE), at + PASSAGE))
+    return out
+
+
+def _without(line: str, words: list[tuple[int, int]], gone: bytearray) -> str:
+    """The line without its marked words and the blanks after them."""
+    out, at = [], 0
+    for k, (begin, end) in enumerate(words):
+        if gone[k]:
+            out.append(line[at:begin])
+            at = words[k + 1][0] if k + 1 < len(words) else end
+    return "".join([*out, line[at:]])
 
 
 def _clean(batches):
-    """Texts without the chunks at the given places and without repetitions inside the document."""
+    """Texts without the chunks and words at the given places and without repetitions inside the document."""
     for batch in batches:
         n, gone, text_out = [], [], []
-        for text, drop in zip(batch.column(1), batch.column(2)):
-            drop, seen, kept, lines, removed = set(drop.as_py() or ()), set(), [], 0, 0
-            for place, chunk in enumerate(chunks(text.as_py() or "")):
+        for doc_id, text, drops in zip(batch.column(0), batch.column(1), batch.column(2)):
+            text, drops = text.as_py() or "", [(d["begin"], d["end"]) for d in drops.as_py() or ()]
+            drop, spans = {begin for begin, end in drops if end is None}, [d for d in drops if d[1] is not None]
+            if not doc_id.is_valid:
+                spans = _inside(text)
+            marked = bytearray(len(text) // 2 + 2) if spans else None
+            for begin, end in spans:
+                marked[begin:end] = b"\1" * (end - begin)
+            seen, kept, lines, removed, word = set(), [], 0, 0, 0
+            for place, chunk in enumerate(chunks(text)):
                 lines += len(chunk)
                 repeated = False
                 if _removable(chunk):
                     body = "\n".join(chunk)
                     repeated = body in seen
                     seen.add(body)
-                if repeated or place in drop:
-                    removed += len(chunk)
-                else:
-                    kept.extend(chunk)
+                if marked is None:
+                    if repeated or place in drop:
+                        removed += len(chunk)
+                    else:
+                        kept.extend(chunk)
+                    continue
+                for line in chunk:
+                    words = [m.span() for m in _WORD.finditer(line)]
+                    flags = marked[word : word + len(words)]
+                    inner = not words and word and marked[word - 1] and marked[word]
+                    word += len(words)
+                    if repeated or place in drop or inner or (words and all(flags)):
+                        removed += 1
+                    else:
+                        kept.append(_without(line, words, flags) if any(flags) else line)
             n.append(lines), gone.append(removed), text_out.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text_out, pa.string())],
@@ -82,23 +260,47 @@ def _clean(batches):
         )
 
 
+def _after_first(places: DataFrame, firsts: DataFrame, key: list[str], n) -> DataFrame:
+    """(doc_id, begin, end): words of the ``n`` passages at each place but the first; what overlaps the first stays."""
+    other = places.join(firsts, key).filter("doc_id <> f.doc_id OR place <> f.place")
+    begin = F.when(F.col("doc_id") == F.col("f.doc_id"), F.greatest("place", F.col("f.place") + n + PASSAGE - 1)).otherwise(F.col("place"))
+    return other.select("doc_id", begin.alias("begin"), (F.col("place") + n + PASSAGE - 1).alias("end"))
+
+
 def line_dedup(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per input row: ``doc_id, n_lines, n_removed, text`` with repeated chunks removed.
+    """One row per input row: ``doc_id, n_lines, n_removed, text`` with repeated chunks and passages removed.
 
-    The first place of a chunk is the one in the document with the smallest id, there
-    the topmost. Null texts count as empty (one empty line). Rows without an id take
-    no part and come back whole, but for repetitions inside them. Rows that repeat an
-    id are one document. An empty table gives an empty result; extra columns are not read.
+    The first place of a chunk or passage is the one in the document with the smallest id,
+    there the topmost. ``n_removed`` counts lines that are gone whole; of other lines the
+    words of a passage are cut out. Null texts count as empty (one empty line). Rows without
+    an id take no part and come back whole, but for repetitions inside them. Rows that repeat
+    an id are one document. An empty table gives an empty result; extra columns are not read.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = rows.filter("doc_id IS NOT NULL").mapInArrow(_emit, "doc_id long, place int, body string")
+    named = rows.filter("doc_id IS NOT NULL")
+    repeated = named.mapInArrow(_units, "key long").groupBy("key").count().filter("count > 1")
+    found = durable(named.mapInArrow(_emit(_filter(repeated)), "doc_id long, place long, body string, anchor long, n long, a long, b long, tag long"))
+
+    placed = found.filter("body IS NOT NULL").select("doc_id", "place", "body")
     key = [F.sha2("body", 256).alias("sha"), F.octet_length("body").alias("size"), F.xxhash64("body").alias("xx")]
     groups = placed.groupBy(F.unhex(F.sha2("body", 256)).alias("digest"), "body").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     repeated = groups.filter("first < last").select(*key, "first")
     hits = placed.select("doc_id", "place", *key).join(repeated, ["sha", "size", "xx"]).filter("doc_id <> first")
-    drops = hits.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    return rows.join(drops, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_clean, "doc_id long, n_lines long, n_removed long, text string")
+    hits = hits.select("doc_id", F.col("place").alias("begin"), F.lit(None).cast("long").alias("end"))
+
+    segments = found.filter("body IS NULL").select("doc_id", "place", "anchor", "n", "a", "b", "tag")
+    kinds = durable(segments.groupBy("anchor", "n", "a", "b").agg(F.min(F.struct("doc_id", "place", "tag")).alias("f"), F.count(F.lit(1)).alias("times")))
+    again = _after_first(segments, kinds.filter("times > 1").drop("times"), ["anchor", "n", "a", "b"], F.col("n"))
+
+    several = kinds.groupBy("anchor").count().filter("count > 1")
+    partly = kinds.join(several, "anchor").select(F.col("f.tag").alias("key"))
+    passages = durable(named.mapInArrow(_emit_passages(_filter(partly)), "doc_id long, place long, a long, b long"))
+    firsts = passages.groupBy("a", "b").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    again = again.union(_after_first(passages, firsts, ["a", "b"], F.lit(1)))
+
+    drops = hits.union(again).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("drops"))
+    return rows.join(drops, "doc_id", "left").select("doc_id", "text", "drops").mapInArrow(_clean, "doc_id long, n_lines long, n_removed long, text string")
 
 
 def op10(spark, sf_dir):
