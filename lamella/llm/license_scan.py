@@ -1,17 +1,29 @@
-"""License scan by canonical digests (DataFrame operations only).
+"""License scan by canonical digests of units and of runs of words.
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white
 space) and its digest is looked up among the digests of known licence texts. The
 looked-up units are each whole document and each of its lines: a unit matches only if
-its entire text equals a known one after normalisation.
+its entire text equals a known one after normalisation. Known texts of ``RUN`` words or
+more are also found wherever they stand in a document, however its lines are broken: as
+runs of normalised words with equal 128 hash bits.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm._shared import read
+from lamella.llm._shared import bounded_batches, read
+from lamella.llm._words import word_hashes
+from lamella.llm.line_dedup import _hash, _lanes
+
+RUN = 20
+HEAD = 8  # words of a run by which candidates are found
 
 # Spellings that licence matching treats as equal (right becomes left).
 SPELLINGS = {
@@ -21,7 +33,7 @@ SPELLINGS = {
     "organize": "organise", "recognized": "recognised", "https:": "http:",
 }
 
-# Notices and licence texts as published by their stewards.
+# Notices, and short licence texts. TEXTS below has the long ones.
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
     "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
@@ -50,6 +62,50 @@ KNOWN = [
     ("MIT", _MIT),
 ]
 
+_ISC_END = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+    "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    "{}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.\n\n"
+)
+_BSD_NAME = (
+    "{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.\n\n"
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _forms(text: str) -> list[str]:
+    """A licence file with and without its title, and with and without what follows its terms."""
+    blocks = text.strip().split("\n\n")
+    k = next(i for i, b in enumerate(blocks) if len(b.split()) >= RUN)
+    wholes = [text, "\n\n".join(blocks[k:])]
+    return wholes + [w.split("END OF TERMS AND CONDITIONS")[0] + end for w in wholes for end in ("", "END OF TERMS AND CONDITIONS") if "END OF TERMS AND CONDITIONS" in w]
+
+
+def texts() -> list[tuple[str, str]]:
+    """Whole licence texts: (id, text), some in several forms."""
+    out = [(p.stem, form) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")) for form in _forms(p.read_text("utf-8"))]
+    short = [("MIT", "MIT License", _MIT), ("MIT", "The MIT License", _MIT), ("MIT", "The MIT License (MIT)", _MIT), ("ISC", "ISC License", f"{_ISC}\n\n{_ISC_END}")]
+    for marks in (("", "", ""), ("1. ", "2. ", "3. ")):
+        short.append(("BSD-2-Clause", "BSD 2-Clause License", (_BSD + _BSD_END).format(*marks[:2])))
+        short.append(("BSD-3-Clause", "BSD 3-Clause License", (_BSD + _BSD_NAME + _BSD_END).format(*marks)))
+    return out + [(i, form) for i, title, text in short for form in (text, f"{title}\n\n{text}")]
+
+
 _COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -63,31 +119,74 @@ def canonical(text: Column) -> Column:
 
 
 def known_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    return spark.createDataFrame(KNOWN + texts(), "license_id string, text string")
+
+
+def _find_runs(known: list):
+    """(doc_id, digest, license_id, whole) of the known texts in canonical documents; one inside a longer one does not count."""
+    by_head = defaultdict(list)
+    for license_id, text, digest in known:
+        for _, _, words, _ in word_hashes(pa.array([text])):
+            n = np.array([len(words)])
+            a, b = _lanes(words, np.array([0]), n)
+            by_head[_hash(words, np.array([0]), np.array([HEAD]))[0]].append((len(words), a[0], b[0], license_id, bytes(digest)))
+    heads = np.array(sorted(by_head), np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            rows, found = [], []
+            for first, _, words, offsets in word_hashes(batch.column(1)):
+                begin = np.arange(max(0, len(words) - HEAD + 1))
+                head = _hash(words, begin, begin + HEAD)
+                starts = np.flatnonzero(np.isin(head, heads))
+                row = np.searchsorted(offsets, starts, side="right") - 1
+                tries = [(s, s + k[0], r, k) for s, r in zip(starts, row) for k in by_head[head[s]] if s + k[0] <= offsets[r + 1]]
+                if not tries:
+                    continue
+                a, b = _lanes(words, np.array([t[0] for t in tries]), np.array([t[1] for t in tries]))
+                equal = [t for t, x, y in zip(tries, a, b) if t[3][1] == x and t[3][2] == y]
+                reached = 0
+                for s, e, r, k in sorted(equal, key=lambda t: (t[0], -t[1])):
+                    if e > reached:
+                        reached = e
+                        rows.append(int(first + r))
+                        found.append((k[4], k[3], bool(s == offsets[r] and e == offsets[r + 1])))
+            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.binary(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], ["doc_id", "digest", "license_id", "whole"])
+
+    return run
 
 
 def license_scan(df: DataFrame, known: DataFrame | None = None, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document that has a licence: ``doc_id, licenses, n_units, whole_text``.
 
     ``licenses`` are the sorted distinct ids joined by commas, ``n_units`` the matching
-    lines (a line repeated counts each time; a whole-text match counts once) and
-    ``whole_text`` whether the entire document is one licence. ``known`` has
+    lines (a line repeated counts each time; a whole-text match counts once) and of runs
+    that are neither, and ``whole_text`` whether the entire document is one licence. ``known`` has
     ``license_id, text``; of ids with one canonical text the smallest counts. The join
     is left to the planner: a short list of digests is broadcast by its size, a long one
     is shuffled by digest. Null and empty texts match nothing; rows that repeat an id
     are one document; an empty table gives an empty result; extra columns are not read.
     """
     known = known_table(df.sparkSession) if known is None else known
+    bounded_batches(df.sparkSession)
     digests = known.select("license_id", canonical(F.col("text")).alias("c")).filter("c <> ''")
-    digests = digests.groupBy(F.unhex(F.sha2("c", 256)).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    digests = digests.groupBy(F.unhex(F.sha2("c", 256)).alias("digest"), "c").agg(F.min("license_id").alias("license_id"))
+    long_ones = digests.filter(F.size(F.split("c", " ")) >= RUN).select("license_id", "c", "digest").collect()
+    digests = digests.drop("c")
     lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: _digest(x))
     whole = F.array(_digest(F.col(text_col)))
     units = F.when(F.instr(text_col, "\n") > 0, F.concat(whole, lines)).otherwise(whole)
     found = df.select(F.col(id_col).alias("doc_id"), F.posexplode(units).alias("place", "digest")).join(digests, "digest")
-    return found.groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"),
-        F.count(F.lit(1)).alias("n_units"),
-        F.bool_or(F.col("place") == 0).alias("whole_text"),
+    found = found.select("doc_id", "digest", "license_id", (F.col("place") == 0).alias("whole"), F.lit(False).alias("run"))
+    rows = df.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("c"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, license_id string, whole boolean"
+    runs = rows.mapInArrow(_find_runs([tuple(r) for r in long_ones]), schema).withColumn("run", F.lit(True))
+    n_whole, n_line, n_run = (F.count_if(x) for x in (F.expr("whole AND NOT run"), F.expr("NOT whole AND NOT run"), F.col("run")))
+    n = n_whole + n_line + F.greatest(F.lit(0), n_run - F.greatest(n_whole, n_line))  # a run can be a line or the whole text
+    each = found.union(runs).groupBy("doc_id", "digest", "license_id").agg(n.alias("n"), F.bool_or("whole").alias("whole"))
+    return each.groupBy("doc_id").agg(
+        F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"), F.sum("n").alias("n_units"), F.bool_or("whole").alias("whole_text")
     )
 
 
