@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by the cluster; a temporary one only where none is set (tests)."""
+    """The folder all executors share, named by the cluster.
+
+    Only in local mode, where driver and tasks are one process, a temporary folder stands
+    in for a missing setting; a cluster without the setting is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamella-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="lamella-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -28,6 +38,12 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small enough that a Python worker holds few megabytes of text at a time."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bound the Arrow batches of the session's queries in rows and in bytes (one row may be larger)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``c0, c1, ...``: no name of the caller's can clash with one of ours."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lamella.llm._shared import read
 
 SALTS = 16
+_KEY = ["_sha", "_len", "_xx"]
 
 
 def _content_key(text):
@@ -56,7 +57,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("doc_id"), *_content_key(text))
     repeated = copy_groups(df, id_col, text_col, salts).filter("group_size > 1")
-    return rows.join(repeated, ["_sha", "_len", "_xx"], "left").select(
+    return rows.join(repeated, _KEY, "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -66,13 +67,23 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``df`` that stay, with all its columns."""
-    columns = [F.col(f"_row.`{c}`").alias(c) for c in df.columns]
+    """One row of ``df`` for each distinct text, with all its columns.
+
+    It is the row with the largest id; of several such rows (a row written twice, or equal
+    texts without ids), the one whose whole row has the largest hash. Columns of any name
+    are kept as they are.
+    """
+    names = [f"_row.`{c}`" for c in df.columns]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), *_content_key(text))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(whole.alias("_row"), F.col(id_col).alias("_id"), *_content_key(text))
     repeated = copy_groups(df, id_col, text_col, salts).filter("group_size > 1")
-    joined = rows.join(repeated, ["_sha", "_len", "_xx"], "left")
-    return joined.filter("group_size IS NULL OR _id <=> keep_id").select(*columns)
+    joined = rows.join(repeated, _KEY, "left")
+    alone = joined.filter("group_size IS NULL").select("_row")
+    # Usually one row a group; partial aggregation keeps one a partition where there are many.
+    tie = F.xxhash64(F.to_json("_row"))
+    chosen = joined.filter("group_size IS NOT NULL AND _id <=> keep_id").groupBy(*_KEY).agg(F.max_by("_row", tie).alias("_row")).select("_row")
+    return alone.union(chosen).select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])
 
 
 def op8(spark, sf_dir):

@@ -1,26 +1,31 @@
 """MinHash near-deduplication by a signature-coordinate inverted join.
 
 Every document with words becomes its set of 5-word shingles and a signature of
-``COORDS`` minhash values. Documents are posted under each (coordinate, value);
-two documents are candidates if at least ``MATCHES`` of their coordinates
-collide. At similarity 0.75 a pair has fewer collisions with probability of about
-2e-6, and less for closer pairs.
+``COORDS`` minhash values. Rows with equal sets are one node. Nodes are posted under each
+(coordinate, value); two nodes are candidates if at least ``MATCHES`` of their
+coordinates collide. At similarity 0.75 a pair has fewer collisions with probability of
+about 2e-6, and less for closer pairs.
 
 * Prefix merging: with postings ordered by rising list length, a candidate pair
-  must meet within the first ``s - MATCHES + 1`` of a document's ``s`` shared
-  coordinates. Documents with fewer than ``MATCHES`` shared coordinates have no
+  must meet within the first ``s - MATCHES + 1`` of a node's ``s`` shared
+  coordinates. Nodes with fewer than ``MATCHES`` shared coordinates have no
   partner at all.
 * Skip merging: the longest lists (common passages) come last in that order, so they
-  are read only for documents that share nearly everything. Lists are not expanded
-  into all pairs: first each list is compared with its leader, twice with
-  different leaders, and what is linked is contracted. Only pairs from different
-  components that are left are then compared, in blocks.
-
-Every link is confirmed on the full shingle sets before it counts.
+  are read only for nodes that share nearly everything. Lists are not expanded
+  into all pairs: first each list is compared with its leader and what is linked is
+  contracted. Only pairs from different components that are left are then compared:
+  those of short lists in a join, those of long ones in blocks inside the tasks, where
+  the largest component of a list meets the others but not itself. Both read the same
+  lists, so the length of a list decides how its pairs are compared and not which.
+
+Every link is confirmed on the full shingle sets before it counts, and so is the equality
+of the rows of a node.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +40,6 @@ THRESHOLD = 75  # percent
 COORDS = 48
 MATCHES = 22
 SHORT = 64  # up to this length, a list's pairs are joined
-LONG_COORDS = 10
 BLOCK_ROWS = 1024  # of longer lists, so many rows or shingles are compared at a time
 BLOCK_VALUES = 1_000_000
 
@@ -79,36 +83,47 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sign(batches):
-    for batch in batches:
-        ids = batch.column(0)
-        for first, end, words, offsets in word_hashes(batch.column(1)):
-            sets = _shingles(words, offsets)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            signed = _signatures(sets).view(np.int64)
-            with np.errstate(over="ignore"):
-                d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                d2 = np.array([mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, COORDS, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [ids[first:end], pa.array(sizes), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed.ravel()))],
-                ["id", "n", "d1", "d2", "sig"],
-            )
-
-
-def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n`` (set size), ``d1, d2`` (digest of the set) and ``sig`` of every row."""
+def _node(s: np.ndarray, seed: int) -> np.uint64:
+    """Digest of a set: two sums over its values and its size."""
+    with np.errstate(over="ignore"):
+        other = mix(s ^ np.uint64(0xA5A5A5A5 + seed)).sum(dtype=np.uint64)
+        return mix(mix(np.array([other], np.uint64)) + s.sum(dtype=np.uint64) * np.uint64(2 * seed + 1) + np.uint64(len(s)))[0]
+
+
+def _sign(seed):
+    def run(batches):
+        for batch in batches:
+            ids, tags = batch.column(0), batch.column(1)
+            for first, end, words, offsets in word_hashes(batch.column(2)):
+                sets = _shingles(words, offsets)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                signed = _signatures(sets).view(np.int64)
+                nodes = np.array([_node(s, seed) for s in sets], np.uint64).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, COORDS, 0))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [ids[first:end], tags[first:end], pa.array(nodes), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed.ravel()))],
+                    ["id", "tag", "node", "n", "sig"],
+                )
+
+    return run
+
+
+def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """``id, tag`` (hash of the text), ``node`` (digest of the set), ``n`` (its size) and ``sig`` of every row."""
     bounded_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sign, "id long, n long, d1 long, d2 long, sig array<bigint>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_sign(seed), "id long, tag long, node long, n long, sig array<bigint>")
 
 
-def _full_sets(batches):
-    for batch in batches:
-        ids = batch.column(0)
-        for first, end, words, offsets in word_hashes(batch.column(1)):
-            sets = _shingles(words, offsets)
-            yield pa.RecordBatch.from_arrays([ids[first:end], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "body"])
+def _full_sets(seed):
+    def run(batches):
+        for batch in batches:
+            for _, _, words, offsets in word_hashes(batch.column(1)):
+                sets = [s for s in _shingles(words, offsets) if len(s)]
+                nodes = np.array([_node(s, seed) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "body"])
+
+    return run
 
 
 def _confirm(batches):
@@ -181,7 +196,7 @@ def _compare_block(key, table):
     """Confirmed links between two blocks of one list that join different components (a spanning set of them)."""
     token, low, high = (k.as_py() for k in key)
     coordinate = token & 63
-    block, ids, root, n = (table.column(c).to_numpy() for c in ("block", "id", "root", "n"))
+    block, ids, root, n, posted = (table.column(c).to_numpy() for c in ("block", "id", "root", "n", "posted"))
     sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), COORDS)
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     matches = np.zeros((len(left), len(right)), np.int16)
@@ -189,8 +204,9 @@ def _compare_block(key, table):
     for k in reversed(range(COORDS)):
         same = sig[left, k][:, None] == sig[right, k][None, :]
         matches += same
-        first[same] = k
-    # A pair that shares several coordinates is compared in the list of the first one only.
+        own, other = posted[left] >> k & 1 == 1, posted[right] >> k & 1 == 1
+        first[same & own[:, None] & other[None, :]] = k
+    # A pair that meets in several lists is compared in that of the first common coordinate only.
     wanted = (matches >= MATCHES) & (first == coordinate) & (root[left][:, None] != root[right][None, :])
     if low == high:
         wanted &= ids[left][:, None] < ids[right][None, :]
@@ -198,9 +214,9 @@ def _compare_block(key, table):
     rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
     if len(rows):
         body = table.column("body")
-        sets = [np.frombuffer(body[int(i)].as_buffer(), np.uint64) for i in range(len(ids))]
-        shared = _shared_sizes([sets[i] for i in left[rows]], [sets[i] for i in right[columns]])
-        union = n[left[rows]][:, None] + n[right[columns]][None, :] - shared
+        left, right = left[rows], right[columns]
+        shared = _shared_sizes([np.frombuffer(body[int(i)].as_buffer(), np.uint64) for i in left], [np.frombuffer(body[int(i)].as_buffer(), np.uint64) for i in right])
+        union = n[left][:, None] + n[right][None, :] - shared
         parent: dict[int, int] = {}
 
         def top(r):
@@ -210,7 +226,7 @@ def _compare_block(key, table):
             return r
 
         for i, j in zip(*np.nonzero((100 * shared >= THRESHOLD * union) & wanted[np.ix_(rows, columns)])):
-            x, y = left[rows[i]], right[columns[j]]
+            x, y = left[i], right[j]
             p, q = top(int(root[x])), top(int(root[y]))
             if p != q:
                 parent[p] = q
@@ -219,64 +235,75 @@ def _compare_block(key, table):
 
 
 def _mixed(posted: DataFrame) -> DataFrame:
-    """Lists that hold several components, with their length and total set size."""
-    lists = posted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("length"), F.sum("n").alias("total"))
-    return lists.filter("r0 <> r1").select("token", "length", "total")
+    """Lists that hold several components: ``token, length, main`` (the largest component's root)."""
+    parts = posted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("part"))
+    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.sum("part").alias("length"), F.max_by("root", F.struct("part", "root")).alias("main"))
+    return lists.filter("roots > 1").drop("roots")
 
 
-def _rest(posted: DataFrame, reps: DataFrame, bodies: DataFrame, tested: DataFrame) -> DataFrame:
-    """Links between documents of different components that meet in a list.
+def _dealt(listed: DataFrame) -> DataFrame:
+    """Rows (token, low, high, block, id) of the pairs of blocks to compare.
 
-    Short lists give their pairs to the join that confirms links. Documents of long
-    ones are compared by blocks inside the tasks, which pass on only links that join
-    components. Those documents are listed under ``LONG_COORDS`` fixed coordinates: a pair at
-    similarity 0.75 shares none of them with probability 1e-6.
+    Rows of a list's largest component lie in blocks 0 to m - 1, the others in m to m + o - 1.
+    Blocks of the others meet all blocks, so a large component costs its length once for
+    each block of the others and is never compared with itself.
     """
-    sizes = reps.select("id", "n")
-    met = posted.join(_mixed(posted.withColumn("n", F.lit(0))), "token").drop("total")
+    own = F.when(F.col("root") == F.col("main"), "m").otherwise("o")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_VALUES))
+    sided = listed.withColumn("side", own)
+    counts = sided.groupBy("token").pivot("side", ["m", "o"]).agg(size.cast("int"))
+    placed = sided.join(counts, "token")
+    spread = F.pmod(F.xxhash64("id"), F.when(F.col("side") == "m", F.col("m")).otherwise(F.col("o"))).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("side") == "m", spread).otherwise(F.col("m") + spread))
+    others = F.when(F.col("side") == "m", F.sequence(F.col("m"), F.col("m") + F.col("o") - 1)).otherwise(F.sequence(F.lit(0), F.col("m") + F.col("o") - 1))
+    met = placed.withColumn("other", F.explode(others))
+    return met.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root", "n")
+
+
+def _rest(posted: DataFrame, reps: DataFrame, bodies: DataFrame, tested: DataFrame) -> DataFrame:
+    """Links between nodes of different components that meet in a list."""
+    met = posted.join(_mixed(posted), "token")
     short = met.filter(f"length <= {SHORT}")
     other = short.select("token", F.col("id").alias("b"), F.col("root").alias("rb"))
-    few = short.withColumnRenamed("id", "a").join(other, "token").filter("a < b AND root <> rb").select("a", "b").distinct()
+    few = short.select("token", F.col("id").alias("a"), "root").join(other, "token").filter("a < b AND root <> rb").select("a", "b").distinct()
     few = _links(durable(_colliding(few.join(tested, ["a", "b"], "left_anti"), reps)), bodies)
 
-    hot = durable(met.filter(f"length > {SHORT}").select("id", "root").distinct())
+    hot = durable(met.filter(f"length > {SHORT}").join(reps.select("id", "n"), "id").select("token", "id", "root", "main", "n"))
     if hot.isEmpty():
         return few
-    listed = durable(reps.join(hot, "id").select("id", "root", "n", F.explode(F.slice("sig", 1, LONG_COORDS)).alias("token")))
-    blocks = F.greatest(F.ceil(F.col("length") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_VALUES)).cast("int")
-    dealt = (
-        listed.join(_mixed(listed).withColumn("blocks", blocks), "token")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "root", "n")
-    )
-    filled = dealt.join(reps.select("id", "sig"), "id").join(bodies, "id")
+    lists = hot.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 AS int))")).alias("posted"))
+    filled = _dealt(hot).join(lists, "id").join(reps.select("id", "sig"), "id").join(bodies, "id")
     return few.union(filled.groupBy("token", "low", "high").applyInArrow(_compare_block, "a long, b long"))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+def _nodes(df: DataFrame, id_col: str, text_col: str):
+    """All rows with their node, the nodes to compare and the full sets, equal rows confirmed.
 
-    ``component_id`` is the smallest id reachable over links. Rows without words or
-    text (nulls, empty texts) have no shingles and are linked with nothing. Rows
-    with equal sets are one class and are linked; repeated rows with one id carry
-    the same marks. Rows with a null id are left unlinked: their component is null
-    and they are kept. An empty table gives an empty result; extra columns are not read.
+    Should different sets have one digest, the digests are drawn anew.
     """
-    signed = durable(signatures(df, id_col, text_col))
-    key = ["n", "d1", "d2"]
-    alike = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = durable(alike.filter("copies > 1").drop("copies"))
-    classed = signed.join(copies, key, "left")
-    members = durable(classed.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
-    reps = durable(classed.filter("n > 0 AND id IS NOT NULL AND (rep IS NULL OR rep = id)").select("id", "n", "sig").dropDuplicates(["id"]))
-
-    posted = durable(postings(reps))
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").select("token")
-    wanted = posted.join(lists, "token", "left_semi").select("id").distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    bodies = durable(texts.mapInArrow(_full_sets, "id long, body binary").dropDuplicates(["id"]))
-
+    for seed in count():
+        signed = durable(signatures(df, id_col, text_col, seed))
+        full = signed.filter("n > 0")
+        reps = durable(full.select(F.col("node").alias("id"), "n", "sig").dropDuplicates(["id"]))
+        posted = durable(postings(reps))
+        lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1").select("token")
+        repeated = full.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("node")
+        wanted = posted.join(lists, "token", "left_semi").select(F.col("id").alias("node")).union(repeated).distinct()
+        asked = full.filter("id IS NOT NULL").join(wanted, "node", "left_semi").select("id").distinct()
+        texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        texts = texts.join(asked, "id", "left_semi").union(texts.filter("id IS NULL"))
+        bodies = durable(texts.mapInArrow(_full_sets(seed), "id long, body binary").distinct())
+        if bodies.groupBy("id").count().filter("count > 1").isEmpty():
+            return signed, reps, posted, bodies
+
+
+def _groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, tag, node, n; marks: node, root, first) where marks has the nodes that hold or meet several rows.
+
+    ``first`` is the group's row that stays: the smallest id, of rows that repeat it the
+    smallest tag; rows without an id come last.
+    """
+    signed, reps, posted, bodies = _nodes(df, id_col, text_col)
     now = posted.withColumn("root", F.col("id"))
     tested = durable(_colliding(_ordered(_led(now)), reps))
     links = durable(_links(tested, bodies))
@@ -285,15 +312,50 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = durable(_rest(now, reps, bodies, tested))
     if not found.isEmpty():
         roots = components(links.union(found))
-    out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
-    kept = F.col("id").isNull() | (F.col("id") == F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    rows = signed.select("id", "tag", "node", "n")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tag")
+    each = rows.filter("n > 0").groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
+    linked = durable(each.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    groups = linked.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
+    return rows, durable(linked.select("node", "root").join(groups, "root"))
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+
+    ``component_id`` is the smallest id reachable over links. Rows without words or
+    text (nulls, empty texts) have no shingles and are linked with nothing. Rows with
+    equal sets are linked; repeated rows carry the same marks, and rows that repeat an id
+    with another text are linked by their texts like others. Rows without an id are
+    linked too; they are kept only where their whole group has no id, and the component
+    is null there. An empty table gives an empty result; extra columns are not read.
+    """
+    rows, marks = _groups(df, id_col, text_col)
+    out = rows.join(marks.select("node", F.lit(True).alias("grouped"), F.col("first.id").alias("least")), "node", "left")
+    component = F.when(F.col("grouped") & (F.col("n") > 0), F.col("least")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` of which each group of near copies keeps one, with all its columns."""
-    dropped = near_dedup(df, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return df.join(dropped, F.col(f"`{id_col}`") == F.col("_dropped"), "left_anti")
+    """The rows of ``df`` of which each group of near copies keeps exactly one, with all its columns.
+
+    It is the row with the smallest id, of rows that repeat it the one whose text has the
+    smallest hash, of equal ones the one whose whole row has the largest hash. Rows without
+    words stay. Columns of any name are kept as they are.
+    """
+    rows, marks = _groups(df, id_col, text_col)
+    grouped = rows.filter("n > 0").join(marks, "node")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tag") == F.col("first.tag"))
+    dropped = grouped.filter(~stays).select(F.col("id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    again = durable(grouped.filter(stays).groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).count().filter("count > 1").drop("count"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    tagged = df.select(whole.alias("_row"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(text_col).alias("_t"))
+    same = F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tag"))
+    kept = tagged.join(dropped, same, "left_anti")
+    if not again.isEmpty():  # the row that stays is written several times
+        one = kept.join(again, same, "left_semi").groupBy("_i", "_t").agg(F.max_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+        kept = kept.join(again, same, "left_anti").select("_row").union(one.select("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def op7(spark, sf_dir):

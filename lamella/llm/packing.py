@@ -11,8 +11,10 @@ cluster, nor already hold ``PER_SOURCE`` pieces of the same source.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def best_fit(pieces, capacity: int = CAPACITY, per_source: int = PER_SOURCE) ->
     bit s of ``sources[b][p]`` that it holds more than p pieces of source s. Clusters
     that occur once cannot conflict and get no bit.
     """
-    count = pd.Series([c for _, _, c in pieces]).value_counts()
-    bit = {c: i for i, c in enumerate(count.index[count > 1])}
+    count = Counter(c for _, _, c in pieces)
+    bit = {c: i for i, c in enumerate(c for c, n in count.items() if n > 1)}
     source_bit: dict = {}
     order: list[tuple[int, int]] = []  # (residual, bin)
     clusters: list[int] = []
@@ -61,13 +63,18 @@ def best_fit(pieces, capacity: int = CAPACITY, per_source: int = PER_SOURCE) ->
     return out
 
 
-def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["n_words", "doc_id", "copy"], ascending=[False, True, True], na_position="first")
-    placed = best_fit(list(zip(pdf["n_words"].tolist(), pdf["source"].tolist(), pdf["cluster"].tolist())))
-    group = int(pdf["group"].iloc[0])
-    return pdf[["doc_id", "copy", "piece", "first_word", "n_words"]].assign(
-        bin_id=[f"g{group}-{b}" for b, _ in placed], bin_start=[start for _, start in placed]
-    )
+_PIECE = "doc_id long, copy int, piece long, first_word long, n_words long, bin_id string, bin_start long"
+
+
+def _pack_group(table: pa.Table) -> pa.Table:
+    """Arrow keeps the ids as they are: 64-bit and null."""
+    order = pc.sort_indices(table, [("n_words", "descending"), ("doc_id", "ascending"), ("copy", "ascending"), ("cluster", "ascending")], null_placement="at_start")
+    table = table.take(order)
+    placed = best_fit(list(zip(*(table.column(c).to_pylist() for c in ("n_words", "source", "cluster")))))
+    group = table.column("group")[0].as_py() if table.num_rows else 0
+    bins = [pa.array([f"g{group}-{b}" for b, _ in placed], pa.string()), pa.array([start for _, start in placed], pa.int64())]
+    columns = ["doc_id", "copy", "piece", "first_word", "n_words"]
+    return pa.table([*(table.column(c) for c in columns), *bins], names=[*columns, "bin_id", "bin_start"])
 
 
 def packing(df: DataFrame, id_col="doc_id", text_col="text", source_col="source", cluster=None, capacity: int = CAPACITY) -> DataFrame:
@@ -77,8 +84,9 @@ def packing(df: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     rest, so every word of every text is in one bin. ``cluster`` names the column of
     duplicate clusters; by default equal texts are one cluster. Null texts and texts
     without words need no space and have no row. The null source is a source of its
-    own. Rows repeated in full are counted once and numbered by ``copy``, so a document
-    repeated very often is still dealt over all groups. An empty table gives an empty
+    own; rows without an id are packed like others. Rows repeated in full are counted
+    once and numbered by ``copy``, so a document repeated very often is still dealt over
+    all groups; rows that repeat an id with another text are documents of their own. An empty table gives an empty
     result; extra columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -101,8 +109,7 @@ def packing(df: DataFrame, id_col="doc_id", text_col="text", source_col="source"
         F.expr(f"size % {capacity}").alias("n_words"), "source", "cluster",
         F.pmod(F.xxhash64("doc_id", "copy", "cluster"), F.lit(groups)).cast("int").alias("group"),
     )
-    schema = "doc_id long, copy int, piece long, first_word long, n_words long, bin_id string, bin_start long"
-    return alone.unionByName(rest.groupBy("group").applyInPandas(_pack_group, schema))
+    return alone.unionByName(rest.groupBy("group").applyInArrow(_pack_group, _PIECE))
 
 
 def op2(spark, sf_dir):

@@ -39,7 +39,20 @@ def test_kept_rows_have_all_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5]
 
 
+def test_one_row_a_text_stays(spark):
+    """Rows written twice and equal texts without ids leave one row each."""
+    docs = [(3, "a", "x", "", 1), (3, "a", "x", "", 1), (3, "a", "y", "", 1), (None, "b", "x", "", 1), (None, "b", "x", "", 2), (None, None, "", "", 1), (None, "", "", "", 1), (4, "c", "", "", 0)]
+    kept = drop_exact_copies(spark.createDataFrame(docs, SCHEMA).repartition(3))
+    assert sorted((r.text or "") for r in kept.collect()) == ["", "a", "b", "c"]
+    assert drop_exact_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+    clash = spark.createDataFrame([(1, "a", 1, 2), (2, "a", 1, 3)], "doc_id long, text string, _row int, keep_id int")
+    assert [tuple(r) for r in drop_exact_copies(clash).collect()] == [(2, "a", 1, 3)]
+
+
 def test_plan_is_native(spark):
     df = spark.createDataFrame(rows([(1, "a")]), SCHEMA)
+    for out in (exact_dedup(df), drop_exact_copies(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     plan = exact_dedup(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from lamella.llm.mixing import CAP, mix, mixing, targets
-from lamella.llm.packing import best_fit, packing
+from lamella.llm.packing import PER_SOURCE, best_fit, packing
 
 SCHEMA = "doc_id long, text string, source string, size string, copies int"
 
@@ -109,5 +109,23 @@ def test_packing_holds_every_word_and_keeps_its_rules(spark):
     assert {r.doc_id for r in out} == {i for i, t, _ in docs if words(t)}
 
 
+def test_packing_keeps_ids_and_limits(spark):
+    """64-bit ids beside a null one come back unchanged; no bin holds two equal texts or more than PER_SOURCE pieces of a source."""
+    big = [(2**60 + k, f"w{k} " * (50 + k), "s0") for k in range(40)] + [(None, "w a b", "s1"), (None, "w a b", None)]
+    big += [(k, "the same text again", f"s{k % 7}") for k in range(30)] + [(99, "v " * 5000, "s2")]
+    out = packing(table(spark, big)).collect()
+    assert {r.doc_id for r in out} == {i for i, _, _ in big}
+    text = {}
+    for i, t, s in big:
+        text.setdefault((i, len(t.split()) if i != 99 else None), (t, s))
+    bins = defaultdict(list)
+    for r in out:
+        if r.doc_id is not None and r.doc_id != 99:
+            bins[r.bin_id].append(text[(r.doc_id, r.n_words)])
+    for own in bins.values():
+        assert len({t for t, _ in own}) == len(own)
+        assert max(Counter(s for _, s in own).values()) <= PER_SOURCE
+
+
 def test_packing_empty_table(spark):
     assert packing(table(spark, [])).count() == 0
