@@ -1,4 +1,4 @@
-"""Words of Arrow text columns as 64-bit hashes, computed with numpy over the UTF-8 bytes.
+"""Words and lines of Arrow text columns as 64-bit hashes, computed with numpy over the UTF-8 bytes.
 
 A word is a maximal run of bytes outside space, tab, LF, VT, FF and CR; A-Z are
 lower-cased. Equal words have equal hashes; different ones collide with
@@ -106,3 +106,63 @@ def word_hashes(column: pa.Array, letters: np.ndarray = _LOWER):
             words = np.concatenate(parts)
             yield row, end, words, np.array([0, len(words)])
         row = end
+
+
+def _line_segment(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, begin, end, words, lines before each row) of the lines of whole rows; a row has a line more than line feeds."""
+    n = len(raw)
+    feeds = np.flatnonzero(raw == 10)
+    ends = np.concatenate([feeds, offsets[1:]])
+    # A row ends before a line feed at the same place, which belongs to the next row.
+    order = np.argsort(np.concatenate([2 * feeds + 1, 2 * offsets[1:]]), kind="stable")
+    end = ends[order]
+    closes = order >= len(feeds)
+    begin = np.empty(len(end), np.int64)
+    begin[0] = 0
+    begin[1:] = np.where(closes[:-1], end[:-1], end[:-1] + 1)
+    before = np.append(0, np.flatnonzero(closes) + 1)
+    up, down = power_table(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    space = _SPACE[raw]
+    starts = np.zeros(n + 1, np.int64)
+    if n:
+        first = ~space
+        first[1:] &= space[:-1]
+        first[offsets[(offsets > 0) & (offsets < n)]] = ~space[offsets[(offsets > 0) & (offsets < n)]]
+        np.cumsum(first, out=starts[1:])
+    return hashes, begin, end, starts[end] - starts[begin], before
+
+
+def line_hashes(column: pa.Array):
+    """Yield (first row, end row, bytes, line hashes, begins, ends, words, lines before each row) over a text column.
+
+    Begins and ends are places in the bytes, which hold the rows of the segment. A single long
+    text is hashed by parts of whole lines.
+    """
+    raw, offsets = buffers(column)
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SEGMENT, side="right")) - 1)
+        end = min(end, rows)
+        lo, hi = int(offsets[row]), int(offsets[end])
+        if hi - lo <= SEGMENT:
+            yield (row, end, raw[lo:hi], *_line_segment(raw[lo:hi], offsets[row : end + 1] - lo))
+        else:  # a single long text
+            parts, at = [], lo
+            while at < hi:
+                stop = at + SEGMENT
+                feeds = np.flatnonzero(raw[at:stop] == 10)
+                while stop < hi and not len(feeds):  # one very long line
+                    at_next = stop
+                    stop += SEGMENT
+                    feeds = np.flatnonzero(raw[at_next:stop] == 10) + (at_next - at)
+                stop = hi if stop >= hi else at + int(feeds[-1]) + 1
+                h, begin, line_end, words, _ = _line_segment(raw[at:stop], np.array([0, stop - at]))
+                last = len(h) - (stop < hi)  # the empty line after the last feed goes on in the next part
+                parts.append([h[:last], begin[:last] + (at - lo), line_end[:last] + (at - lo), words[:last]])
+                at = stop
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            yield row, end, raw[lo:hi], *columns, np.array([0, len(columns[0])])
+        row = end

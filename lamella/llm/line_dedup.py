@@ -7,6 +7,9 @@ A chunk of several lines and at least ``MIN_WORDS`` words that occurs more than
 the corpus is removed everywhere but in its first place. Occurrences are grouped by
 digest and by the chunk's whole bytes, so only equal bytes count as a repetition.
 
+A row is known by its id and the hash of its text: rows that repeat both are one document,
+rows that repeat an id with another text are documents of their own.
+
 Besides, each run of ``PASSAGE`` words that occurs more than once is removed but for its
 first place, wherever lines and chunks begin. Every such run is found: the least hash among
 its runs of ``ANCHOR`` words depends on its words alone, so equal runs have equal anchors.
@@ -18,17 +21,16 @@ the runs of the first of each are grouped one by one, as they can be equal in pa
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm._shared import bounded_batches, durable, read
-from lamella.llm._words import EXACT, mix, power_table, word_hashes
+from lamella.llm._words import EXACT, line_hashes, mix, power_table, word_hashes
 
 WINDOW = 2
 DIVISOR = 3
@@ -39,41 +41,59 @@ ANCHOR = 25
 FILTER_BITS = 1 << 27  # a fuller filter lets more through to the grouping, it loses nothing
 BLOCK_BITS = 1 << 16
 
+_PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the rolling hash, one a line of the window
 _WORD = re.compile(r"[^ \t\n\v\f\r]+")  # words as in _words
 
 
-def chunks(text: str) -> list[list[str]]:
-    """The lines of a text, cut by content."""
-    out, part, recent = [], [], [0] * WINDOW
-    for line in text.split("\n"):
-        part.append(line)
-        recent = [*recent[1:], zlib.crc32(line.encode("utf-8", "surrogatepass"))]
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * 0x9E3779B1 + h) & 0xFFFFFFFF
-        if (rolled >> 7) % DIVISOR == 0:
-            out.append(part)
-            part = []
-    if part:
-        out.append(part)
-    return out
-
-
-def _removable(chunk: list[str]) -> bool:
-    return len(chunk) >= MIN_LINES and sum(len(x.split()) for x in chunk) >= MIN_WORDS
+def _chunk_lines(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, end line) of the chunks of whole rows; ``before`` are the lines before each row."""
+    starts = before[:-1]
+    rolled = np.zeros(len(hashes), np.uint64)
+    last = hashes
+    for k in range(WINDOW):  # the line k places back, 0 before the row's first line
+        rolled = rolled + last * np.uint64(_PLACES[k])
+        last = np.append(np.uint64(0), last[:-1])
+        last[starts] = 0
+    cut = mix(rolled) % np.uint64(DIVISOR) == 0
+    cut[before[1:] - 1] = True
+    end = np.flatnonzero(cut) + 1
+    return np.append(0, end[:-1]), end
+
+
+class _Chunks:
+    """The chunks of whole rows: row, place in the row, byte span, lines, words and key of each."""
+
+    def __init__(self, hashes, begins, ends, words, before):
+        self.first, self.end = _chunk_lines(hashes, before)
+        self.row = np.searchsorted(before, self.first, side="right") - 1
+        self.before = np.searchsorted(self.row, np.arange(len(before)))
+        self.place = np.arange(len(self.row)) - self.before[self.row]
+        self.begins, self.ends = begins[self.first], ends[self.end - 1]
+        self.lines = self.end - self.first
+        total = np.append(0, np.cumsum(words))
+        self.words = total[self.end] - total[self.first]
+        self.removable = (self.lines >= MIN_LINES) & (self.words >= MIN_WORDS)
+        self.key = _hash(hashes, self.first, self.end)
+
+    def distinct(self) -> np.ndarray:
+        """Removable chunks, of equal keys in one row the first."""
+        own = np.flatnonzero(self.removable)
+        order = own[np.lexsort((own, self.key[own], self.row[own]))]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (self.key[order][1:] != self.key[order][:-1]) | (self.row[order][1:] != self.row[order][:-1])
+        return np.sort(order[fresh])
+
+
+def _chunked(column: pa.Array):
+    """(first row, end row, bytes, lines before each row, chunks) over a text column."""
+    for first, end, raw, hashes, begins, ends, words, before in line_hashes(column):
+        yield first, end, raw, before, _Chunks(hashes, begins, ends, words, before)
 
 
-def _key(body: str) -> int:
-    return int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def _removable_chunks(text: str):
-    """(place, body) of the removable chunks, each once a document."""
-    seen = set()
-    for place, chunk in enumerate(chunks(text)):
-        if _removable(chunk) and (body := "\n".join(chunk)) not in seen:
-            seen.add(body)
-            yield place, body
+def chunks(text: str) -> list[list[str]]:
+    """The lines of a text, cut by content."""
+    lines = text.split("\n")
+    return [lines[a:b] for _, _, _, _, c in _chunked(pa.array([text])) for a, b in zip(c.first, c.end)]
 
 
 def _hash(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -108,10 +128,12 @@ def _segments(words: np.ndarray, offsets: np.ndarray):
 
 
 def _units(batches):
-    """Keys of all anchors and removable chunks."""
+    """Keys of all anchors and removable chunks, a chunk once a row."""
     for batch in batches:
-        found = [np.array([_key(body) for text in batch.column(1) for _, body in _removable_chunks(text.as_py() or "")], np.uint64)]
-        for _, _, words, offsets in word_hashes(batch.column(1), EXACT):
+        found = [np.zeros(0, np.uint64)]
+        for _, _, _, _, c in _chunked(batch.column(0)):
+            found.append(c.key[c.distinct()])
+        for _, _, words, offsets in word_hashes(batch.column(0), EXACT):
             found.append(_segments(words, offsets)[0])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
@@ -143,55 +165,59 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _tags(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return mix(mix(ids.view(np.uint64)) + places.view(np.uint64))
+def _tags(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return mix(mix(rows.view(np.uint64)) + places.view(np.uint64))
+
+
+_FOUND = "doc_id long, row long, place long, body string, anchor long, n long, a long, b long, tag long"
 
 
 def _emit(shared):
-    """What passes the filter: (doc_id, place, body) of chunks, (doc_id, place, anchor, n, a, b, tag) of segments."""
+    """What passes the filter: (doc_id, row, place, body) of chunks, (doc_id, row, place, anchor, n, a, b, tag) of segments."""
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
-        names = ["doc_id", "place", "body", "anchor", "n", "a", "b", "tag"]
+        names = ["doc_id", "row", "place", "body", "anchor", "n", "a", "b", "tag"]
         for batch in batches:
-            ids, places, bodies, rows = batch.column(0), [], [], []
-            for row, text in enumerate(batch.column(1)):
-                for place, body in _removable_chunks(text.as_py() or ""):
-                    if _passes(bits, np.array([_key(body)], np.uint64))[0]:
-                        rows.append(row), places.append(place), bodies.append(body)
-            nothing = [pa.nulls(len(rows), pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(places, pa.int64()), pa.array(bodies, pa.string()), *nothing], names)
-            ids = ids.to_numpy()
-            for first, _, words, offsets in word_hashes(batch.column(1), EXACT):
+            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, _, raw, _, c in _chunked(batch.column(2)):
+                use = c.distinct()
+                use = use[_passes(bits, c.key[use])]
+                if len(use):
+                    at = first + c.row[use]
+                    bodies = pa.array([raw[a:b].tobytes() for a, b in zip(c.begins[use], c.ends[use])], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(rows[at]), pa.array(c.place[use]), bodies, *[pa.nulls(len(use), pa.int64())] * 5], names)
+            for first, _, words, offsets in word_hashes(batch.column(2), EXACT):
                 anchor, row, place, start, n = _segments(words, offsets)
                 use = _passes(bits, anchor)
                 anchor, row, place, start, n = (x[use] for x in (anchor, row, place, start, n))
                 if len(row):
                     a, b = _lanes(words, start, start + n + PASSAGE - 1)
-                    own = ids[first + row]
+                    own = rows[first + row]
                     columns = [anchor.view(np.int64), n, a.view(np.int64), b.view(np.int64), _tags(own, place).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(place), pa.nulls(len(row), pa.string()), *map(pa.array, columns)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + row]), pa.array(own), pa.array(place), pa.nulls(len(row), pa.string()), *map(pa.array, columns)], names)
 
     return run
 
 
 def _emit_passages(shared):
-    """(doc_id, place, a, b) of the single passages of the segments whose tags pass the filter."""
+    """(doc_id, row, place, a, b) of the single passages of the segments whose rows and tags pass the filter."""
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, _, words, offsets in word_hashes(batch.column(1), EXACT):
+            batch = batch.filter(pa.array(_passes(bits, batch.column(1).to_numpy().view(np.uint64))))
+            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, _, words, offsets in word_hashes(batch.column(2), EXACT):
                 _, row, place, start, n = _segments(words, offsets)
-                use = _passes(bits, _tags(ids[first + row], place))
+                use = _passes(bits, _tags(rows[first + row], place))
                 row, place, start, n = (x[use] for x in (row, place, start, n))
                 if len(row):
                     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     begin = np.repeat(start, n) + step
                     a, b = _lanes(words, begin, begin + PASSAGE)
-                    columns = [np.repeat(ids[first + row], n), np.repeat(place, n) + step, a.view(np.int64), b.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "place", "a", "b"])
+                    columns = [np.repeat(ids[first + row], n), np.repeat(rows[first + row], n), np.repeat(place, n) + step, a.view(np.int64), b.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "row", "place", "a", "b"])
 
     return run
 
@@ -218,89 +244,121 @@ def _without(line: str, words: list[tuple[int, int]], gone: bytearray) -> str:
     return "".join([*out, line[at:]])
 
 
+def _cleaned(text: str, spans: list[list[str]], drops: list[tuple[int, int]], named: bool) -> tuple[int, str]:
+    """(lines gone whole, text) without the chunks and words at the given places and without repetitions inside the text."""
+    drop, gaps = {begin for begin, end in drops if end is None}, [d for d in drops if d[1] is not None]
+    if not named:
+        gaps = _inside(text)
+    marked = bytearray(len(text) // 2 + 2) if gaps else None
+    for begin, end in gaps:
+        marked[begin:end] = b"\1" * (end - begin)
+    seen, kept, removed, word = set(), [], 0, 0
+    for place, (chunk, removable) in enumerate(spans):
+        repeated = False
+        if removable:
+            body = "\n".join(chunk)
+            repeated = body in seen
+            seen.add(body)
+        if marked is None:
+            if repeated or place in drop:
+                removed += len(chunk)
+            else:
+                kept.extend(chunk)
+            continue
+        for line in chunk:
+            words = [m.span() for m in _WORD.finditer(line)]
+            flags = marked[word : word + len(words)]
+            inner = not words and word and marked[word - 1] and marked[word]
+            word += len(words)
+            if repeated or place in drop or inner or (words and all(flags)):
+                removed += 1
+            else:
+                kept.append(_without(line, words, flags) if any(flags) else line)
+    return removed, "\n".join(kept)
+
+
 def _clean(batches):
-    """Texts without the chunks and words at the given places and without repetitions inside the document."""
+    """``doc_id, n_lines, n_removed, text`` of (doc_id, text, drops); only rows with something to remove are taken apart."""
     for batch in batches:
-        n, gone, text_out = [], [], []
-        for doc_id, text, drops in zip(batch.column(0), batch.column(1), batch.column(2)):
-            text, drops = text.as_py() or "", [(d["begin"], d["end"]) for d in drops.as_py() or ()]
-            drop, spans = {begin for begin, end in drops if end is None}, [d for d in drops if d[1] is not None]
-            if not doc_id.is_valid:
-                spans = _inside(text)
-            marked = bytearray(len(text) // 2 + 2) if spans else None
-            for begin, end in spans:
-                marked[begin:end] = b"\1" * (end - begin)
-            seen, kept, lines, removed, word = set(), [], 0, 0, 0
-            for place, chunk in enumerate(chunks(text)):
-                lines += len(chunk)
-                repeated = False
-                if _removable(chunk):
-                    body = "\n".join(chunk)
-                    repeated = body in seen
-                    seen.add(body)
-                if marked is None:
-                    if repeated or place in drop:
-                        removed += len(chunk)
-                    else:
-                        kept.extend(chunk)
-                    continue
-                for line in chunk:
-                    words = [m.span() for m in _WORD.finditer(line)]
-                    flags = marked[word : word + len(words)]
-                    inner = not words and word and marked[word - 1] and marked[word]
-                    word += len(words)
-                    if repeated or place in drop or inner or (words and all(flags)):
-                        removed += 1
-                    else:
-                        kept.append(_without(line, words, flags) if any(flags) else line)
-            n.append(lines), gone.append(removed), text_out.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text_out, pa.string())],
-            ["doc_id", "n_lines", "n_removed", "text"],
-        )
+        ids, texts, drops = batch.column(0), batch.column(1), batch.column(2)
+        asked = drops.is_valid().to_numpy(zero_copy_only=False)
+        named = ids.is_valid().to_numpy(zero_copy_only=False)
+        n, gone, out = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+        for first, end, _, before, c in _chunked(texts):
+            n[first:end] = np.diff(before)
+            own = c.removable
+            repeats = np.bincount(c.row[own], minlength=end - first) > np.bincount(c.row[c.distinct()], minlength=end - first)
+            for i in np.flatnonzero(repeats | asked[first:end] | ~named[first:end]):
+                text, row = texts[first + i].as_py() or "", range(c.before[i], c.before[i + 1])
+                lines = text.split("\n")
+                spans = [(lines[c.first[k] - before[i] : c.end[k] - before[i]], c.removable[k]) for k in row]
+                places = [(d["begin"], d["end"]) for d in drops[first + i].as_py() or ()]
+                gone[first + i], out[first + i] = _cleaned(text, spans, places, named[first + i])
+        text = pc.coalesce(pa.array(out, pa.string()), texts.cast(pa.string()), pa.scalar(""))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(gone), text], ["doc_id", "n_lines", "n_removed", "text"])
+
+
+def _of_rows(shared, passing: bool):
+    """The rows that pass the filter, or those that do not."""
+
+    def run(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(bits, batch.column(1).to_numpy().view(np.uint64)) == passing))
+
+    return run
 
 
 def _after_first(places: DataFrame, firsts: DataFrame, key: list[str], n) -> DataFrame:
-    """(doc_id, begin, end): words of the ``n`` passages at each place but the first; what overlaps the first stays."""
-    other = places.join(firsts, key).filter("doc_id <> f.doc_id OR place <> f.place")
-    begin = F.when(F.col("doc_id") == F.col("f.doc_id"), F.greatest("place", F.col("f.place") + n + PASSAGE - 1)).otherwise(F.col("place"))
-    return other.select("doc_id", begin.alias("begin"), (F.col("place") + n + PASSAGE - 1).alias("end"))
+    """(doc_id, row, begin, end): words of the ``n`` passages at each place but the first; what overlaps the first stays."""
+    other = places.join(firsts, key).filter("row <> f.row OR place <> f.place")
+    begin = F.when(F.col("row") == F.col("f.row"), F.greatest("place", F.col("f.place") + n + PASSAGE - 1)).otherwise(F.col("place"))
+    return other.select("row", begin.alias("begin"), (F.col("place") + n + PASSAGE - 1).alias("end"))
 
 
 def line_dedup(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per input row: ``doc_id, n_lines, n_removed, text`` with repeated chunks and passages removed.
 
-    The first place of a chunk or passage is the one in the document with the smallest id,
-    there the topmost. ``n_removed`` counts lines that are gone whole; of other lines the
-    words of a passage are cut out. Null texts count as empty (one empty line). Rows without
-    an id take no part and come back whole, but for repetitions inside them. Rows that repeat
-    an id are one document. An empty table gives an empty result; extra columns are not read.
+    The first place of a chunk or passage is the one in the document with the smallest id
+    (of rows that repeat it, the one with the smallest hash), there the topmost.
+    ``n_removed`` counts lines that are gone whole; of other lines the words of a passage
+    are cut out. Null texts count as empty (one empty line). Rows without an id take no
+    part and come back whole, but for repetitions inside them. Rows that repeat an id and
+    text are one document; with another text they are documents of their own. An empty
+    table gives an empty result; extra columns are not read.
     """
     bounded_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     named = rows.filter("doc_id IS NOT NULL")
-    repeated = named.mapInArrow(_units, "key long").groupBy("key").count().filter("count > 1")
-    found = durable(named.mapInArrow(_emit(_filter(repeated)), "doc_id long, place long, body string, anchor long, n long, a long, b long, tag long"))
+    repeated = named.select("text").mapInArrow(_units, "key long").groupBy("key").count().filter("count > 1")
+    found = durable(named.mapInArrow(_emit(_filter(repeated)), _FOUND))
 
-    placed = found.filter("body IS NOT NULL").select("doc_id", "place", "body")
+    # Chunks: grouped by digest and whole bytes; a copy in any row but the first goes.
+    placed = found.filter("body IS NOT NULL").select("doc_id", "row", "place", "body")
     key = [F.sha2("body", 256).alias("sha"), F.octet_length("body").alias("size"), F.xxhash64("body").alias("xx")]
-    groups = placed.groupBy(F.unhex(F.sha2("body", 256)).alias("digest"), "body").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    repeated = groups.filter("first < last").select(*key, "first")
-    hits = placed.select("doc_id", "place", *key).join(repeated, ["sha", "size", "xx"]).filter("doc_id <> first")
-    hits = hits.select("doc_id", F.col("place").alias("begin"), F.lit(None).cast("long").alias("end"))
-
-    segments = found.filter("body IS NULL").select("doc_id", "place", "anchor", "n", "a", "b", "tag")
-    kinds = durable(segments.groupBy("anchor", "n", "a", "b").agg(F.min(F.struct("doc_id", "place", "tag")).alias("f"), F.count(F.lit(1)).alias("times")))
+    whose = F.struct("doc_id", "row")
+    groups = placed.groupBy(F.unhex(F.sha2("body", 256)).alias("digest"), "body").agg(F.min(whose).alias("first"), F.max(whose).alias("last"))
+    repeated = groups.filter("first <> last").select(*key, F.col("first.row").alias("first"))
+    hits = placed.select("row", "place", *key).join(repeated, ["sha", "size", "xx"]).filter("row <> first")
+    hits = hits.select("row", F.col("place").alias("begin"), F.lit(None).cast("long").alias("end"))
+
+    segments = found.filter("body IS NULL").select("doc_id", "row", "place", "anchor", "n", "a", "b", "tag")
+    kinds = durable(segments.groupBy("anchor", "n", "a", "b").agg(F.min(F.struct("doc_id", "row", "place", "tag")).alias("f"), F.count(F.lit(1)).alias("times")))
     again = _after_first(segments, kinds.filter("times > 1").drop("times"), ["anchor", "n", "a", "b"], F.col("n"))
 
     several = kinds.groupBy("anchor").count().filter("count > 1")
-    partly = kinds.join(several, "anchor").select(F.col("f.tag").alias("key"))
-    passages = durable(named.mapInArrow(_emit_passages(_filter(partly)), "doc_id long, place long, a long, b long"))
-    firsts = passages.groupBy("a", "b").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    partly = kinds.join(several, "anchor").select(F.explode(F.array("f.tag", "f.row")).alias("key"))
+    passages = durable(named.mapInArrow(_emit_passages(_filter(partly)), "doc_id long, row long, place long, a long, b long"))
+    firsts = passages.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "place")).alias("f"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     again = again.union(_after_first(passages, firsts, ["a", "b"], F.lit(1)))
 
-    drops = hits.union(again).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("drops"))
-    return rows.join(drops, "doc_id", "left").select("doc_id", "text", "drops").mapInArrow(_clean, "doc_id long, n_lines long, n_removed long, text string")
+    drops = durable(hits.union(again).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("drops")))
+    # Only rows with something to drop (and a few by chance) are shuffled to meet it.
+    touched = _filter(drops.select(F.col("row").alias("key")))
+    schema = "doc_id long, row long, text string"
+    apart = rows.mapInArrow(_of_rows(touched, False), schema).select("doc_id", "text", F.lit(None).cast(drops.schema["drops"].dataType).alias("drops"))
+    met = rows.mapInArrow(_of_rows(touched, True), schema).join(drops, "row", "left").select("doc_id", "text", "drops")
+    return apart.union(met).mapInArrow(_clean, "doc_id long, n_lines long, n_removed long, text string")
 
 
 def op10(spark, sf_dir):
