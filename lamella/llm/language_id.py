@@ -1,49 +1,82 @@
 """Language identification with interpolated Kneser-Ney character trigram models.
 
-Fitting takes about ``SAMPLE_PER_LANG`` labelled rows per language, chosen by id
-hash, and leaves out those of over ``SAMPLE_CHARS`` characters; counts are made in Spark and one model per language is kept as sorted
-hash arrays of n-grams with their interpolated probabilities. The model's size is
-bounded by those two parameters, so it travels with the scoring tasks.
-
-Scoring reads every whole text. A worker looks an n-gram up in the sorted arrays the
-first time it meets it and remembers the row of scores.
+Fitting takes about ``SAMPLE_PER_LANG`` labelled rows per language, whole texts of any length,
+chosen by id hash; trigrams are counted in Spark. One model per language is kept as sorted
+hash arrays of n-grams with their interpolated probabilities. The alphabet is open: every
+letter is a symbol of its own. A model's size follows the distinct n-grams of its sample, so
+it travels with the scoring tasks; languages beyond ``LANGS_AT_ONCE`` are scored in further passes.
+
+Scoring reads every whole text. A worker looks an n-gram up in the sorted arrays when it
+meets it and remembers its scores in a table of fixed size.
+
+Rejection is calibrated: the cross-entropy of held-back sample texts and of their windows of
+2^k symbols gives mean and deviation by length for each language, and ``FALSE_REJECT`` the
+quantile of the standardised values above which a text is no text of that language.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm._shared import bounded_batches, durable, read
+from lamella.llm._shared import bounded_batches, durable, positional, read
 
 SAMPLE_PER_LANG = 400
-SAMPLE_CHARS = 20_000
-MAX_LANGS = 1000
-SYMBOLS = 250  # alphabet kept per model; the rest is one symbol
+LANGS_AT_ONCE = 64
 DISCOUNT = 0.75
 CALIBRATION_SHARE = 4  # one row in so many of the sample calibrates the rejection
-REJECT_SIGMAS = 8.0
+FALSE_REJECT = 1e-4  # share of a language's own texts that the limits may reject
+WINDOWS = range(3, 13)  # lengths 2^k at which the cross-entropy's spread is measured
 TEMPERATURE = 8.0
 
-_SPACE, _OTHER = 1, 2  # symbols of anything that is no letter, and of letters outside the alphabet
+_SPACE = 0  # anything that is no letter
+_POINTS = 0x110000
 CHUNK = 1 << 18
+CACHE = 1 << 18
+
+
+def _letters() -> np.ndarray:
+    """Symbol of every code point: itself if it is a letter, else a space."""
+    table = np.arange(_POINTS, dtype=np.uint64)
+    table[[i for i in range(_POINTS) if not chr(i).isalpha()]] = _SPACE
+    return table
 
 
-def _codes(text: str, alphabet: np.ndarray) -> np.ndarray:
-    """Symbols of a text with runs of non-letters as one space, framed by spaces."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    symbols = alphabet[points]
-    keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] != _SPACE) | (symbols[:-1] != _SPACE)
-    return np.concatenate([[_SPACE], symbols[keep], [_SPACE]]).astype(np.uint32)
+def _symbols(text: str, letters: np.ndarray):
+    """Symbols of a text, a CHUNK at a time, with runs of non-letters as one space, framed by spaces."""
+    yield np.zeros(1, np.uint64)
+    last = _SPACE
+    for at in range(0, len(text), CHUNK):
+        points = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        symbols = letters[points]
+        keep = np.ones(len(symbols), bool)
+        keep[0] = symbols[0] != _SPACE or last != _SPACE
+        keep[1:] = (symbols[1:] != _SPACE) | (symbols[:-1] != _SPACE)
+        last = symbols[-1]
+        yield symbols[keep]
+    if last != _SPACE:
+        yield np.zeros(1, np.uint64)
 
 
-def _trigrams(symbols: np.ndarray) -> np.ndarray:
-    return (symbols[:-2] << 16) | (symbols[1:-1] << 8) | symbols[2:]
+_SYMBOL, _PAIR = np.uint64((1 << 21) - 1), np.uint64((1 << 42) - 1)
+_ONE, _TWO = np.uint64(21), np.uint64(42)
+
+
+def _trigrams(text: str, letters: np.ndarray):
+    """Three code points of 21 bits in one integer, for every place of the text; none if it has no letter."""
+    held = np.zeros(0, np.uint64)
+    for symbols in _symbols(text, letters):
+        held = np.concatenate([held, symbols])
+        if len(held) >= CHUNK:
+            yield (held[:-2] << _TWO) | (held[1:-1] << _ONE) | held[2:]
+            held = held[-2:]
+    if len(held) > 2:
+        yield (held[:-2] << _TWO) | (held[1:-1] << _ONE) | held[2:]
 
 
 @dataclass
@@ -58,23 +91,27 @@ class LanguageModel:
     bi_top: np.ndarray  # from continuation counts
     middle: np.ndarray
     middle_left: np.ndarray
-    uni: np.ndarray  # by symbol
+    uni: np.ndarray
+    uni_top: np.ndarray  # from continuation counts
+    base: float  # probability of any one code point, met or not
 
     @classmethod
     def fit(cls, codes: np.ndarray, counts: np.ndarray) -> LanguageModel:
         order = np.argsort(codes)
         codes, counts = codes[order], counts[order].astype(float)
-        context, start = np.unique(codes >> 8, return_index=True)
+        context, start = np.unique(codes >> _ONE, return_index=True)
         total, types = np.add.reduceat(counts, start), np.diff(np.append(start, len(codes)))
-        at = np.searchsorted(context, codes >> 8)
-        bi, cont = np.unique(codes & 0xFFFF, return_counts=True)  # distinct left neighbours
-        middle, start2 = np.unique(bi >> 8, return_index=True)
+        at = np.searchsorted(context, codes >> _ONE)
+        bi, cont = np.unique(codes & _PAIR, return_counts=True)  # distinct left neighbours
+        middle, start2 = np.unique(bi >> _ONE, return_index=True)
         total2, types2 = np.add.reduceat(cont.astype(float), start2), np.diff(np.append(start2, len(bi)))
-        at2 = np.searchsorted(middle, bi >> 8)
-        uni = np.bincount(bi & 0xFF, minlength=256) + 0.5
+        at2 = np.searchsorted(middle, bi >> _ONE)
+        uni, cont1 = np.unique(bi & _SYMBOL, return_counts=True)
+        n1 = float(cont1.sum())
         return cls(
             codes, np.maximum(counts - DISCOUNT, 0) / total[at], context, DISCOUNT * types / total,
-            bi, np.maximum(cont - DISCOUNT, 0) / total2[at2], middle, DISCOUNT * types2 / total2, uni / uni.sum(),
+            bi, np.maximum(cont - DISCOUNT, 0) / total2[at2], middle, DISCOUNT * types2 / total2,
+            uni, np.maximum(cont1 - DISCOUNT, 0) / n1, DISCOUNT * len(uni) / n1 / _POINTS,
         )
 
     @staticmethod
@@ -84,169 +121,222 @@ class LanguageModel:
 
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """-log2 of the interpolated probability of each trigram's last symbol."""
-        low = self._find(self.bi, self.bi_top, codes & 0xFFFF, 0.0)
-        low = low + self._find(self.middle, self.middle_left, (codes >> 8) & 0xFF, 1.0) * self.uni[codes & 0xFF]
+        low = self._find(self.uni, self.uni_top, codes & _SYMBOL, 0.0) + self.base
+        low = self._find(self.bi, self.bi_top, codes & _PAIR, 0.0) + self._find(self.middle, self.middle_left, (codes >> _ONE) & _SYMBOL, 1.0) * low
         top = self._find(self.tri, self.tri_top, codes, 0.0)
-        return -np.log2(top + self._find(self.context, self.context_left, codes >> 8, 1.0) * low)
+        return -np.log2(top + self._find(self.context, self.context_left, codes >> _ONE, 1.0) * low)
 
 
 @dataclass
 class Identifier:
-    """All languages' models, the alphabet and the calibrated limits."""
+    """Models of some languages and their calibrated limits: mean and deviation of the bits by log2 of the length."""
 
     langs: list[str]
     models: list[LanguageModel]
-    letters: np.ndarray
-    limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    mean: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    spread: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    quantile: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def alphabet(self) -> np.ndarray:
-        table = np.full(0x110000, _SPACE, np.uint8)
-        table[[i for i in range(0x30000) if chr(i).isalpha()]] = _OTHER
-        table[self.letters] = np.arange(3, 3 + len(self.letters))
-        return table
+    def excess(self, k: int, bits: float, n: int) -> float:
+        """How many of language k's limits the bits of a text of n symbols amount to: over 1 is rejected."""
+        at = np.clip(np.log2(max(n, 1)), WINDOWS[0], WINDOWS[-1])
+        mean, spread = np.interp(at, WINDOWS, self.mean[k]), np.interp(at, WINDOWS, self.spread[k])
+        return float((bits - mean) / spread / self.quantile[k])
 
 
 class _Scorer:
-    """A worker's view of the models: rows of scores by trigram, filled as they are met."""
-
-    def __init__(self, model: Identifier):
-        self.model, self.alphabet = model, model.alphabet()
-        self.row = np.zeros(1 << 24, np.int32)  # 0: not met; pages are touched only where trigrams occur
-        self.bits = np.zeros((1, len(model.langs)))
+    """A worker's view of the models: scores by trigram, remembered in CACHE places."""
+
+    def __init__(self, models: list[LanguageModel]):
+        self.models, self.letters = models, _letters()
+        self.keys = np.full(CACHE, np.iinfo(np.uint64).max, np.uint64)
+        self.bits = np.zeros((CACHE, len(models)), np.float32)
+
+    def trigram_bits(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of each trigram (rows) in each language."""
+        at = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        out = self.bits[at]
+        missed = np.flatnonzero(self.keys[at] != codes)
+        if len(missed):
+            new, where = np.unique(codes[missed], return_inverse=True)
+            bits = np.column_stack([m.bits(new) for m in self.models]).astype(np.float32)
+            out[missed] = bits[where]
+            place = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+            self.keys[place], self.bits[place] = new, bits  # of those with one place, numpy keeps the last in both
+        return out
+
+    def pieces(self, text: str):
+        """Bits by trigram and language, a part of the text at a time."""
+        for codes in _trigrams(text, self.letters):
+            yield self.trigram_bits(codes)
 
     def entropies(self, text: str) -> tuple[int, np.ndarray]:
-        """Letters and spaces read, and the cross-entropy in bits a symbol for each language."""
-        sums, n, tail = np.zeros(len(self.model.langs)), 0, np.zeros(0, np.uint32)
-        for at in range(0, len(text), CHUNK):
-            symbols = _codes(text[at : at + CHUNK], self.alphabet)
-            symbols = np.concatenate([tail, symbols[1:] if at else symbols])
-            tail = symbols[-3:-1]
-            codes = _trigrams(symbols)
-            rows = self.row[codes]
-            if not rows.all():
-                new = np.unique(codes[rows == 0])
-                self.row[new] = np.arange(len(self.bits), len(self.bits) + len(new))
-                self.bits = np.vstack([self.bits, np.column_stack([m.bits(new) for m in self.model.models])])
-                rows = self.row[codes]
-            for k in range(len(sums)):
-                sums[k] += self.bits[rows, k].sum()
-            n += len(codes)
+        """Symbols read, and the cross-entropy in bits a symbol for each language."""
+        sums, n = np.zeros(len(self.models)), 0
+        for bits in self.pieces(text):
+            sums += bits.sum(axis=0, dtype=np.float64)
+            n += len(bits)
         return n, sums / max(n, 1)
 
 
 def _sample(df: DataFrame, id_col, text_col, lang_col) -> DataFrame:
     """About SAMPLE_PER_LANG whole texts a language, by id hash: a filter, no shuffle of texts."""
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     place = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1_000_000_007)) / 1_000_000_007.0
-    counts = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} labels: one model is kept for each")
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], SAMPLE_PER_LANG / r["count"])]) if counts else F.create_map()
-    share = F.try_element_at(shares.cast("map<string,double>"), F.col("lang"))
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(CALIBRATION_SHARE)) == 0
-    return durable(rows.filter(place < share).select("lang", "text", part.alias("calibrates")))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # The labels are joined with their counts: no list of labels passes through the driver.
+    chosen = rows.join(counts, "lang").filter(place < SAMPLE_PER_LANG / F.col("rows"))
+    return durable(chosen.select("lang", "text", part.alias("calibrates")))
 
 
-def _count_trigrams(alphabet):
-    def count(batches):
-        table = alphabet()
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in set(langs):
-                codes = np.concatenate([_trigrams(_codes(t, table)) for t, x in zip(texts, langs) if x == lang])
-                code, n = np.unique(codes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
-
-    return count
+def _count_trigrams(batches):
+    letters = _letters()
+    for batch in batches:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang in set(langs):
+            own = [codes for t, x in zip(texts, langs) if x == lang for codes in _trigrams(t, letters)]
+            code, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
 
-def fit(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> Identifier:
-    """Models and rejection limits from a bounded sample of the labelled rows of ``df``.
+def fit(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> list[Identifier]:
+    """Models and rejection limits from a bounded sample of the labelled rows of ``df``, LANGS_AT_ONCE languages each.
 
-    The sample's texts are collected as letter and trigram counts only; the limits
-    come from the cross-entropies of sample rows that the counts leave out.
+    The sample's texts are collected as trigram counts only; the limits come from the
+    cross-entropies of sample rows that the counts leave out.
     """
     bounded_batches(df.sparkSession)
     sample = _sample(df, id_col, text_col, lang_col)
-    fitted = sample.filter("NOT calibrates")
-    letters = (
-        fitted.select(F.explode(F.split(F.lower("text"), "")).alias("letter")).groupBy("letter").count()
-        .orderBy(F.desc("count"), "letter").limit(4 * SYMBOLS).collect()
-    )
-    kept = [ord(r.letter) for r in letters if len(r.letter) == 1 and r.letter.isalpha()][:SYMBOLS]
-    model = Identifier([], [], np.array(kept, dtype=np.int64))
-    counted = fitted.select("lang", "text").mapInArrow(_count_trigrams(model.alphabet), "lang string, code long, n long")
-    counted = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    for lang, part in sorted(counted.groupby("lang"), key=lambda x: x[0]):
-        model.langs.append(lang)
-        model.models.append(LanguageModel.fit(part["code"].to_numpy().astype(np.uint32), part["n"].to_numpy()))
-    if model.langs:
-        rest = sample.filter("calibrates").select("lang", "text")
-        seen = rest.mapInArrow(_calibration(model), "lang string, bits double, n long").toPandas()
-        model.limit, model.spread = np.zeros(len(model.langs)), np.zeros(len(model.langs))
-        for k, lang in enumerate(model.langs):
-            own = seen[seen["lang"] == lang]
-            bits, n = own["bits"].to_numpy(), own["n"].to_numpy()
-            mean = bits.mean() if len(bits) else np.log2(SYMBOLS)
-            sd = bits.std() if len(bits) > 1 else 0.5
-            model.limit[k] = mean + REJECT_SIGMAS * max(sd, 0.05)
-            model.spread[k] = max(sd, 0.05) * np.sqrt(np.median(n)) if len(n) else 4.0
-    return model
+    counted = sample.filter("NOT calibrates").select("lang", "text").mapInArrow(_count_trigrams, "lang string, code long, n long")
+    counted = durable(counted.groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    out, last = [], None
+    while True:
+        rest = counted.select("lang").distinct()
+        langs = [r["lang"] for r in (rest if last is None else rest.filter(F.col("lang") > last)).orderBy("lang").limit(LANGS_AT_ONCE).collect()]
+        if not langs:
+            return out
+        last = langs[-1]
+        own = F.col("lang").isin(langs)
+        table = counted.filter(own).toPandas()
+        models = [LanguageModel.fit(part["code"].to_numpy().view(np.uint64), part["n"].to_numpy()) for _, part in sorted(table.groupby("lang"), key=lambda x: x[0])]
+        model = Identifier(langs, models)
+        seen = sample.filter("calibrates").filter(own).select("lang", "text").mapInArrow(_calibration(model), "lang string, k int, bits array<double>")
+        _limits(model, seen)
+        out.append(model)
 
 
 def _calibration(model):
+    """Cross-entropies of the windows of 2^k symbols of each text."""
+
     def run(batches):
-        scorer = _Scorer(model)
+        scorer = _Scorer(model.models)
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            got = [scorer.entropies(t) for t in batch.column(1).to_pylist()]
-            bits = [float(h[model.langs.index(x)]) if x in model.langs else float(h.min()) for x, (_, h) in zip(langs, got)]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(bits, pa.float64()), pa.array([n for n, _ in got], pa.int64())], ["lang", "bits", "n"])
+            langs, ks, bits = [], [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                j = model.langs.index(lang)
+                total = np.append(0, np.cumsum(np.concatenate([np.zeros(0), *(b[:, j].astype(float) for b in scorer.pieces(text))])))
+                for k in WINDOWS:
+                    ends = np.arange(1 << k, len(total), 1 << k)
+                    langs.append(lang), ks.append(k), bits.append((total[ends] - total[ends - (1 << k)]) / (1 << k))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ks, pa.int32()), pa.array(bits, pa.list_(pa.float64()))], ["lang", "k", "bits"])
 
     return run
 
 
-def _predict(model):
+def _limits(model: Identifier, seen: DataFrame) -> None:
+    """Fill the limits of a model from windows of the calibration texts.
+
+    Lengths without enough windows take the deviation of the longest one that has them,
+    which is on the safe side: deviations fall with the length.
+    """
+    windows = durable(seen.select("lang", "k", F.explode("bits").alias("bits")))
+    moments = {(r["lang"], r["k"]): r for r in windows.groupBy("lang", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("sd")).collect()}
+    size = len(model.langs), len(WINDOWS)
+    model.mean, model.spread = np.full(size, 4.0), np.full(size, 2.0)
+    rows = []
+    for i, lang in enumerate(model.langs):
+        for j, k in enumerate(WINDOWS):
+            r = moments.get((lang, k))
+            if r is not None and r["n"] >= 20:
+                model.mean[i, j], model.spread[i, j] = r["mean"], max(r["sd"], 0.02)
+            elif j:
+                model.mean[i, j], model.spread[i, j] = model.mean[i, j - 1], model.spread[i, j - 1]
+            rows.append((lang, k, float(model.mean[i, j]), float(model.spread[i, j])))
+    scale = windows.sparkSession.createDataFrame(rows, "lang string, k int, mean double, spread double")
+    z = (F.col("bits") - F.col("mean")) / F.col("spread")
+    quantiles = windows.join(scale, ["lang", "k"]).withColumn("z", z).groupBy("lang").agg(F.percentile_approx("z", 1 - FALSE_REJECT, 100_000).alias("q"))
+    found = {r["lang"]: r["q"] for r in quantiles.collect()}
+    # At least what a normal distribution gives for the rate.
+    model.quantile = np.array([max(found.get(lang) or 0.0, NormalDist().inv_cdf(1 - FALSE_REJECT)) for lang in model.langs])
+
+
+def _predict(model: Identifier, first: bool):
+    """Adds (best, bits, n, odds, excess) of a group of languages to those of the groups before it."""
+
     def run(batches):
-        scorer = _Scorer(model)
-        letter = scorer.alphabet
+        scorer = _Scorer(model.models)
         for batch in batches:
-            lang, score, bits, rejected = [], [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                text = text.as_py() or ""
-                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                if not model.langs or not (letter[points] != _SPACE).any():
-                    lang.append("und"), score.append(0.0), bits.append(None), rejected.append(True)
-                    continue
-                n, h = scorer.entropies(text)
+            width = batch.num_columns if first else batch.num_columns - 5
+            before = None if first else [batch.column(width + i).to_pylist() for i in range(5)]
+            out = [[] for _ in range(5)]
+            for row, text in enumerate(batch.column(width - 1)):
+                n, h = scorer.entropies(text.as_py() or "")
                 best = int(h.argmin())
+                lang, bits = model.langs[best], float(h[best])
                 # Posterior of the best language; TEMPERATURE symbols count as one independent observation.
-                odds = np.exp2(-(h - h[best]) * n / TEMPERATURE)
-                lang.append(model.langs[best]), score.append(float(1 / odds.sum())), bits.append(float(h[best]))
-                rejected.append(bool(h[best] > model.limit[best] + REJECT_SIGMAS * model.spread[best] / np.sqrt(n)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected, pa.bool_())],
-                [*batch.schema.names[:-1], "lang_pred", "score", "bits", "rejected"],
-            )
+                odds = float(np.exp2(np.maximum(-(h - bits) * n / TEMPERATURE, -1000.0)).sum())
+                excess = model.excess(best, bits, n)
+                if before is not None and n:
+                    other = [c[row] for c in before]
+                    if other[1] <= bits:
+                        lang, bits, excess = other[0], other[1], other[4]
+                        odds = other[3] + odds * float(np.exp2(max(-(float(h[best]) - bits) * n / TEMPERATURE, -1000.0)))
+                    else:
+                        odds = odds + other[3] * float(np.exp2(max(-(other[1] - bits) * n / TEMPERATURE, -1000.0)))
+                for column, value in zip(out, (lang, bits, n, odds, excess)):
+                    column.append(value)
+            types = [pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(c, t) for c, t in zip(out, types))], [*batch.schema.names[:width], *_SCORES])
 
     return run
 
 
-def identify(df: DataFrame, model: Identifier, keep: list[str], text_col: str = "text") -> DataFrame:
+_SCORES = ["r_lang", "r_bits", "r_n", "r_odds", "r_excess"]
+
+
+def _scored(rows: DataFrame, models: list[Identifier]) -> DataFrame:
+    """``rows`` (the text last) with the five columns of _SCORES; they are null if nothing was learned."""
+    if not models:
+        kinds = ["string", "double", "long", "double", "double"]
+        return rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(_SCORES, kinds)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = rows
+    for k, model in enumerate(models):
+        out = out.mapInArrow(_predict(model, k == 0), f"{schema}, r_lang string, r_bits double, r_n long, r_odds double, r_excess double")
+    return out
+
+
+_UNKNOWN = "coalesce(r_n, 0) = 0"  # no trigram: no letter
+
+
+def identify(df: DataFrame, models: list[Identifier], keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns with ``lang_pred, score, bits, rejected`` for every row; only the text is looked at.
 
     ``und`` (score 0, rejected) is given to null, empty and letterless texts, and to all
     if nothing could be learned. Ties go to the first language in order. Repeated
     rows get equal results; an empty table gives an empty one. A text is rejected if even
-    the best model's cross-entropy lies far above what it gave for held-out rows of its
-    language, with an allowance for short texts.
+    the best model's cross-entropy lies above the calibrated limit for its length.
     """
     bounded_batches(df.sparkSession)
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double, bits double, rejected boolean")
+    scored = _scored(df.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text")), models)
+    unknown = F.expr(_UNKNOWN)
+    return scored.select(
+        *[F.col(f"`{c}`") for c in keep], F.when(unknown, "und").otherwise(F.col("r_lang")).alias("lang_pred"),
+        F.when(unknown, 0.0).otherwise(1 / F.col("r_odds")).alias("score"), F.when(~unknown, F.col("r_bits")).alias("bits"),
+        (unknown | (F.col("r_excess") > 1)).alias("rejected"),
+    )
 
 
 def held_out(id_col):
@@ -257,15 +347,24 @@ def held_out(id_col):
 def language_id(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits, rejected``: learned from the rows that are not held out."""
     marked = df.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = fit(marked.filter("NOT held_out"), "doc_id", "text", "lang")
-    return identify(marked, model, ["doc_id", "held_out"])
+    models = fit(marked.filter("NOT held_out"), "doc_id", "text", "lang")
+    return identify(marked, models, ["doc_id", "held_out"])
+
 
+def keep_identified(df: DataFrame, text_col="text", id_col="doc_id", lang_col="lang") -> DataFrame:
+    """The rows of ``df`` whose language is identified, with all its columns, whatever their names.
 
-def keep_identified(df: DataFrame, text_col="text") -> DataFrame:
-    """The rows of ``df`` whose language is identified, with all its columns."""
-    model = fit(df.filter(~held_out("doc_id")), text_col=text_col)
-    marked = df.select(*[F.col(f"`{c}`") for c in df.columns])
-    return identify(marked, model, list(df.columns), text_col).filter("NOT rejected").select(*[F.col(f"`{c}`") for c in df.columns])
+    Null, empty and letterless texts go, and texts beyond the calibrated limits of all
+    languages; if no row is labelled, all rows go. Rows without an id are judged like others.
+    """
+    models = fit(df.filter(~held_out(id_col)), id_col, text_col, lang_col)
+    at = df.columns.index(text_col)
+    bounded_batches(df.sparkSession)
+    moved = positional(df)
+    others = [c for i, c in enumerate(moved.columns) if i != at]
+    scored = _scored(moved.select(*others, f"c{at}"), models)
+    kept = scored.filter(f"NOT ({_UNKNOWN}) AND r_excess <= 1")
+    return kept.select(*[f"c{i}" for i in range(len(df.columns))]).toDF(*df.columns)
 
 
 def op9(spark, sf_dir):

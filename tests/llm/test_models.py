@@ -28,14 +28,18 @@ def table(spark, docs):
 
 
 def test_language_held_out_accuracy_and_rejection(spark):
-    odd = [(900, None, "aa"), (901, "", "bb"), (902, "12 34 !?", None), (903, "qjx wvy hjq xwq vvy qqj xxj wyw " * 20, None), (904, "kato misu " * 30_000, "aa"), (905, "kato", None)]
-    rows = {r.doc_id: r for r in li.language_id(table(spark, corpus() + odd)).collect()}
+    odd = [(900, None, "aa"), (901, "", "bb"), (902, "12 34 !?", None), (904, "kato misu " * 30_000, "aa"), (905, "kato", None), (None, "kato misu", None)]
+    alien = {910 + k: "qjx wvy hjq xwq vvy qqj xxj wyw " * n for k, n in enumerate((1, 3, 20))} | {920: "語言識別 測試文字 " * 5, 921: "\U00030000\U00030001 " * 20}
+    docs = corpus() + odd + [(i, t, None) for i, t in alien.items()]
+    rows = {r.doc_id: r for r in li.language_id(table(spark, docs)).collect()}
+    assert len(rows) == len(docs)
     held = [d for d in corpus() if rows[d[0]].held_out]
-    assert {i % 1 for i, _, _ in held} == {0} and all(zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in held)
+    assert {i for i, _, _ in corpus() if rows[i].held_out} == {i for i, _, _ in corpus() if zlib.crc32(str(i).encode()) % 5 == 0}
     assert sum(rows[i].lang_pred == x for i, _, x in held) >= 0.98 * len(held) > 0
     assert not any(rows[i].rejected for i, _, _ in corpus())
     assert [rows[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3
-    assert rows[903].rejected and rows[904].lang_pred == "aa" and not rows[904].rejected
+    assert all(rows[i].rejected and rows[i].lang_pred != "und" for i in alien), [(i, rows[i]) for i in alien]
+    assert rows[904].lang_pred == "aa" and not rows[904].rejected and rows[None].lang_pred == "aa"
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
@@ -44,14 +48,89 @@ def test_language_without_labels_or_rows(spark):
     assert [r.lang_pred for r in li.language_id(table(spark, [(1, "some text", None)])).collect()] == ["und"]
 
 
+def test_languages_in_several_passes(spark, monkeypatch):
+    docs = corpus(120)
+    one = {r.doc_id: tuple(r)[:4] for r in li.language_id(table(spark, docs)).collect()}
+    monkeypatch.setattr(li, "LANGS_AT_ONCE", 2)
+    several = {r.doc_id: tuple(r)[:4] for r in li.language_id(table(spark, docs)).collect()}
+    assert {i: r[:3] for i, r in one.items()} == {i: r[:3] for i, r in several.items()}
+    assert all(abs(one[i][3] - several[i][3]) < 1e-6 for i in one)
+
+
+def test_long_labelled_texts_are_learned(spark):
+    long = [(i, " ".join(["gulo", "pato"] * 6000), "dd") for i in range(3000, 3012)]
+    rows = {r.doc_id: r for r in li.language_id(table(spark, corpus(100) + long)).collect()}
+    assert all(rows[i].lang_pred == "dd" for i, _, _ in long)
+
+
+def test_identified_rows_keep_clashing_columns(spark):
+    docs = corpus(80) + [(500, None, "aa"), (None, "kato misu kato", None)]
+    df = spark.createDataFrame([(i, t, x, 1.5, False, "q", "r") for i, t, x in docs], "doc_id long, text string, lang string, score double, rejected boolean, lang_pred string, _text string")
+    kept = li.keep_identified(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if r.doc_id != 500)
+
+
+def symbols_of(text):
+    """Letters and single spaces of a text, framed by spaces, in plain Python."""
+    return [0, *(ord(c) if c.isalpha() else 0 for c in re.sub(r"[\W\d_]+", " ", text.lower()).strip()), 0]
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney by dictionaries."""
+
+    def __init__(self, texts, d=0.75):
+        self.d, self.tri = d, Counter()
+        for t in texts:
+            s = symbols_of(t)
+            self.tri.update(zip(s, s[1:], s[2:]))
+        self.bi = Counter((b, c) for _, b, c in self.tri)
+        self.uni = Counter(c for _, c in self.bi)
+
+    def level(self, counts, history, symbol, low):
+        own = {k: n for k, n in counts.items() if (k[:-1] if isinstance(k, tuple) else ()) == history}
+        if not own:
+            return low
+        total = sum(own.values())
+        n = own.get((*history, symbol) if history else symbol, 0)
+        return max(n - self.d, 0) / total + self.d * len(own) / total * low
+
+    def bits(self, a, b, c):
+        low = self.level(self.uni, (), c, 1 / 0x110000)
+        return -math.log2(self.level(self.tri, (a, b), c, self.level(self.bi, (b,), c, low)))
+
+
+def test_models_equal_plain_kneser_ney():
+    texts = [t for _, t, x in corpus(30) if x == "cc"][:6]
+    plain = PlainKneserNey(texts)
+    letters = li._letters()
+    code, n = np.unique(np.concatenate([c for t in texts for c in li._trigrams(t, letters)]), return_counts=True)
+    scorer = li._Scorer([li.LanguageModel.fit(code, n)])
+    for text in (texts[0], "ñéço unseen 12 words, ß"):
+        s = symbols_of(text)
+        want = [plain.bits(*x) for x in zip(s, s[1:], s[2:])]
+        for _ in range(2):  # computed, then remembered
+            got = np.concatenate([b[:, 0] for b in scorer.pieces(text)])
+            assert np.allclose(got, want, rtol=1e-5)
+
+
 def test_kneser_ney_sums_to_one():
-    codes = np.array([(1 << 16) | (1 << 8) | 3, (1 << 16) | (3 << 8) | 4, (3 << 16) | (4 << 8) | 3], np.uint32)
+    code = lambda a, b, c: (a << 42) | (b << 21) | c
+    codes = np.array([code(1, 1, 3), code(1, 3, 4), code(3, 4, 3)], np.uint64)
     model = li.LanguageModel.fit(codes, np.array([5, 3, 2]))
-    for context in ((1 << 8) | 1, (3 << 8) | 4, (9 << 8) | 9):
-        every = np.array([(context << 8) | s for s in range(256)], np.uint32)
+    for a, b in ((1, 1), (3, 4), (9, 9)):
+        every = np.arange(0x110000, dtype=np.uint64) | np.uint64(code(a, b, 0))
         assert abs(np.exp2(-model.bits(every)).sum() - 1) < 1e-6
 
 
+def test_chunks_of_a_text_are_seamless(monkeypatch):
+    letters, text = li._letters(), "Some words, 12 and more -- of them  all"
+    whole = np.concatenate(list(li._trigrams(text, letters)))
+    monkeypatch.setattr(li, "CHUNK", 5)
+    assert np.array_equal(np.concatenate(list(li._trigrams(text, letters))), whole)
+    assert len(whole) == len(symbols_of(text)) - 2 and not list(li._trigrams("12 ,", letters))
+
+
 def test_words_equal_regex():
     import pyarrow as pa
 
