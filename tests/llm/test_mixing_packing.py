@@ -1,10 +1,13 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 
-from lamella.llm.mixing import CAP, mix, mixing, targets
+from lamella.llm import mixing as mx
+from lamella.llm.mixing import CAP, mix, mixing
 from lamella.llm.packing import PER_SOURCE, best_fit, packing
 
 SCHEMA = "doc_id long, text string, source string, size string, copies int"
@@ -24,28 +27,48 @@ def words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
-def test_targets_reshare_the_excess():
-    got = targets({"a": 1000, "b": 10, None: 20})
-    assert got["b"] == 30 and got[None] == 60 and got["a"] == pytest.approx(1030 - 90)
+def shares(sizes):
+    """Targets by the contract, in fractions: weights 1, 2, 3 by code point, null last; stopped at 3 times the size."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: Fraction(k % 3 + 1) for k, s in enumerate(order)}
+    stopped, rest, out = set(), Fraction(sum(sizes.values())), {}
+    while True:
+        unit = rest / (sum(weight[s] for s in order if s not in stopped) or 1)
+        over = {s for s in order if s not in stopped and weight[s] * unit > 3 * sizes[s]}
+        if not over:
+            return out | {s: weight[s] * unit for s in order if s not in stopped}
+        stopped |= over
+        out |= {s: Fraction(3 * sizes[s]) for s in over}
+        rest -= sum(out[s] for s in over)
+
+
+def test_targets_equal_plain_fractions(spark):
+    for sizes in ({"a": 1000, "b": 10, None: 20}, {"B": 5, "a": 7, "é": 9, "z": 4000, None: 3, "ab": 0}, {f"s{k:03d}": (k * 37) % 101 + 1 for k in range(300)}):
+        df = spark.createDataFrame(list(sizes.items()), "_source string, words long")
+        got = {r["_source"]: r.target for r in mx.targets(df).collect()}
+        assert got.keys() == sizes.keys() and all(math.isclose(got[s], float(t), rel_tol=1e-12, abs_tol=1e-9) for s, t in shares(sizes).items())
+
+
+def check_mix(rows, docs):
+    """Sizes, targets and copies against plain counting; returns words taken by source."""
+    sizes, taken = Counter(), Counter()
+    for _, t, s in docs:
+        sizes[s] += words(t)
+    expected = shares(sizes)
+    source = {(i, words(t)): s for i, t, s in docs}
+    assert sorted((str(r.doc_id), r["size"]) for r in rows) == sorted((str(i), words(t)) for i, t, _ in docs)
+    for r in rows:
+        s = source[(r.doc_id, r["size"])]
+        assert 0 <= r.taken <= CAP * r["size"] and r.taken == r.copies * r["size"]
+        assert r.target == pytest.approx(float(expected[s])) and r.source_size == sizes[s]
+        taken[s] += r.taken
+    return taken, {s: float(t) for s, t in expected.items()}
 
 
 def test_mix_meets_its_targets(spark):
     docs = corpus()
     rows = mixing(table(spark, docs)).collect()
-    assert len(rows) == len(docs)
-    sizes, taken, wanted, source = Counter(), Counter(), {}, dict((i, s) for i, _, s in docs if i != 7)
-    for r in rows:
-        assert r.taken <= CAP * r["size"] and r.taken == r.copies * r["size"]
-    for (i, t, s) in docs:
-        sizes[s] += words(t)
-    expected = targets(dict(sizes))
-    by_id = defaultdict(list)
-    for r in rows:
-        by_id[r.doc_id].append(r)
-    for i, t, s in docs:
-        r = next(x for x in by_id[i] if x["size"] == words(t))
-        taken[s] += r.taken
-        assert r.target == pytest.approx(expected[s]) and r.source_size == sizes[s]
+    taken, expected = check_mix(rows, docs)
     for s, target in expected.items():
         # Copies are whole: a source with very long documents can miss by half the longest.
         longest = max(words(t) for _, t, x in docs if x == s)
@@ -53,18 +76,52 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(str, rows)) == sorted(map(str, mixing(table(spark, docs).repartition(7)).collect()))
 
 
-def test_mix_repeats_rows(spark):
-    df = table(spark, corpus())
+def test_rates_are_exponential_tilts_that_meet_the_targets(spark):
+    """The rates meet the token constraint of every source, and log rates are a source's term plus a class's."""
+    docs = [d for d in corpus() if words(d[1]) and d[0] < 900 and d[0] != 7]
+    rows = mixing(table(spark, docs)).collect()
+    source = {i: s for i, _, s in docs}
+    words_at, log_rate = Counter(), {}
+    for r in rows:
+        words_at[source[r.doc_id]] += r.rate * r["size"]
+        if r.rate < CAP - 1e-9:
+            log_rate[source[r.doc_id], r["size"].bit_length()] = math.log(r.rate)
+    for s, target in {source[r.doc_id]: r.target for r in rows}.items():
+        assert math.isclose(words_at[s], target, rel_tol=1e-5)
+    for (s, c), x in log_rate.items():
+        for (t, d), y in log_rate.items():
+            if (s, d) in log_rate and (t, c) in log_rate:
+                assert math.isclose(x - log_rate[s, d], log_rate[t, c] - y, abs_tol=1e-6)
+
+
+def test_without_convergence_the_closed_form_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(mx, "ITERATIONS", 0)
+    docs = [d for d in corpus() if words(d[1]) and d[0] < 900 and d[0] != 7]
+    for r in mixing(table(spark, docs)).collect():
+        assert math.isclose(r.rate, min(r.target / r.source_size, CAP), rel_tol=1e-9)
+
+
+def test_many_sources(spark):
+    docs = [(i, "w " * (i % 9 + 1), f"s{i % 700}") for i in range(2800)]
+    taken, expected = check_mix(mixing(table(spark, docs)).collect(), docs)
+    assert abs(sum(taken.values()) - sum(expected.values())) < 0.05 * sum(expected.values())
+
+
+def test_mix_repeats_rows_and_keeps_clashing_columns(spark):
+    docs = corpus()
+    df = spark.createDataFrame([(i, t, s, 9.0, 8, 7.0, 6.0, 5, 4, "x") for i, t, s in docs], "doc_id long, text string, source string, _size double, _bin int, target double, rate double, whole int, cut int, _row string")
     copies = Counter()
     for r in mixing(df).collect():
         copies[r.doc_id] += r.copies
     out = mix(df)
     assert out.columns == df.columns
-    assert Counter(r.doc_id for r in out.collect()) == +copies
+    rows = out.collect()
+    assert Counter(r.doc_id for r in rows) == +copies
+    assert {tuple(r)[3:] for r in rows} == {(9.0, 8, 7.0, 6.0, 5, 4, "x")}
 
 
 def test_mixing_empty_tables(spark):
-    assert mixing(table(spark, [])).count() == 0
+    assert mixing(table(spark, [])).count() == 0 and mix(table(spark, [])).count() == 0
     assert [r.taken for r in mixing(table(spark, [(1, None, "a"), (2, "", None)])).collect()] == [0, 0]
 
 
