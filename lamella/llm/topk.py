@@ -1,21 +1,26 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-The score of a vector is the sum over ``LISTS`` parts of its components; each part is
-a list of partial scores, held block by block by the tasks that hold the vectors.
-
-1. Every block gives, for each query, the k best entries of each list with their
-   scores. The k-th best of all these is a cutoff: the true k-th score is no lower.
-2. The cutoffs go out with the query blocks. A vector at or above the cutoff must
-   reach ``cutoff / LISTS`` in some list, so blocks give the entries that do, with
-   the partial scores that reach it. Of entries that a block sees whole, those
-   beaten by k others of the block cannot be results and stay.
-3. Entries with a missing part whose upper bound still reaches the cutoff get their
-   exact score by joining the vectors; then the k best of each query are ranked.
-
-The query set is packed into blocks of ``QUERY_ROWS`` rows that meet blocks of vectors:
-the planner broadcasts the query blocks if they are small and pairs partitions
-otherwise. No score list of unbounded length is held: a block gives at most
-k entries a list and query.
+The components of all vectors are cut into ``LISTS`` slices, and each slice is a list of
+its own: it holds the partial scores that its components give and knows nothing of the
+others. The score of a vector is the sum of its partial scores.
+
+1. Every list gives, for each query, its k best entries. Their whole scores are resolved,
+   and the k-th best of them is a safe cutoff: the true k-th score is no lower.
+2. The cutoff goes out with the queries. A vector at or above it must reach
+   ``cutoff / LISTS`` in some list, so each list gives the entries that do. They are summed by
+   query and vector: where all lists gave one, the score is whole; otherwise each
+   missing part is under the threshold, which bounds the score from above.
+3. Entries with a missing part whose bound still reaches the cutoff are resolved exactly
+   by joining the missing slices. Then the k best of each query are ranked.
+
+Equal vectors have equal scores, so they are searched once: a class of equal vectors is
+a candidate for all its rows, and of those only the k + 1 smallest ids can be results (one may be
+the query's own). Equal queries are asked once, for k + 1 rows. This keeps very common vectors
+from filling the lists with ties, and drops nothing.
+
+A list is cut into blocks of about ``BLOCK_ROWS`` vectors and the queries into blocks of
+``QUERY_ROWS``; each pair of blocks is one row of an equi-join on (dimension, slice, block of vectors),
+so no block, list or query set has to fit in one place.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from lamella.llm._shared import bounded_batches, durable, read
 
 LISTS = 2
 QUERY_ROWS = 512
+BLOCK_ROWS = 2048
 SCALE = 256
+END = 2**61  # partial scores are held at its ends: sums of LISTS of them fit a long
 
-_BLOCK = "dim int, ids binary, body binary"
-_ENTRY = "query_id long, vec_id long, p0 long, p1 long"
+_ENTRY = "query long, cls long, list int, part long"
 
 
 def integer_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding") -> DataFrame:
@@ -43,136 +49,193 @@ def integer_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding") -> D
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * SCALE).cast("long")).alias("comps"))
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact integer inner products, held at plus and minus END."""
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
+    if most < 2**53:  # every sum is a whole number that a double holds
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if most < 2**60:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.astype(object).T, -END, END).astype(np.int64)
+
+
+def _slices(dim: int) -> list[tuple[int, int]]:
+    return [(dim * i // LISTS, dim * (i + 1) // LISTS) for i in range(LISTS)]
+
+
 def _pack(batches):
-    """Each batch of (vec_id, comps) as one block per dimension, repeated ids once."""
+    """Each batch of (key, block, comps) as rows (dim, list, block, piece, ids, body): one a slice of the vectors of one dimension and block."""
     for batch in batches:
-        ids, comps = batch.column(0).to_numpy(), batch.column(1)
+        ids, block, comps = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         sizes = np.array([len(c) for c in comps], np.int64)
-        flat = comps.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
-        for dim in np.unique(sizes):
-            own = np.flatnonzero(sizes == dim)
-            own = own[np.unique(ids[own], return_index=True)[1]]
-            body = np.stack([flat[ends[i] - dim : ends[i]] for i in own]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(dim)], pa.int32()), pa.array([ids[own].astype(np.int64).tobytes()], pa.binary()), pa.array([body.tobytes()], pa.binary())],
-                ["dim", "ids", "body"],
-            )
+        flat, ends = comps.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes)
+        out = [[] for _ in range(6)]
+        for dim, b in sorted(set(zip(sizes.tolist(), block.tolist()))):
+            own = np.flatnonzero((sizes == dim) & (block == b))
+            body = np.stack([flat[ends[i] - dim : ends[i]] for i in own]).reshape(len(own), dim)
+            for k, (lo, hi) in enumerate(_slices(dim)):
+                for column, value in zip(out, (dim, k, b, int(ids[own[0]]), ids[own].astype(np.int64).tobytes(), np.ascontiguousarray(body[:, lo:hi]).tobytes())):
+                    column.append(value)
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["dim", "list", "block", "piece", "ids", "body"])
 
 
-def _query_blocks(queries: DataFrame) -> DataFrame:
-    """``dim, qids, qbody, cutoffs``: about QUERY_ROWS queries a row; the group's size is set by the counted queries."""
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    dealt = queries.groupBy(F.size("comps").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    return durable(dealt.agg(F.array_sort(F.collect_list(F.struct("vec_id", "comps", "cutoff"))).alias("q")))
+def _blocks(vectors: DataFrame, rows: int, n: int) -> DataFrame:
+    """``dim, list, block, piece, ids, body`` of (key, comps): vectors dealt into blocks of about ``rows`` by key, packed in pieces (named by their first key)."""
+    parts = max(1, -(-n // rows))
+    dealt = vectors.select("key", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("block"), "comps").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(_pack, "dim int, list int, block long, piece long, ids binary, body binary")
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; in floating point where every sum is below 2^53."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def _met(vectors: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
+    """Every block of each list beside every block of the queries' same slice: the query blocks are dealt to all blocks of vectors."""
+    asked = queries.withColumnsRenamed({"ids": "qids", "body": "qbody"}).drop("block", "piece").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    return vectors.join(asked, ["dim", "list", "block"]).select("list", "ids", "body", "qids", "qbody", *(["cuts"] if "cuts" in queries.columns else []))
 
 
 def _pairs(batches):
-    """(query ids, cutoffs, vector ids, partial scores by list) of each pair of blocks."""
+    """(list, query keys, cutoffs, vector keys, partial scores) of each pair of blocks."""
     for batch in batches:
-        for ids, body, dim, queries in zip(*(batch.column(c) for c in ("ids", "body", "dim", "q"))):
-            v = np.frombuffer(ids.as_py(), np.int64)
-            x = np.frombuffer(body.as_py(), np.int64).reshape(len(v), dim.as_py())
-            rows = queries.as_py()
-            q = np.array([r["vec_id"] for r in rows], np.int64)
-            y = np.array([r["comps"] for r in rows], np.int64).reshape(len(q), dim.as_py())
-            cut = np.array([np.iinfo(np.int64).min // 4 if r["cutoff"] is None else r["cutoff"] for r in rows], np.int64)
-            half = dim.as_py() // LISTS
-            yield q, cut, v, _product(y[:, :half], x[:, :half]), _product(y[:, half:], x[:, half:])
-
+        cuts = batch.column(5) if batch.num_columns > 5 else [None] * batch.num_rows
+        for k, ids, body, qids, qbody, cut in zip(*(batch.column(i) for i in range(5)), cuts):
+            v, q = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(qids.as_py(), np.int64)
+            x, y = np.frombuffer(body.as_py(), np.int64), np.frombuffer(qbody.as_py(), np.int64)
+            width = len(x) // len(v)  # nought for an empty slice
+            yield k.as_py(), q, None if cut is None else np.frombuffer(cut.as_py(), np.int64), v, _product(y.reshape(len(q), width), x.reshape(len(v), width))
 
-def _entries(q, v, p0, p1, has0, has1):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(q), pa.array(v), pa.array(p0, mask=~has0), pa.array(p1, mask=~has1)], ["query_id", "vec_id", "p0", "p1"]
-    )
 
-
-def _top(scores: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        places = np.flatnonzero(scores >= floor)
-    else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((v[places], -scores[places]))[:k]]
+def _entries(k, q, v, p):
+    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(np.full(len(q), k, np.int32)), pa.array(p)], ["query", "cls", "list", "part"])
 
 
 def _first_lists(k):
+    """The k best entries of every block of a list."""
+
     def run(batches):
-        for q, _, v, s0, s1 in _pairs(batches):
-            out = [[], [], [], []]
-            for i in range(len(q)):
-                other = np.flatnonzero(v != q[i])
-                best = np.unique(np.concatenate([_top(s[i][other], v[other], k) for s in (s0, s1)]))
-                at = other[best]
-                for column, values in zip(out, (np.full(len(at), q[i]), v[at], s0[i][at], s1[i][at])):
-                    column.append(values)
-            q_, v_, a, b = (np.concatenate(c) for c in out)
-            yield _entries(q_, v_, a, b, np.ones(len(a), bool), np.ones(len(a), bool))
+        for name, q, _, v, p in _pairs(batches):
+            kth = np.partition(p, -k, axis=1)[:, -k] if len(v) > k else np.full(len(q), np.iinfo(np.int64).min)
+            rows, columns = np.nonzero(p >= kth[:, None])
+            order = np.lexsort((v[columns], -p[rows, columns], rows))
+            rows, columns = rows[order], columns[order]
+            best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            yield _entries(name, q[rows[best]], v[columns[best]], p[rows[best], columns[best]])
 
     return run
 
 
-def _second_lists(k):
-    def run(batches):
-        for q, cut, v, s0, s1 in _pairs(batches):
-            out = [[], [], [], [], []]
-            for i in range(len(q)):
-                at = np.flatnonzero(((LISTS * s0[i] >= cut[i]) | (LISTS * s1[i] >= cut[i])) & (v != q[i]))
-                if len(at) > k:
-                    at = at[_top((s0[i] + s1[i])[at], v[at], k)]
-                for column, values in zip(out, (np.full(len(at), q[i]), v[at], s0[i][at], s1[i][at], np.full(len(at), cut[i]))):
-                    column.append(values)
-            q_, v_, a, b, cuts = (np.concatenate(c) for c in out)
-            yield _entries(q_, v_, a, b, LISTS * a >= cuts, LISTS * b >= cuts)
+def _second_lists(batches):
+    """The entries of a list that reach the uniform threshold."""
+    for name, q, cut, v, p in _pairs(batches):
+        rows, columns = np.nonzero(p >= _threshold(cut)[:, None])
+        yield _entries(name, q[rows], v[columns], p[rows, columns])
 
-    return run
+
+def _threshold(cut):
+    """The least whole partial score that is at least cutoff / LISTS."""
+    return -(-cut // LISTS)
+
+
+def _with_cuts(blocks: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Query blocks with the cutoffs of their queries (the least long where there are none) in the order of ``ids``."""
+    ids = blocks.filter("list = 0").select("dim", "piece", "ids")
+    each = ids.mapInArrow(_unpacked, "dim int, piece long, at int, key long").join(cutoffs, "key", "left")
+    told = each.groupBy("dim", "piece").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("cutoff", F.lit(-END * LISTS)).alias("c")))).alias("cuts"))
+    packed = told.select("dim", "piece", F.transform("cuts", lambda c: c["c"]).alias("cuts")).mapInArrow(_packed, "dim int, piece long, cuts binary")
+    return blocks.join(packed, ["dim", "piece"])
+
+
+def _unpacked(batches):
+    for batch in batches:
+        keys = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
+        n = np.array([len(k) for k in keys], np.int64)
+        rows = np.repeat(np.arange(len(keys)), n)
+        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in n)]).astype(np.int32)
+        key = np.concatenate([np.zeros(0, np.int64), *keys])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(at), pa.array(key)], ["dim", "piece", "at", "key"])
+
+
+def _packed(batches):
+    for batch in batches:
+        cuts = [np.array(x.as_py(), np.int64).tobytes() for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.binary())], ["dim", "piece", "cuts"])
+
+
+def _resolve(batches):
+    """Partial score of the slices named ``missing`` of (query, cls, known, missing, qcomps, comps), added to ``known``."""
+    for batch in batches:
+        score = []
+        for known, missing, q, x in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            parts = _slices(len(q))
+            for k in missing:
+                lo, hi = parts[k]
+                known += int(_product(np.array([q[lo:hi]], np.int64), np.array([x[lo:hi]], np.int64))[0, 0])
+            score.append(known)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.int64())], ["query", "cls", "score"])
+
+
+def _whole(entries: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """``query, cls, score`` of (query, cls, known, missing): the missing slices are joined and their scores added."""
+    asked = entries.join(queries.select(F.col("key").alias("query"), F.col("comps").alias("qcomps")), "query").join(classes.select(F.col("key").alias("cls"), "comps"), "cls")
+    return asked.select("query", "cls", "known", "missing", "qcomps", "comps").mapInArrow(_resolve, "query long, cls long, score long")
 
 
-def _met(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Blocks of vectors beside blocks of the stated query set."""
-    return blocks.crossJoin(queries.withColumnRenamed("dim", "qdim")).filter("dim = qdim").select("dim", "ids", "body", "q")
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """Of each query the k best classes by (score, key)."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
+    return scored.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).drop("at")
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.select("query_id", "vec_id", "score").distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def _classes(vectors: DataFrame, k: int) -> DataFrame:
+    """``key, comps, ids``: one row for each distinct vector, keyed by its smallest id, with the k smallest ids of its rows."""
+    order = Window.partitionBy("comps").orderBy("vec_id")
+    few = vectors.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)  # cut in each partition before the shuffle
+    return few.groupBy("comps").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("key"), "comps", "ids")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best vectors of each query, ties to the smaller id.
 
-    ``vectors`` and ``queries`` have integer ``vec_id, comps``; a query never finds its
-    own id. Vectors of other dimensions than the query's are not compared. Rows that
-    repeat an id and vector are one. Queries without any candidate have no rows, as has
-    an empty table.
+    ``vectors`` and ``queries`` have ``vec_id, comps`` without nulls; a query never finds its
+    own id. Vectors of other dimensions than the query's are not compared. Of rows that
+    repeat an id with different vectors the largest vector counts. Partial scores beyond
+    2^61 are held there, so that scores always fit a long. Queries without any candidate
+    have no rows, as has an empty table; extra columns are not read.
     """
-    spark = vectors.sparkSession
-    bounded_batches(spark)
-    queries = durable(queries.select("vec_id", "comps").dropDuplicates(["vec_id"]))
-    blocks = vectors.select("vec_id", "comps").mapInArrow(_pack, _BLOCK)
-
-    first = _met(blocks, _query_blocks(queries.withColumn("cutoff", F.lit(None).cast("long")))).mapInArrow(_first_lists(k), _ENTRY)
-    first = first.select("query_id", "vec_id", (F.col("p0") + F.col("p1")).alias("score"))
-    cutoffs = _ranked(first, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
-    told = durable(queries.join(cutoffs, "vec_id", "left"))
-
-    second = durable(_met(blocks, _query_blocks(told)).mapInArrow(_second_lists(k), _ENTRY))
-    whole = second.filter("p0 IS NOT NULL AND p1 IS NOT NULL").select("query_id", "vec_id", (F.col("p0") + F.col("p1")).alias("score"))
-    asked = told.select(F.col("vec_id").alias("query_id"), F.col("comps").alias("qcomps"), "cutoff")
-    bound = f"coalesce(p0, p1) + ceil(cutoff / {LISTS}.0) >= cutoff"
-    part = second.filter("(p0 IS NULL) <> (p1 IS NULL)").join(asked, "query_id").filter(bound)
-    dot = F.aggregate(F.zip_with("qcomps", "comps", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    same = F.size("qcomps") == F.size("comps")
-    resolved = part.join(vectors.select("vec_id", "comps"), "vec_id").filter(same).select("query_id", "vec_id", dot.alias("score"))
-    return _ranked(whole.union(resolved), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    bounded_batches(vectors.sparkSession)
+    one = lambda df: df.groupBy("vec_id").agg(F.max("comps").alias("comps"))
+    # Ties go to smaller ids: of a class and a query, only the k + 1 smallest ids can be among k results.
+    classes = durable(_classes(one(vectors), k + 1))
+    asked = durable(one(queries))
+    distinct = durable(asked.groupBy("comps").agg(F.min("vec_id").alias("key")).select("key", "comps"))
+    n, m = classes.count(), distinct.count()
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    lists = durable(_blocks(classes.select("key", "comps"), BLOCK_ROWS, n))
+    query_blocks = durable(_blocks(distinct, QUERY_ROWS, m))
+
+    first = _met(lists, query_blocks, blocks).mapInArrow(_first_lists(k + 1), _ENTRY)
+    order = Window.partitionBy("query", "list").orderBy(F.desc("part"), "cls")
+    first = first.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1).select("query", "cls").distinct()
+    every = F.array(*[F.lit(i) for i in range(LISTS)])
+    resolved = durable(_whole(first.select("query", "cls", F.lit(0).cast("long").alias("known"), every.alias("missing")), distinct, classes))
+    cutoffs = resolved.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))).filter(F.col("at") == k + 1)
+    cutoffs = cutoffs.select(F.col("query").alias("key"), F.col("score").alias("cutoff"))
+
+    told = durable(_with_cuts(query_blocks, cutoffs))
+    second = _met(lists, told, blocks).mapInArrow(_second_lists, _ENTRY)
+    summed = second.groupBy("query", "cls").agg(F.sum("part").alias("known"), F.array_sort(F.collect_set("list")).alias("given"))
+    summed = durable(summed.select("query", "cls", "known", F.array_except(every, "given").alias("missing")))
+    whole = summed.filter("size(missing) = 0").select("query", "cls", F.col("known").alias("score"))
+    cut = cutoffs.select(F.col("key").alias("query"), "cutoff")
+    under = F.expr(f"cutoff div {LISTS} + if(cutoff % {LISTS} > 0, 1, 0) - 1")  # the most that a missing part can be
+    open_ = summed.filter("size(missing) > 0").join(cut, "query", "left").filter(F.col("cutoff").isNull() | (F.col("known") + F.size("missing") * under >= F.col("cutoff")))
+    scored = whole.union(_whole(open_.select("query", "cls", "known", "missing"), distinct, classes))
+
+    best = durable(_best(scored, k + 1))
+    members = best.join(classes.select(F.col("key").alias("cls"), F.explode("ids").alias("vec_id")), "cls").select("query", "vec_id", "score")
+    named = asked.join(distinct.withColumnRenamed("key", "query"), "comps").select(F.col("vec_id").alias("query_id"), "query")
+    found = named.join(members, "query").filter("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4(spark, sf_dir):

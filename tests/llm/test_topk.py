@@ -1,20 +1,27 @@
 import math
 import random
 
+from lamella.llm import topk
 from lamella.llm.topk import integer_vectors, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
 
 
+def score(a, b):
+    """Whole numbers without bounds; each half is held at 2^61."""
+    halves = [(0, len(a) // 2), (len(a) // 2, len(a))]
+    return sum(max(-(2**61), min(2**61, sum(x * y for x, y in zip(a[i:j], b[i:j])))) for i, j in halves)
+
+
 def brute(rows, k, every):
     vectors = {}
     for i, e in rows:
         if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
-            vectors[i] = [math.floor(256 * x) for x in e]
+            vectors[i] = max(vectors.get(i, []), [max(-(2**63), min(2**63 - 1, math.floor(256 * x))) for x in e])
     out = set()
     for q, a in vectors.items():
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), v) for v, b in vectors.items() if v != q and len(a) == len(b))
+            scored = sorted((-score(a, b), v) for v, b in vectors.items() if v != q and len(a) == len(b))
             out |= {(q, n + 1, v, -s) for n, (s, v) in enumerate(scored[:k])}
     return out
 
@@ -31,6 +38,32 @@ def test_equals_brute_force(spark):
     assert got == brute(rows, 5, 10)
 
 
+def run(spark, rows, k, every):
+    v = integer_vectors(spark.createDataFrame([(i, e, "clash") for i, e in rows], SCHEMA.replace("float", "double")).repartition(4))
+    return {tuple(r) for r in top_k(v, v.filter(f"vec_id % {every} = 0"), k).collect()}
+
+
+def test_blocks_ties_and_negative_scores(spark, monkeypatch):
+    """Many blocks of vectors and queries, ties everywhere, only negative scores, other dimensions."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(-1, 2)) for _ in range(3)]) for i in range(200)]
+    rows += [(300 + i, [-1.0 - i, 2.0]) for i in range(30)] + [(400 + 4 * i, [float((-1) ** i)]) for i in range(6)] + [(500, []), (504, [])]
+    assert run(spark, rows, 3, 4) == brute(rows, 3, 4)
+
+
+def test_scores_beyond_a_long_are_held_at_its_ends(spark):
+    rows = [(0, [1e12, 1e12]), (1, [1e12, 1e12]), (2, [-1e12, 1.0]), (4, [1e300, -1e300]), (6, [1.0, 1.0]), (8, [3e7, 3e7])]
+    got = run(spark, rows, 5, 2)
+    assert got == brute(rows, 5, 2) and (0, 1, 1, 2**62) in got
+
+
+def test_an_id_repeated_with_other_vectors_counts_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 3.0]), (1, [1.0, 1.0]), (1, [2.0, -9.0]), (2, [1.0, 1.0])]
+    assert run(spark, rows, 5, 2) == brute(rows, 5, 2)
+
+
 def test_few_candidates_and_empty_tables(spark):
     v = integer_vectors(spark.createDataFrame([(0, [1.0], ""), (1, [-1.0], "")], SCHEMA))
     assert [tuple(r) for r in top_k(v, v.filter("vec_id = 0")).collect()] == [(0, 1, 1, -65536)]
