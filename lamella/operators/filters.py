@@ -13,9 +13,9 @@ def gaussian_weights(sigma: float, radius: int) -> list[float]:
     return (w / w.sum()).tolist()
 
 
-def gaussian_x(voxels: DataFrame, sigma: float, radius: int, width: int) -> DataFrame:
-    """Gaussian along x with clamped edges: a sum of lags over each row of voxels, JVM only."""
-    line = Window.partitionBy("t", "c", "z", "y").orderBy("x")
+def gaussian(voxels: DataFrame, axis: str, sigma: float, radius: int) -> DataFrame:
+    """Gaussian along an axis with clamped edges: a sum of lags over each line of voxels, JVM only."""
+    line = Window.partitionBy("t", "c", *[k for k in "zyx" if k != axis]).orderBy(axis)
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last = F.first("v").over(whole), F.last("v").over(whole)
     total = F.lit(0.0)
@@ -26,6 +26,10 @@ def gaussian_x(voxels: DataFrame, sigma: float, radius: int, width: int) -> Data
     return voxels.withColumn("v", total)
 
 
+def gaussian_x(voxels: DataFrame, sigma: float, radius: int) -> DataFrame:
+    return gaussian(voxels, "x", sigma, radius)
+
+
 def gaussian_plane(image: np.ndarray, sigma: float, radius: int) -> np.ndarray:
     w = np.array(gaussian_weights(sigma, radius))
     for axis in (0, 1):

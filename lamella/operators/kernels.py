@@ -7,6 +7,7 @@ is one camera column, one pair of images, or one tile with its halo.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=64)
 def band_weights(nz: int, ny: int, slope: float, half: float, edge: float) -> np.ndarray:
     """Tilted band of a (z, y) spectrum: one inside, cosine taper to zero over ``edge``."""
     fz, fy = np.meshgrid(np.fft.fftfreq(nz), np.fft.fftfreq(ny), indexing="ij")
@@ -35,17 +37,33 @@ def reconstruct_column(sparse: np.ndarray, factor: int, slope: float, edge: floa
     return (factor * out)[:dense, :ny]
 
 
-def reconstruct(voxels: DataFrame, factor: int, slope: float) -> DataFrame:
-    """Fourier reconstruction of a decimated scan; columns of the camera are independent groups."""
+BLOCK = 8  # camera columns a group
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((int(pdf["z"].max()) + 1, int(pdf["y"].max()) + 1))
-        grid[pdf["z"], pdf["y"]] = pdf["v"]
-        out = reconstruct_column(grid, factor, slope)
-        z, y = np.mgrid[0 : out.shape[0], 0 : out.shape[1]]
-        return pd.DataFrame({"t": pdf["t"].iloc[0], "c": pdf["c"].iloc[0], "z": z.ravel(), "y": y.ravel(), "x": pdf["x"].iloc[0], "v": out.ravel()})
 
-    return voxels.groupBy("t", "c", "x").applyInPandas(run, "t long, c long, z long, y long, x long, v double")
+def _columns(pdf: pd.DataFrame, extents: tuple[int, int]):
+    """(x, dense (z, y) grid) of every camera column of a group; absent voxels are zero."""
+    for x, own in pdf.groupby("x"):
+        grid = np.zeros(extents)
+        grid[own["z"], own["y"]] = own["v"]
+        yield x, grid
+
+
+def _by_columns(voxels: DataFrame):
+    return voxels.withColumn("_b", F.floor(F.col("x") / BLOCK)).groupBy("t", "c", "_b")
+
+
+def reconstruct(voxels: DataFrame, factor: int, slope: float, extents: tuple[int, int]) -> DataFrame:
+    """Fourier reconstruction of a decimated scan of ``extents`` (planes, rows); columns of the camera are independent."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for x, grid in _columns(pdf, extents):
+            v = reconstruct_column(grid, factor, slope)
+            z, y = np.indices(v.shape).reshape(2, -1)
+            out.append(pd.DataFrame({"t": key[0], "c": key[1], "z": z, "y": y, "x": x, "v": v.ravel()}))
+        return pd.concat(out)
+
+    return _by_columns(voxels).applyInPandas(run, "t long, c long, z long, y long, x long, v double")
 
 
 def noise_column(column: np.ndarray, slope: float, band: float) -> tuple[np.ndarray, np.ndarray]:
@@ -57,18 +75,20 @@ def noise_column(column: np.ndarray, slope: float, band: float) -> tuple[np.ndar
     return residual / math.sqrt(max(share, 1e-12)), np.fft.ifft2(spectrum * w).real
 
 
-def noise_band(voxels: DataFrame, slope: float, band: float) -> DataFrame:
-    """``signal, r`` rows for the noise fit, one camera column at a time."""
+def noise_band(voxels: DataFrame, slope: float, band: float, extents: tuple[int, int]) -> DataFrame:
+    """``signal, r`` rows for the noise fit, one camera column of ``extents`` (planes, rows) at a time."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((int(pdf["z"].max()) + 1, int(pdf["y"].max()) + 1))
-        grid[pdf["z"], pdf["y"]] = pdf["v"]
-        r, s = noise_column(grid, slope, band)
-        return pd.DataFrame({"t": pdf["t"].iloc[0], "c": pdf["c"].iloc[0], "signal": s.ravel(), "r": r.ravel()})
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, grid in _columns(pdf, extents):
+            r, s = noise_column(grid, slope, band)
+            out.append(pd.DataFrame({"t": key[0], "c": key[1], "signal": s.ravel(), "r": r.ravel()}))
+        return pd.concat(out)
 
-    return voxels.groupBy("t", "c", "x").applyInPandas(run, "t long, c long, signal double, r double")
+    return _by_columns(voxels).applyInPandas(run, "t long, c long, signal double, r double")
 
 
+@lru_cache(maxsize=64)
 def propagated_variance(nz: int, ny: int, factor: int, phase: int, slope: float, noise: float) -> np.ndarray:
     """Variance of a reconstructed column for white noise in the kept planes."""
     w = band_weights(nz, ny, slope, 0.5 / factor - 0.025, 0.05)
@@ -78,60 +98,79 @@ def propagated_variance(nz: int, ny: int, factor: int, phase: int, slope: float,
     return np.fft.ifft2(np.fft.fft2(kept) * np.fft.fft2(kernel)).real
 
 
-def bead_spectrum(section: np.ndarray, threshold: float = 0.05) -> dict[str, float]:
-    """Support of a (z, y) bead section in its log amplitude over DC; a non-positive DC is refused."""
-    amplitude = np.abs(np.fft.fft2(section))
+def variances(jobs: DataFrame, extents: tuple[int, int], slope: float) -> DataFrame:
+    """Variance of every voxel (z, y) of a reconstructed column for each row (t, c, sigma, factor, phase)."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                v = propagated_variance(*extents, int(r.factor), int(r.phase), slope, 1.0) * r.sigma**2
+                z, y = np.indices(v.shape).reshape(2, -1)
+                out.append(pd.DataFrame({"t": r.t, "c": r.c, "factor": r.factor, "phase": r.phase, "z": z, "y": y, "variance": v.ravel()}))
+            if out:
+                yield pd.concat(out)
+
+    return jobs.select("t", "c", "sigma", "factor", "phase").mapInPandas(run, "t long, c long, factor int, phase int, z long, y long, variance double")
+
+
+def bead_spectrum(section: np.ndarray, threshold: float = 0.05) -> tuple[float | None, float | None]:
+    """Support of a (z, y) bead section in its log amplitude over DC, and the largest factor that keeps it.
+
+    Unknown where DC is not positive; the factor is unbounded (None) without support.
+    """
     if section.sum() <= 0:
-        return {"support": math.nan, "factor": math.nan}
+        return None, None
+    amplitude = np.abs(np.fft.fft2(section))
     fz = np.abs(np.fft.fftfreq(section.shape[0]))
-    hit = (amplitude / amplitude[0, 0] >= threshold).any(axis=1)
-    support = float(fz[hit].max())
-    return {"support": support, "factor": float(math.floor(0.5 / support)) if support > 0 else math.inf}
+    support = float(fz[(amplitude / amplitude[0, 0] >= threshold).any(axis=1)].max())
+    return support, float(math.floor(0.5 / support)) if support > 0 else None
 
 
-def bead_spectra(crops: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Support and bound of the factor of every bead: crops are summed over x first."""
+def bead_spectra(crops: DataFrame, radius: dict[str, int], threshold: float = 0.05) -> DataFrame:
+    """Support and bound of the factor of every bead: crops are summed over x first, absent voxels are zero."""
+    shape = 2 * radius["z"] + 1, 2 * radius["y"] + 1
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        section = pdf.pivot(index="dz", columns="dy", values="v").fillna(0).to_numpy(float)
-        return pd.DataFrame([{"bead": pdf["bead"].iloc[0], **bead_spectrum(section, threshold)}])
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        section = np.zeros(shape)
+        section[pdf["dz"] + radius["z"], pdf["dy"] + radius["y"]] = pdf["v"]
+        return pd.DataFrame([(key[0], *bead_spectrum(section, threshold))])
 
     return crops.groupBy("bead", "dz", "dy").agg(F.sum("v").alias("v")).groupBy("bead").applyInPandas(run, "bead long, support double, factor double")
 
 
-def sweep(voxels: DataFrame, factors: list[int], slope: float) -> DataFrame:
+def sweep(voxels: DataFrame, factors: list[int], slope: float, extents: tuple[int, int], background: float = 0.0) -> DataFrame:
     """All factors, phases and methods scored at the planes that were left out.
 
     Rows: t, c, factor, phase, method and the mergeable sums of the study. The factor and
-    phase tables are fixed parameters; every camera column is a group.
+    phase tables are fixed parameters; groups are BLOCK camera columns of ``extents`` (planes, rows).
     """
     wanted = [(f, p) for f in factors for p in range(f)]
+    names = ["n", "sr", "sp", "srr", "spp", "srp", "se", "sb", "power"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((int(pdf["z"].max()) + 1, int(pdf["y"].max()) + 1))
-        grid[pdf["z"], pdf["y"]] = pdf["v"]
-        out = []
-        for f, p in wanted:
-            kept = grid[p::f]
-            if len(kept) < 2:
-                continue
-            n = (len(kept) - 1) * f + 1
-            z = np.arange(n)
-            share = (z % f)[:, None] / f
-            low = kept[z // f]
-            linear = low + (kept[np.minimum(z // f + 1, len(kept) - 1)] - low) * share
-            rest = z % f != 0
-            ref = grid[p : p + n][rest]
-            for method, pred in (("fourier", reconstruct_column(kept, f, slope)[rest]), ("linear", linear[rest])):
-                d = pred - ref
-                out.append((f, p, method, ref.size, ref.sum(), pred.sum(), (ref**2).sum(), (pred**2).sum(), (ref * pred).sum(), (d**2).sum(), d.sum()))
-        columns = ["factor", "phase", "method", "n", "sr", "sp", "srr", "spp", "srp", "se", "sb"]
-        return pd.DataFrame(out, columns=columns).assign(t=pdf["t"].iloc[0], c=pdf["c"].iloc[0])[["t", "c", *columns]]
-
-    sums = "n double, sr double, sp double, srr double, spp double, srp double, se double, sb double"
-    parts = voxels.groupBy("t", "c", "x").applyInPandas(run, f"t long, c long, factor int, phase int, method string, {sums}")
-    names = [s.split()[0] for s in sums.split(", ")]
-    return parts.groupBy("t", "c", "factor", "phase", "method").agg(*[F.sum(k).alias(k) for k in names])
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sums: dict[tuple, np.ndarray] = {}
+        for _, grid in _columns(pdf, extents):
+            for f, p in wanted:
+                kept = grid[p::f]
+                if len(kept) < 2:
+                    continue
+                n = (len(kept) - 1) * f + 1
+                z = np.arange(n)
+                share = (z % f)[:, None] / f
+                low = kept[z // f]
+                linear = low + (kept[np.minimum(z // f + 1, len(kept) - 1)] - low) * share
+                rest = z % f != 0
+                ref = grid[p : p + n][rest]
+                for method, pred in (("fourier", reconstruct_column(kept, f, slope)[rest]), ("linear", linear[rest])):
+                    d = pred - ref
+                    own = np.array([ref.size, ref.sum(), pred.sum(), (ref**2).sum(), (pred**2).sum(), (ref * pred).sum(), (d**2).sum(), d.sum(), ((ref - background) ** 2).sum()])
+                    sums[f, p, method] = sums.get((f, p, method), 0) + own
+        return pd.DataFrame([(*key[:2], *k, *v) for k, v in sums.items()], columns=["t", "c", "factor", "phase", "method", *names])
+
+    parts = _by_columns(voxels).applyInPandas(run, "t long, c long, factor int, phase int, method string, " + ", ".join(f"{k} double" for k in names))
+    noise = [F.lit(0.0).alias(k) for k in ("read_floor", "shot_floor", "read_noise", "shot_noise")]
+    return parts.groupBy("t", "c", "factor", "phase", "method").agg(*[F.sum(k).alias(k) for k in names]).select("*", *noise)
 
 
 def robust_rigid(fx, fy, mx, my, radius: float = 8.0, rounds: int = 200, seed: int = 11) -> tuple[float, float, float, int]:
@@ -265,23 +304,29 @@ def deconvolve(voxels: DataFrame, psf: np.ndarray, extents: tuple[int, int, int]
     """Tiled deconvolution: voxels are copied into every tile whose halo holds them, tiles are groups.
 
     ``psf`` and ``tile`` are in (z, y, x). The halo is half the point-spread function, at
-    most a tile; a tile's result is kept inside its core only.
+    most a tile; a tile's result is kept inside its core only. The tile's box follows from its
+    place, so absent voxels are zeros and the whole core is emitted.
     """
     halo = [min(n // 2, t) for n, t in zip(psf.shape, tile)]
+    ends = (extents[2], extents[1], extents[0])
     out = voxels
-    for k, t, h, n in zip("zyx", tile, halo, (extents[2], extents[1], extents[0])):
+    for k, t, h, n in zip("zyx", tile, halo, ends):
         first = F.greatest(F.floor((F.col(k) - h) / t), F.lit(0))
         last = F.least(F.floor((F.col(k) + h) / t), F.lit((n - 1) // t))
         out = out.withColumn(f"_{k}", F.explode(F.sequence(first, last)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = [int(pdf[k].min()) for k in "zyx"]
-        image = np.zeros([int(pdf[k].max()) - a + 1 for k, a in zip("zyx", low)])
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        place = [int(k) for k in key[2:]]
+        low = [max(0, p * t - h) for p, t, h in zip(place, tile, halo)]
+        high = [min(n, (p + 1) * t + h) for p, t, h, n in zip(place, tile, halo, ends)]
+        image = np.zeros([b - a for a, b in zip(low, high)])
         image[tuple(pdf[k] - a for k, a in zip("zyx", low))] = pdf["v"]
         pads = [(0, max(0, p - n)) for p, n in zip(psf.shape, image.shape)]
         done = richardson_lucy(np.pad(image, pads), psf, rounds, variation)
-        core = pdf[np.logical_and.reduce([pdf[k] // t == pdf[f"_{k}"] for k, t in zip("zyx", tile)])]
-        return core[["t", "c", "z", "y", "x"]].assign(v=done[tuple(core[k] - a for k, a in zip("zyx", low))])
+        core = [(p * t, min(n, (p + 1) * t)) for p, t, n in zip(place, tile, ends)]
+        done = done[tuple(slice(a - o, b - o) for (a, b), o in zip(core, low))]
+        z, y, x = np.indices(done.shape).reshape(3, -1)
+        return pd.DataFrame({"t": key[0], "c": key[1], "z": z + core[0][0], "y": y + core[1][0], "x": x + core[2][0], "v": done.ravel()})
 
     return out.groupBy("t", "c", "_z", "_y", "_x").applyInPandas(run, "t long, c long, z long, y long, x long, v double")
 

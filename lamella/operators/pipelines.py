@@ -29,12 +29,22 @@ def compose(volume: DataFrame, slots: list[tuple[int, int]]) -> DataFrame:
     return volume.withColumn("slot", F.try_element_at(table, F.col("c").cast("int"))).filter("slot IS NOT NULL").drop("c").withColumnRenamed("slot", "c")
 
 
+def split_deskew(volume: DataFrame, step: float, pixel: float, angle: float, extents: tuple[int, int, int], parts: int) -> DataFrame:
+    """Deskew in parts along x, which the matrix leaves unmixed, and put the parts end to end again."""
+    width, height, depth = extents
+    length = -(-width // parts)
+    widths = [min(length, width - k * length) for k in range(parts) if k * length < width]
+    split = vx.split_axis(volume, "x", width, parts)
+    done = [resample.deskew(split.filter(F.col("part") == k).drop("part"), step, pixel, angle, (w, height, depth)) for k, w in enumerate(widths)]
+    return vx.concatenate(done, "x", widths)
+
+
 def multi_channel(volume: DataFrame, extents: tuple[int, int, int], matrices: dict[int, list[float]], slots: list[tuple[int, int]], geometry: tuple[float, float, float]) -> DataFrame:
     """Halves, deskew, alignment of the channels that have a matrix, composition."""
     width, height, depth = extents
     deskewed = resample.deskew(canonical_halves(volume, width), *geometry, (width // 2, height, depth))
     plain = deskewed.filter(~F.col("c").isin(list(matrices)))
-    tall = deskewed.agg(F.max("y") + 1).first()[0] or 1
+    _, tall, _ = resample.deskewed_size(*geometry, (width // 2, height, depth))
     aligned = [resample.align_voxels(deskewed.filter(F.col("c") == c), m, width // 2, tall) for c, m in matrices.items()]
     return compose(reduce(DataFrame.unionByName, aligned, plain), slots)
 

@@ -81,26 +81,34 @@ def saturated_range(voxels: DataFrame, keys: list[str], saturated: float) -> Dat
     return tails.groupBy(*keys).agg(F.min(F.when(F.col("below") > F.col("cut"), F.col("v"))).alias("low"), F.max(F.when(F.col("above") > F.col("cut"), F.col("v"))).alias("high"))
 
 
-def auto_range(voxels: DataFrame, keys: list[str], stage: int, bins: int = 256) -> DataFrame:
-    """Staged automatic range over ``bins`` equal bins.
+def next_stage(previous: int) -> int:
+    """Divisor of the next automatic range: half the last one; the cycle begins, and begins again after one under ten, at 5000."""
+    return previous // 2 if previous >= 10 else 5000
 
-    A bin counts if it holds more than n/stage voxels; bins above n/10 (background
-    peaks) are left out. Without such bins the full range is returned.
+
+def auto_range(voxels: DataFrame, keys: list[str], previous: int = 0, bins: int = 256) -> DataFrame:
+    """Staged automatic range over ``bins`` equal bins: ``keys, low, high, stage``.
+
+    A bin counts if it holds more than n/stage voxels and no more than n/10 (fuller ones are
+    background). The range goes from the first to the last bin that counts. Where none does, the
+    cycle ends (stage 0) with the full range; a single bin gives the full range, too. The full
+    range of a constant volume is one unit wide. Values come from a histogram, in two aggregates.
     """
+    stage = next_stage(previous)
     ends = voxels.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("total"))
-    width = F.greatest((F.col("hi") - F.col("lo")) / F.lit(float(bins)), F.lit(1e-9))
-    binned = histogram(voxels, keys).join(ends, keys).withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)))
-    counts = binned.groupBy(*keys, "lo", "hi", "total", "bin").agg(F.sum("n").alias("n"))
+    span = (F.col("hi") - F.col("lo")).cast("double")
+    place = F.when(span == 0, 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) * (F.lit(float(bins)) / span)), F.lit(bins - 1)))
+    counts = histogram(voxels, keys).join(ends, keys).groupBy(*keys, "lo", "hi", "total", place.alias("bin")).agg(F.sum("n").alias("n"))
     fit = (F.col("n") > F.floor(F.col("total") / stage)) & (F.col("n") <= F.floor(F.col("total") / 10))
-    ranged = counts.groupBy(*keys, "lo", "hi").agg(F.min(F.when(fit, F.col("bin"))).alias("b0"), F.max(F.when(fit, F.col("bin"))).alias("b1"))
-    low = F.coalesce(F.col("lo") + F.col("b0") * width, F.col("lo"))
-    high = F.coalesce(F.col("lo") + F.col("b1") * width, F.col("hi"))
-    return ranged.select(*keys, low.cast("double").alias("low"), high.cast("double").alias("high"))
-
-
-def next_stage(stage: int) -> int:
-    """5000, then halved; below 10 it starts again."""
-    return 5000 if stage // 2 < 10 else stage // 2
+    ranged = counts.groupBy(*keys, "lo", "hi").agg(
+        F.coalesce(F.min(F.when(fit & (F.col("bin") < bins - 1), F.col("bin"))), F.lit(bins - 1)).alias("first"),
+        F.coalesce(F.max(F.when(fit & (F.col("bin") > 0), F.col("bin"))), F.lit(0)).alias("last"),
+    )
+    full = F.when(span == 0, F.col("lo") + 1).otherwise(F.col("hi"))
+    whole = (F.col("last") <= F.col("first")) | (span == 0)
+    low = F.when(whole, F.col("lo")).otherwise(F.col("lo") + F.col("first") * (span / bins))
+    high = F.when(whole, full).otherwise(F.col("lo") + F.col("last") * (span / bins))
+    return ranged.select(*keys, low.cast("double").alias("low"), high.cast("double").alias("high"), F.when(F.col("last") < F.col("first"), 0).otherwise(stage).alias("stage"))
 
 
 def trimmed_range(voxels: DataFrame, keys: list[str], partner: Column, share: float = 0.00005) -> DataFrame:

@@ -44,24 +44,71 @@ def align_plane(image: np.ndarray, m: list[float], method: str = "linear", mirro
 def align_voxels(voxels: DataFrame, m: list[float], width: int, height: int, mirror: bool = False) -> DataFrame:
     """The same alignment as a relation: each source voxel feeds the target pixels it can reach.
 
-    The forward footprint of a pixel is at most a few target pixels (the matrix is near rigid), so this
-    is one expansion by a fixed factor and one aggregate, all in the JVM.
+    A pixel's footprint under a near-rigid matrix is about two pixels wide: the rows it can reach are
+    one short interval, and in each of them the columns are another, so a voxel becomes about
+    five rows, in the JVM. Each voxel's own place is fed with nothing, so that pixels whose source lies
+    outside come out as zero and projections of the result count them.
     """
     a = np.array([[m[0], m[1], m[2]], [m[3], m[4], m[5]], [0, 0, 1]], float)
     inv = np.linalg.inv(a)
     x = width - 1 - F.col("x") if mirror else F.col("x")
     src = voxels.select("t", "c", "z", F.col("y").alias("sy"), x.alias("sx"), "v")
-    reach = int(math.ceil(np.abs(a[:2, :2]).sum(axis=1).max()))
-    cx = F.floor(a[0, 0] * F.col("sx") + a[0, 1] * F.col("sy") + a[0, 2])
-    cy = F.floor(a[1, 0] * F.col("sx") + a[1, 1] * F.col("sy") + a[1, 2])
-    span = F.sequence(F.lit(-reach), F.lit(reach + 1))
-    fed = src.withColumn("x", F.explode(F.transform(span, lambda d: cx + d))).withColumn("y", F.explode(F.transform(span, lambda d: cy + d)))
-    fed = fed.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    slack = 1e-6
+    reach = float(np.abs(a[1, :2]).sum()) + slack
+    centre = a[1, 0] * F.col("sx") + a[1, 1] * F.col("sy") + a[1, 2]
+    rows = F.sequence(F.greatest(F.ceil(centre - reach), F.lit(0)), F.least(F.floor(centre + reach), F.lit(height - 1)))
+    fed = src.filter((centre + reach >= 0) & (centre - reach <= height - 1)).withColumn("y", F.explode(rows))
+    # Columns x of that row with |inv[0] . (x, y, 1) - sx| < 1.
+    middle = (F.col("sx") - inv[0, 1] * F.col("y") - inv[0, 2]) / inv[0, 0]
+    half = abs(1 / inv[0, 0]) + slack
+    first, last = F.greatest(F.ceil(middle - half), F.lit(0)), F.least(F.floor(middle + half), F.lit(width - 1))
+    fed = fed.filter(first <= last).withColumn("x", F.explode(F.sequence(first, last)))
     px = F.round(inv[0, 0] * F.col("x") + inv[0, 1] * F.col("y") + inv[0, 2], 9)
     py = F.round(inv[1, 0] * F.col("x") + inv[1, 1] * F.col("y") + inv[1, 2], 9)
     fed = fed.withColumns({"px": px, "py": py}).filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
     weight = F.greatest(1 - F.abs(F.col("px") - F.col("sx")), F.lit(0.0)) * F.greatest(1 - F.abs(F.col("py") - F.col("sy")), F.lit(0.0))
-    return fed.withColumn("w", weight).filter("w > 0").groupBy("t", "c", "z", "y", "x").agg(F.floor(F.sum(F.col("w") * F.col("v")) + 0.5).cast("long").alias("v"))
+    fed = fed.withColumn("w", weight).filter("w > 0").select("t", "c", "z", "y", "x", (F.col("w") * F.col("v")).alias("v"))
+    own = src.select("t", "c", "z", F.col("sy").alias("y"), F.col("sx").alias("x"), F.lit(0.0).alias("v"))
+    return fed.union(own).groupBy("t", "c", "z", "y", "x").agg(F.floor(F.sum("v") + 0.5).cast("long").alias("v"))
+
+
+def bounding(m: np.ndarray, extents: tuple[int, int, int]) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """The matrix moved so that the transformed box starts at zero, and the ceiled size (x, y, z) of that box."""
+    corners = np.array([[x, y, z, 1] for x in (0, extents[0]) for y in (0, extents[1]) for z in (0, extents[2])], float) @ m.T
+    low, high = corners[:, :3].min(axis=0), corners[:, :3].max(axis=0)
+    return mx.translate(*-low) @ m, tuple(max(1, math.ceil(n - 1e-9)) for n in high - low)
+
+
+def affine(voxels: DataFrame, m: np.ndarray, extents: tuple[int, int, int], size: tuple[int, int, int] | None = None) -> DataFrame:
+    """Trilinear resampling of every (t, c) under any invertible matrix: dense, zero outside the source.
+
+    Without ``size`` the output is the bounding box of the transformed extents. The output grid is
+    generated in Spark, each of its voxels asks for the corners that have weight, and an equi-join
+    on the voxel's place answers: no group holds a volume. A matrix that leaves x unmixed is cheaper by ``deskew``.
+    """
+    if size is None:
+        m, size = bounding(m, extents)
+    inv = np.linalg.inv(m)
+    grid = voxels.select("t", "c").distinct()
+    for axis, n in zip("zyx", size[::-1]):
+        grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    place = [F.round(float(r[0]) * F.col("x") + float(r[1]) * F.col("y") + float(r[2]) * F.col("z") + float(r[3]), 9) for r in inv[:3]]
+    asked = grid.withColumns(dict(zip(("px", "py", "pz"), place)))
+    inside = F.lit(True)
+    corners = None
+    for k, n in zip("xyz", extents):
+        p = F.col(f"p{k}")
+        inside = inside & p.between(0, n - 1)
+        pair = F.filter(F.array(*[F.struct(e.cast("long").alias("at"), (1 - F.abs(p - e)).alias("w")) for e in (F.floor(p), F.floor(p) + 1)]), lambda e: e["w"] > 0)
+        corners = [*(corners or []), (k, pair)]
+    fed = asked.filter(inside)
+    for k, pair in corners:
+        fed = fed.withColumn(f"c{k}", F.explode(pair))
+    fed = fed.select("t", "c", "z", "y", "x", *[F.col(f"c{k}.at").alias(f"s{k}") for k in "xyz"], (F.col("cx.w") * F.col("cy.w") * F.col("cz.w")).alias("w"))
+    source = voxels.select("t", "c", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "v")
+    met = fed.join(source, ["t", "c", "sx", "sy", "sz"]).select("t", "c", "z", "y", "x", (F.col("w") * F.col("v")).alias("v"))
+    empty = grid.select("t", "c", "z", "y", "x", F.lit(0.0).alias("v"))
+    return met.union(empty).groupBy("t", "c", "z", "y", "x").agg(F.floor(F.sum("v") + 0.5).cast("long").alias("v"))
 
 
 def deskew_block(block: np.ndarray, m: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -74,26 +121,34 @@ def deskew_block(block: np.ndarray, m: np.ndarray, shape: tuple[int, int]) -> np
     return np.stack([sample_bilinear(plane, yi, zi) for plane in block])
 
 
+def deskewed_size(step: float, pixel: float, angle: float, extents: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Width, height and depth of the deskewed box."""
+    width, height, depth = extents
+    a = math.radians(angle)
+    return width, math.ceil(math.cos(a) * (height - 1) + step / pixel * (depth - 1)) + 1, math.ceil(math.sin(a) * (height - 1)) + 1
+
+
 def deskew(voxels: DataFrame, step: float, pixel: float, angle: float, extents: tuple[int, int, int], block: int = 4) -> DataFrame:
     """Deskewed volume of every (t, c), grouped by blocks of x.
 
     The matrix leaves x unmixed, so blocks of x transform alone: the group is one block
-    of one volume whatever the width, and output voxels that are zero are not emitted.
+    of one volume whatever the width. The whole output box is emitted, zeros included, so that
+    means, minima and medians of the result count what lies outside the scan.
     """
     width, height, depth = extents
     m = mx.deskew(step, pixel, angle, height)
-    out_h = math.ceil(math.cos(math.radians(angle)) * (height - 1) + step / pixel * (depth - 1)) + 1
-    out_d = math.ceil(math.sin(math.radians(angle)) * (height - 1)) + 1
+    _, out_h, out_d = deskewed_size(step, pixel, angle, extents)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xs = np.sort(pdf["x"].unique())
-        raw = np.zeros((len(xs), depth, height))
-        raw[np.searchsorted(xs, pdf["x"]), pdf["z"], pdf["y"]] = pdf["v"]
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[2]) * block
+        n = min(block, width - first)
+        raw = np.zeros((n, depth, height))
+        raw[pdf["x"] - first, pdf["z"], pdf["y"]] = pdf["v"]
         out = np.floor(deskew_block(raw, m, (out_h, out_d)) + 0.5).astype(np.int64)
-        i, z, y = np.nonzero(out)
-        return pd.DataFrame({"t": pdf["t"].iloc[0], "c": pdf["c"].iloc[0], "z": z, "y": y, "x": xs[i], "v": out[i, z, y]})
+        x, z, y = np.indices(out.shape).reshape(3, -1)
+        return pd.DataFrame({"t": key[0], "c": key[1], "z": z, "y": y, "x": x + first, "v": out.ravel()})
 
-    keyed = voxels.withColumn("_b", F.floor(F.col("x") / block))
+    keyed = voxels.filter(F.col("x") < width).withColumn("_b", F.floor(F.col("x") / block))
     return keyed.groupBy("t", "c", "_b").applyInPandas(run, "t long, c long, z long, y long, x long, v long")
 
 
@@ -118,13 +173,12 @@ def covered_planes(step: float, pixel: float, angle: float, extents: tuple[int,
 
 
 def virtual_slice(voxels: DataFrame, step: float, pixel: float, angle: float, extents: tuple[int, int, int], z_out: int) -> DataFrame:
-    """One plane of the deskewed volume without making it: only the raw rows it covers are read."""
+    """One plane of the deskewed volume without making it: only the raw rows it covers are read. Outside the scan it is zero."""
     width, height, depth = extents
     m = mx.deskew(step, pixel, angle, height)
     out_h = math.ceil(math.cos(math.radians(angle)) * (height - 1) + step / pixel * (depth - 1)) + 1
     cells = covered_planes(step, pixel, angle, extents, (z_out, z_out), (0, out_h))
-    if not cells:
-        return voxels.limit(0).select("t", "c", "y", "x", F.col("v").cast("long").alias("v"))
+    cells = cells or [(0, 0, 0)]
     low, high = min(c[1] for c in cells), max(c[2] for c in cells)
     near = voxels.filter(F.col("z").between(cells[0][0], cells[-1][0]) & F.col("y").between(low, high))
     inv = np.linalg.inv(m)
@@ -140,4 +194,6 @@ def virtual_slice(voxels: DataFrame, step: float, pixel: float, angle: float, ex
     z_raw = F.round((F.col("yo") - base) * reach, 9)
     fed = fed.withColumn("zr", z_raw).filter(F.col("zr").between(0, depth - 1))
     weight = F.col("wy") * F.greatest(1 - F.abs(F.col("zr") - F.col("z")), F.lit(0.0))
-    return fed.groupBy("t", "c", F.col("yo").alias("y"), "x").agg(F.floor(F.sum(weight * F.col("v")) + 0.5).cast("long").alias("v"))
+    lines = voxels.select("t", "c", "x").distinct().withColumn("yo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(out_h - 1).cast("long"))))
+    values = fed.select("t", "c", "x", F.col("yo").cast("long").alias("yo"), (weight * F.col("v")).alias("v")).union(lines.select("t", "c", "x", "yo", F.lit(0.0).alias("v")))
+    return values.groupBy("t", "c", F.col("yo").alias("y"), "x").agg(F.floor(F.sum("v") + 0.5).cast("long").alias("v"))

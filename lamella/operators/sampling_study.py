@@ -6,42 +6,76 @@ score comes from summed sums, never from a mean of scores.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.operators.project import median_mad
+from lamella.operators.filters import gaussian
 
 SUMS = {
     "n": "1", "sr": "ref", "sp": "pred", "srr": "ref * ref", "spp": "pred * pred", "srp": "ref * pred",
-    "se": "(pred - ref) * (pred - ref)", "sb": "pred - ref",
+    "se": "(pred - ref) * (pred - ref)", "sb": "pred - ref", "power": "(ref - background) * (ref - background)",
 }
-
-
-def statistics(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Mergeable sums over (ref, pred) rows."""
-    return pairs.groupBy(*keys).agg(*[F.expr(f"sum({e})").alias(k) for k, e in SUMS.items()])
-
-
-def pooled(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores of merged sums: nrmse, bias and Pearson correlation; NULL where undefined."""
-    merged = stats.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in SUMS])
-    spread = "sqrt((n * srr - sr * sr) * (n * spp - sp * sp))"
-    return merged.withColumns({
-        "nrmse": F.expr("sqrt(try_divide(se, srr))"), "bias": F.expr("try_divide(sb, sr)"), "correlation": F.expr(f"try_divide(n * srp - sr * sp, {spread})"),
-    })
-
-
-def verdicts(stats: DataFrame, keys: list[str], limit: float) -> DataFrame:
-    """Pooled and worst-phase score of each factor, its verdict, and the increase over factor 2."""
-    scored = stats.groupBy(*keys, "factor").agg(
-        F.expr("sqrt(try_divide(sum(se), sum(srr)))").alias("score"), F.expr("max(sqrt(try_divide(se, srr)))").alias("worst"), F.count(F.lit(1)).alias("phases")
+# Expected noise in ``se`` and in ``power``, by what multiplies it: the read variance or the gain.
+NOISE = ["read_floor", "shot_floor", "read_noise", "shot_noise"]
+
+
+def statistics(pairs: DataFrame, keys: list[str], background: float = 0.0) -> DataFrame:
+    """Mergeable sums over (ref, pred) rows, and over the columns of NOISE where ``pairs`` has them (else 0)."""
+    rows = pairs.withColumn("background", F.lit(background))
+    noise = [F.sum(k if k in pairs.columns else F.lit(0.0)).cast("double").alias(k) for k in NOISE]
+    return rows.groupBy(*keys).agg(*[F.expr(f"sum({e})").alias(k) for k, e in SUMS.items()], *noise)
+
+
+def scores(fit: tuple[float, float] | None = None) -> dict:
+    """Scores of summed columns; NULL where undefined. ``fit`` is the noise model (read variance, gain).
+
+    ``nrmse`` relates the squared error to the power over the background, ``bias`` is the mean
+    difference. ``excess`` removes the expected noise from both before it relates them, and
+    ``noise_share`` is the noise's part of the squared error; both are unknown without a fit.
+    """
+    variance, gain = fit or (None, None)
+    floor = F.lit(variance).cast("double") * F.col("read_floor") + F.lit(gain).cast("double") * F.col("shot_floor")
+    clean = F.col("power") - (F.lit(variance).cast("double") * F.col("read_noise") + F.lit(gain).cast("double") * F.col("shot_noise"))
+    ref2, pred2 = "(srr - sr * sr / greatest(n, 1))", "(spp - sp * sp / greatest(n, 1))"
+    return {
+        "nrmse": F.expr("CASE WHEN n > 0 AND power > 0 THEN sqrt(se / power) END"),
+        "bias": F.expr("CASE WHEN n > 0 THEN sb / n END"),
+        "correlation": F.expr(f"CASE WHEN {ref2} > 1e-12 AND {pred2} > 1e-12 THEN (srp - sr * sp / n) / sqrt({ref2} * {pred2}) END"),
+        "excess": F.when((F.col("n") > 0) & (clean > 0), F.sqrt(F.greatest(F.col("se") - floor, F.lit(0.0)) / F.when(clean > 0, clean))),
+        "noise_share": F.when(F.col("se") > 0, floor / F.when(F.col("se") > 0, F.col("se"))),
+    }
+
+
+def pooled(stats: DataFrame, keys: list[str], fit: tuple[float, float] | None = None) -> DataFrame:
+    """Merged sums and their scores."""
+    return stats.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in [*SUMS, *NOISE]]).withColumns(scores(fit))
+
+
+def verdicts(stats: DataFrame, keys: list[str], limit: float, fit: tuple[float, float] | None = None, evidence: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Pooled and worst-phase score of each factor, its verdict, and the increase over factor 2.
+
+    A factor needs all its phases, each with a score, and eligible ``evidence`` (``by``,
+    evidence). The increase compares error energies of the noise-corrected excess and is
+    given only where factor 2 and the factor are scored in every phase.
+    """
+    phase = stats.withColumns({"own": scores(fit)["nrmse"]})
+    merged = phase.groupBy(*keys, "factor").agg(
+        *[F.sum(k).alias(k) for k in [*SUMS, *NOISE]], F.count(F.lit(1)).alias("phases"), F.max("own").alias("worst"), F.count_if(F.col("own").isNull()).alias("unscored")
     )
-    base = F.max(F.when(F.col("factor") == 2, F.col("score"))).over(Window.partitionBy(*keys))
+    scored = merged.withColumns(scores(fit))
+    if evidence is not None:
+        scored = scored.join(evidence, by, "left")
+    eligible = F.lit(True) if evidence is None else F.coalesce(F.col("evidence") == "eligible", F.lit(False))
+    complete = F.col("phases") == F.col("factor")
+    known = (F.col("unscored") == 0) & F.col("nrmse").isNotNull()
     verdict = (
-        F.when(F.col("worst").isNull(), "Insufficient evidence").when(F.col("phases") < F.col("factor"), "Incomplete")
-        .when(F.col("worst") > limit, "Fails").otherwise("Pass")
+        F.when(~complete, "Incomplete").when(~(eligible & known), "Insufficient evidence")
+        .when((F.col("nrmse") <= limit) & (F.col("worst") <= limit), "Pass").otherwise("Fails")
     )
-    return scored.select(*keys, "factor", "score", "worst", verdict.alias("verdict"), (F.col("score") / base - 1).alias("increase"))
+    usable = F.when(complete & (F.col("unscored") == 0), F.col("excess"))
+    base = F.max(F.when(F.col("factor") == 2, usable)).over(Window.partitionBy(*keys))
+    increase = F.sqrt(F.greatest(usable * usable - base * base, F.lit(0.0)))
+    return scored.select(*keys, "factor", F.col("nrmse").alias("score"), "worst", "excess", verdict.alias("verdict"), F.when(usable.isNotNull() & base.isNotNull(), increase).alias("increase"))
 
 
 def passing_range(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,25 +87,58 @@ def passing_range(runs: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "contiguous_to", F.when(F.size("apart") > 0, F.array_join(F.transform("apart", lambda f: f.cast("string")), ",")).alias("isolated"))
 
 
-def evidence(voxels: DataFrame, keys: list[str], signal: int, top: int) -> DataFrame:
-    """The first reason why a region is no evidence, or ``adequate``."""
-    q = voxels.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") > signal).alias("signal"), F.countDistinct(F.when(F.col("v") > signal, F.col("z"))).alias("planes"),
-        F.count_if(F.col("v") >= top).alias("saturated"), F.median("v").alias("noise"),
-    )
-    reason = (
-        F.when(F.col("noise") <= 0, "no noise estimate").when(F.col("signal") < 100, "too few signal voxels").when(F.col("planes") < 3, "too few planes")
-        .when(F.col("saturated") > 0.01 * F.col("n"), "saturated").otherwise("adequate")
+def smoothed(voxels: DataFrame, sigma: float, radius: int, background: float = 0.0) -> DataFrame:
+    """``v - background`` under a separable Gaussian, edges clamped: one window an axis."""
+    out = voxels.withColumn("v", F.col("v").cast("double") - background)
+    for axis in "xyz":
+        out = gaussian(out, axis, sigma, radius)
+    return out
+
+
+def mask_threshold(smooth: DataFrame, keys: list[str], sigma: DataFrame, sigmas: float, fraction: float, inside) -> DataFrame:
+    """``keys, threshold``: max(sigmas * sigma, fraction * order statistic floor(0.995 (n - 1))) inside the guards.
+
+    Only the tail over an approximate quantile is ranked, about a hundredth of the voxels.
+    """
+    inner = smooth.filter(inside)
+    cut = F.when(F.count(F.lit(1)) < 2000, F.min("v")).otherwise(F.percentile_approx("v", 0.985, 10_000))
+    low = inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), cut.alias("low"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v")))
+    tail = inner.join(low, keys).filter("v >= low").select(*keys, "n", "v", place.alias("place"))
+    high = tail.filter(F.col("place") == F.col("n") - F.floor(F.lit(0.995) * (F.col("n") - 1))).select(*keys, F.col("v").alias("high"))
+    return high.join(sigma, keys).select(*keys, F.greatest(sigmas * F.col("sigma"), fraction * F.col("high")).alias("threshold"))
+
+
+def signal_mask(voxels: DataFrame, keys: list[str], sigma: DataFrame, sigmas: float, fraction: float, guards: dict[str, tuple[int, int]], background: float = 0.0) -> DataFrame:
+    """Voxels of the mask: the smoothed volume lies over the threshold, inside the guards of every axis.
+
+    The mask is read from a smoothed volume, as one read from the voxels it then scores would
+    prefer those with high noise. ``sigma``: keys, sigma (0 where a volume is free of noise).
+    """
+    smooth = smoothed(voxels, 1.0, 4, background)
+    inside = F.lit(True)
+    for axis, (lo, hi) in guards.items():
+        inside = inside & F.col(axis).between(lo, hi)
+    limit = mask_threshold(smooth, keys, sigma, sigmas, fraction, inside)
+    return smooth.filter(inside).join(limit, keys).filter("v > threshold").select("t", "c", "z", "y", "x", "v")
+
+
+def evidence(minimum_signal: int) -> Column:
+    """The first reason why a region is no evidence, or ``eligible``.
+
+    Columns: geometry_confirmed, noise_known, noise_free, sigma, signal (mask voxels), planes
+    (with signal), saturated (voxels at the top).
+    """
+    free = F.coalesce(F.col("noise_free"), F.lit(False))
+    return (
+        F.when(~F.coalesce(F.col("geometry_confirmed"), F.lit(False)), "geometry unverified").when(~F.coalesce(F.col("noise_known"), F.lit(False)) & ~free, "noise unverified")
+        .when(~free & (F.coalesce(F.col("sigma"), F.lit(0.0)) == 0), "zero noise").when((F.col("signal") < minimum_signal) | (F.col("planes") < 3), "insufficient foreground")
+        .when(F.col("saturated") > 0, "saturated").otherwise("eligible")
     )
-    return q.select(*keys, reason.alias("evidence"))
 
 
-def signal_mask(voxels: DataFrame, keys: list[str], sigmas: float, fraction: float, guard: tuple[int, int]) -> DataFrame:
-    """Voxels inside the guards above max(sigmas * sigma, fraction * 99.5 % order statistic)."""
-    inner = voxels.filter(F.col("z").between(*guard))
-    sigma = median_mad(voxels, keys).select(*keys, "sigma")
-    high = inner.groupBy(*keys).agg(F.expr("percentile_disc(0.995) WITHIN GROUP (ORDER BY v)").alias("q"))
-    return inner.join(sigma, keys).join(high, keys).filter(F.col("v") >= F.greatest(sigmas * F.col("sigma"), fraction * F.col("q"))).select("t", "c", "z", "y", "x", "v")
+def with_evidence(regions: DataFrame, minimum_signal: int = 64) -> DataFrame:
+    return regions.withColumn("evidence", evidence(minimum_signal))
 
 
 def noise_fit(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries of resampling, Fourier, detection, alignment and deconvolution kernels."""
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from lamella.functions import matrix as mx
 from lamella.operators import filters, kernels, points as pt, project as pj, resample as rs, voxels as vx
 from lamella.operators.sampling_study import noise_fit, pooled, verdicts
 from lamella.plans import views
+from lamella.plans.q_points import CROPS_SQL, RADIUS, crops
 from lamella.plans.registry import query
 
 W = H = D = 10
@@ -32,19 +34,50 @@ def _embedded(spark, sf_dir):
     return e.select(F.col("vec_id").alias("z"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("embedding").cast("array<double>").alias("px"))
 
 
-@query("p09_deskewed_volume")
+def deskew_sql(name: str, source: str, width: int, height: int = H, depth: int = D) -> str:
+    """CTE ``name`` (t, c, z, y, x, v): every voxel of the deskewed box by bilinear weights of the raw row and plane it comes from."""
+    a = math.radians(ANGLE)
+    tall, deep = math.ceil(math.cos(a) * (height - 1) + STEP / PIXEL * (depth - 1)) + 1, math.ceil(math.sin(a) * (height - 1)) + 1
+    row = f"({height - 1} - z / {math.sin(a)!r}e0)"
+    return f"""{name}_o AS (SELECT t, c, x, z, y, round({row}, 9) AS ry, round((y - {math.cos(a)!r}e0 * {row}) / {STEP / PIXEL!r}e0, 9) AS rz
+        FROM (SELECT DISTINCT t, c, x FROM {source}), (SELECT unnest(range({deep})) AS z), (SELECT unnest(range({tall})) AS y)),
+      {name} AS (SELECT o.t, o.c, o.z, o.y, o.x, CAST(floor(coalesce(sum((1 - abs(ry - s.y)) * (1 - abs(rz - s.z)) * s.v), 0) + 0.5) AS BIGINT) AS v FROM {name}_o o
+        LEFT JOIN {source} s ON s.t = o.t AND s.c = o.c AND s.x = o.x AND abs(ry - s.y) < 1 AND abs(rz - s.z) < 1 AND ry BETWEEN 0 AND {height - 1} AND rz BETWEEN 0 AND {depth - 1} GROUP BY ALL)"""
+
+
+@query("p09_deskewed_volume", V + ", " + deskew_sql("dk", "voxels", W) + " SELECT * FROM dk")
 def p09(spark, sf_dir):
     return rs.deskew(_v(spark, sf_dir), STEP, PIXEL, ANGLE, (W, H, D))
 
 
+# A matrix that mixes all axes: turned about z and x, stretched along z.
+MIXED = mx.product([mx.rotate("z", 12.0), mx.rotate("x", 20.0), mx.scale(1.0, 1.0, 1.3)])
+
+
+def _affine_sql():
+    moved, size = rs.bounding(MIXED, (W, H, D))
+    i = np.linalg.inv(moved)
+    at = [f"round({float(r[0])!r}e0 * x + {float(r[1])!r}e0 * y + {float(r[2])!r}e0 * z + {float(r[3])!r}e0, 9)".replace("e-", "E-") for r in i[:3]]
+    at = [re.sub(r"(E-\d+)e0", r"\1", e) for e in at]
+    return V + f""", o AS (SELECT t, c, z, y, x, {at[0]} AS px, {at[1]} AS py, {at[2]} AS pz FROM (SELECT DISTINCT t, c FROM voxels), (SELECT unnest(range({size[2]})) AS z), (SELECT unnest(range({size[1]})) AS y), (SELECT unnest(range({size[0]})) AS x))
+    SELECT o.t, o.c, o.z, o.y, o.x, CAST(floor(coalesce(sum((1 - abs(px - s.x)) * (1 - abs(py - s.y)) * (1 - abs(pz - s.z)) * s.v), 0) + 0.5) AS BIGINT) AS v FROM o
+    LEFT JOIN voxels s ON s.t = o.t AND s.c = o.c AND s.x IN (floor(px), floor(px) + 1) AND s.y IN (floor(py), floor(py) + 1) AND s.z IN (floor(pz), floor(pz) + 1)
+      AND px BETWEEN 0 AND 9 AND py BETWEEN 0 AND 9 AND pz BETWEEN 0 AND 9 GROUP BY ALL"""
+
+
+@query("p09_affine_volume", _affine_sql())
+def p09b(spark, sf_dir):
+    return rs.affine(_v(spark, sf_dir), MIXED, (W, H, D))
+
+
 def _align_sql():
     a = np.array([TURN[:3], TURN[3:], [0, 0, 1]])
     i = np.linalg.inv(a)
     px = f"round({i[0, 0]!r}e0 * o.x + {i[0, 1]!r}e0 * o.y + {i[0, 2]!r}e0, 9)".replace("np.float64(", "").replace(")e0", "e0")
     py = f"round({i[1, 0]!r}e0 * o.x + {i[1, 1]!r}e0 * o.y + {i[1, 2]!r}e0, 9)".replace("np.float64(", "").replace(")e0", "e0")
     return V + f""", p AS (SELECT t, c, y, x, max(v) AS v FROM voxels GROUP BY ALL), o AS (SELECT *, {px} AS px, {py} AS py FROM p o)
-    SELECT o.t, o.c, 0 AS z, o.y, o.x, CAST(floor(sum(greatest(1 - abs(px - s.x), 0) * greatest(1 - abs(py - s.y), 0) * s.v) + 0.5) AS BIGINT) AS v
-    FROM o JOIN p s ON s.t = o.t AND s.c = o.c AND abs(px - s.x) < 1 AND abs(py - s.y) < 1 WHERE px BETWEEN 0 AND 9 AND py BETWEEN 0 AND 9 GROUP BY ALL"""
+    SELECT o.t, o.c, 0 AS z, o.y, o.x, CAST(floor(coalesce(sum((1 - abs(px - s.x)) * (1 - abs(py - s.y)) * s.v), 0) + 0.5) AS BIGINT) AS v
+    FROM o LEFT JOIN p s ON s.t = o.t AND s.c = o.c AND abs(px - s.x) < 1 AND abs(py - s.y) < 1 AND px BETWEEN 0 AND 9 AND py BETWEEN 0 AND 9 GROUP BY ALL"""
 
 
 @query("p17_aligned_voxels", _align_sql())
@@ -53,12 +86,12 @@ def p17(spark, sf_dir):
     return rs.align_voxels(flat, TURN, W, H)
 
 
-@query("p17_aligned_planes", _align_sql().replace("SELECT o.t, o.c, 0 AS z, o.y, o.x, CAST", "SELECT t, c, z, y, x, v FROM (SELECT o.t, o.c, 0 AS z, o.y, o.x, CAST") + ") WHERE v <> 0")
+@query("p17_aligned_planes", _align_sql())
 def p17b(spark, sf_dir):
-    return vx.to_voxels(filters.per_plane(_planes(spark, sf_dir), rs.align_plane, TURN)).withColumn("v", F.col("v").cast("long")).filter("v <> 0")
+    return vx.to_voxels(filters.per_plane(_planes(spark, sf_dir), rs.align_plane, TURN)).withColumn("v", F.col("v").cast("long"))
 
 
-@query("p22_virtual_slice")
+@query("p22_virtual_slice", V + ", " + deskew_sql("dk", "voxels", W) + " SELECT t, c, y, x, v FROM dk WHERE z = 2")
 def p22(spark, sf_dir):
     return rs.virtual_slice(_v(spark, sf_dir), STEP, PIXEL, ANGLE, (W, H, D), 2)
 
@@ -72,12 +105,18 @@ def p29(spark, sf_dir):
     return px.select("z", F.expr("pos div 8").alias("y"), F.expr("pos % 8").alias("x"), "v")
 
 
-@query("w08_difference_of_gaussians")
+def _blur_sql(sigma: float, radius: int) -> str:
+    k = f"(SELECT d, exp(-0.5 * (d / {sigma}e0) ** 2) / (SELECT sum(exp(-0.5 * (d / {sigma}e0) ** 2)) FROM (SELECT unnest(range({-radius}, {radius + 1})) AS d)) AS w FROM (SELECT unnest(range({-radius}, {radius + 1})) AS d))"
+    return f"(SELECT a.z, a.y, a.x, sum(j.w * i.w * b.v) AS v FROM v a CROSS JOIN {k} j CROSS JOIN {k} i JOIN v b ON b.z = a.z AND b.y = least(greatest(a.y + j.d, 0), 7) AND b.x = least(greatest(a.x + i.d, 0), 7) GROUP BY ALL)"
+
+
+@query("w08_difference_of_gaussians", f"""WITH v AS (SELECT vec_id AS z, pos // 8 AS y, pos % 8 AS x, CAST(embedding[pos + 1] AS DOUBLE) AS v FROM (SELECT vec_id, unnest(range(64)) AS pos, embedding FROM embeddings))
+    SELECT z, CAST(y * 8 + x AS INTEGER) AS pos, round(one.v - two.v, 9) AS v FROM {_blur_sql(1.0, 3)} one JOIN {_blur_sql(1.6, 5)} two USING (z, y, x)""")
 def w08b(spark, sf_dir):
     def dog(image):
         return filters.gaussian_plane(image, 1.0, 3) - filters.gaussian_plane(image, 1.6, 5)
 
-    return filters.per_plane(_embedded(spark, sf_dir), dog).select("z", F.posexplode("px").alias("pos", "v"))
+    return filters.per_plane(_embedded(spark, sf_dir), dog).select("z", F.posexplode("px").alias("pos", "v")).withColumn("v", F.round("v", 9))
 
 
 _CELLS = rs.covered_planes(STEP, PIXEL, ANGLE, (W, H, D), (1, 2), (6, 12))
@@ -90,49 +129,71 @@ def j10(spark, sf_dir):
     return _v(spark, sf_dir).join(cells.select("z", "y"), ["z", "y"], "left_semi").select("t", "c", "z", "y", "x", "v")
 
 
-@query("k01_fourier_reconstruction")
+def band_sql(name: str, nz: int, ny: int, half: float, edge: float, slope: float = 0.3) -> str:
+    """CTEs ``name_w`` (weights by frequency) and ``name_k`` (dz, dy, k: their inverse transform, the kernel of a circular convolution)."""
+    f = lambda k, n: f"(CASE WHEN {k} < {(n + 1) // 2} THEN {k} ELSE {k} - {n} END / {n}.0e0)"
+    return f"""{name}_w AS (SELECT fz, fy, CASE WHEN d <= {half!r}e0 THEN 1.0e0 WHEN d >= {half!r}e0 + {edge!r}e0 THEN 0.0e0 ELSE 0.5e0 * (1 + cos(pi() * (d - {half!r}e0) / {edge!r}e0)) END AS w FROM (SELECT fz, fy, abs(q - floor(q + 0.5e0)) AS d FROM (
+        SELECT {f("kz", nz)} AS fz, {f("ky", ny)} AS fy, {f("kz", nz)} - {slope!r}e0 * {f("ky", ny)} AS q FROM (SELECT unnest(range({nz})) AS kz), (SELECT unnest(range({ny})) AS ky)))),
+      {name}_k AS (SELECT dz, dy, sum(w * cos(2 * pi() * (fz * dz + fy * dy))) / {nz * ny} AS k FROM {name}_w, (SELECT unnest(range({nz})) AS dz), (SELECT unnest(range({ny})) AS dy) GROUP BY dz, dy)"""
+
+
+@query("k01_fourier_reconstruction", V + ", " + band_sql("b", 16, 16, 0.5 / 2 - 0.05 / 2, 0.05) + """, g AS (SELECT unnest(range(9)) AS z), h AS (SELECT unnest(range(10)) AS y)
+    SELECT t, c, g.z, h.y, x, round(2 * sum(k * v), 3) AS v FROM (SELECT * FROM voxels WHERE z % 2 = 0) p, g, h JOIN b_k ON dz = (g.z - p.z + 16) % 16 AND dy = (h.y - p.y + 16) % 16 GROUP BY t, c, g.z, h.y, x""")
 def k01(spark, sf_dir):
-    return kernels.reconstruct(vx.decimate(_v(spark, sf_dir), 2, 0), 2, 0.3)
+    return kernels.reconstruct(vx.decimate(_v(spark, sf_dir), 2, 0), 2, 0.3, (D // 2, H)).withColumn("v", F.round("v", 3))
 
 
-@query("k02_noise_band")
+@query("k02_noise_band", V + ", " + band_sql("b", 10, 10, 0.2, 0.02) + """, g AS (SELECT unnest(range(10)) AS z), h AS (SELECT unnest(range(10)) AS y),
+    s AS (SELECT t, c, g.z, h.y, x, sum(k * v) AS s FROM voxels p, g, h JOIN b_k ON dz = (g.z - p.z + 10) % 10 AND dy = (h.y - p.y + 10) % 10 GROUP BY t, c, g.z, h.y, x),
+    r AS (SELECT t, c, s, (v - s) / sqrt((SELECT avg((1 - w) ** 2) FROM b_w)) AS r FROM s JOIN voxels USING (t, c, z, y, x))
+    SELECT t, c, round(greatest(regr_slope(r * r, s), 0), 3) AS gain, round(CASE WHEN regr_slope(r * r, s) >= 0 THEN regr_intercept(r * r, s) ELSE avg(r * r) END, 0) AS floor FROM r GROUP BY t, c""")
 def k02(spark, sf_dir):
-    return noise_fit(kernels.noise_band(_v(spark, sf_dir), 0.3, 0.2), ["t", "c"])
+    fit = noise_fit(kernels.noise_band(_v(spark, sf_dir), 0.3, 0.2, (D, H)), ["t", "c"])
+    return fit.select("t", "c", F.round("gain", 3).alias("gain"), F.round("floor", 0).alias("floor"))
 
 
-@query("k03_propagated_variance")
+@query("k03_propagated_variance", V + ", " + ", ".join(band_sql(f"b{f}", D, H, 0.5 / f - 0.025, 0.05) for f in (2, 3)) + """, m AS (SELECT t, c, median(v) AS median FROM voxels GROUP BY t, c), s AS (SELECT t, c, 1.4826 * median(abs(v - median)) AS sigma FROM voxels JOIN m USING (t, c) GROUP BY t, c),
+    j AS (SELECT 2 AS factor, dz, dy, (2 * k) ** 2 AS kk FROM b2_k UNION ALL SELECT 3, dz, dy, (3 * k) ** 2 FROM b3_k), p AS (SELECT factor, unnest(range(factor)) AS phase FROM (SELECT unnest([2, 3]) AS factor)),
+    u AS (SELECT p.factor, p.phase, g.z, h.y, sum(kk) AS u FROM p, (SELECT unnest(range(10)) AS z) g, (SELECT unnest(range(10)) AS y) h, (SELECT unnest(range(10)) AS kz) a, (SELECT unnest(range(10)) AS ky) b
+      JOIN j ON j.factor = p.factor AND a.kz % p.factor = p.phase AND dz = (g.z - a.kz + 10) % 10 AND dy = (h.y - b.ky + 10) % 10 GROUP BY ALL)
+    SELECT t, c, factor, phase, z, y, round(sigma * sigma * u, 2) AS variance FROM s, u""")
 def k03(spark, sf_dir):
     sigma = pj.median_mad(_v(spark, sf_dir), ["t", "c"])
     wanted = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(p).alias("p")) for f in (2, 3) for p in range(f)])
     jobs = sigma.withColumn("j", F.explode(wanted)).select("t", "c", "sigma", F.col("j.f").alias("factor"), F.col("j.p").alias("phase"))
+    return kernels.variances(jobs, (D, H), 0.3).withColumn("variance", F.round("variance", 2))
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(variance=[float(kernels.propagated_variance(D, H, f, p, 0.3, s).mean()) for f, p, s in zip(pdf["factor"], pdf["phase"], pdf["sigma"])])
-
-    return jobs.mapInPandas(run, "t long, c long, sigma double, factor int, phase int, variance double")
 
-
-@query("k04_bead_spectra")
+@query("k04_bead_spectra", CROPS_SQL + """, s AS (SELECT bead, dz, dy, sum(v) AS v FROM k GROUP BY ALL), f AS (SELECT kz, ky, CASE WHEN kz < 3 THEN kz ELSE kz - 5 END / 5.0e0 AS fz, CASE WHEN ky < 2 THEN ky ELSE ky - 3 END / 3.0e0 AS fy FROM (SELECT unnest(range(5)) AS kz), (SELECT unnest(range(3)) AS ky)),
+    a AS (SELECT bead, kz, ky, fz, sqrt(sum(v * cos(2 * pi() * (fz * dz + fy * dy))) ** 2 + sum(v * sin(2 * pi() * (fz * dz + fy * dy))) ** 2) AS a FROM s, f GROUP BY ALL), d AS (SELECT bead, sum(v) AS dc FROM s GROUP BY bead),
+    u AS (SELECT bead, max(abs(fz)) FILTER (a / dc >= 0.1) AS support FROM a JOIN d USING (bead) WHERE dc > 0 GROUP BY bead) SELECT bead, round(support, 6) AS support, CASE WHEN support > 0 THEN floor(0.5 / support) END AS factor FROM d LEFT JOIN u USING (bead)""")
 def k04(spark, sf_dir):
-    v = _v(spark, sf_dir)
-    beads = v.filter("v % 97 = 5").select("t", "c", F.col("z").alias("bz"), F.col("y").alias("by"), F.col("x").alias("bx"), F.expr("(t * 10 + c) * 1000 + z * 100 + y * 10 + x").alias("bead"))
-    return kernels.bead_spectra(pt.crops(v, beads, {"z": 2, "y": 1, "x": 1}))
+    return kernels.bead_spectra(crops(spark, sf_dir), RADIUS, 0.1).withColumn("support", F.round("support", 6))
 
 
 @query("k05_sampling_sweep")
 def k05(spark, sf_dir):
-    sums = kernels.sweep(_v(spark, sf_dir), [2, 3, 4], 0.3)
-    return verdicts(sums, ["t", "c", "method"], limit=1.5)
+    sums = kernels.sweep(_v(spark, sf_dir), [2, 3, 4], 0.3, (D, H))
+    return verdicts(sums, ["t", "c", "method"], limit=1.5).drop("excess", "increase")
+
+
+@query("k05_sweep_linear", V + """, l AS (SELECT t, c, y, x, list(v ORDER BY z) AS l FROM voxels GROUP BY ALL), k AS (SELECT unnest([2, 3, 4]) AS factor), p AS (SELECT factor, unnest(range(factor)) AS phase FROM k),
+  e AS (SELECT t, c, factor, phase, l, (9 - phase) // factor * factor + 1 AS n, unnest(range(10)) AS z FROM l, p),
+  d AS (SELECT t, c, factor, phase, CAST(l[phase + z + 1] AS DOUBLE) AS ref, l[phase + z // factor * factor + 1] + (coalesce(l[phase + (z // factor + 1) * factor + 1], 0) - l[phase + z // factor * factor + 1]) * ((z % factor) / CAST(factor AS DOUBLE)) AS pred FROM e WHERE z < n AND z % factor <> 0),
+  s AS (SELECT t, c, factor, phase, sum((pred - ref) ** 2) AS se, sum(ref * ref) AS power FROM d GROUP BY ALL), q AS (SELECT t, c, factor, count(*) AS phases, sqrt(sum(se) / sum(power)) AS score, max(sqrt(se / power)) AS worst FROM s GROUP BY ALL)
+  SELECT t, c, factor, round(score, 6) AS score, round(worst, 6) AS worst, CASE WHEN phases <> factor THEN 'Incomplete' WHEN score <= 0.9 AND worst <= 0.9 THEN 'Pass' ELSE 'Fails' END AS verdict FROM q""")
+def k05b(spark, sf_dir):
+    sums = kernels.sweep(_v(spark, sf_dir), [2, 3, 4], 0.3, (D, H)).filter("method = 'linear'")
+    return verdicts(sums, ["t", "c"], limit=0.9).select("t", "c", "factor", F.round("score", 6).alias("score"), F.round("worst", 6).alias("worst"), "verdict")
 
 
 @query("k06_dense_comparison", V + """, k AS (SELECT unnest([2, 3]) AS factor), p AS (SELECT factor, unnest(range(factor)) AS phase FROM k),
   l AS (SELECT t, c, y, x, list(v ORDER BY z) AS l FROM voxels GROUP BY ALL),
   e AS (SELECT t, c, factor, phase, l, (9 - phase) // factor * factor + 1 AS n, unnest(range(10)) AS z FROM l, p),
   d AS (SELECT t, c, factor, phase, CAST(l[phase + z + 1] AS DOUBLE) AS ref, l[phase + z // factor * factor + 1] + (coalesce(l[phase + (z // factor + 1) * factor + 1], 0) - l[phase + z // factor * factor + 1]) * ((z % factor) / CAST(factor AS DOUBLE)) AS pred FROM e WHERE z < n AND z % factor <> 0)
-  SELECT t, c, factor, phase, CAST(count(*) AS BIGINT) AS voxels, round(sqrt(sum((pred - ref) ** 2) / sum(ref * ref)), 6) AS nrmse, round(sum(pred - ref) / sum(ref), 6) AS bias FROM d GROUP BY ALL""")
+  SELECT t, c, factor, phase, CAST(count(*) AS BIGINT) AS voxels, round(sqrt(sum((pred - ref) ** 2) / sum(ref * ref)), 6) AS nrmse, round(sum(pred - ref) / count(*), 6) AS bias FROM d GROUP BY ALL""")
 def k06(spark, sf_dir):
-    sums = kernels.sweep(_v(spark, sf_dir), [2, 3], 0.3).filter("method = 'linear'")
+    sums = kernels.sweep(_v(spark, sf_dir), [2, 3], 0.3, (D, H)).filter("method = 'linear'")
     out = pooled(sums, ["t", "c", "factor", "phase"])
     return out.select("t", "c", "factor", "phase", F.col("n").cast("long").alias("voxels"), F.round("nrmse", 6).alias("nrmse"), F.round("bias", 6).alias("bias"))
 

@@ -140,8 +140,55 @@ def p32(spark, sf_dir):
     return g.select("id", model.problem([("angle", F.col("angle") <= 45), ("step", (F.col("step") > 0) & (F.col("step") <= 0.6)), ("planes", F.col("depth") >= 20)]).alias("problem"))
 
 
-@query("k07_step_model", f"""WITH g AS ({G_SQL}), s AS (SELECT g.id, g.angle, 0.05 + 0.002 * k AS step FROM g, (SELECT unnest(range(1001)) AS k)),
-    q AS (SELECT id, step, 0.5 / (0.9 * sin(radians(angle))) AS limit_, step * 20 AS motion FROM s)
-    SELECT id, round(max(CASE WHEN step <= limit_ THEN step END), 6) AS coarsest, count(CASE WHEN step <= limit_ AND motion >= 5 THEN 1 END) AS usable FROM q GROUP BY id""")
+# Acquisition settings by supplier, in expressions that both engines read alike.
+SETTINGS = {
+    "optics": "s_suppkey % 3", "angle": "20 + s_suppkey % 11", "pixel": "0.1 + 0.004 * (s_suppkey % 5)", "step": "0.2 + 0.01 * (s_suppkey % 8)", "extent": "100 + s_suppkey % 13",
+    "minimum_step": "0.15", "maximum_step": "0.9 + 0.1 * (s_suppkey % 4)", "na": "0.7 + 0.02 * (s_suppkey % 6)", "wavelength_nm": "488 + 10 * (s_suppkey % 9)", "refractive_index": "1.333",
+    "sheet_fwhm": "1 + 0.2 * (s_suppkey % 4)", "fwhm_x": "0.5", "fwhm_y": "0.5 + 0.02 * (s_suppkey % 3)", "fwhm_z": "1.1 + 0.1 * (s_suppkey % 5)", "kz": "0.6 + 0.05 * (s_suppkey % 5)",
+    "ky": "1 + 0.1 * (s_suppkey % 10)", "threshold": "0.05", "safety": "0.8", "scan_mode": "s_suppkey // 3 % 3", "exposure_ms": "60 + 5 * (s_suppkey % 7)", "period_ms": "110", "overhead_ms": "s_suppkey % 4",
+    "flyback_ms": "20", "relative_motion_floor": "0.8", "absolute_motion_floor": "0.7", "baseline_motion_floor": "0.1",
+}
+FLAGS = {"measured_period": "s_suppkey % 5 = 0", "fixed_velocity": "s_suppkey % 7 = 0", "preserve_blur": "s_suppkey % 4 = 1", "gate_absolute_motion": "s_suppkey % 6 = 2"}
+_SETTINGS_SQL = ", ".join([*(f"CAST({e} AS DOUBLE) AS {k}" for k, e in SETTINGS.items()), *(f"{e} AS {k}" for k, e in FLAGS.items())])
+_SINC = "CASE WHEN abs(pi() * ({0})) < 1e-9 THEN 1.0 ELSE sin(pi() * ({0})) / (pi() * ({0})) END"
+_PLANES = "CAST(CASE WHEN abs({0} / {1} - round_even({0} / {1}, 0)) <= 1e-12 THEN round_even({0} / {1}, 0) ELSE ceil({0} / {1}) END AS BIGINT) + 1"
+# Widths, precision matrix, supports and limits; then the predictions of one candidate step.
+MODEL_SQL = f"""s AS (SELECT s_suppkey AS id, {_SETTINGS_SQL} FROM supplier), f AS (SELECT *, 2 * sqrt(2 * ln(2)) AS w, radians(angle) AS a FROM s),
+  g AS (SELECT *, CASE WHEN optics = 0 THEN 0.51 * wavelength_nm / 1000 / na / w ELSE fwhm_x / w END AS sx, CASE WHEN optics = 0 THEN 0.51 * wavelength_nm / 1000 / na / w ELSE fwhm_y / w END AS sy,
+    CASE WHEN optics = 0 THEN 1.77 * refractive_index * wavelength_nm / 1000 / (na * na) / w ELSE fwhm_z / w END AS sz, CASE WHEN optics = 0 THEN (w / sheet_fwhm) ** 2 ELSE 0 END AS sheet, ln(1 / threshold) / (2 * pi() ** 2) AS c FROM f),
+  h AS (SELECT *, sy ** -2 + sin(a) ** 2 * sheet AS qyy, sz ** -2 + cos(a) ** 2 * sheet AS qzz, sin(a) * cos(a) * sheet AS qyz FROM g),
+  k AS (SELECT *, CASE WHEN optics = 2 THEN kz ELSE sqrt(c * qzz) END AS k_z, CASE WHEN optics = 2 THEN ky ELSE sqrt(c * qyy) END AS k_y, CASE WHEN optics <> 2 THEN 2 * pixel * sqrt(c) / sx END AS fx,
+    CASE WHEN optics <> 2 THEN 2 * pixel * sqrt(c * (cos(a) ** 2 * qyy + sin(a) ** 2 * qzz - 2 * sin(a) * cos(a) * qyz)) END AS fr FROM h),
+  u AS (SELECT *, safety / (2 * k_z * tan(a)) AS cap, CASE WHEN measured_period THEN period_ms ELSE exposure_ms + overhead_ms END AS t0 FROM k)"""
+
+
+def _predicted(source: str) -> str:
+    """CTEs of the predictions for the column ``cand`` of ``source``."""
+    return f"""v AS (SELECT *, CASE WHEN fixed_velocity THEN t0 * cand / step ELSE t0 END AS frame, step * exposure_ms / t0 AS l0 FROM {source}),
+  x AS (SELECT *, CASE WHEN preserve_blur THEN l0 * frame / cand ELSE exposure_ms END AS ex FROM v), y AS (SELECT *, CASE WHEN scan_mode = 1 THEN 0 ELSE cand * ex / frame END AS blur FROM x),
+  z AS (SELECT *, scan_mode = 1 OR (k_y * l0 < 1 AND k_y * blur < 1) AS lobe, CASE WHEN scan_mode = 1 THEN 1 ELSE {_SINC.format("k_y * l0")} END AS base FROM y),
+  r AS (SELECT *, CASE WHEN scan_mode <> 2 AND lobe AND base >= baseline_motion_floor THEN least(1.0, list_min(list_transform(range(1, 257), lambda i: ({_SINC.format("k_y * i / 256.0 * blur")}) / CASE WHEN scan_mode = 1 THEN 1.0 ELSE {_SINC.format("k_y * i / 256.0 * l0")} END))) END AS rel,
+    CASE WHEN scan_mode <> 2 THEN abs({_SINC.format("k_y * blur")}) END AS ab, {_PLANES.format("extent", "cand")} AS planes, {_PLANES.format("extent", "step")} AS planes0 FROM z),
+  e AS (SELECT *, ((planes - 1) * frame + ex + flyback_ms) / 1000 AS seconds, ((planes0 - 1) * t0 + exposure_ms + flyback_ms) / 1000 AS seconds0, cand <= cap AND coalesce(fr, 0) < 1 AND coalesce(fx, 0) < 1 AS alias_pass,
+    lobe AND coalesce(rel >= relative_motion_floor, false) AND (NOT gate_absolute_motion OR coalesce(ab >= absolute_motion_floor, false)) AND ex <= frame AND ex > 0 AS motion_pass FROM r)"""
+
+
+def _settings(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "supplier")
+    numbers = [F.expr(e.replace("s_suppkey // 3 % 3", "(s_suppkey div 3) % 3")).cast("double").alias(k) for k, e in SETTINGS.items()]
+    return rows.select(F.col("s_suppkey").alias("id"), *numbers, *[F.expr(e).alias(k) for k, e in FLAGS.items()])
+
+
+@query("k07_step_model", f"""WITH {MODEL_SQL}, m AS (SELECT *, 2 * step AS cand FROM u), {_predicted("m")}
+    SELECT id, round(k_z, 6) AS kz, round(k_y, 6) AS ky, round(cap, 6) AS alias_cap, round(fr, 6) AS row_fraction, round(rel, 6) AS relative_motion, round(ab, 6) AS absolute_motion, planes, round(seconds, 6) AS seconds, round(seconds0 / seconds, 6) AS speedup, alias_pass, motion_pass FROM e""")
 def k07(spark, sf_dir):
-    return _round(model.step_interval(_g(spark, sf_dir), support=0.9, speed=20.0, least=5.0))
+    p = model.predict(model.support(_settings(spark, sf_dir)), 2 * F.col("step"))
+    named = p.select("id", F.col("kz_").alias("kz"), F.col("ky_").alias("ky"), "alias_cap", "row_fraction", "relative_motion", "absolute_motion", "seconds", "speedup", "planes", "alias_pass", "motion_pass")
+    return named.select("id", *[F.round(c, 6).alias(c) for c in named.columns[1:9]], "planes", "alias_pass", "motion_pass")
+
+
+@query("k07_step_interval", f"""WITH {MODEL_SQL}, m AS (SELECT *, minimum_step + (maximum_step - minimum_step) * i / 1000.0e0 AS cand FROM u, (SELECT unnest(range(1001)) AS i)), {_predicted("m")},
+  o AS (SELECT id, i, cand, i - row_number() OVER (PARTITION BY id ORDER BY i) AS island FROM e WHERE alias_pass AND motion_pass), n AS (SELECT id, island, min(cand) AS lo, max(cand) AS hi FROM o GROUP BY id, island)
+    SELECT s.id, round(arg_min(lo, island), 6) AS lo, round(arg_min(hi, island), 6) AS hi FROM s LEFT JOIN n ON n.id = s.id GROUP BY s.id""")
+def k07b(spark, sf_dir):
+    return _round(model.step_interval(_settings(spark, sf_dir)))

@@ -4,9 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lamella.functions import provenance
-from lamella.operators import kernels, pipelines as pl, points as pt, project as pj, resample as rs, voxels as vx
-from lamella.operators.beads import bead_quality, combined
+from lamella.operators import kernels, pipelines as pl, project as pj, voxels as vx
 from lamella.plans import views
+from lamella.plans.q_kernels import deskew_sql
 from lamella.plans.registry import query
 
 V = f"WITH {views.VOXELS} "
@@ -18,20 +18,25 @@ def _v(spark, sf_dir):
     return views.voxels(spark, sf_dir)
 
 
-@query("x01_batch_deskew")
+HALVES = ", ch AS (SELECT t, 2 * c - CASE WHEN x < 5 THEN 1 ELSE 0 END AS c, z, y, CASE WHEN x < 5 THEN x ELSE x - 5 END AS x, v FROM voxels), " + deskew_sql("dk", "ch", 5)
+
+
+@query("x01_batch_deskew", V + HALVES + """ SELECT t, c, 'X' AS view, y AS h, z AS w, max(v) AS max_v, least((sum(v) + count(*) // 2) // count(*), 65535) AS mean_v FROM dk GROUP BY t, c, y, z
+    UNION ALL SELECT t, c, 'Y', z, x, max(v), least((sum(v) + count(*) // 2) // count(*), 65535) FROM dk GROUP BY t, c, x, z
+    UNION ALL SELECT t, c, 'Z', y, x, max(v), least((sum(v) + count(*) // 2) // count(*), 65535) FROM dk GROUP BY t, c, x, y""")
 def x01(spark, sf_dir):
     return pl.batch_deskew(_v(spark, sf_dir), *GEOMETRY, EXTENTS)[1]
 
 
-@query("x02_split_run_join")
+@query("x02_split_run_join", V + ", " + deskew_sql("dk", "voxels", 10) + " SELECT * FROM dk")
 def x02(spark, sf_dir):
-    one, two = (rs.deskew(_v(spark, sf_dir), *GEOMETRY, EXTENTS, block=b) for b in (2, 5))
-    keys = ["t", "c", "z", "y", "x"]
-    both = one.withColumnRenamed("v", "a").join(two.withColumnRenamed("v", "b"), keys, "full_outer")
-    return both.groupBy("t", "c").agg(F.count(F.lit(1)).alias("voxels"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"))
+    return pl.split_deskew(_v(spark, sf_dir), *GEOMETRY, EXTENTS, parts=3)
 
 
-@query("x03_multi_channel")
+# Channels 2 and 4 are moved right by half a pixel: each is the mean of two neighbours, and nothing at the left edge.
+@query("x03_multi_channel", V + HALVES + """, al AS (SELECT t, c, z, y, x, v FROM dk WHERE c IN (1, 3) UNION ALL
+    SELECT a.t, a.c, a.z, a.y, a.x, CASE WHEN a.x = 0 THEN 0 ELSE CAST(floor((a.v + b.v) / 2.0 + 0.5) AS BIGINT) END FROM dk a LEFT JOIN dk b ON b.t = a.t AND b.c = a.c AND b.z = a.z AND b.y = a.y AND b.x = a.x - 1 WHERE a.c IN (2, 4))
+    SELECT t, CASE c WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS c, z, y, x, v FROM al WHERE c <> 3""")
 def x03(spark, sf_dir):
     shift = [1.0, 0.0, 0.5, 0.0, 1.0, 0.0]
     return pl.multi_channel(_v(spark, sf_dir), EXTENTS, {2: shift, 4: shift}, [(2, 1), (1, 2), (4, 3)], GEOMETRY)
@@ -86,16 +91,6 @@ def j07(spark, sf_dir):
     return pl.compose(_v(spark, sf_dir), [(2, 0), (1, 1)])
 
 
-@query("a21_psf_per_channel")
-def a21(spark, sf_dir):
-    v = _v(spark, sf_dir)
-    beads = v.filter("v % 97 = 5").select("t", "c", F.col("z").alias("bz"), F.col("y").alias("by"), F.col("x").alias("bx"), F.expr("(t * 10 + c) * 1000 + z * 100 + y * 10 + x").alias("bead"))
-    k = pt.crops(v, beads, {"z": 2, "y": 1, "x": 1})
-    good = bead_quality(k, 45, 60000, 0.0, 0.0).filter("reason = 'accepted'").select("bead")
-    side = F.expr("concat('_Channel000', bead div 1000 % 10, CASE WHEN bead % 10 < 5 THEN '-left' ELSE '-right' END)")
-    return combined(k.join(good, "bead").withColumn("psf", side), ["psf"], "mean")
-
-
 @query("p31_recorded_view", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN 0.1 + (o_orderkey % 5) * 0.01 END AS pixel, CASE WHEN o_orderkey % 3 < 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'L1' ELSE 'L1,R2' END END AS sources FROM orders""")
 def p31(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(

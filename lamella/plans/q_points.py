@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lamella.functions import names as nm
 from lamella.operators import points as pt
 from lamella.operators import project as pj
 from lamella.plans import views
@@ -61,33 +62,87 @@ CROPS_SQL = V + """, b AS (SELECT t, c, z AS z0, y AS y0, x AS x0, (t * 10 + c)
   k AS (SELECT bead, v.z - z0 AS dz, v.y - y0 AS dy, v.x - x0 AS dx, v.v FROM b JOIN voxels v ON v.t = b.t AND v.c = b.c AND abs(v.z - z0) <= 2 AND abs(v.y - y0) <= 1 AND abs(v.x - x0) <= 1) """
 
 
-def _crops(spark, sf_dir):
-    v = views.voxels(spark, sf_dir)
-    beads = v.filter("v % 97 = 5").select("t", "c", F.col("z").alias("bz"), F.col("y").alias("by"), F.col("x").alias("bx"), F.expr("(t * 10 + c) * 1000 + z * 100 + y * 10 + x").alias("bead"))
-    return pt.crops(v, beads, {"z": 2, "y": 1, "x": 1})
+RADIUS = {"z": 2, "y": 1, "x": 1}
+
+
+def _beads(spark, sf_dir):
+    v = views.voxels(spark, sf_dir).filter("v % 97 = 5")
+    return v.select("t", "c", F.col("z").alias("bz"), F.col("y").alias("by"), F.col("x").alias("bx"), F.expr("(t * 10 + c) * 1000 + z * 100 + y * 10 + x").alias("bead"))
+
+
+def crops(spark, sf_dir):
+    return pt.crops(views.voxels(spark, sf_dir), _beads(spark, sf_dir), RADIUS)
 
 
 @query("j09_bead_crops", CROPS_SQL + "SELECT * FROM k")
 def j09(spark, sf_dir):
-    return _crops(spark, sf_dir)
+    return crops(spark, sf_dir)
 
 
-@query("a19_bead_quality", CROPS_SQL + """, q AS (SELECT bead, count(*) AS n, median(v) FILTER (abs(dz) = 2) AS background, max(v) FILTER (abs(dz) <= 1) AS peak, max(v) AS top, stddev_samp(v) FILTER (abs(dz) = 2) AS noise FROM k GROUP BY bead)
-  SELECT bead, n, background, peak, CASE WHEN n < 45 THEN 'clipped' WHEN top >= 40000 THEN 'saturated' WHEN peak < top THEN 'off centre' WHEN peak < background + 2 * noise THEN 'low snr' WHEN peak < 1.5 * background THEN 'low sbr' ELSE 'accepted' END AS reason FROM q""")
-def a19(spark, sf_dir):
+# Shell background and noise, peak and its first place, ratios, neighbours; then the first reason that applies.
+QUALITY_SQL = CROPS_SQL + """, e AS (SELECT *, abs(dz) = 2 OR abs(dy) = 1 OR abs(dx) = 1 AS shell FROM k),
+  m AS (SELECT bead, count(*) AS n, max(v) AS peak, median(v) FILTER (shell AND v < 45000) AS background, count(*) FILTER (shell AND v < 45000) AS taken, arg_max({'z': dz, 'y': dy, 'x': dx}, v * 1000 - ((dz + 2) * 9 + (dy + 1) * 3 + dx + 1)) AS pos FROM e GROUP BY bead),
+  n AS (SELECT m.bead, 1.4826 * median(abs(v - background)) FILTER (shell AND v < 45000) AS noise, sum(greatest(v - background, 0)) AS integral FROM e JOIN m USING (bead) GROUP BY m.bead),
+  p AS (SELECT DISTINCT a.bead FROM b a JOIN b o ON o.t = a.t AND o.c = a.c AND o.bead <> a.bead AND ((a.z0 - o.z0) / 2.0) ** 2 + ((a.y0 - o.y0) / 1.0) ** 2 + ((a.x0 - o.x0) / 1.0) ** 2 <= 1),
+  q AS (SELECT b.t, b.c, b.bead, n, peak, background, taken, noise, integral, p.bead IS NOT NULL AS near, (peak - background) / greatest(noise, 1e-12) AS snr, CASE WHEN background > 0 THEN peak / background ELSE 'inf' END AS sbr,
+    sqrt((pos.z / 2.0) ** 2 + pos.y ** 2 + pos.x ** 2) AS off FROM b LEFT JOIN m USING (bead) LEFT JOIN n USING (bead) LEFT JOIN p USING (bead)),
+  r AS (SELECT *, CASE WHEN n < 45 THEN 'edge' WHEN near THEN 'neighbour' WHEN peak >= 45000 THEN 'saturated' WHEN taken = 0 THEN 'empty' WHEN NOT (peak > background) OR snr < 2 THEN 'low snr' WHEN sbr < 3.5 THEN 'low sbr' WHEN off > 1.2 THEN 'off centre'
+    WHEN NOT integral > 0 THEN 'empty' ELSE 'accepted' END AS reason FROM q)"""
+
+
+def _quality(spark, sf_dir):
     from lamella.operators.beads import bead_quality
 
-    return bead_quality(_crops(spark, sf_dir), size=45, top=40000, snr=2.0, sbr=1.5)
+    beads = _beads(spark, sf_dir)
+    return bead_quality(crops(spark, sf_dir), beads, RADIUS, ["t", "c"], saturation=45000.0, snr=2.0, sbr=3.5, off_centre=1.2)
+
+
+@query("a19_bead_quality", QUALITY_SQL + " SELECT bead, background, round(noise, 6) AS noise, peak, round(snr, 6) AS snr, round(sbr, 6) AS sbr, round(off, 6) AS offset_, reason FROM r")
+def a19(spark, sf_dir):
+    q = _quality(spark, sf_dir)
+    return q.select("bead", "background", F.round("noise", 6).alias("noise"), "peak", F.round("snr", 6).alias("snr"), F.round("sbr", 6).alias("sbr"), F.round("offset", 6).alias("offset_"), "reason")
+
+
+@query("a19_reason_counts", QUALITY_SQL + " SELECT reason, count(*) AS beads FROM r GROUP BY reason")
+def a19b(spark, sf_dir):
+    from lamella.operators.beads import reason_counts
+
+    return reason_counts(_quality(spark, sf_dir))
+
+
+COMBINED_SQL = QUALITY_SQL + """, u AS (SELECT r.t, r.c, bead, bead % 3 AS g, dz, dy, dx, greatest(v - background, 0) / integral AS v FROM k JOIN r USING (bead) WHERE reason = 'accepted')"""
+
+
+def _kernels(spark, sf_dir):
+    from lamella.operators.beads import normalised
+
+    return normalised(crops(spark, sf_dir), _quality(spark, sf_dir)).withColumn("g", F.col("bead") % 3)
+
+
+for _method, _value in (("median", "median(v)"), ("mean", "avg(v)")):
+
+    @query(f"a20_combined_{_method}", COMBINED_SQL + f", j AS (SELECT g, dz, dy, dx, {_value} AS m FROM u GROUP BY ALL) SELECT g, dz, dy, dx, round(m / sum(m) OVER (PARTITION BY g), 8) AS v FROM j")
+    def a20(spark, sf_dir, method=_method):
+        from lamella.operators.beads import combined
+
+        return combined(_kernels(spark, sf_dir), ["g"], method).withColumn("v", F.round("v", 8))
+
+
+@query("a20_all_beads", COMBINED_SQL + " SELECT g, bead, dz, dy, dx, round(v / sum(v) OVER (PARTITION BY bead), 8) AS v FROM u")
+def a20c(spark, sf_dir):
+    from lamella.operators.beads import combined
+
+    return combined(_kernels(spark, sf_dir), ["g"], "all").withColumn("v", F.round("v", 8))
 
 
-@query("a20_combined_beads", CROPS_SQL + """, m AS (SELECT bead % 3 AS g, dz, dy, dx, median(v) AS m FROM k WHERE bead IN (SELECT bead FROM k GROUP BY bead HAVING count(*) = 45) GROUP BY ALL)
-  SELECT g, dz, dy, dx, round(m / sum(m) OVER (PARTITION BY g), 8) AS v FROM m""")
-def a20(spark, sf_dir):
+@query("a21_psf_per_channel", COMBINED_SQL + """, w AS (SELECT printf('_Channel%04d-%s', c, CASE WHEN bead % 10 < 5 THEN 'left' ELSE 'right' END) AS psf, dz, dy, dx, avg(v) AS m FROM u GROUP BY ALL)
+  SELECT psf, dz, dy, dx, round(m / sum(m) OVER (PARTITION BY psf), 8) AS v FROM w""")
+def a21(spark, sf_dir):
     from lamella.operators.beads import combined
 
-    k = _crops(spark, sf_dir)
-    whole = k.groupBy("bead").count().filter("count = 45").select("bead")
-    return combined(k.join(whole, "bead").withColumn("g", F.col("bead") % 3), ["g"], "median").withColumn("v", F.round("v", 8))
+    side = F.when(F.col("bead") % 10 < 5, "left").otherwise("right")
+    named = _kernels(spark, sf_dir).join(_beads(spark, sf_dir).select("bead", "c"), "bead").withColumn("psf", nm.source_key(F.col("c"), side))
+    return combined(named, ["psf"], "mean").withColumn("v", F.round("v", 8))
 
 
 @query("w06_local_maxima", V + """, p AS (SELECT t, c, y, x, max(v) AS v FROM voxels GROUP BY ALL)
@@ -131,4 +186,4 @@ def t04b(spark, sf_dir):
 def w08(spark, sf_dir):
     from lamella.operators.filters import gaussian_x
 
-    return gaussian_x(views.voxels(spark, sf_dir), 1.0, 2, 10).withColumn("v", F.round("v", 5))
+    return gaussian_x(views.voxels(spark, sf_dir), 1.0, 2).withColumn("v", F.round("v", 5))
