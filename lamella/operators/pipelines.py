@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators import project, resample, voxels as vx
+from lamella.sources import ome_zarr, tiff
 
 
 def canonical_halves(volume: DataFrame, width: int) -> DataFrame:
@@ -61,3 +64,52 @@ def view(volume: DataFrame, channels: list[int], box: tuple[int, ...], operation
         size = box[1] - box[0] + 1
         return vx.side_by_side(vx.split_half(picked, size, "left"), vx.flip(vx.split_half(picked, size, "right"), "x", half), half)
     raise ValueError(f"unknown operation {operation}")
+
+
+def region_export(volume: DataFrame, target: str, box: tuple[int, ...], channels: list[int], times: tuple[int, int], sink: str = "store", overwrite: bool = False, **options) -> str:
+    """Write a box of some channels and time points (first to last) to a store or to TIFF files; returns ``target``.
+
+    The result has its own numbering of channels (in the given order) and of time points, from
+    0. A target that exists is refused unless it is to be overwritten.
+    """
+    if os.path.exists(target) and not overwrite:
+        raise FileExistsError(f"{target} exists")
+    slots = F.create_map(*[F.lit(x) for i, c in enumerate(channels) for x in (int(c), i)])
+    picked = vx.region(volume.filter(F.col("c").isin(channels) & F.col("t").between(*times)), box)
+    out = picked.withColumns({"t": F.col("t") - times[0], "c": slots[F.col("c").cast("int")].cast("long")})
+    width, height, depth = box[1] - box[0] + 1, box[3] - box[2] + 1, box[5] - box[4] + 1
+    mode = "overwrite" if overwrite else "append"
+    if sink == "store":
+        ome_zarr.write_store(out, target, (width, height, depth), times[1] - times[0] + 1, len(channels), mode=mode, complete="true", **options)
+    elif sink == "tiff":
+        tiff.to_files(vx.to_planes(out, width, height), "Time%06d_Channel%04d.tif").write.format("planes_tiff").options(**options).mode(mode).save(target)
+    else:
+        raise ValueError(f"unknown sink {sink}")
+    return target
+
+
+def live_deskew(groups: DataFrame, volume: DataFrame, root: str, geometry: tuple[float, float, float], extents: tuple[int, int, int], channels: int, checkpoint: str) -> None:
+    """Follow complete time points (a stream with ``t``), deskew their halves and append them and their projections to a store, once each.
+
+    A micro-batch writes its new time points in order after those that the store has committed, by
+    label; a batch that is run again after a failure finds its labels there and leaves them.
+    """
+    width, height, depth = extents
+    size = resample.deskewed_size(*geometry, (width // 2, height, depth))
+
+    def put(batch: DataFrame, number: int) -> None:
+        known = set(ome_zarr.metadata(root)["time_labels"]) if os.path.exists(os.path.join(root, "s0", ".zarray")) else set()
+        ready = sorted(r["t"] for r in batch.select("t").distinct().collect())  # the time points of one batch
+        fresh = [t for t in ready if f"t{t:06d}" not in known]
+        if not fresh:
+            return
+        place = F.create_map(*[F.lit(x) for i, t in enumerate(fresh) for x in (int(t), len(known) + i)])
+        own = volume.filter(F.col("t").isin(fresh)).withColumn("t", place[F.col("t").cast("int")].cast("long"))
+        deskewed = resample.deskew(canonical_halves(own, width), *geometry, (width // 2, height, depth)).withColumn("c", F.col("c") - 1)
+        six = project.six_projections(deskewed)
+        views = {f"{kind}{axis}": six.filter(F.col("view") == axis).select("t", "c", "h", "w", F.col(f"{kind}_v").alias("v")) for kind in ("max", "mean") for axis in "XYZ"}
+        labels = json.dumps([f"t{t:06d}" for t in fresh])
+        ome_zarr.write_store(deskewed, root, size, len(known) + len(fresh), 2 * channels, views=views, time_labels=labels)
+
+    query = groups.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()

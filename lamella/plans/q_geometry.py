@@ -102,7 +102,7 @@ def p23(spark, sf_dir):
 
 @query(
     "p24_slot_problems",
-    """WITH s AS (SELECT 1 + o_orderkey % 5 AS selection, 1 + (o_orderkey // 5) % 4 AS channel, o_orderstatus AS side FROM orders WHERE o_orderkey % 7 < 5)
+    """WITH s AS (SELECT 1 + o_orderkey % 50 AS selection, 1 + (o_orderkey // 5) % 4 AS channel, o_orderstatus AS side FROM orders)
     SELECT selection, count(*) AS slots, max(CASE WHEN side <> 'P' THEN channel END) AS required,
       CASE WHEN count(CASE WHEN side <> 'P' THEN 1 END) = 0 THEN 'empty'
            WHEN bool_or(side = 'F') AND bool_or(side = 'O') THEN 'mixed widths' END AS problem
@@ -111,9 +111,9 @@ def p23(spark, sf_dir):
 def p24(spark, sf_dir):
     from lamella.operators.catalogue import slot_problems
 
-    orders = views.table(spark, sf_dir, "orders").filter("o_orderkey % 7 < 5")
+    orders = views.table(spark, sf_dir, "orders")
     slots = orders.select(
-        F.expr("1 + o_orderkey % 5").alias("selection"), F.expr("1 + (o_orderkey div 5) % 4").alias("channel"),
+        F.expr("1 + o_orderkey % 50").alias("selection"), F.expr("1 + (o_orderkey div 5) % 4").alias("channel"),
         F.expr("CASE o_orderstatus WHEN 'P' THEN 'skip' WHEN 'F' THEN 'whole' ELSE 'left' END").alias("side"),
     )
     return slot_problems(slots)

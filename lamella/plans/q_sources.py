@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from lamella.operators import catalogue as cat, voxels as vx
+from lamella.operators.pipelines import region_export
+from lamella.operators.project import six_projections
 from lamella.plans import views
 from lamella.plans.q_catalogue import LOG_SQL, _log
 from lamella.plans.registry import query
@@ -17,14 +19,18 @@ def _folder(spark) -> str:
     return shared_folder(spark).removeprefix("file:").replace("//", "/")
 
 
-def _store(spark, sf_dir, voxels=None, chunk=4) -> str:
+def _store(spark, sf_dir, voxels=None, chunk=8, whole=True, **options) -> str:
+    """A new store of the voxels (channels from 0); without ``whole``, chunks without voxels stay absent."""
     voxels = views.voxels(spark, sf_dir) if voxels is None else voxels
     spark.dataSource.register(ome_zarr.OmeZarr)
     n = voxels.agg(*[(F.max(k) + 1).alias(k) for k in "tczyx"]).first()
     root = _folder(spark) + "/a.zarr"
     shifted = voxels.withColumn("c", F.col("c") - 1)
-    shape = f"{n['t']},{n['c'] - 1},{n['z']},{n['y']},{n['x']}"
-    ome_zarr.to_chunks(shifted, chunk).write.format("ome_zarr").option("shape", shape).option("chunk", chunk).mode("append").save(root)
+    if whole:
+        ome_zarr.write_store(shifted, root, (n["x"], n["y"], n["z"]), n["t"], n["c"] - 1, chunk, **options)
+    else:
+        shape = f"{n['t']},{n['c'] - 1},{n['z']},{n['y']},{n['x']}"
+        ome_zarr.to_chunks(shifted, chunk).write.format("ome_zarr").options(shape=shape, chunk=chunk).mode("append").save(root)
     return root
 
 
@@ -36,7 +42,7 @@ def _whole(spark, root, **options):
 def _tiffs(spark, sf_dir):
     spark.dataSource.register(tiff.PlanesTiff)
     root = _folder(spark)
-    tiff.to_files(vx.to_planes(views.voxels(spark, sf_dir), 10, 10), "v_Time%06d_Channel%04d.tif", deflate=True).write.format("planes_tiff").mode("append").save(root)
+    tiff.to_files(vx.to_planes(views.voxels(spark, sf_dir), 10, 10), "v_Time%06d_Channel%04d.tif").write.format("planes_tiff").option("deflate", "true").mode("append").save(root)
     names = views.voxels(spark, sf_dir).select("t", "c").distinct().withColumn("path", F.concat(F.lit(root + "/"), F.format_string("v_Time%06d_Channel%04d.tif", "t", "c")))
     return root, names
 
@@ -59,18 +65,50 @@ def s11(spark, sf_dir):
     )
 
 
-@query("s20_region_export", V + "SELECT t, c, z - 2 AS z, y - 1 AS y, x - 4 AS x, v FROM voxels WHERE z BETWEEN 2 AND 4 AND y BETWEEN 1 AND 7 AND x BETWEEN 4 AND 9")
+PROJECTED = {"maxZ": ("max", "z"), "meanX": ("mean", "x"), "maxY": ("max", "y")}
+
+
+@query("s17_stored_projections", V + """SELECT 'maxZ' AS name, t, c, y AS h, x AS w, max(v) AS v FROM voxels GROUP BY t, c, y, x UNION ALL SELECT 'maxY', t, c, z, x, max(v) FROM voxels GROUP BY t, c, z, x
+    UNION ALL SELECT 'meanX', t, c, y, z, least((sum(v) + count(*) // 2) // count(*), 65535) FROM voxels GROUP BY t, c, y, z""")
+def s17b(spark, sf_dir):
+    root = _projected(spark, sf_dir)
+    out = None
+    for name in PROJECTED:
+        rows = _whole(spark, root, projection=name).select(F.lit(name).alias("name"), "t", "c", F.col("y").alias("h"), F.col("x").alias("w"), F.col("v").cast("long").alias("v"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def _projected(spark, sf_dir):
+    """A store with three projections of its volume, scales and channel labels."""
+    v = views.voxels(spark, sf_dir).withColumn("c", F.col("c") - 1)
+    six = six_projections(v)
+    pixels = {n: six.filter(F.col("view") == a.upper()).select("t", "c", "h", "w", F.col(f"{k}_v").alias("v")) for n, (k, a) in PROJECTED.items()}
+    return _store(spark, sf_dir, views=pixels, scale="[2.0, 1, 0.3, 0.1, 0.1]", labels='["one", "two"]', windows="[[5, 900], [0, 65535]]")
+
+
+@query("s20_region_export", V + "SELECT t - 1 AS t, CASE c WHEN 2 THEN 1 ELSE 2 END AS c, z - 2 AS z, y - 1 AS y, x - 4 AS x, v FROM voxels WHERE z BETWEEN 2 AND 4 AND y BETWEEN 1 AND 7 AND x BETWEEN 4 AND 9 AND t BETWEEN 1 AND 3")
 def s20(spark, sf_dir):
+    spark.dataSource.register(ome_zarr.OmeZarr)
+    box = vx.clamp_box(4, 1, 20, 7, 2, 4, 10, 10, 10)
+    return _whole(spark, region_export(views.voxels(spark, sf_dir), _folder(spark) + "/r.zarr", box, [2, 1], (1, 3)))
+
+
+@query("s20_region_files", V + "SELECT t - 1 AS t, c - 1 AS c, z - 2 AS z, y - 1 AS y, x - 4 AS x, v FROM voxels WHERE z BETWEEN 2 AND 4 AND y BETWEEN 1 AND 7 AND x BETWEEN 4 AND 9 AND t BETWEEN 1 AND 3")
+def s20b(spark, sf_dir):
+    spark.dataSource.register(tiff.PlanesTiff)
     box = vx.clamp_box(4, 1, 20, 7, 2, 4, 10, 10, 10)
-    return _whole(spark, _store(spark, sf_dir, vx.region(views.voxels(spark, sf_dir), box)))
+    v = views.voxels(spark, sf_dir)
+    root = region_export(v, _folder(spark) + "/r", box, [1, 2], (1, 3), sink="tiff", deflate="true")
+    names = v.filter("t BETWEEN 1 AND 3").select((F.col("t") - 1).alias("t"), (F.col("c") - 1).alias("c")).distinct()
+    names = names.withColumn("path", F.concat(F.lit(root + "/"), F.format_string("Time%06d_Channel%04d.tif", "t", "c")))
+    return vx.to_voxels(tiff.planes(names).join(names, "path").select("t", "c", "z", "width", "px")).withColumn("v", F.col("v").cast("int"))
 
 
 @query("s04_tiff_planes", V + "SELECT t, c, z, y, x, v FROM voxels")
 def s04(spark, sf_dir):
     _, names = _tiffs(spark, sf_dir)
-    paths = [r.path for r in names.select("path").collect()]
-    planes = spark.read.format("planes_tiff").load(",".join(paths))
-    return vx.to_voxels(planes.join(names, "path").select("t", "c", "z", "width", "px")).withColumn("v", F.col("v").cast("int"))
+    return vx.to_voxels(tiff.planes(names).join(names, "path").select("t", "c", "z", "width", "px")).withColumn("v", F.col("v").cast("int"))
 
 
 @query("s05_structure_check", V + "SELECT DISTINCT t, c, true AS ready FROM voxels")
@@ -125,11 +163,11 @@ def s10(spark, sf_dir):
     return found.select("path", F.round("pixel", 6).alias("pixel"))
 
 
-@query("s21_alignment_sets", "SELECT 'set' || p_partkey % 50 AS path, 'k' || p_partkey AS source, 1.0 AS m00, p_size * 1.0 AS m02, p_partkey % 7 = 0 AS is_reference FROM part WHERE p_partkey BETWEEN 1 AND 49")
+@query("s21_alignment_sets", "SELECT 'set' || p_partkey // 7 AS path, 'k' || p_partkey AS source, 1.0 AS m00, p_size * 1.0 AS m02, p_partkey % 7 = 3 AS is_reference FROM part")
 def s21(spark, sf_dir):
-    part = views.table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 49")
-    rows = F.array(F.expr("concat('source,k', p_partkey, ',1,0,', p_size, ',0,1,0')"), F.expr("CASE WHEN p_partkey % 7 = 0 THEN concat('reference,k', p_partkey) ELSE 'reference,none' END"))
-    return text.alignments(part.select(F.expr("concat('set', p_partkey % 50)").alias("path"), F.explode(rows).alias("line"))).select("path", "source", "m00", "m02", "is_reference")
+    part = views.table(spark, sf_dir, "part")
+    rows = F.expr("CASE WHEN p_partkey % 7 = 3 THEN array(concat('source,k', p_partkey, ',1,0,', p_size, ',0,1,0'), concat('reference,k', p_partkey)) ELSE array(concat('source,k', p_partkey, ',1,0,', p_size, ',0,1,0')) END")
+    return text.alignments(part.select(F.expr("concat('set', p_partkey div 7)").alias("path"), F.explode(rows).alias("line"))).select("path", "source", "m00", "m02", "is_reference")
 
 
 @query("s22_matrix_files", "SELECT p_partkey * 1.0 AS c0, p_size * 0.5 AS c1, 1.0 AS c2 FROM part")
@@ -172,4 +210,4 @@ def r01(spark, sf_dir):
 
     root, _ = _tiffs(spark, sf_dir)
     spark.dataSource.register(FolderListing)
-    return drain(spark.readStream.format("folder_listing").option("suffixes", ".tif").load(root)).select(base_name(F.col("path")).alias("name"))
+    return drain(spark.readStream.format("folder_listing").options(suffixes=".tif", listings=_folder(spark)).load(root)).select(base_name(F.col("path")).alias("name"))

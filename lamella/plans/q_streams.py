@@ -42,8 +42,7 @@ def r04(spark, sf_dir):
 @query("r05_depth_check", "SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'DEPTH_UNVERIFIED' WHEN 8 + event_id % 3 < 9 THEN 'INCOMPLETE' WHEN 8 + event_id % 3 > 9 THEN 'FAILED' ELSE 'COMPLETE' END AS state FROM events")
 def r05(spark, sf_dir):
     planes, expected = F.expr("8 + event_id % 3"), F.expr("CASE WHEN event_id % 4 > 0 THEN 9 END")
-    verdict = F.when(expected.isNull(), "DEPTH_UNVERIFIED").when(planes < expected, "INCOMPLETE").when(planes > expected, "FAILED").otherwise("COMPLETE")
-    return jobs.drain(files_as_stream(spark, f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), verdict.alias("state")))
+    return jobs.drain(files_as_stream(spark, f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), state.depth_state(planes, expected).alias("state")))
 
 
 @query("r06_layouts")
@@ -95,7 +94,7 @@ def r15(spark, sf_dir):
 @query("r16_withheld_arrivals", FILES + "SELECT size, channel FROM files WHERE NOT (size % 4 = 0 AND channel > 2)")
 def r16(spark, sf_dir):
     f = _files(spark, sf_dir).select("size", "channel", (F.col("channel") > 2).alias("arrived"), F.when(F.col("size") % 4 == 0, "DEPTH_UNVERIFIED").otherwise("COMPLETE").alias("state"))
-    return jobs.drain(f.filter("NOT (arrived AND state = 'DEPTH_UNVERIFIED')").select("size", "channel"))
+    return jobs.drain(state.shown(f).select("size", "channel"))
 
 
 @query("r18_capacity", """WITH s AS (SELECT user_id % 20 AS volume, ts, 4e11 - event_id * 1e7 - (user_id % 20) * 2e10 AS free FROM events),

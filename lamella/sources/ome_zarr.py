@@ -2,13 +2,17 @@
 
 Read:  ``spark.read.format("ome_zarr").option("box", "z0:z1,y0:y1,x0:x1").load(root)``
 Write: ``chunks.write.format("ome_zarr").option("shape", "t,c,z,y,x").mode("append").save(root)``
+Both take ``projection`` (such as ``maxZ``) for the 4-D array [t,c,y,x] of that name.
 
 A read lists no directories: the metadata gives the chunk grid, the box prunes it, and
 each partition opens only its own chunk files (an absent chunk is zero). Writes are
 idempotent: a task writes each chunk to a temporary name and renames it, and the
 number of committed time points is advanced on the driver after all tasks are done, so
-a half-written time point is never seen. Stores live on a file system that all
-executors share.
+a half-written time point is never seen. A time point counts once all its chunks and those
+of all projections are there; ``to_chunks`` with extents gives empty chunks, too, so sparse
+volumes are whole. Appending keeps all attributes it does not set. Overwriting writes a new
+array beside the old one, which takes its place at the commit. Stores live on a file system
+that all executors share.
 """
 
 from __future__ import annotations
@@ -16,9 +20,10 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import shutil
 import uuid
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, prod
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 # Fixed values of the store format.
-CHUNK_XY, GZIP_LEVEL, STATE = 512, 1, "opm_write_state"
+CHUNK_XY, GZIP_LEVEL = 512, 1
+STATE, PROVENANCE, PROJECTIONS = "opm_write_state", "opm_provenance", "opm_projections"
+COLOURS = ("FF0000", "00FF00", "0000FF", "FFFF00", "FF00FF", "00FFFF")
 AXES = [("t", "time", "second"), ("c", "channel", None), ("z", "space", "micrometer"), ("y", "space", "micrometer"), ("x", "space", "micrometer")]
 
 SCHEMA = "t int, c int, z int, y0 int, x0 int, h int, w int, px array<int>"
 CHUNKS_PER_TASK = 512
+CHUNKS_PER_BATCH = 64
 
 
 def _load(path: str) -> dict:
@@ -65,7 +73,7 @@ def metadata(root: str) -> dict:
     return out | {
         "shape": array["shape"], "chunks": array["chunks"], "committed": committed, "status": state.get("status", "complete"),
         "time_labels": state.get("timePointLabels", []), "elapsed": state.get("timePointElapsedSeconds", []), "channel_labels": labels,
-        "projections": attrs.get("opm_projections", {}).get("available", []),
+        "projections": attrs.get(PROJECTIONS, {}).get("available", []),
     }
 
 
@@ -112,17 +120,25 @@ def _box(text: str, shape: list[int]) -> list[tuple[int, int]]:
 
 
 @dataclass
-class ChunkGroup(InputPartition):
-    keys: list
+class ChunkRange(InputPartition):
+    """Places first to last - 1 in the grid of wanted chunks."""
+
+    first: int
+    last: int
 
 
 class StoreReader(DataSourceReader):
-    """Chunks of the committed time points that meet the box."""
+    """Chunks of the committed time points that meet the box, as Arrow batches."""
 
     def __init__(self, options):
-        self.root = options["path"]
+        self.root, self.projection = options["path"], options.get("projection", "")
         m = metadata(self.root)
-        self.shape, self.chunks = m["shape"], m["chunks"]
+        self.array = f"projections/{self.projection}" if self.projection else "s0"
+        shape, chunks = m["shape"], m["chunks"]
+        if self.projection:
+            held = _load(os.path.join(self.root, self.array, ".zarray"))
+            shape, chunks = [*held["shape"][:2], 1, *held["shape"][2:]], [1, *held["chunks"]]
+        self.shape, self.chunks = shape, chunks
         times = options.get("times", "")
         a, _, b = times.partition(":")
         self.times = range(int(a or 0), min(int(b or m["committed"]), m["committed"]))
@@ -130,95 +146,180 @@ class StoreReader(DataSourceReader):
         self.channels = [int(c) for c in wanted.split(",")] if wanted else range(self.shape[1])
         self.box = _box(options.get("box", ""), self.shape)
 
-    def partitions(self):
+    def _axes(self):
         (z0, z1), (y0, y1), (x0, x1) = self.box
         ch, cw = self.chunks[3:]
-        keys = [
-            (t, c, z, cy, cx) for t in self.times for c in self.channels for z in range(z0, z1)
-            for cy in range(y0 // ch, ceil(y1 / ch)) for cx in range(x0 // cw, ceil(x1 / cw))
-        ]
-        return [ChunkGroup(keys[i : i + CHUNKS_PER_TASK]) for i in range(0, len(keys), CHUNKS_PER_TASK)] or [ChunkGroup([])]
+        return [self.times, self.channels, range(z0, z1), range(y0 // ch, ceil(y1 / ch)), range(x0 // cw, ceil(x1 / cw))]
+
+    def partitions(self):
+        n = prod(len(a) for a in self._axes())
+        return [ChunkRange(i, min(i + CHUNKS_PER_TASK, n)) for i in range(0, n, CHUNKS_PER_TASK)] or [ChunkRange(0, 0)]
 
     def read(self, partition):
+        import pyarrow as pa
+
         (_, _), (y0, y1), (x0, x1) = self.box
         ch, cw = self.chunks[3:]
-        for t, c, z, cy, cx in partition.keys:
-            path = os.path.join(self.root, "s0", f"{t}.{c}.{z}.{cy}.{cx}")
-            block = np.zeros((ch, cw), "<u2")
-            if os.path.exists(path):
-                with gzip.open(path) as f:
-                    block = np.frombuffer(f.read(), "<u2").reshape(ch, cw)
-            top, left = max(y0, cy * ch), max(x0, cx * cw)
-            low, right = min(y1, (cy + 1) * ch, self.shape[3]), min(x1, (cx + 1) * cw, self.shape[4])
-            px = block[top - cy * ch : low - cy * ch, left - cx * cw : right - cx * cw]
-            yield (t, c, z, top, left, low - top, right - left, px.ravel().astype(int).tolist())
+        axes = self._axes()
+        sizes = [len(a) for a in axes]
+        for start in range(partition.first, partition.last, CHUNKS_PER_BATCH):
+            rows, pixels = [], []
+            for i in range(start, min(start + CHUNKS_PER_BATCH, partition.last)):
+                t, c, z, cy, cx = (a[int(k)] for a, k in zip(axes, np.unravel_index(i, sizes)))
+                name = f"{t}.{c}.{cy}.{cx}" if self.projection else f"{t}.{c}.{z}.{cy}.{cx}"
+                block = _read_chunk(os.path.join(self.root, self.array, name), ch, cw)
+                top, left = max(y0, cy * ch), max(x0, cx * cw)
+                low, right = min(y1, (cy + 1) * ch, self.shape[3]), min(x1, (cx + 1) * cw, self.shape[4])
+                pixels.append(block[top - cy * ch : low - cy * ch, left - cx * cw : right - cx * cw].ravel().astype(np.int32))
+                rows.append((t, c, z, top, left, low - top, right - left))
+            columns = [pa.array(np.array(x, np.int32)) for x in zip(*rows)]
+            ends = np.cumsum([0, *(len(p) for p in pixels)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pixels)))], [f.split()[0] for f in SCHEMA.split(", ")])
+
+
+def _read_chunk(path: str, ch: int, cw: int) -> np.ndarray:
+    if not os.path.exists(path):
+        return np.zeros((ch, cw), "<u2")
+    with gzip.open(path) as f:
+        return np.frombuffer(f.read(), "<u2").reshape(ch, cw)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    times: set
+    counts: dict  # chunks written by time point
 
 
 class StoreWriter(DataSourceWriter):
     """Rows (t, c, z, cy, cx, h, w, data) as chunk files; the driver commits the time points in order."""
 
     def __init__(self, options, overwrite):
-        self.root, self.overwrite = options["path"], overwrite
+        self.root, self.projection = options["path"], options.get("projection", "")
         self.shape = [int(n) for n in options["shape"].split(",")]
         edge = int(options.get("chunk", CHUNK_XY))
         self.chunks = [1, 1, 1, min(edge, self.shape[3]), min(edge, self.shape[4])]
-        self.labels = json.loads(options.get("labels", "[]"))
-        self.scale = json.loads(options.get("scale", "[1, 1, 1, 1, 1]"))
+        self.labels = json.loads(options.get("labels", "null"))
+        self.windows = json.loads(options.get("windows", "null"))
+        self.scale = json.loads(options.get("scale", "null"))
         self.complete = options.get("complete", "false") == "true"
-        self.before = 0
-        if os.path.exists(os.path.join(self.root, "s0", ".zarray")):
-            old = metadata(self.root)
-            if not overwrite and (old["shape"][1:] != self.shape[1:] or old["chunks"] != self.chunks):
-                raise ValueError(f"{self.root} holds {old['shape']} in chunks {old['chunks']}; cannot append {self.shape} in {self.chunks}")
-            self.before = 0 if overwrite else old["committed"]
+        self.time_labels = json.loads(options.get("time_labels", "null"))
+        self.before, self.overwrite, self.target = 0, overwrite, f"projections/{self.projection}" if self.projection else "s0"
+        existing = os.path.exists(os.path.join(self.root, self.target, ".zarray"))
+        if os.path.exists(os.path.join(self.root, "s0", ".zarray")) and not (overwrite and not self.projection):
+            self.before = metadata(self.root)["committed"]
+        if existing and not overwrite:
+            old = _load(os.path.join(self.root, self.target, ".zarray"))
+            shape, chunks = self._definition()
+            if old["shape"][1:] != shape[1:] or old["chunks"] != chunks:
+                raise ValueError(f"{self.root} holds {old['shape']} in chunks {old['chunks']}; cannot append {shape} in {chunks}")
+        # An overwritten array is staged under another name, so that none of its old chunks can be taken for a new one.
+        self.array = f"{self.target}.{uuid.uuid4().hex}.partial" if overwrite and existing else self.target
+
+    def _definition(self):
+        if self.projection:
+            return [*self.shape[:2], *self.shape[3:]], self.chunks[1:]
+        return self.shape, self.chunks
 
     def write(self, rows):
         ch, cw = self.chunks[3:]
-        os.makedirs(os.path.join(self.root, "s0"), exist_ok=True)
-        times = set()
+        folder = os.path.join(self.root, self.array)
+        os.makedirs(folder, exist_ok=True)
+        counts: dict[int, int] = {}
         for r in rows:
             block = np.zeros((ch, cw), "<u2")
             block[: r["h"], : r["w"]] = np.frombuffer(r["data"], "<u2").reshape(r["h"], r["w"])
-            path = os.path.join(self.root, "s0", f"{r['t']}.{r['c']}.{r['z']}.{r['cy']}.{r['cx']}")
+            name = (r["t"], r["c"], r["cy"], r["cx"]) if self.projection else (r["t"], r["c"], r["z"], r["cy"], r["cx"])
+            path = os.path.join(folder, ".".join(map(str, name)))
             temporary = f"{path}.{uuid.uuid4().hex}"
             with gzip.open(temporary, "wb", GZIP_LEVEL) as f:
                 f.write(block.tobytes())
             os.replace(temporary, path)
-            times.add(int(r["t"]))
-        return Written(times)
+            counts[int(r["t"])] = counts.get(int(r["t"]), 0) + 1
+        return Written(counts)
 
     def commit(self, messages):
-        """Advance shapes and the count over the time points whose chunks are all there, in order."""
-        present = set().union(*(m.times for m in messages if m))
+        """Put the array in place; for the volume, advance shapes and then the count over the whole time points, in order."""
+        if self.array != self.target:
+            old = os.path.join(self.root, f"{self.target}.{uuid.uuid4().hex}.old")
+            os.rename(os.path.join(self.root, self.target), old)
+            os.rename(os.path.join(self.root, self.array), os.path.join(self.root, self.target))
+            shutil.rmtree(old)
+        os.makedirs(os.path.join(self.root, self.target), exist_ok=True)
+        _save(os.path.join(self.root, ".zgroup"), {"zarr_format": 2})
+        attributes = os.path.join(self.root, ".zattrs")
+        attrs = _load(attributes) if os.path.exists(attributes) else {}
+        if self.projection:
+            _save(os.path.join(self.root, "projections", ".zgroup"), {"zarr_format": 2})
+            self._resize(self.target, self.before, *self._definition())
+            self._index(attrs)
+            _save(attributes, attrs)
+            return
+        counts: dict[int, int] = {}
+        for m in messages:
+            for t, n in (m.counts if m else {}).items():
+                counts[t] = counts.get(t, 0) + n
+        names = attrs.get(PROJECTIONS, {}).get("available", [])
         committed = self.before
-        while committed in present and self._whole(committed):
+        while committed in counts and self._whole(committed, counts[committed], names):
             committed += 1
-        shape = [max(committed, 1), *self.shape[1:]]
-        array = {
-            "zarr_format": 2, "shape": shape, "chunks": self.chunks, "dtype": "<u2", "compressor": {"id": "gzip", "level": GZIP_LEVEL}, "fill_value": 0,
+        for name in names:
+            held = _load(os.path.join(self.root, "projections", name, ".zarray"))
+            self._resize(f"projections/{name}", committed, held["shape"], held["chunks"])
+        self._resize("s0", committed, self.shape, self.chunks)
+        self._describe(attrs, committed)
+        _save(attributes, attrs)
+
+    def _resize(self, array, committed, shape, chunks):
+        _save(os.path.join(self.root, array, ".zarray"), {
+            "zarr_format": 2, "shape": [max(committed, 1), *shape[1:]], "chunks": chunks, "dtype": "<u2", "compressor": {"id": "gzip", "level": GZIP_LEVEL}, "fill_value": 0,
             "order": "C", "filters": None, "dimension_separator": ".",
-        }
-        _save(os.path.join(self.root, ".zgroup"), {"zarr_format": 2})
-        _save(os.path.join(self.root, "s0", ".zarray"), array)
+        })
+
+    def _describe(self, attrs, committed):
+        """Axes, scale, channels and state; what is not given stays, as does all else that the store holds."""
+        held = attrs.get("multiscales", [{}])[0].get("datasets", [{}])[0].get("coordinateTransformations", [{}])[0].get("scale", [1, 1, 1, 1, 1])
         axes = [{"name": n, "type": k} | ({"unit": u} if u else {}) for n, k, u in AXES]
-        transforms = [{"type": "scale", "scale": self.scale}]
-        attrs = {
-            "multiscales": [{"version": "0.4", "axes": axes, "datasets": [{"path": "s0", "coordinateTransformations": transforms}]}],
-            "omero": {"channels": [{"label": x} for x in self.labels]},
-            STATE: {"status": "complete" if self.complete else "writing", "committedTimepoints": committed, "timePointLabels": [f"t{k:06d}" for k in range(committed)]},
-        }
-        _save(os.path.join(self.root, ".zattrs"), attrs)
-
-    def _whole(self, t):
+        scale = self.scale or held
+        attrs["multiscales"] = [{"version": "0.4", "axes": axes, "datasets": [{"path": "s0", "coordinateTransformations": [{"type": "scale", "scale": scale}]}]}]
+        channels = attrs.setdefault("omero", {}).setdefault("channels", [])
+        if self.labels is not None:
+            windows = self.windows or [[0, 65535]] * len(self.labels)
+            channels[:] = [
+                {"label": x, "color": COLOURS[i % len(COLOURS)], "active": True, "window": {"start": lo, "end": hi, "min": 0, "max": 65535}}
+                for i, (x, (lo, hi)) in enumerate(zip(self.labels, windows))
+            ]
+        state = attrs.setdefault(STATE, {})
+        known = state.get("timePointLabels", [])[: self.before]
+        fresh = self.time_labels or [f"t{k:06d}" for k in range(len(known), committed)]
+        state |= {"status": "complete" if self.complete else "writing", "committedTimepoints": committed, "timePointLabels": (known + fresh)[:committed]}
+
+    def _index(self, attrs):
+        """The projection's entry: its axes and scale follow from the axis it collapses."""
+        index = attrs.setdefault(PROJECTIONS, {"available": [], "datasets": []})
+        scale = dict(zip("tczyx", self.scale or [1, 1, 1, 1, 1]))
+        vertical, horizontal = {"x": "yz", "y": "zx", "z": "yx"}[self.projection[-1].lower()]
+        kinds = {n: {"name": n, "type": k} | ({"unit": u} if u else {}) for n, k, u in AXES}
+        entry = {
+            "name": self.projection, "path": self.target, "axes": [kinds[k] for k in ("t", "c", vertical, horizontal)],
+            "coordinateTransformations": [{"type": "scale", "scale": [scale[k] for k in ("t", "c", vertical, horizontal)]}],
+        }
+        index["datasets"] = [d for d in index["datasets"] if d["name"] != self.projection] + [entry]
+        index["available"] = [d["name"] for d in index["datasets"]]
+
+    def _whole(self, t, written, projections):
+        """All chunks of a time point are there: by count if this write has them all, else by their names."""
         _, c, z, h, w = self.shape
         ch, cw = self.chunks[3:]
-        names = (f"{t}.{i}.{k}.{cy}.{cx}" for i in range(c) for k in range(z) for cy in range(ceil(h / ch)) for cx in range(ceil(w / cw)))
-        return all(os.path.exists(os.path.join(self.root, "s0", n)) for n in names)
+        if written != c * z * ceil(h / ch) * ceil(w / cw):
+            names = (f"{t}.{i}.{k}.{cy}.{cx}" for i in range(c) for k in range(z) for cy in range(ceil(h / ch)) for cx in range(ceil(w / cw)))
+            if not all(os.path.exists(os.path.join(self.root, "s0", n)) for n in names):
+                return False
+        for name in projections:
+            folder = os.path.join(self.root, "projections", name)
+            held = _load(os.path.join(folder, ".zarray"))
+            (_, c, h, w), (ch, cw) = held["shape"], held["chunks"][2:]
+            if not all(os.path.exists(os.path.join(folder, f"{t}.{i}.{cy}.{cx}")) for i in range(c) for cy in range(ceil(h / ch)) for cx in range(ceil(w / cw))):
+                return False
+        return True
 
     def abort(self, messages):
         """Staged chunks stay invisible beyond the committed count and are overwritten by the next try."""
@@ -239,12 +340,23 @@ class OmeZarr(DataSource):
         return StoreWriter(self.options, overwrite)
 
 
-def to_chunks(voxels: DataFrame, chunk: int = CHUNK_XY) -> DataFrame:
-    """Voxels as chunk rows (t, c, z, cy, cx, h, w, data): gathered in the JVM, packed a batch at a time."""
+def to_chunks(voxels: DataFrame, chunk: int = CHUNK_XY, extents: tuple[int, int, int] | None = None) -> DataFrame:
+    """Voxels as chunk rows (t, c, z, cy, cx, h, w, data): gathered in the JVM, packed a batch at a time.
+
+    With ``extents`` (width, height, depth) every chunk of every (t, c) has a row, also one without voxels,
+    so that a volume with empty regions is whole.
+    """
     cell = F.struct((F.col("y") % chunk).cast("int").alias("y"), (F.col("x") % chunk).cast("int").alias("x"), F.col("v").cast("int").alias("v"))
     key = [F.col(k).cast("int").alias(k) for k in "tcz"] + [F.floor(F.col(a) / chunk).cast("int").alias(f"c{a}") for a in "yx"]
-    cells = voxels.groupBy(*key).agg(F.collect_list(cell).alias("p"), F.max(cell["y"]).alias("h"), F.max(cell["x"]).alias("w"))
-    rows = cells.select("t", "c", "z", "cy", "cx", (F.col("h") + 1).alias("h"), (F.col("w") + 1).alias("w"), "p.y", "p.x", "p.v")
+    rows = voxels.select(*key, cell.alias("p"))
+    if extents:
+        width, height, depth = extents
+        grid = voxels.select(F.col("t").cast("int").alias("t"), F.col("c").cast("int").alias("c")).distinct()
+        for k, n in (("z", depth), ("cy", ceil(height / chunk)), ("cx", ceil(width / chunk))):
+            grid = grid.withColumn(k, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        rows = rows.union(grid.select("t", "c", "z", "cy", "cx", F.lit(None).cast(rows.schema["p"].dataType).alias("p")))
+    cells = rows.groupBy("t", "c", "z", "cy", "cx").agg(F.collect_list("p").alias("p"), F.max("p.y").alias("h"), F.max("p.x").alias("w"))
+    rows = cells.select("t", "c", "z", "cy", "cx", (F.coalesce("h", F.lit(0)) + 1).alias("h"), (F.coalesce("w", F.lit(0)) + 1).alias("w"), "p.y", "p.x", "p.v")
 
     def run(batches):
         import pyarrow as pa
@@ -260,6 +372,27 @@ def to_chunks(voxels: DataFrame, chunk: int = CHUNK_XY) -> DataFrame:
     return rows.mapInArrow(run, "t int, c int, z int, cy int, cx int, h int, w int, data binary")
 
 
+def projection_chunks(pixels: DataFrame, chunk: int = CHUNK_XY) -> DataFrame:
+    """Projection pixels (t, c, h, w, v) as chunk rows of a projection array."""
+    return to_chunks(pixels.select("t", "c", F.lit(0).alias("z"), F.col("h").alias("y"), F.col("w").alias("x"), "v"), chunk)
+
+
+def write_store(
+    voxels: DataFrame, root: str, extents: tuple[int, int, int], times: int, channels: int, chunk: int = CHUNK_XY, views: dict[str, DataFrame] | None = None, mode: str = "append", **options
+) -> None:
+    """Write a volume (c from 0) and projections of it, by name (t, c, h, w, v): the projections are staged first, the volume commits."""
+    width, height, depth = extents
+    sizes = {"x": (depth, height), "y": (width, depth), "z": (width, height)}
+    for name, pixels in (views or {}).items():
+        w, h = sizes[name[-1].lower()]
+        _write(projection_chunks(pixels, chunk), root, f"{times},{channels},1,{h},{w}", chunk, mode, projection=name, **{k: v for k, v in options.items() if k == "scale"})
+    _write(to_chunks(voxels, chunk, extents), root, f"{times},{channels},{depth},{height},{width}", chunk, mode, **options)
+
+
+def _write(chunks, root, shape, chunk, mode, **options):
+    chunks.write.format("ome_zarr").options(shape=shape, chunk=chunk, **options).mode(mode).save(root)
+
+
 def to_voxels(chunks: DataFrame) -> DataFrame:
     out = chunks.select("t", "c", "z", "y0", "x0", "w", F.posexplode("px").alias("pos", "v"))
     return out.select("t", "c", "z", (F.col("y0") + F.floor(F.col("pos") / F.col("w"))).cast("long").alias("y"), (F.col("x0") + F.col("pos") % F.col("w")).cast("long").alias("x"), "v")
@@ -269,22 +402,31 @@ def set_alignment(root: str, matrices: dict[str, list[float]], source: str) -> N
     """Replace the alignment in a store's metadata; the first original is kept once."""
     path = os.path.join(root, ".zattrs")
     attrs = _load(path)
-    record = attrs.setdefault("opm_provenance", {})
+    record = attrs.setdefault(PROVENANCE, {})
     if "alignMatrices" in record and "originalAlignMatrices" not in record:
         record["originalAlignMatrices"] = record["alignMatrices"]
     record["alignMatrices"], record["alignSource"] = matrices, source
     _save(path, attrs)
 
 
-def resume_problem(store: dict, plan: dict) -> str | None:
-    """Why a conversion cannot go on into an existing store, or None."""
-    for key, what in (("shape", "layout"), ("chunks", "chunk size"), ("channel_labels", "channels")):
-        a, b = store.get(key), plan.get(key)
-        if key == "shape":
-            a, b = a and a[1:], b and b[1:]
-        if b is not None and a != b:
-            return f"the store's {what} differs: {a} and {b}"
-    have, want = store.get("time_labels", []), plan.get("time_labels")
-    if want is not None and want[: len(have)] != have:
-        return "the store's committed time points are not the first of the plan"
-    return None
+# What a conversion must share with the store it goes on into, in the order of the reasons given.
+RESUME = ["kind", "identity", "layout", "chunks", "channels", "sampling"]
+
+
+def resume_problems(stores: DataFrame, plans: DataFrame, key: str) -> DataFrame:
+    """``key, problem`` of every planned conversion: why it cannot go on into its store, or NULL.
+
+    Both sides have the columns of RESUME and ``labels, fingerprints`` (arrays by time point). The
+    store's committed time points must be the first of the plan, from files that are still the
+    same. A plan without a store has no problem; unknown values of the store agree with any.
+    """
+    s = stores.select(key, *[F.col(c).alias(f"_{c}") for c in [*RESUME, "labels", "fingerprints"]], F.lit(True).alias("_held"))
+    both = plans.join(s, key, "left")
+    problem = F.lit(None).cast("string")
+    n = F.size("_labels")
+    rules = [(c, F.col(f"_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_{c}"))) for c in RESUME]
+    rules += [("time points", F.slice("labels", 1, F.greatest(n, F.lit(1))) != F.col("_labels")), ("files", F.slice("fingerprints", 1, F.greatest(n, F.lit(1))) != F.col("_fingerprints"))]
+    for name, broken in reversed(rules):
+        applies = broken if name not in ("time points", "files") else (n > 0) & broken
+        problem = F.when(F.col("_held") & applies, F.lit(f"the store's {name} differ" if name in ("chunks", "channels", "time points", "files") else f"the store's {name} differs")).otherwise(problem)
+    return both.select(key, problem.alias("problem"))

@@ -6,12 +6,15 @@ Every task seeks to the planes it needs; a file is never read whole. Grey 8-, 16
 
 from __future__ import annotations
 
+import io
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -137,52 +140,90 @@ def read_plane(path: str, tags: dict, order: str) -> np.ndarray:
 
 
 @dataclass
-class PlaneRange(InputPartition):
+class PlaneGroup(InputPartition):
     path: str
-    first: int
-    last: int
+    planes: list  # (z, tags, byte order): found once, so that a task seeks straight to its strips
 
 
 class TiffReader(DataSourceReader):
+    """Planes of the named file; many files are read by ``planes``."""
+
     def __init__(self, options):
-        self.paths = options["path"].split(",")
+        self.path = options["path"]
 
     def partitions(self):
-        out = []
-        for path in self.paths:
-            n = sum(1 for _ in directories(path))
-            out += [PlaneRange(path, i, min(i + PLANES_PER_TASK, n)) for i in range(0, n, PLANES_PER_TASK)]
-        return out
+        found = [(z, tags, order) for z, (tags, order) in enumerate(directories(self.path))]
+        return [PlaneGroup(self.path, found[i : i + PLANES_PER_TASK]) for i in range(0, len(found), PLANES_PER_TASK)] or [PlaneGroup(self.path, [])]
 
     def read(self, p):
-        for z, (tags, order) in enumerate(directories(p.path)):
-            if z >= p.last:
-                return
-            if z >= p.first:
-                image = read_plane(p.path, tags, order)
-                yield (p.path, z, image.shape[1], image.shape[0], image.ravel().astype(float).tolist())
+        import pyarrow as pa
 
+        for z, tags, order in p.planes:
+            image = read_plane(p.path, tags, order)
+            px = pa.ListArray.from_arrays(pa.array([0, image.size], pa.int32()), pa.array(image.ravel().astype(float)))
+            yield pa.RecordBatch.from_arrays([pa.array([p.path]), *(pa.array([n], pa.int32()) for n in (z, image.shape[1], image.shape[0])), px], ["path", "z", "width", "height", "px"])
 
-def encode(planes: list[np.ndarray], description: str = "", deflate: bool = False) -> bytes:
-    """A file of 16-bit planes, one strip each; directories follow their pixels."""
-    out, last = bytearray(b"II*\0\0\0\0\0"), 4
-    for i, image in enumerate(planes):
+
+def planes(paths: DataFrame) -> DataFrame:
+    """``path, z, width, height, px`` of all planes of the files in ``paths``, a table however long.
+
+    Directories are walked once, by the tasks; then the planes are dealt out and read, each by its strips.
+    """
+    def walk(batches):
+        for pdf in batches:
+            rows = [(path, z, order, json.dumps({str(k): list(v) if not isinstance(v, (str, bytes)) else None for k, v in tags.items() if k != DESCRIPTION})) for path in pdf["path"] for z, (tags, order) in enumerate(directories(path))]
+            yield pd.DataFrame(rows, columns=["path", "z", "byte_order", "tags"])
+
+    def fetch(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, z, order, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tags = {int(k): tuple(v) for k, v in json.loads(text).items() if v is not None}
+                image = read_plane(path, tags, order)
+                px = pa.ListArray.from_arrays(pa.array([0, image.size], pa.int32()), pa.array(image.ravel().astype(float)))
+                yield pa.RecordBatch.from_arrays([pa.array([path]), *(pa.array([n], pa.int32()) for n in (z, image.shape[1], image.shape[0])), px], ["path", "z", "width", "height", "px"])
+
+    found = paths.select("path").mapInPandas(walk, "path string, z int, byte_order string, tags string")
+    return found.repartition("path", F.floor(F.col("z") / PLANES_PER_TASK)).mapInArrow(fetch, "path string, z int, width int, height int, px array<double>")
+
+
+class PlaneWriter:
+    """A file of 16-bit planes written as they come, one strip each; directories follow their pixels."""
+
+    def __init__(self, f, description: str = "", deflate: bool = False):
+        self.f, self.text, self.deflate, self.link = f, description.encode() + b"\0" if description else b"", deflate, 4
+        f.write(b"II*\0\0\0\0\0")
+
+    def add(self, image: np.ndarray) -> None:
         raw = image.astype("<u2").tobytes()
-        raw = zlib.compress(raw, 1) if deflate else raw
-        at = len(out)
-        out += raw + b"\0" * (len(raw) % 2)
-        text = description.encode() + b"\0" if description and not i else b""
-        text_at = len(out)
-        out += text + b"\0" * (len(text) % 2)
+        raw = zlib.compress(raw, 1) if self.deflate else raw
+        at = self.f.tell()
+        self.f.write(raw + b"\0" * (len(raw) % 2))
+        text, text_at = self.text, self.f.tell()
+        self.f.write(text + b"\0" * (len(text) % 2))
+        self.text = b""  # the first directory has it
         entries = [
-            (WIDTH, 4, 1, image.shape[1]), (HEIGHT, 4, 1, image.shape[0]), (BITS, 3, 1, 16), (COMPRESSION, 3, 1, 8 if deflate else 1), (262, 3, 1, 1),
+            (WIDTH, 4, 1, image.shape[1]), (HEIGHT, 4, 1, image.shape[0]), (BITS, 3, 1, 16), (COMPRESSION, 3, 1, 8 if self.deflate else 1), (262, 3, 1, 1),
             *([(DESCRIPTION, 2, len(text), text_at)] if len(text) > 4 else []), (OFFSETS, 4, 1, at), (ROWS, 4, 1, image.shape[0]), (COUNTS, 4, 1, len(raw)),
         ]
-        struct.pack_into("<I", out, last, len(out))
-        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries)
-        last = len(out)
-        out += b"\0\0\0\0"
-    return bytes(out)
+        directory = self.f.tell()
+        self.f.write(struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries))
+        end = self.f.tell()
+        self.f.write(b"\0\0\0\0")
+        self.f.seek(self.link)
+        self.f.write(struct.pack("<I", directory))
+        self.f.seek(0, os.SEEK_END)
+        self.link = end
+
+
+def encode(planes: list[np.ndarray], description: str = "", deflate: bool = False) -> bytes:
+    """The bytes of a whole file."""
+    out = io.BytesIO()
+    writer = PlaneWriter(out, description, deflate)
+    for image in planes:
+        writer.add(image)
+    return out.getvalue()
 
 
 @dataclass
@@ -191,21 +232,29 @@ class Files(WriterCommitMessage):
 
 
 class TiffWriter(DataSourceWriter):
-    """Rows (file, data): whole encoded files, written under a temporary name and renamed."""
+    """Rows (file, z, n, width, height, data) in order of file and z: files are written plane by plane under a temporary name and renamed.
+
+    A task holds one plane at a time. A file that is there and complete stays unless overwritten.
+    """
 
     def __init__(self, options, overwrite):
-        self.root, self.overwrite = options["path"], overwrite
+        self.root, self.overwrite, self.deflate = options["path"], overwrite, options.get("deflate", "false") == "true"
 
     def write(self, rows):
         done = []
-        for r in rows:
-            path = os.path.join(self.root, r["file"])
+        for name, own in groupby(rows, key=lambda r: r["file"]):
+            path = os.path.join(self.root, name)
             if os.path.exists(path) and not self.overwrite and ready(path):
+                for _ in own:
+                    pass
                 continue
             os.makedirs(os.path.dirname(path), exist_ok=True)
             temporary = f"{path}.{uuid.uuid4().hex}"
             with open(temporary, "wb") as f:
-                f.write(r["data"])
+                writer = None
+                for r in own:
+                    writer = writer or PlaneWriter(f, f"ImageJ=1\nimages={r['n']}\nslices={r['n']}\n", self.deflate)
+                    writer.add(np.frombuffer(r["data"], "<u2").reshape(r["height"], r["width"]))
             os.replace(temporary, path)
             done.append(path)
         return Files(done)
@@ -232,13 +281,20 @@ class PlanesTiff(DataSource):
         return TiffWriter(self.options, overwrite)
 
 
-def to_files(planes: DataFrame, name: str, deflate: bool = False) -> DataFrame:
-    """``file, data`` rows from planes (t, c, z, width, height, px): one file per (t, c), named by ``name % (t, c)``."""
+def to_files(planes: DataFrame, name: str, keys: tuple[str, ...] = ("t", "c")) -> DataFrame:
+    """Rows for the sink from planes (keys, z, width, height, px): one file per group, named by ``name`` with the keys; it may name folders.
+
+    The planes of a file are brought together and sorted, and leave the task one by one.
+    """
+    counts = planes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(pdf):
-        pdf = pdf.sort_values("z")
-        images = [np.array(r.px).reshape(r.height, r.width) for r in pdf.itertuples()]
-        text = f"ImageJ=1\nimages={len(images)}\nslices={len(images)}\n"
-        return pd.DataFrame({"file": [name % (pdf["t"].iloc[0], pdf["c"].iloc[0])], "data": [encode(images, text, deflate)]})
+        for batch in batches:
+            data = [np.asarray(px.values.to_numpy(zero_copy_only=False)).astype("<u2").tobytes() for px in batch.column("px")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(data, pa.binary())], [*batch.schema.names[:5], "data"])
 
-    return planes.groupBy("t", "c").applyInPandas(run, "file string, data binary")
+    rows = planes.join(counts, list(keys)).select(F.format_string(name, *keys).alias("file"), F.col("z").cast("long").alias("z"), "n", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "px")
+    packed = rows.mapInArrow(run, "file string, z long, n long, width int, height int, data binary")
+    return packed.repartition("file").sortWithinPartitions("file", "z")

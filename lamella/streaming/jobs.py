@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,10 +12,19 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder (a temporary one where none is set)."""
+    """A new folder under the cluster's shared checkpoint folder.
+
+    Only in local mode, where driver and tasks are one process, a temporary folder stands in for a
+    missing setting; a cluster without the setting is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamella-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="lamella-")
+        sc.setCheckpointDir(named)
     return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 

@@ -8,24 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from lamella.sources.ome_zarr import metadata
+from lamella.sources.ome_zarr import _load, _save, metadata
 
 
 class FolderReader(SimpleDataSourceStreamReader):
-    """Each trigger lists the folder and reports what was added or changed since the last offset.
+    """Each trigger lists the folder and reports what was added, changed or removed since the last look.
 
-    The offset is the listing's high-water mark: the largest (mtime, path) reported. A file
-    whose time moved on passes the mark again, which the built-in file source never does.
+    A look is kept as a file in ``listings``, a shared folder, and the offset is its number: a
+    batch is the difference of two looks, so it can be told again after a failure. A file copied
+    in with an older time is new all the same; a file that is gone is reported with size -1.
     """
 
     def __init__(self, options):
-        self.root = options["path"]
+        if "listings" not in options:
+            raise ValueError("folder_listing needs the option listings: a folder for its looks")
+        self.root, self.listings = options["path"], options["listings"]
         self.suffixes = tuple(s for s in options.get("suffixes", "").split(",") if s)
 
     def initialOffset(self):
-        return {"mtime": -1, "path": ""}
+        return {"look": 0}
 
-    def _listing(self):
+    def _look(self) -> dict:
+        out = {}
         for folder, _, names in os.walk(self.root):
             for name in names:
                 if not self.suffixes or name.endswith(self.suffixes):
@@ -34,17 +38,29 @@ class FolderReader(SimpleDataSourceStreamReader):
                         st = os.stat(path)
                     except OSError:
                         continue  # gone meanwhile; the next look repairs it
-                    yield (path, st.st_size, st.st_mtime_ns)
+                    out[path] = [st.st_size, st.st_mtime_ns]
+        return out
+
+    def _known(self, number: int) -> dict:
+        return _load(os.path.join(self.listings, f"{number}.json")) if number else {}
+
+    @staticmethod
+    def _difference(before: dict, after: dict):
+        fresh = [(p, *x) for p, x in sorted(after.items()) if before.get(p) != x]
+        return fresh + [(p, -1, x[1]) for p, x in sorted(before.items()) if p not in after]
 
     def read(self, start):
-        mark = (int(start["mtime"]), start["path"])
-        new = sorted((m, p, n) for p, n, m in self._listing() if (m, p) > mark)
-        end = {"mtime": new[-1][0], "path": new[-1][1]} if new else start
-        return iter([(p, n, m) for m, p, n in new]), end
+        number = int(start["look"])
+        before, now = self._known(number), self._look()
+        rows = self._difference(before, now)
+        if rows:
+            number += 1
+            os.makedirs(self.listings, exist_ok=True)
+            _save(os.path.join(self.listings, f"{number}.json"), now)
+        return iter(rows), {"look": number}
 
     def readBetweenOffsets(self, start, end):
-        low, high = (int(start["mtime"]), start["path"]), (int(end["mtime"]), end["path"])
-        return iter([(p, n, m) for p, n, m in self._listing() if low < (m, p) <= high])
+        return iter(self._difference(self._known(int(start["look"])), self._known(int(end["look"]))))
 
     def commit(self, end):
         pass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,23 +22,32 @@ def quiet_sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) ->
     return marked.groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("s.start").alias("first"), F.col("s.end").alias("quiet_at"), "n")
 
 
-def complete_groups(files: DataFrame, required: list[int]) -> DataFrame:
-    """(position, time_id) once every required channel has arrived; extra or doubled channels refuse it."""
-    wanted = sorted(required)
+def complete_groups(files: DataFrame, required: list[int], ts: str | None = None, horizon: str | None = None) -> DataFrame:
+    """(position, time_id, status) once every required channel has arrived; extra or doubled channels refuse it.
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        seen = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            seen += [int(c) for c in pdf["channel"]]
-        before = state.exists and state.get[1]
-        status = "held" if set(seen) < set(wanted) and len(set(seen)) == len(seen) else "complete" if sorted(seen) == wanted else "refused"
-        state.update((seen, status != "held"))
-        if status != "held" and (not before or status == "refused"):
-            yield pd.DataFrame([(*key, status)], columns=["position", "time_id", "status"])
-
-    return files.groupBy("position", "time_id").applyInPandasWithState(
-        update, "position long, time_id long, status string", "seen array<int>, told boolean", "update", GroupStateTimeout.NoTimeout
-    )
+    A streaming aggregate in the JVM, for update mode; a group is told again when more of it
+    arrives. With ``ts`` and ``horizon`` a group is closed after a silence of that length, is told
+    once in append mode, and its state goes with the watermark.
+    """
+    wanted = F.array(*[F.lit(int(c)) for c in sorted(required)])
+    keys = [F.col("position"), F.col("time_id")]
+    if horizon:
+        files = files.withWatermark(ts, horizon)
+        keys = [F.session_window(ts, horizon), *keys]
+    groups = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.col("channel").cast("int"))).alias("seen"))
+    doubled = F.col("n") > F.size("seen")
+    status = F.when(~doubled & (F.col("seen") == wanted), "complete").when(doubled | (F.size(F.array_except("seen", wanted)) > 0), "refused")
+    return groups.select("position", "time_id", status.alias("status")).filter("status IS NOT NULL")
+
+
+def depth_state(planes: Column, expected: Column) -> Column:
+    """State by plane count: fewer than named are incomplete, more are a failure, an unnamed count stays unverified."""
+    return F.when(expected.isNull(), "DEPTH_UNVERIFIED").when(planes < expected, "INCOMPLETE").when(planes > expected, "FAILED").otherwise("COMPLETE")
+
+
+def shown(files: DataFrame, allow_unverified: bool = False) -> DataFrame:
+    """Files to show (state, arrived): those that arrived live with an unverified depth are withheld unless allowed."""
+    return files if allow_unverified else files.filter(~(F.col("arrived") & (F.col("state") == "DEPTH_UNVERIFIED")))
 
 
 def next_state(known: tuple | None, size: int, mtime: int, planes: int | None, expected: int | None) -> tuple[str, str]:
@@ -87,9 +96,12 @@ def file_states(looks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
                 if known is None or now != known[2]:
                     out.append((key[0], int(r.seq), now, why))
                 known = (int(r.size), int(r.mtime), now)
-            state.update(known)
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
+            if known[2] == "REMOVED":
+                state.remove()  # a file that comes back begins anew
+            else:
+                state.update(known)
+                if timeout_ms:
+                    state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["path", "seq", "state", "reason"])
 
     return looks.groupBy("path").applyInPandasWithState(
@@ -100,7 +112,7 @@ def file_states(looks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
 def layout_of(names: list[tuple[int | None, int | None]], quiet: bool) -> tuple[str, list[int]] | None:
     """Layout decided by (time, channel) tokens in order of arrival, or None while more is needed.
 
-    Channels are counted from one to the highest seen: a gap is a missing file, not a layout.
+    A layout of several channels holds all numbers up to the largest one met.
     """
     if not names:
         return None
