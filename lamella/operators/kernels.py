@@ -173,71 +173,6 @@ def sweep(voxels: DataFrame, factors: list[int], slope: float, extents: tuple[in
     return parts.groupBy("t", "c", "factor", "phase", "method").agg(*[F.sum(k).alias(k) for k in names]).select("*", *noise)
 
 
-def robust_rigid(fx, fy, mx, my, radius: float = 8.0, rounds: int = 200, seed: int = 11) -> tuple[float, float, float, int]:
-    """Angle (degrees), shift and inliers by seeded two-point consensus and three refining passes."""
-    f, m = np.column_stack([fx, fy]).astype(float), np.column_stack([mx, my]).astype(float)
-
-    def fit(a, b):
-        ca, cb = a.mean(0), b.mean(0)
-        p, q = a - ca, b - cb
-        angle = math.atan2((q[:, 0] * p[:, 1] - q[:, 1] * p[:, 0]).sum(), (q * p).sum())
-        turn = np.array([[math.cos(angle), -math.sin(angle)], [math.sin(angle), math.cos(angle)]])
-        return angle, turn, ca - turn @ cb
-
-    best, rng = (0, None), np.random.RandomState(seed)
-    if len(f) < 3:
-        return math.nan, math.nan, math.nan, 0
-    for _ in range(rounds):
-        i, j = rng.choice(len(f), 2, replace=False)
-        _, turn, shift = fit(f[[i, j]], m[[i, j]])
-        inside = np.hypot(*(m @ turn.T + shift - f).T) <= radius
-        if inside.sum() > best[0]:
-            best = (int(inside.sum()), inside)
-    inside = best[1]
-    for r in (radius, radius / 2, 2.5):
-        if inside.sum() < 2:
-            break
-        angle, turn, shift = fit(f[inside], m[inside])
-        inside = np.hypot(*(m @ turn.T + shift - f).T) <= r
-    return math.degrees(angle), float(shift[0]), float(shift[1]), int(inside.sum())
-
-
-def robust_fits(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Robust rigid alignment of every group of matched pairs (fx, fy, mx, my)."""
-    fields = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fx", "fy", "mx", "my"])
-        return pd.DataFrame([(*key, *robust_rigid(pdf["fx"], pdf["fy"], pdf["mx"], pdf["my"]))])
-
-    return pairs.groupBy(*keys).applyInPandas(run, f"{fields}, angle double, dx double, dy double, inliers int")
-
-
-def coarse_shift(fixed: np.ndarray, moving: np.ndarray, limit: int) -> tuple[int, int, float]:
-    """Shift (dx, dy) of bounded normalised correlation of two planes."""
-    a, b = fixed - fixed.mean(), moving - moving.mean()
-    scale = math.sqrt((a * a).sum() * (b * b).sum()) or 1.0
-    full = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b))).real / scale
-    best = (0, 0, -1.0)
-    for dy in range(-limit, limit + 1):
-        for dx in range(-limit, limit + 1):
-            if full[dy, dx] > best[2]:
-                best = (dx, dy, float(full[dy, dx]))
-    return best
-
-
-def coarse_shifts(planes: DataFrame, limit: int) -> DataFrame:
-    """Shift between channels 1 and 2 of every time point: one pair of images a group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        images = {int(r.c): np.array(r.px, float).reshape(r.height, r.width) for r in pdf.itertuples()}
-        if 1 not in images or 2 not in images:
-            return pd.DataFrame(columns=["t", "dx", "dy", "score"])
-        return pd.DataFrame([(pdf["t"].iloc[0], *coarse_shift(images[1], images[2], limit))], columns=["t", "dx", "dy", "score"])
-
-    return planes.groupBy("t").applyInPandas(run, "t long, dx int, dy int, score double")
-
-
 def components_of(mask: np.ndarray) -> np.ndarray:
     """4-connected labels (from 1) of a plane by union-find."""
     labels, parent = np.zeros(mask.shape, int), [0]

@@ -3,11 +3,14 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lamella.functions import names as nm
 from lamella.functions import provenance
-from lamella.operators import kernels, pipelines as pl, project as pj, voxels as vx
+from lamella.operators import alignment as al, kernels, pipelines as pl, project as pj, voxels as vx
 from lamella.plans import views
-from lamella.plans.q_kernels import deskew_sql
+from lamella.plans.q_kernels import IMAGES_SQL, bead_pairs, deskew_sql
 from lamella.plans.registry import query
+from lamella.sources import text
+from lamella.streaming.jobs import shared_folder
 
 V = f"WITH {views.VOXELS} "
 GEOMETRY = (0.265, 0.116, 25.0)
@@ -79,11 +82,16 @@ def x11(spark, sf_dir):
     return pl.view(_v(spark, sf_dir), [1], box, "side_by_side", 10)
 
 
-@query("x12_channel_calibration")
+# The known map of channel 2 onto channel 1, then a correction by hand of three pixels to the right and one up.
+@query("x12_channel_calibration", IMAGES_SQL + "SELECT '_Channel' || printf('%04d', image) || '-right' AS source, round(cos(radians(0.05 * (image % 7))), 4) AS m00, image % 11 - 20 + 3 AS m02, 5 - image % 9 - 1 AS m12 FROM i")
 def x12(spark, sf_dir):
-    from lamella.plans.q_kernels import k11
-
-    return k11(spark, sf_dir)
+    folder = shared_folder(spark) + "/alignments"
+    shift = [F.lit(v) for v in (1.0, 0.0, 3.0, 0.0, 1.0, -1.0)]
+    found = al.calibrate(*bead_pairs(spark, sf_dir), ["image"], adjust=shift)
+    al.saved_set(found.filter("method = 'beads'"), folder, nm.source_key(F.col("image"), F.lit("right")))
+    lines = spark.read.text(folder).select(F.lit("set").alias("path"), F.col("value").alias("line"))
+    got = text.alignments(lines)
+    return got.select("source", F.round("m00", 4).alias("m00"), F.round("m02").cast("long").alias("m02"), F.round("m12").cast("long").alias("m12"))
 
 
 @query("j07_composed_channels", V + "SELECT t, CASE c WHEN 2 THEN 0 ELSE 1 END AS c, z, y, x, v FROM voxels")

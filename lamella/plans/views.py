@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,36 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("(p_partkey * 101) % 512 + (p_retailprice - floor(p_retailprice)) / 10").cast("double").alias("y"),
         F.col("p_size").alias("response"),
     )
+
+
+BEAD_SIDE, BEADS = 256, 200  # pixels a side, beads an image
+
+
+def bead_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image, c, width, height, px``: pairs of images of the parts' positions as bright beads, BEADS to an image.
+
+    Channel 2 shows the beads of channel 1 turned by 0.05 degrees for each (image % 7) and shifted by
+    (image % 11 - 20, 5 - image % 9) pixels, each channel without every ninth bead of its own.
+    """
+    image = F.expr(f"p_partkey div {BEADS}")
+    spots = table(spark, sf_dir, "part").select(
+        image.alias("image"), F.col("p_partkey").alias("id"), (30 + F.expr("(CAST(p_partkey AS BIGINT) * p_partkey * 37 + 11 * p_partkey) % 196") + F.col("p_size") / 100.0).alias("x"), (30 + F.expr("(CAST(p_partkey AS BIGINT) * p_partkey * p_partkey % 1009 * 53 + 17 * p_partkey) % 196") + F.expr("p_partkey % 83") / 100.0).alias("y")
+    )
+    both = spots.withColumn("c", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))).filter("(id + c * 4) % 9 <> 0")
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, c = key
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        if c == 2:
+            a = np.radians(0.05 * (n % 7))
+            x, y = x - (n % 11 - 20), y - (5 - n % 9)
+            x, y = np.cos(a) * x + np.sin(a) * y, -np.sin(a) * x + np.cos(a) * y
+        out = np.full((BEAD_SIDE, BEAD_SIDE), 100.0)
+        gy, gx = np.mgrid[-8:9, -8:9]
+        for px, py in zip(x, y):
+            cx, cy = int(round(px)), int(round(py))
+            if 8 <= cx < BEAD_SIDE - 8 and 8 <= cy < BEAD_SIDE - 8:
+                out[cy - 8 : cy + 9, cx - 8 : cx + 9] += 900 * np.exp(-((gx + cx - px) ** 2 + (gy + cy - py) ** 2) / 8.0)
+        return pd.DataFrame([(n, c, BEAD_SIDE, BEAD_SIDE, out.ravel())], columns=["image", "c", "width", "height", "px"])
+
+    return both.groupBy("image", "c").applyInPandas(draw, "image long, c long, width int, height int, px array<double>")
