@@ -88,6 +88,47 @@ _BSD_END = (
 )
 
 
+# Short licences as (id, title, text), and the notices that long ones ask to be put into each file.
+SHORT = [
+    ("0BSD", "BSD Zero Clause License",
+     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_END),
+    ("Unlicense", "The Unlicense",
+     "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+     "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, "
+     "the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public "
+     "at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to "
+     "this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+     "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Zlib", "zlib License",
+     "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\n"
+     "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+     "restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an "
+     "acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented "
+     "as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003",
+     "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "
+     "\"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+     "Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this "
+     "restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or "
+     "derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+     "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE "
+     "COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+     "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Notice",
+     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n"
+     "http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    *((f"{i}-or-later" if later else i, "Notice",
+       f"This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{comma} "
+       f"either version {version} of the License, or (at your option) any later version.")
+      for i, name, version, mark, comma, later in (("GPL-2.0", "General Public License", "2", ";", ";", True), ("GPL-3.0", "General Public License", "3", ":", ",", True),
+                                                   ("AGPL-3.0", "Affero General Public License", "3", ":", ",", True), ("LGPL-3.0", "Lesser General Public License", "3", ":", ",", True))),
+    ("MPL-2.0", "Notice",
+     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+
+
 def _forms(text: str) -> list[str]:
     """A licence file with and without its title, and with and without what follows its terms."""
     blocks = text.strip().split("\n\n")
@@ -99,14 +140,16 @@ def _forms(text: str) -> list[str]:
 def texts() -> list[tuple[str, str]]:
     """Whole licence texts: (id, text), some in several forms."""
     out = [(p.stem, form) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")) for form in _forms(p.read_text("utf-8"))]
-    short = [("MIT", "MIT License", _MIT), ("MIT", "The MIT License", _MIT), ("MIT", "The MIT License (MIT)", _MIT), ("ISC", "ISC License", f"{_ISC}\n\n{_ISC_END}")]
+    short = [*((i, title, text) for i, title, text in SHORT), ("MIT", "MIT License", _MIT), ("MIT", "The MIT License", _MIT), ("MIT", "The MIT License (MIT)", _MIT), ("ISC", "ISC License", f"{_ISC}\n\n{_ISC_END}")]
     for marks in (("", "", ""), ("1. ", "2. ", "3. ")):
         short.append(("BSD-2-Clause", "BSD 2-Clause License", (_BSD + _BSD_END).format(*marks[:2])))
         short.append(("BSD-3-Clause", "BSD 3-Clause License", (_BSD + _BSD_NAME + _BSD_END).format(*marks)))
     return out + [(i, form) for i, title, text in short for form in (text, f"{title}\n\n{text}")]
 
 
-_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A copyright line begins with the word or sign and names a year or repeats the sign; licence terms that happen
+# to begin a line with "copyright" (as in COPYRIGHT HOLDERS BE LIABLE) are no such line.
+_COPYRIGHT = r"(^|\n)[ \t]*((copyright|\(c\)|©)[^\n]*([0-9]{4}|<year>|\[yyyy\]|\(c\)|©)|all rights reserved)[^\n]*"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 

@@ -29,3 +29,17 @@ def test_whole_texts_are_found_alone_titled_and_inside(spark, known):
         1: ("MIT", 1, True), 2: ("GPL-3.0", 1, True), 3: ("Apache-2.0", 1, False), 4: ("BSD-3-Clause,MIT", 2, False),
         5: ("ISC", 2, True), 7: ("ISC", 1, False),
     }
+
+
+def test_notices_and_broken_lines_are_found(spark, known):
+    """An MIT text wrapped so that a line begins with COPYRIGHT HOLDERS, notices in comments, and lines that are no notice."""
+    mit = ls._MIT.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    notice = next(t for i, _, t in ls.SHORT if i == "Apache-2.0")
+    gpl = next(t for i, _, t in ls.SHORT if i == "GPL-3.0-or-later")
+    comment = "\n".join(f"# {line}" for line in textwrap.wrap(notice, 70))
+    texts = [
+        (1, f"The MIT License (MIT)\n\nCopyright (c) 2019-2021 A. B.\nCopyright © Someone\n\n{mit}"), (2, f"#!/bin/sh\n# Copyright 2020 Someone\n{comment}\necho"),
+        (3, f"prose before {gpl} and after"), (4, known["Unlicense"]), (5, "Copyright holders of great works met in town.\nAll agreed."), (6, "Copyright 2021 Someone"),
+    ]
+    got = {r[0]: (r[1], r[3]) for r in ls.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", True), 2: ("Apache-2.0", False), 3: ("GPL-3.0-or-later", False), 4: ("Unlicense", True)}
