@@ -197,3 +197,20 @@ def source_to_world(m: np.ndarray, level: int) -> np.ndarray:
     pick = np.diag([float(level)] * 3 + [1.0])
     pick[:3, 3] = half
     return translate(-0.5, -0.5, -0.5) @ m @ translate(0.5, 0.5, 0.5) @ pick
+
+
+def orthogonal(m: list[Column], axis: str, width: Column, height: Column) -> dict[str, list[Column] | Column]:
+    """Alignment of an X or Y projection at the middle of the collapsed axis.
+
+    ``matrix`` acts on the projection's image, ``flip`` says whether the image is mirrored first, and
+    ``spread`` is the worst displacement against aligning the volume. A Y image (x, z) keeps the scale
+    along x and the offset at the middle row; an X image (z, y) those along y at the middle column.
+    """
+    zero, one = F.lit(0.0), F.lit(1.0)
+    if axis == "y":
+        middle = (height - 1) / 2.0
+        return {"matrix": [m[0], zero, m[1] * middle + m[2], zero, one, zero], "flip": F.lit(True), "spread": F.abs(m[1]) * middle}
+    if axis == "x":
+        middle = (width - 1) / 2.0
+        return {"matrix": [one, zero, zero, zero, m[4], m[3] * middle + m[5]], "flip": F.lit(False), "spread": F.abs(m[3]) * middle}
+    raise ValueError(f"a {axis} projection carries the alignment itself")

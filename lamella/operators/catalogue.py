@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.functions import matrix as mx
+
 from lamella.functions import names
 
 
@@ -149,12 +151,40 @@ def paired_frames(series: DataFrame, members: int) -> DataFrame:
     return series.groupBy("group", "time").agg(F.countDistinct("member").alias("n"), F.array_sort(F.collect_list(F.struct("member", "path"))).alias("files")).filter(F.col("n") == members)
 
 
-def placements(sources: DataFrame, matrices: DataFrame) -> DataFrame:
-    """Alignment of every source: its own matrix, else the bare one for a right half, else none."""
-    own = matrices.filter("source IS NOT NULL").select("source", "m02", "m12")
-    bare = matrices.filter("source IS NULL").select(F.lit("right").alias("side"), F.col("m02").alias("b02"), F.col("m12").alias("b12"))
-    joined = sources.join(own, "source", "left").join(bare, "side", "left")
-    return joined.select("source", "side", F.coalesce("m02", "b02").alias("m02"), F.coalesce("m12", "b12").alias("m12"))
+def placements(sources: DataFrame, matrices: DataFrame, flip_left: bool, half_width: int) -> DataFrame:
+    """``source, mirror, m00 ... m12``: whether a camera half is mirrored, and the matrix to apply after that (NULL: none).
+
+    ``sources``: source key, channel, side (left, right, whole). ``matrices``: source (NULL for the bare
+    matrix of a single-matrix file), m00 ... m12, is_reference. A source has its own matrix; a
+    bare one goes for every right half. Whole-width sources are never mirrored and take only a
+    matrix of their own name. With ``flip_left`` the left halves are mirrored instead, and a matrix M
+    becomes F A^-1 M F, with A the matrix of the right half of the reference's channel (or the bare one)
+    and F the mirror of a half: the same result seen from the other side. Identities are NULL.
+    """
+    six = list(mx.SIX)
+    own = matrices.filter("source IS NOT NULL")
+    bare = matrices.filter("source IS NULL").select(F.lit("right").alias("side"), *[F.col(k).alias(f"b_{k}") for k in six])
+    joined = sources.join(own.select("source", *six), "source", "left").join(bare, "side", "left")
+    stored = [F.coalesce(F.col(k), F.col(f"b_{k}")) for k in six]
+    placed = joined.select("source", "channel", "side", *[c.alias(k) for k, c in zip(six, stored)])
+    mirror = F.when(F.col("side") == "whole", False).otherwise(F.col("side") == ("left" if flip_left else "right"))
+    one = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    if flip_left:
+        # The frame is the right half of the reference's own channel; the bare matrix is a right half's, too.
+        reference = own.filter("is_reference").select(F.regexp_extract("source", "^_Channel([0-9]+)", 1).cast("int").alias("channel"))
+        anchor = own.join(reference.withColumn("key", F.concat(F.format_string("_Channel%04d", "channel"), F.lit("-right"))).select("key"), F.col("source") == F.col("key")).select(*six)
+        frame = anchor.union(matrices.filter("source IS NULL").select(*six)).limit(1).select(*[F.col(k).alias(f"a_{k}") for k in six])
+        rows = placed.join(frame, F.lit(True), "left")  # one row at most
+        f = mx.mirror_x(F.lit(float(half_width)))
+        m = [F.coalesce(F.col(k), F.lit(d)) for k, d in zip(six, one)]
+        a = [F.coalesce(F.col(f"a_{k}"), F.lit(d)) for k, d in zip(six, one)]
+        framed = mx.product2(f, mx.product2(mx.inverse2(a), mx.product2(m, f)))
+        moved = [F.when(F.col("side") == "whole", F.col(k)).otherwise(c) for k, c in zip(six, framed)]
+        placed = rows.select("source", "channel", "side", *[c.alias(k) for k, c in zip(six, moved)])
+    same = F.lit(True)
+    for k, d in zip(six, one):
+        same = same & (F.abs(F.col(k) - d) < 1e-12)
+    return placed.select("source", mirror.alias("mirror"), *[F.when(~same, F.col(k)).alias(k) for k in six])
 
 
 def output_clashes(outputs: DataFrame) -> DataFrame:
@@ -162,17 +192,45 @@ def output_clashes(outputs: DataFrame) -> DataFrame:
     return outputs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lower("output")))).filter("n > 1").select("dataset", "output")
 
 
-def conversion_plan(sources: DataFrame) -> DataFrame:
-    """One row per dataset with its shape, channels, time points and the reason to refuse it.
+def _file_reason():
+    """Why a file is left out before it may decide what the others should be."""
+    named, slices = F.col("named_depth"), F.col("slices")
+    by_folder = named.isNull() & (F.col("planes") > 0) & (F.col("stored_channels") == 1) & (F.col("frames") == 1) & (slices != F.col("planes"))
+    return F.when(~F.col("readable"), "unreadable").when(named != slices, "depth differs from its name").when(by_folder, "depth differs from its folder's")
+
 
-    ``sources``: path, dataset, time_no, channel, width, height, slices.
+def conversion_plan(sources: DataFrame, parameters: DataFrame, split: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(plan, left out): a row per dataset with its shape, layout, sampling, counts and the reason to refuse it; and files with reasons.
+
+    ``sources``: path, dataset, output, time_no, channel, width, height, slices, stored_channels, frames,
+    named_depth, readable, pixel, dz. ``parameters``: dataset, planes, roi_width, roi_height. Each file
+    is checked on its own first; then the shape that most sound files share holds, and others are left
+    out; a tie is no answer. Slots must not be doubled, incomplete time points are left out, sampling must
+    agree, halves need whole and even camera widths, and no two datasets may write one output.
     """
-    shape = majority(sources.withColumn("shape", F.concat_ws("x", "width", "height", "slices")), ["dataset"], "shape").withColumnRenamed("tie", "shape_tie")
-    wide = sources.groupBy("dataset").agg(F.countDistinct("channel").alias("channels"))
-    points = sources.groupBy("dataset", "time_no").agg(F.countDistinct("channel").alias("have"), F.count(F.lit(1)).alias("files")).join(wide, "dataset")
-    counted = points.groupBy("dataset", "channels").agg(
-        F.count_if(F.expr("have = channels AND files = have")).alias("points"), F.count_if(F.col("have") < F.col("channels")).alias("incomplete"),
-        F.count_if(F.col("files") > F.col("have")).alias("conflicts"),
+    known = sources.join(parameters, "dataset", "left").withColumn("reason", _file_reason())
+    shaped = known.withColumn("shape", F.concat_ws("x", "width", "height", "slices", "stored_channels", "frames"))
+    shape = majority(shaped.filter("reason IS NULL"), ["dataset"], "shape").withColumnsRenamed({"shape": "common", "tie": "shape_tie"})
+    sorted_out = shaped.join(shape, "dataset", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("common").isNotNull() & (F.col("shape") != F.col("common")), "other shape")))
+    good = sorted_out.filter("reason IS NULL AND common IS NOT NULL")
+    wide = good.groupBy("dataset").agg(
+        F.countDistinct("channel").alias("channels"), F.max("width").alias("width"), F.max("height").alias("height"), F.max("stored_channels").alias("stored"),
+        F.max("roi_width").alias("roi_width"), F.max("roi_height").alias("roi_height"), F.min("pixel").alias("pixel"), F.min("dz").alias("dz"),
+        ((F.max("pixel") > F.min("pixel")) | (F.max("dz") > F.min("dz"))).alias("uneven"),
+    )
+    points = good.groupBy("dataset", "time_no").agg(F.countDistinct("channel").alias("have"), F.count(F.lit(1)).alias("files")).join(wide.select("dataset", "channels"), "dataset")
+    counted = points.groupBy("dataset").agg(
+        F.count_if(F.expr("have = channels AND files = have")).alias("points"), F.count_if(F.col("have") < F.col("channels")).alias("incomplete"), F.count_if(F.col("files") > F.col("have")).alias("conflicts")
+    )
+    clashes = output_clashes(sources.select("dataset", "output").distinct()).select("dataset", F.lit(True).alias("clash"))
+    whole = (F.coalesce(F.col("stored"), F.lit(1)) == 1) & (F.col("roi_width").isNull() | ((F.col("width") == F.col("roi_width")) & (F.col("height") == F.col("roi_height"))))
+    layout = F.when(F.col("width").isNull(), None).when(~whole, "stored").otherwise("halves" if split else "whole")
+    reason = (
+        F.when(F.col("shape_tie"), "no majority shape").when(F.col("points").isNull(), "no sound file").when(F.col("conflicts") > 0, "conflicting files").when(F.col("points") == 0, "no complete time point")
+        .when(F.col("uneven"), "sampling differs").when(F.lit(split) & ~whole, "halves need whole widths").when(F.lit(split) & (F.col("width") % 2 != 0), "odd width").when(F.col("clash"), "output clash")
     )
-    reason = F.when(F.col("shape_tie"), "no majority shape").when(F.col("points") == 0, "no complete time point").when(F.col("conflicts") > 0, "conflicting files")
-    return counted.join(shape, "dataset").select("dataset", "shape", "channels", "points", "incomplete", "conflicts", reason.alias("refused"))
+    every = sources.select("dataset").distinct().join(shape, "dataset", "left").join(wide, "dataset", "left").join(counted, "dataset", "left").join(clashes, "dataset", "left")
+    plan = every.select("dataset", F.col("common").alias("shape"), layout.alias("layout"), "channels", "points", "incomplete", "conflicts", "pixel", "dz", reason.alias("refused"))
+    short = points.filter("have < channels").select("dataset", "time_no", F.lit(True).alias("short"))
+    left = sorted_out.join(short, ["dataset", "time_no"], "left").withColumn("reason", F.coalesce("reason", F.when(F.col("short"), "incomplete time point")))
+    return plan, left.filter("reason IS NOT NULL").select("dataset", "path", "reason")

@@ -295,13 +295,36 @@ def j01(spark, sf_dir):
     return cat.paired_frames(series, 4).select("group", "time", "n")
 
 
-@query("j02_placements", FILES + """, s AS (SELECT DISTINCT printf('_Channel%04d-%s', CAST(channel AS INTEGER), CASE WHEN size % 2 = 0 THEN 'left' ELSE 'right' END) AS source, CASE WHEN size % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM files)
-    SELECT source, side, CASE WHEN source = '_Channel0002-right' THEN 1.5 WHEN side = 'right' THEN 7.0 END AS m02, CASE WHEN source = '_Channel0002-right' THEN -2.5 WHEN side = 'right' THEN 8.0 END AS m12 FROM s""")
+# Matrices of two channels by name, the first one the reference, and a bare one; A is that of the reference's right half.
+PLACED_SQL = FILES + """, s AS (SELECT DISTINCT channel, CASE size % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'whole' END AS side FROM files), n AS (SELECT printf('_Channel%04d-%s', CAST(channel AS INTEGER), side) AS source, side FROM s),
+    k AS (SELECT * FROM (VALUES ('_Channel0002-right', 0.99875, -0.05, 1.5, 0.05, 0.99875, -2.5), ('_Channel0003-left', 1.0, 0.0, 4.0, 0.0, 1.0, 3.0), ('_Channel0004-whole', 1.0, 0.0, -6.0, 0.0, 1.0, 2.0)) v(source, a, b, e, c, d, f)),
+    m AS (SELECT n.source, side, coalesce(a, CASE WHEN side = 'right' THEN 1.0 END) AS a, coalesce(b, CASE WHEN side = 'right' THEN 0.0 END) AS b, coalesce(e, CASE WHEN side = 'right' THEN 7.0 END) AS e, coalesce(c, CASE WHEN side = 'right' THEN 0.0 END) AS c,
+      coalesce(d, CASE WHEN side = 'right' THEN 1.0 END) AS d, coalesce(f, CASE WHEN side = 'right' THEN 8.0 END) AS f FROM n LEFT JOIN k ON k.source = n.source)"""
+
+
+def _placed(spark, sf_dir, flip_left):
+    side = F.expr("CASE size % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'whole' END")
+    sources = _files(spark, sf_dir).select(nm.source_key(F.col("channel"), side).alias("source"), "channel", side.alias("side")).distinct()
+    rows = [("_Channel0002-right", 0.99875, -0.05, 1.5, 0.05, 0.99875, -2.5, True), ("_Channel0003-left", 1.0, 0.0, 4.0, 0.0, 1.0, 3.0, False), ("_Channel0004-whole", 1.0, 0.0, -6.0, 0.0, 1.0, 2.0, False), (None, 1.0, 0.0, 7.0, 0.0, 1.0, 8.0, False)]
+    matrices = spark.createDataFrame(rows, "source string, m00 double, m01 double, m02 double, m10 double, m11 double, m12 double, is_reference boolean")
+    out = cat.placements(sources, matrices, flip_left, half_width=100)
+    return out.select("source", "mirror", *[F.round(k, 6).alias(k) for k in ("m00", "m01", "m02", "m10", "m11", "m12")])
+
+
+@query("j02_placements", PLACED_SQL + " SELECT source, side = 'right' AS mirror, round(a, 6) AS m00, round(b, 6) AS m01, round(e, 6) AS m02, round(c, 6) AS m10, round(d, 6) AS m11, round(f, 6) AS m12 FROM m")
 def j02(spark, sf_dir):
-    side = F.expr("CASE WHEN size % 2 = 0 THEN 'left' ELSE 'right' END")
-    sources = _files(spark, sf_dir).select(nm.source_key(F.col("channel"), side).alias("source"), side.alias("side")).distinct()
-    matrices = spark.createDataFrame([("_Channel0002-right", 1.5, -2.5), (None, 7.0, 8.0)], "source string, m02 double, m12 double")
-    return cat.placements(sources, matrices)
+    return _placed(spark, sf_dir, False)
+
+
+# Of a point: mirror, M, A^-1 (its determinant is not quite one), mirror; the columns of the product are the images of the axes and the origin.
+@query("j02_reframed", PLACED_SQL + """, h AS (SELECT *, coalesce(a, 1) AS a_, coalesce(b, 0) AS b_, coalesce(e, 0) AS e_, coalesce(c, 0) AS c_, coalesce(d, 1) AS d_, coalesce(f, 0) AS f_, 0.99875 * 0.99875 + 0.05 * 0.05 AS det FROM m),
+    p AS (SELECT *, unnest([0, 1, 0]) AS px, unnest([0, 0, 1]) AS py, unnest(['o', 'x', 'y']) AS name FROM h), q AS (SELECT *, a_ * (99 - px) + b_ * py + e_ AS qx, c_ * (99 - px) + d_ * py + f_ AS qy FROM p),
+    r AS (SELECT *, 99 - (0.99875 * (qx - 1.5) + 0.05 * (qy + 2.5)) / det AS rx, (-0.05 * (qx - 1.5) + 0.99875 * (qy + 2.5)) / det AS ry FROM q),
+    t AS (SELECT source, side, a, b, e, c, d, f, max(rx) FILTER (name = 'o') AS ox, max(ry) FILTER (name = 'o') AS oy, max(rx) FILTER (name = 'x') AS xx, max(ry) FILTER (name = 'x') AS xy, max(rx) FILTER (name = 'y') AS yx, max(ry) FILTER (name = 'y') AS yy FROM r GROUP BY ALL),
+    u AS (SELECT source, side, CASE WHEN side = 'whole' THEN a ELSE xx - ox END AS m00, CASE WHEN side = 'whole' THEN b ELSE yx - ox END AS m01, CASE WHEN side = 'whole' THEN e ELSE ox END AS m02, CASE WHEN side = 'whole' THEN c ELSE xy - oy END AS m10, CASE WHEN side = 'whole' THEN d ELSE yy - oy END AS m11, CASE WHEN side = 'whole' THEN f ELSE oy END AS m12 FROM t)
+    SELECT source, side = 'left' AS mirror, """ + ", ".join(f"CASE WHEN abs(m00 - 1) + abs(m01) + abs(m02) + abs(m10) + abs(m11 - 1) + abs(m12) >= 1e-9 THEN round({k}, 6) END AS {k}" for k in ("m00", "m01", "m02", "m10", "m11", "m12")) + " FROM u")
+def j02b(spark, sf_dir):
+    return _placed(spark, sf_dir, True)
 
 
 @query("u04_prefix_snapshots", FILES + """, s AS (SELECT position, list(time_id ORDER BY time_id) FILTER (channel <= 3) AS one, list(time_id ORDER BY time_id) FILTER (channel <= 3 OR time_id > 5) AS two FROM files GROUP BY position)
@@ -325,16 +348,39 @@ def u06(spark, sf_dir):
     return cat.output_clashes(o.select(F.col("o_orderkey").alias("dataset"), F.expr("concat(CASE WHEN o_orderkey % 2 = 0 THEN 'OUT' ELSE 'out' END, o_orderkey div 3)").alias("output")))
 
 
-@query("x09_conversion_plan", """WITH s AS (SELECT o_custkey AS dataset, o_orderkey % 4 AS time_no, o_orderkey % 2 + 1 AS channel, CASE WHEN o_orderkey % 3 = 0 THEN '64x48x10' ELSE '32x48x10' END AS shape FROM orders),
-  m AS (SELECT dataset, CASE WHEN count(*) = 1 THEN min(shape) END AS shape, count(*) > 1 AS tie FROM (SELECT dataset, shape, rank() OVER (PARTITION BY dataset ORDER BY count(*) DESC) AS r FROM s GROUP BY 1, 2) WHERE r = 1 GROUP BY 1),
-  w AS (SELECT dataset, count(DISTINCT channel) AS channels FROM s GROUP BY 1),
-  p AS (SELECT dataset, time_no, count(DISTINCT channel) AS have, count(*) AS files FROM s GROUP BY 1, 2),
-  k AS (SELECT dataset, channels, count(CASE WHEN have = channels AND files = have THEN 1 END) AS points, count(CASE WHEN have < channels THEN 1 END) AS incomplete, count(CASE WHEN files > have THEN 1 END) AS conflicts FROM p JOIN w USING (dataset) GROUP BY 1, 2)
-  SELECT dataset, shape, channels, points, incomplete, conflicts, CASE WHEN tie THEN 'no majority shape' WHEN points = 0 THEN 'no complete time point' WHEN conflicts > 0 THEN 'conflicting files' END AS refused FROM k JOIN m USING (dataset)""")
-def x09(spark, sf_dir):
-    o = views.table(spark, sf_dir, "orders")
+# Files with faults by their numbers; then the checks one after the other.
+PLAN_SQL = """WITH s AS (SELECT o_custkey // 3 AS dataset, 'f' || o_orderkey AS path, CASE WHEN (o_custkey // 3) % 40 = 7 THEN 'Shared' WHEN (o_custkey // 3) % 40 = 8 THEN 'shared' ELSE 'out' || (o_custkey // 3) END AS output, o_orderkey % 25 AS time_no, o_orderkey % 2 + 1 AS channel,
+    CASE WHEN o_orderkey % 11 = 0 THEN 64 WHEN (o_custkey // 3) % 9 = 4 THEN 33 ELSE 32 END AS width, 48 AS height, 10 + CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS slices, CASE WHEN o_orderkey % 3 = 0 THEN 10 END AS named, o_orderkey % 23 <> 0 AS readable,
+    CASE WHEN (o_custkey // 3) % 13 = 5 AND o_orderkey % 7 = 0 THEN 0.2 ELSE 0.1 END AS pixel FROM orders),
+  r AS (SELECT *, CASE WHEN NOT readable THEN 'unreadable' WHEN named <> slices THEN 'depth differs from its name' WHEN named IS NULL AND dataset % 2 = 0 AND slices <> 10 THEN 'depth differs from its folder''s' END AS own, width || 'x' || height || 'x' || slices || 'x1x1' AS shape FROM s),
+  m AS (SELECT dataset, CASE WHEN count(*) = 1 THEN min(shape) END AS common, count(*) > 1 AS tie FROM (SELECT dataset, shape, rank() OVER (PARTITION BY dataset ORDER BY count(*) DESC) AS k FROM r WHERE own IS NULL GROUP BY 1, 2) WHERE k = 1 GROUP BY 1),
+  t AS (SELECT r.*, common, tie, coalesce(own, CASE WHEN shape <> common THEN 'other shape' END) AS reason FROM r LEFT JOIN m USING (dataset)), g AS (SELECT * FROM t WHERE reason IS NULL AND common IS NOT NULL),
+  w AS (SELECT dataset, count(DISTINCT channel) AS channels, max(width) AS width, min(pixel) AS pixel, max(pixel) > min(pixel) AS uneven FROM g GROUP BY 1),
+  p AS (SELECT dataset, time_no, count(DISTINCT channel) AS have, count(*) AS files, channels FROM g JOIN w USING (dataset) GROUP BY ALL),
+  k AS (SELECT dataset, count(*) FILTER (have = channels AND files = have) AS points, count(*) FILTER (have < channels) AS incomplete, count(*) FILTER (files > have) AS conflicts FROM p GROUP BY 1)"""
+
+
+def _plan(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders").withColumn("dataset", F.expr("o_custkey div 3"))
     sources = o.select(
-        F.col("o_custkey").alias("dataset"), F.expr("o_orderkey % 4").alias("time_no"), F.expr("o_orderkey % 2 + 1").alias("channel"),
-        F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 64 ELSE 32 END").alias("width"), F.lit(48).alias("height"), F.lit(10).alias("slices"),
+        "dataset", F.concat(F.lit("f"), "o_orderkey").alias("path"), F.expr("CASE WHEN dataset % 40 = 7 THEN 'Shared' WHEN dataset % 40 = 8 THEN 'shared' ELSE concat('out', dataset) END").alias("output"), F.expr("o_orderkey % 25").alias("time_no"),
+        F.expr("o_orderkey % 2 + 1").alias("channel"), F.expr("CASE WHEN o_orderkey % 11 = 0 THEN 64 WHEN dataset % 9 = 4 THEN 33 ELSE 32 END").alias("width"), F.lit(48).alias("height"), F.expr("10 + if(o_orderkey % 29 = 0, 1, 0)").alias("slices"),
+        F.lit(1).alias("stored_channels"), F.lit(1).alias("frames"), F.expr("if(o_orderkey % 3 = 0, 10, NULL)").alias("named_depth"), F.expr("o_orderkey % 23 <> 0").alias("readable"),
+        F.expr("if(dataset % 13 = 5 AND o_orderkey % 7 = 0, 0.2D, 0.1D)").alias("pixel"), F.lit(0.3).alias("dz"),
     )
-    return cat.conversion_plan(sources)
+    parameters = o.select("dataset").distinct().filter("dataset % 2 = 0").select("dataset", F.lit(10).alias("planes"), F.expr("if(dataset % 6 = 0, 2048, 32)").alias("roi_width"), F.lit(48).alias("roi_height"))
+    return cat.conversion_plan(sources, parameters, split=True)
+
+
+@query("x09_conversion_plan", PLAN_SQL + """, d AS (SELECT DISTINCT dataset, output FROM s), c AS (SELECT dataset FROM d QUALIFY count(*) OVER (PARTITION BY lower(output)) > 1), a AS (SELECT dataset, dataset % 2 = 1 OR width = CASE WHEN dataset % 6 = 0 THEN 2048 ELSE 32 END AS whole FROM w)
+    SELECT d.dataset, common AS shape, CASE WHEN width IS NULL THEN NULL WHEN whole THEN 'halves' ELSE 'stored' END AS layout, channels, points, incomplete, conflicts, pixel, CASE WHEN pixel IS NOT NULL THEN 0.3 END AS dz,
+      CASE WHEN tie THEN 'no majority shape' WHEN points IS NULL THEN 'no sound file' WHEN conflicts > 0 THEN 'conflicting files' WHEN points = 0 THEN 'no complete time point' WHEN uneven THEN 'sampling differs' WHEN NOT whole THEN 'halves need whole widths' WHEN width % 2 <> 0 THEN 'odd width'
+        WHEN c.dataset IS NOT NULL THEN 'output clash' END AS refused FROM (SELECT DISTINCT dataset FROM d) d LEFT JOIN m USING (dataset) LEFT JOIN w USING (dataset) LEFT JOIN k USING (dataset) LEFT JOIN a USING (dataset) LEFT JOIN c ON c.dataset = d.dataset""")
+def x09(spark, sf_dir):
+    return _plan(spark, sf_dir)[0]
+
+
+@query("x09_left_out", PLAN_SQL + """, h AS (SELECT dataset, time_no FROM p WHERE have < channels), l AS (SELECT t.dataset, path, coalesce(reason, CASE WHEN h.dataset IS NOT NULL THEN 'incomplete time point' END) AS reason FROM t LEFT JOIN h ON h.dataset = t.dataset AND h.time_no = t.time_no)
+    SELECT * FROM l WHERE reason IS NOT NULL""")
+def x09b(spark, sf_dir):
+    return _plan(spark, sf_dir)[1]

@@ -98,6 +98,18 @@ def p18(spark, sf_dir):
     return _round(_m(spark, sf_dir).select("id", mx.worst_displacement(mx.mat(), F.lit(512), F.lit(256)).alias("bound")))
 
 
+@query("p18_orthogonal_alignment", f"""SELECT id, 'x' AS view, false AS flip, 1.0 AS m00, 0.0 AS m02, round(m11, 6) AS m11, round(m10 * 255.5 + m12, 6) AS m12, round(abs(m10) * 255.5, 6) AS spread FROM ({M_SQL})
+    UNION ALL SELECT id, 'y', true, round(m00, 6), round(m01 * 127.5 + m02, 6), 1.0, 0.0, round(abs(m01) * 127.5, 6) FROM ({M_SQL})""")
+def p18b(spark, sf_dir):
+    out = None
+    for axis in "xy":
+        o = mx.orthogonal(mx.mat(), axis, F.lit(512), F.lit(256))
+        values = dict(zip(mx.SIX, o["matrix"]))
+        rows = _m(spark, sf_dir).select("id", F.lit(axis).alias("view"), o["flip"].alias("flip"), *[values[k].alias(k) for k in ("m00", "m02", "m11", "m12")], o["spread"].alias("spread"))
+        out = rows if out is None else out.union(rows)
+    return _round(out)
+
+
 @query("h11_near_identity", f"SELECT id, abs(m00 - 1) <= 1e-3 AND abs(m01) <= 1e-3 AND abs(m02) <= 1e-3 AND abs(m10) <= 1e-3 AND abs(m12) <= 1e-3 * greatest(1, abs(m12)) AS identity FROM ({M_SQL})")
 def h11(spark, sf_dir):
     return _m(spark, sf_dir).select("id", mx.near_identity(mx.mat(), 1e-3).alias("identity"))
