@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from lamella.llm import language_id as li
 from lamella.llm import lm_score as lm
@@ -164,6 +165,44 @@ def test_lm_base_is_exact_and_the_model_is_better(spark, monkeypatch):
     assert gain > 0
 
 
+def test_lm_scores_equal_plain_sums(spark, monkeypatch):
+    """The model's probabilities sum to one for every history, and scores are the plain sums of their logarithms."""
+    monkeypatch.setattr(lm, "VOCABULARY", 40)
+    docs = [d for d in corpus(80)] + [(900, "", None), (901, "ka zzz ka", None)]
+    kept = {}
+    score = lm._score
+    monkeypatch.setattr(lm, "_score", lambda model: kept.setdefault("model", model) and score(model))
+    got = {r.doc_id: r.score for r in lm.lm_score(table(spark, docs)).collect()}
+    m = kept["model"]
+    v, by_class = m.vocabulary, np.concatenate([lm._log_softmax(m.weights, h) for h in np.array_split(np.arange(lm.N_HISTORY * lm.N_BEFORE), 8)])
+    place = {int(k): i for i, k in enumerate(v.keys.tolist())}
+    size = [sum(v.counts[v.classes == c]) for c in range(lm.N_CLASSES)]
+
+    def inside(before, i):
+        c = v.classes[i]
+        return math.log(v.counts[i] / size[c]) + float(m.theta[before, i]) - m.norm[before, c]
+
+    for before in range(lm.N_BEFORE):
+        for c in range(lm.N_CLASSES):
+            own = [i for i in range(len(v.keys)) if v.classes[i] == c]
+            assert not own or math.isclose(sum(math.exp(inside(before, i)) for i in own), 1.0, rel_tol=1e-5)
+    counts = Counter()
+    tokens = {i: [int(h) for _, _, w, _ in word_hashes(pa.array([t])) for h in w] + [lm.END] for i, t, _ in docs}
+    for i, ts in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(ts)
+    rare = math.log(m.rare_tokens + m.rare_distinct + 1)
+    for i, ts in tokens.items():
+        total, last, before_last = 0.0, (lm.DIRECT + v.BEGIN, v.BEGIN), v.BEGIN
+        for t in ts:
+            at = place.get(t)
+            c = v.RARE if at is None else v.classes[at]
+            total += by_class[last[0] * lm.N_BEFORE + before_last, c] + (math.log(counts[t] + 1) - rare if at is None else inside(last[1], at))
+            before_last = last[1]
+            last = (lm.DIRECT + v.RARE if at is None else v.rank[at] if v.rank[at] < lm.DIRECT else lm.DIRECT + c), c
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-6, abs_tol=1e-6), i
+
+
 def test_lm_class_model_is_a_distribution():
     rng = np.random.RandomState(0)
     weights = rng.normal(size=(lm.FEATURES, lm.N_CLASSES))
