@@ -137,6 +137,18 @@ def not_done(files: DataFrame, manifest: DataFrame, fmt: str) -> DataFrame:
     return files.join(done, (F.lower(files["path"]) == done["key"]) & (files["size"] == done["s"]) & (files["modified"] == done["m"]), "left_anti")
 
 
+def unnamed_by_outputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Inputs (name) whose name occurs in no output's name.
+
+    Names contain others by chance (``f1`` in ``f12-maxZ``), so ``not_done`` is the safe choice. Containment
+    is an equi-join: outputs give all their parts of the lengths that inputs have, and a file name is at
+    most 255 long, so both the lengths and the parts of a name are few.
+    """
+    lengths = inputs.select(F.length("name").alias("n")).distinct()
+    parts = outputs.join(lengths, F.col("n") <= F.length("name")).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)))
+    return inputs.join(parts.select(F.expr("substring(name, at, n)").alias("name")).distinct(), "name", "left_anti")
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Added, changed and removed files between two listings (path, size, mtime)."""
     a = old.select("path", F.struct("size", "mtime").alias("was"))

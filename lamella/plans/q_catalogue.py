@@ -384,3 +384,10 @@ def x09(spark, sf_dir):
     SELECT * FROM l WHERE reason IS NOT NULL""")
 def x09b(spark, sf_dir):
     return _plan(spark, sf_dir)[1]
+
+
+@query("j12_unnamed_inputs", "WITH i AS (SELECT 'f' || o_orderkey AS name FROM orders), o AS (SELECT 'out_f' || o_orderkey || '-maxZ' AS name FROM orders WHERE o_orderstatus = 'P') SELECT name FROM i WHERE NOT EXISTS (SELECT 1 FROM o WHERE contains(o.name, i.name))")
+def j12(spark, sf_dir):
+    orders = views.table(spark, sf_dir, "orders")
+    inputs = orders.select(F.concat(F.lit("f"), "o_orderkey").alias("name"))
+    return cat.unnamed_by_outputs(inputs, orders.filter("o_orderstatus = 'P'").select(F.concat(F.lit("out_f"), "o_orderkey", F.lit("-maxZ")).alias("name")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import matrix as mx, model, names as nm
-from lamella.operators import beads, catalogue as cat, kernels, project as pj, resample as rs, sampling_study as ss, voxels as vx
+from lamella.operators import alignment as al, beads, catalogue as cat, kernels, pipelines as pl, project as pj, resample as rs, voxels as vx
 from lamella.sources import ome_zarr, text, tiff
 from lamella.streaming import jobs, state
 
@@ -83,7 +83,7 @@ def test_virtual_slice_equals_the_volume(spark):
     whole = rs.deskew(v, 0.2, 0.1, 30.0, (4, 9, 8))
     for z in (0, 1, 3):
         a = {(r.y, r.x): r.v for r in whole.filter(F.col("z") == z).collect()}
-        b = {(r.y, r.x): r.v for r in rs.virtual_slice(v, 0.2, 0.1, 30.0, (4, 9, 8), z).collect() if r.v}
+        b = {(r.y, r.x): r.v for r in rs.virtual_slice(v, 0.2, 0.1, 30.0, (4, 9, 8), z).collect()}
         assert a == b
 
 
@@ -98,14 +98,6 @@ def test_coverage_contains_every_sampled_cell():
                     assert p in cells and cells[p][0] <= math.floor(yr) and math.ceil(yr) <= cells[p][1]
 
 
-def test_pooled_score_is_no_mean_of_scores(spark):
-    pairs = spark.createDataFrame([(0, 1.0, 2.0), (1, 10.0, 11.0)], "phase int, ref double, pred double")
-    stats = ss.statistics(pairs, ["phase"])
-    pooled = ss.pooled(stats.withColumn("k", F.lit(1)), ["k"]).first()
-    phases = [r.nrmse for r in ss.pooled(stats, ["phase"]).collect()]
-    assert pooled.nrmse == pytest.approx(0.14071950894605836, abs=1e-12) and np.mean(phases) == pytest.approx(0.55)
-
-
 def test_reconstruction_of_a_band_limited_wave():
     z, y = np.mgrid[0:65, 0:64]
     dense = 100 + 10 * np.cos(2 * np.pi * (0.02 * z + 0.05 * y))
@@ -115,14 +107,35 @@ def test_reconstruction_of_a_band_limited_wave():
     assert np.abs(got[inner, inner] - dense[inner, inner]).max() < 12
 
 
-def test_robust_fit_ignores_outliers():
+def _turned(m, degrees, shift):
+    a = math.radians(degrees)
+    return m @ np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]]) + shift
+
+
+def test_refined_fit_ignores_outliers():
     rng = np.random.RandomState(3)
-    m = rng.uniform(0, 500, (80, 2))
-    a = math.radians(1.2)
-    f = m @ np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]]) + [12.0, -7.0]
-    f[:20] = rng.uniform(0, 500, (20, 2))
-    angle, dx, dy, inliers = kernels.robust_rigid(f[:, 0], f[:, 1], m[:, 0], m[:, 1])
-    assert angle == pytest.approx(1.2, abs=1e-6) and (dx, dy) == pytest.approx((12.0, -7.0), abs=1e-4) and inliers >= 60
+    m = rng.uniform(0, 500, (120, 2))
+    f = np.vstack([rng.uniform(0, 500, (30, 2)), _turned(m[30:], 0.4, [12.0, -7.0])])
+    (a, dx, dy), pairs, rms = al.refined(f, m, (0.0, 10.0, -6.0))
+    assert math.degrees(a) == pytest.approx(0.4, abs=1e-6) and (dx, dy) == pytest.approx((12.0, -7.0), abs=1e-4) and pairs >= 85 and rms < 1e-6
+    assert al.consensus(rng.uniform(0, 500, (60, 2)), rng.uniform(0, 500, (60, 2)), 1.25) is None
+    assert al.vote(_turned(m, 0.0, [12.2, -6.1]), m) == (0.0, 12.0, -6.0)
+
+
+def bead_field(points, side=128):
+    y, x = np.mgrid[0:side, 0:side]
+    return 100 + sum(900 * np.exp(-((x - a) ** 2 + (y - b) ** 2) / 8.0) for a, b in points)
+
+
+def test_spots_and_coarse_shift():
+    points = [(30.3, 40.7), (70.0, 35.2), (90.6, 88.1), (45.5, 95.9), (64.2, 64.8)]
+    found = al.spots_of(bead_field(points))[:, :2]
+    assert len(found) == 5
+    for a, b in points:
+        assert np.hypot(*(found - [a, b]).T).min() < 0.1
+    dx, dy, score = al.coarse_shift(bead_field(points), bead_field([(a - 12, b + 8) for a, b in points]))
+    assert (dx, dy) == (12, -8) and score > 0.9
+    assert len(al.spots_of(np.zeros((8, 8)))) == 0
 
 
 def test_deconvolution_sharpens_and_keeps_the_sum():
@@ -177,6 +190,110 @@ def test_store_round_trip_and_recovery(spark, tmp_path):
         ome_zarr.to_chunks(v, 4).write.format("ome_zarr").option("shape", "1,1,3,5,9").option("chunk", 4).mode("append").save(root)
 
 
+def test_sparse_volumes_are_whole_and_attributes_stay(spark, tmp_path):
+    """A volume filled in one corner commits; an append keeps alignment and labels; overwriting leaves no old chunk behind."""
+    spark.dataSource.register(ome_zarr.OmeZarr)
+    root = f"{tmp_path}/s.zarr"
+    corner = spark.createDataFrame([(0, 0, 0, 0, x, 5) for x in range(3)], "t long, c long, z long, y long, x long, v long")
+    ome_zarr.write_store(corner, root, (9, 9, 2), 1, 1, 4, labels='["one"]', windows="[[3, 70]]")
+    assert ome_zarr.metadata(root)["committed"] == 1
+    got = ome_zarr.to_voxels(spark.read.format("ome_zarr").load(root))
+    assert got.count() == 9 * 9 * 2 and got.agg(F.sum("v")).first()[0] == 15
+    ome_zarr.set_alignment(root, {"right": [1, 0, 2, 0, 1, 0]}, "file")
+    ome_zarr.write_store(corner.withColumn("t", F.lit(1).cast("long")), root, (9, 9, 2), 2, 1, 4)
+    attrs = ome_zarr._load(f"{root}/.zattrs")
+    assert ome_zarr.metadata(root)["committed"] == 2 and attrs["opm_provenance"]["alignSource"] == "file" and attrs["omero"]["channels"][0]["window"]["end"] == 70
+    other = corner.withColumn("v", F.lit(9))
+    ome_zarr.to_chunks(other.filter("x < 1"), 4).write.format("ome_zarr").options(shape="2,1,2,9,9", chunk=4).mode("overwrite").save(root)
+    assert ome_zarr.metadata(root)["committed"] == 0  # most chunks are missing, and the old ones do not count
+    ome_zarr.write_store(other, root, (9, 9, 2), 1, 1, 4, mode="overwrite")
+    got = ome_zarr.to_voxels(spark.read.format("ome_zarr").load(root))
+    assert got.agg(F.sum("v")).first()[0] == 27 and ome_zarr.metadata(root)["committed"] == 1
+
+
+def test_a_time_point_waits_for_its_projections(spark, tmp_path):
+    spark.dataSource.register(ome_zarr.OmeZarr)
+    root = f"{tmp_path}/p.zarr"
+    v = ramp(spark).withColumn("c", F.lit(0).cast("long"))
+    flat = pj.projection(v, "z", "max").select("t", "c", F.col("y").alias("h"), F.col("x").alias("w"), "v")
+    ome_zarr.write_store(v, root, (7, 5, 3), 1, 1, 4, views={"maxZ": flat})
+    got = ome_zarr.to_voxels(spark.read.format("ome_zarr").option("projection", "maxZ").load(root))
+    assert np.array_equal(cube(got, (1, 5, 7))[0], cube(v, (3, 5, 7)).max(axis=0))
+    ome_zarr.write_store(v.withColumn("t", F.lit(1).cast("long")), root, (7, 5, 3), 2, 1, 4)
+    assert ome_zarr.metadata(root)["committed"] == 1  # its projection is not there
+
+
+def test_exports_refuse_what_exists(spark, tmp_path):
+    spark.dataSource.register(ome_zarr.OmeZarr)
+    v = ramp(spark)
+    target = pl.region_export(v, f"{tmp_path}/e.zarr", vx.clamp_box(1, 1, 3, 3, 0, 1, 7, 5, 3), [1], (0, 0))
+    assert cube(ome_zarr.to_voxels(spark.read.format("ome_zarr").load(target)), (2, 3, 3))[1, 2, 2] == 3 + 7 * 3 + 35
+    with pytest.raises(FileExistsError):
+        pl.region_export(v, target, vx.clamp_box(0, 0, 2, 2, 0, 0, 7, 5, 3), [1], (0, 0))
+    pl.region_export(v, target, vx.clamp_box(0, 0, 2, 2, 0, 0, 7, 5, 3), [1], (0, 0), overwrite=True)
+    assert ome_zarr.metadata(target)["shape"] == [1, 1, 1, 2, 2]
+
+
+def test_folder_looks_tell_older_and_removed_files(tmp_path):
+    """A file copied in with an older time is new, a changed one is told again, a removed one has size -1; batches can be told again."""
+    import os
+
+    from lamella.streaming.sources import FolderReader
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "b.tif").write_text("bb")
+    reader = FolderReader({"path": str(folder), "listings": str(tmp_path / "looks"), "suffixes": ".tif"})
+    names = lambda rows: [(os.path.basename(p), n) for p, n, _ in rows]
+    rows, one = reader.read(reader.initialOffset())
+    assert names(rows) == [("b.tif", 2)]
+    (folder / "a.tif").write_text("a")
+    os.utime(folder / "a.tif", (1, 1))
+    (folder / "c.txt").write_text("c")
+    rows, two = reader.read(one)
+    assert names(rows) == [("a.tif", 1)]
+    (folder / "b.tif").unlink()
+    (folder / "a.tif").write_text("aaa")
+    rows, three = reader.read(two)
+    assert names(rows) == [("a.tif", 3), ("b.tif", -1)]
+    assert names(reader.readBetweenOffsets(one, two)) == [("a.tif", 1)] and names(reader.readBetweenOffsets(two, three)) == [("a.tif", 3), ("b.tif", -1)]
+    rows, same = reader.read(three)
+    assert list(rows) == [] and same == three
+
+
+def test_announcements_over_a_socket(spark):
+    """Paths of a line protocol, blank lines ignored."""
+    import socket
+    import threading
+    import time
+
+    from lamella.streaming.sources import announcements
+
+    server = socket.socket()
+    server.bind(("127.0.0.1", 0))
+    server.listen(1)
+    stop = threading.Event()
+
+    def serve():
+        connection, _ = server.accept()
+        connection.sendall(b"/data/a.tif\n\n  /data/b.tif \n")
+        stop.wait(60)
+        connection.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    query = announcements(spark, "127.0.0.1", server.getsockname()[1]).writeStream.format("memory").queryName("announced").start()
+    try:
+        for _ in range(60):
+            if spark.table("announced").count() == 2:
+                break
+            time.sleep(0.5)
+        assert sorted(r.path for r in spark.table("announced").collect()) == ["/data/a.tif", "/data/b.tif"]
+    finally:
+        query.stop()
+        stop.set()
+        server.close()
+
+
 def test_tiff_round_trip_and_half_written_files(tmp_path):
     planes = [np.arange(35, dtype="<u2").reshape(5, 7) * (k + 1) for k in range(4)]
     for deflate in (False, True):
