@@ -4,14 +4,14 @@ The components of all vectors are cut into ``LISTS`` slices, and each slice is a
 its own: it holds the partial scores that its components give and knows nothing of the
 others. The score of a vector is the sum of its partial scores.
 
-1. Every list gives, for each query, its k best entries. Their whole scores are resolved,
-   and the k-th best of them is a safe cutoff: the true k-th score is no lower.
+1. Every list gives, for each query, its ``FIRST`` * k best entries. Their whole scores are
+   resolved, and the k-th best of them is a safe cutoff: the true k-th score is no lower.
 2. The cutoff goes out with the queries. A vector at or above it must reach
    ``cutoff / LISTS`` in some list, so each list gives the entries that do. They are summed by
    query and vector: where all lists gave one, the score is whole; otherwise each
    missing part is under the threshold, which bounds the score from above.
-3. Entries with a missing part whose bound still reaches the cutoff are resolved exactly
-   by joining the missing slices. Then the k best of each query are ranked.
+3. Entries with a missing part whose bound still reaches the cutoff are resolved exactly: the
+   list that did not give the part is asked for it. Then the k best of each query are ranked.
 
 Equal vectors have equal scores, so they are searched once: a class of equal vectors is
 a candidate for all its rows, and of those only the k + 1 smallest ids can be results (one may be
@@ -36,6 +36,7 @@ LISTS = 2
 QUERY_ROWS = 512
 BLOCK_ROWS = 2048
 SCALE = 256
+FIRST = 8
 END = 2**61  # partial scores are held at its ends: sums of LISTS of them fit a long
 
 _ENTRY = "query long, cls long, list int, part long"
@@ -89,14 +90,15 @@ def _blocks(vectors: DataFrame, rows: int, n: int) -> DataFrame:
 
 def _met(vectors: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
     """Every block of each list beside every block of the queries' same slice: the query blocks are dealt to all blocks of vectors."""
-    asked = queries.withColumnsRenamed({"ids": "qids", "body": "qbody"}).drop("block", "piece").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    return vectors.join(asked, ["dim", "list", "block"]).select("list", "ids", "body", "qids", "qbody", *(["cuts"] if "cuts" in queries.columns else []))
+    asked = queries.withColumnsRenamed({"ids": "qids", "body": "qbody", "block": "qblock"}).drop("piece").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    columns = ["list", "ids", "body", "qids", "qbody", *(["cuts"] if "cuts" in queries.columns else []), "block", "qblock"]
+    return vectors.drop("piece").join(asked, ["dim", "list", "block"]).select(*columns)
 
 
 def _pairs(batches):
     """(list, query keys, cutoffs, vector keys, partial scores) of each pair of blocks."""
     for batch in batches:
-        cuts = batch.column(5) if batch.num_columns > 5 else [None] * batch.num_rows
+        cuts = batch.column("cuts") if "cuts" in batch.schema.names else [None] * batch.num_rows
         for k, ids, body, qids, qbody, cut in zip(*(batch.column(i) for i in range(5)), cuts):
             v, q = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(qids.as_py(), np.int64)
             x, y = np.frombuffer(body.as_py(), np.int64), np.frombuffer(qbody.as_py(), np.int64)
@@ -160,23 +162,45 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.binary())], ["dim", "piece", "cuts"])
 
 
-def _resolve(batches):
-    """Partial score of the slices named ``missing`` of (query, cls, known, missing, qcomps, comps), added to ``known``."""
+def _answer(batches):
+    """(query, cls, part) of the entries that a list is asked for, as far as this pair of blocks holds them."""
     for batch in batches:
-        score = []
-        for known, missing, q, x in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-            parts = _slices(len(q))
-            for k in missing:
-                lo, hi = parts[k]
-                known += int(_product(np.array([q[lo:hi]], np.int64), np.array([x[lo:hi]], np.int64))[0, 0])
-            score.append(known)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.int64())], ["query", "cls", "score"])
+        for ids, body, qids, qbody, wanted_q, wanted_v in zip(*(batch.column(c) for c in ("ids", "body", "qids", "qbody", "queries", "classes"))):
+            v, q = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(qids.as_py(), np.int64)
+            x, y = np.frombuffer(body.as_py(), np.int64), np.frombuffer(qbody.as_py(), np.int64)
+            width = len(x) // len(v)
+            x, y = x.reshape(len(v), width), y.reshape(len(q), width)
+            ask_q, ask_v = wanted_q.values.to_numpy(), wanted_v.values.to_numpy()
+            (at_q, has_q), (at_v, has_v) = _places(q, ask_q), _places(v, ask_v)
+            held = np.flatnonzero(has_q & has_v)
+            for part in np.array_split(held, max(1, len(held) * max(width, 1) // 4_000_000)):  # bounded temporary arrays
+                yield pa.RecordBatch.from_arrays([pa.array(ask_q[part]), pa.array(ask_v[part]), pa.array(_rowwise(y[at_q[part]], x[at_v[part]]))], ["query", "cls", "part"])
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key, and whether it is there."""
+    order = np.argsort(keys)
+    at = order[np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)]
+    return at, keys[at] == wanted
+
+
+def _rowwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, exact and held as in ``_product``."""
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
+    if most < 2**60:
+        return (a * b).sum(axis=1, dtype=np.int64)
+    return np.array([max(-END, min(END, int(t))) for t in (a.astype(object) * b.astype(object)).sum(axis=1)], np.int64)
 
 
-def _whole(entries: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
-    """``query, cls, score`` of (query, cls, known, missing): the missing slices are joined and their scores added."""
-    asked = entries.join(queries.select(F.col("key").alias("query"), F.col("comps").alias("qcomps")), "query").join(classes.select(F.col("key").alias("cls"), "comps"), "cls")
-    return asked.select("query", "cls", "known", "missing", "qcomps", "comps").mapInArrow(_resolve, "query long, cls long, score long")
+def _whole(entries: DataFrame, lists: DataFrame, query_blocks: DataFrame, blocks: int, qblocks: int) -> DataFrame:
+    """``query, cls, score`` of (query, cls, known, missing): the lists are asked for the missing parts, block by block."""
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))  # noqa: E731  as the blocks were dealt
+    asked = entries.select("query", "cls", F.explode("missing").alias("list"), place("cls", blocks).alias("block"), place("query", qblocks).alias("qblock"))
+    packed = asked.groupBy("list", "block", "qblock").agg(F.collect_list("query").alias("queries"), F.collect_list("cls").alias("classes"))
+    met = _met(lists, query_blocks, blocks).join(packed, ["list", "block", "qblock"])
+    parts = met.select("ids", "body", "qids", "qbody", "queries", "classes").mapInArrow(_answer, "query long, cls long, part long")
+    known = entries.select("query", "cls", F.col("known").alias("part"))
+    return known.union(parts).groupBy("query", "cls").agg(F.sum("part").alias("score"))
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -208,27 +232,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = durable(one(queries))
     distinct = durable(asked.groupBy("comps").agg(F.min("vec_id").alias("key")).select("key", "comps"))
     n, m = classes.count(), distinct.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
+    blocks, qblocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // QUERY_ROWS))
     lists = durable(_blocks(classes.select("key", "comps"), BLOCK_ROWS, n))
     query_blocks = durable(_blocks(distinct, QUERY_ROWS, m))
 
-    first = _met(lists, query_blocks, blocks).mapInArrow(_first_lists(k + 1), _ENTRY)
+    deep = FIRST * (k + 1)
+    first = _met(lists, query_blocks, blocks).mapInArrow(_first_lists(deep), _ENTRY)
     order = Window.partitionBy("query", "list").orderBy(F.desc("part"), "cls")
-    first = first.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1).select("query", "cls").distinct()
+    first = durable(first.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= deep).select("query", "cls").distinct())
     every = F.array(*[F.lit(i) for i in range(LISTS)])
-    resolved = durable(_whole(first.select("query", "cls", F.lit(0).cast("long").alias("known"), every.alias("missing")), distinct, classes))
+    resolved = _whole(first.select("query", "cls", F.lit(0).cast("long").alias("known"), every.alias("missing")), lists, query_blocks, blocks, qblocks)
     cutoffs = resolved.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))).filter(F.col("at") == k + 1)
-    cutoffs = cutoffs.select(F.col("query").alias("key"), F.col("score").alias("cutoff"))
+    cutoffs = durable(cutoffs.select(F.col("query").alias("key"), F.col("score").alias("cutoff")))
 
     told = durable(_with_cuts(query_blocks, cutoffs))
     second = _met(lists, told, blocks).mapInArrow(_second_lists, _ENTRY)
-    summed = second.groupBy("query", "cls").agg(F.sum("part").alias("known"), F.array_sort(F.collect_set("list")).alias("given"))
-    summed = durable(summed.select("query", "cls", "known", F.array_except(every, "given").alias("missing")))
+    given = second.groupBy("query", "cls").agg(F.sum("part").alias("known"), F.bit_or(F.expr("shiftleft(1, list)")).alias("given"))
+    absent = F.filter(every, lambda i: F.col("given").bitwiseAND(F.pow(F.lit(2), i).cast("int")) == 0)
+    summed = durable(given.select("query", "cls", "known", absent.alias("missing")))
     whole = summed.filter("size(missing) = 0").select("query", "cls", F.col("known").alias("score"))
     cut = cutoffs.select(F.col("key").alias("query"), "cutoff")
     under = F.expr(f"cutoff div {LISTS} + if(cutoff % {LISTS} > 0, 1, 0) - 1")  # the most that a missing part can be
     open_ = summed.filter("size(missing) > 0").join(cut, "query", "left").filter(F.col("cutoff").isNull() | (F.col("known") + F.size("missing") * under >= F.col("cutoff")))
-    scored = whole.union(_whole(open_.select("query", "cls", "known", "missing"), distinct, classes))
+    scored = whole.union(_whole(open_.select("query", "cls", "known", "missing"), lists, query_blocks, blocks, qblocks))
 
     best = durable(_best(scored, k + 1))
     members = best.join(classes.select(F.col("key").alias("cls"), F.explode("ids").alias("vec_id")), "cls").select("query", "vec_id", "score")
