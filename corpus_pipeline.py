@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 ``run`` writes every stage as Parquet in the shared folder and reads it again, so a lost
-executor costs at most one stage.
+executor costs at most one stage. Extra columns, of any name, go through all stages but the
+last; an empty table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -18,27 +19,48 @@ from lamella.llm.packing import packing
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; letterless and alien ones go."""
+    """Documents whose language is identified.
+
+    Null, empty and letterless texts go, and texts beyond the calibrated limits of all languages;
+    where no document is labelled, all go. Rows without an id or label are judged like others,
+    repeated rows alike.
+    """
     return keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id.
+
+    Exactly one row of each text stays: of rows that repeat the id, or have none, the one whose whole
+    row has the largest hash. Null texts equal empty ones.
+    """
     return drop_exact_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, the document with the smallest id.
+
+    Exactly one row of each group stays; rows without an id come last, ties go by hashes of text
+    and row. Texts without words are in no group and stay.
+    """
     return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    The null source is one of its own, last in order. Texts without words are in no mix. Rows that
+    repeat an id and length class are taken equally often.
+    """
     return mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
+    """The pieces of all documents in training sequences.
+
+    Repeated rows are numbered by ``copy`` and lie in different bins; ties go by id, copy and text
+    hash. Rows without an id are packed like others.
+    """
     return packing(docs)
 
 
