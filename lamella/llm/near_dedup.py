@@ -2,18 +2,17 @@
 
 Every document with words becomes its set of 5-word shingles and a signature of
 ``COORDS`` minhash values. Rows with equal sets are one node. Nodes are posted under each
-(coordinate, value); two nodes are candidates if at least ``MATCHES`` of their
-coordinates collide. At similarity 0.75 a pair has fewer collisions with probability of
-about 2e-6, and less for closer pairs.
-
-* Prefix merging: with postings ordered by rising list length, a candidate pair
-  must meet within the first ``s - MATCHES + 1`` of a node's ``s`` shared
-  coordinates. Nodes with fewer than ``MATCHES`` shared coordinates have no
-  partner at all.
-* Skip merging: the longest lists (common passages) come last in that order, so they
-  are read only for nodes that share nearly everything. Lists are not expanded
-  into all pairs: first each list is compared with its leader and what is linked is
-  contracted. Only pairs from different components that are left are then compared:
+(coordinate, value) of the first ``POSTED`` coordinates. Two nodes are candidates if at
+least ``MEET`` of those and ``MATCHES`` of all coordinates collide. At similarity 0.75 a
+pair has fewer collisions with probability of about 2e-6 each, and less for closer pairs.
+
+* Prefix merging: nodes that share fewer than ``MATCHES`` of all coordinates with anyone
+  have no partner at all. With postings ordered by rising list length, a candidate pair
+  must meet within the first ``s - MEET + 1`` of a node's ``s`` shared and posted
+  coordinates.
+* Skip merging: the longest lists (common passages) come last in that order and are
+  skipped. Lists are not expanded into all pairs: first each list is compared with its
+  leader and what is linked is contracted. Only pairs from different components that are left are then compared:
   those of short lists in a join, those of long ones in blocks inside the tasks, where
   the largest component of a list meets the others but not itself. Both read the same
   lists, so the length of a list decides how its pairs are compared and not which.
@@ -39,6 +38,8 @@ SHINGLE = 5
 THRESHOLD = 75  # percent
 COORDS = 48
 MATCHES = 22
+POSTED = 12
+MEET = 2
 SHORT = 64  # up to this length, a list's pairs are joined
 BLOCK_ROWS = 1024  # of longer lists, so many rows or shingles are compared at a time
 BLOCK_VALUES = 1_000_000
@@ -159,12 +160,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """``token, id``: the prefix of each document's shared coordinates, shortest lists first."""
-    every = reps.select("id", F.explode("sig").alias("token"))
+    """``token, id, n``: the prefix of each node's shared coordinates, shortest lists first."""
+    every = reps.select("id", "n", F.explode("sig").alias("token"))
     shared = every.groupBy("token").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
-    own = every.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("length", "token"))).alias("own"))
-    prefix = own.filter(F.size("own") >= MATCHES).select("id", F.slice("own", 1, F.size("own") - MATCHES + 1).alias("own"))
-    return prefix.select("id", F.explode("own.token").alias("token"))
+    own = every.join(shared, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("length", "token"))).alias("own"))
+    held = own.filter(F.size("own") >= MATCHES).select("id", "n", F.filter("own", lambda x: x["token"].bitwiseAND(F.lit(63)) < POSTED).alias("own"))
+    prefix = held.filter(F.size("own") >= MEET).select("id", "n", F.slice("own", 1, F.size("own") - MEET + 1).alias("own"))
+    return prefix.select(F.explode("own.token").alias("token"), "id", "n")
 
 
 def _led(posted: DataFrame) -> DataFrame:
@@ -268,11 +270,13 @@ def _rest(posted: DataFrame, reps: DataFrame, bodies: DataFrame, tested: DataFra
     few = short.select("token", F.col("id").alias("a"), "root").join(other, "token").filter("a < b AND root <> rb").select("a", "b").distinct()
     few = _links(durable(_colliding(few.join(tested, ["a", "b"], "left_anti"), reps)), bodies)
 
-    hot = durable(met.filter(f"length > {SHORT}").join(reps.select("id", "n"), "id").select("token", "id", "root", "main", "n"))
+    hot = durable(met.filter(f"length > {SHORT}").select("token", "id", "root", "main", "n"))
     if hot.isEmpty():
         return few
+    # What a node brings is put together once, and then meets its places in the blocks.
     lists = hot.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, cast(token & 63 AS int))")).alias("posted"))
-    filled = _dealt(hot).join(lists, "id").join(reps.select("id", "sig"), "id").join(bodies, "id")
+    nodes = lists.join(reps.select("id", "sig"), "id").join(bodies, "id")
+    filled = _dealt(hot).join(nodes, "id")
     return few.union(filled.groupBy("token", "low", "high").applyInArrow(_compare_block, "a long, b long"))
 
 
@@ -308,7 +312,7 @@ def _groups(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     tested = durable(_colliding(_ordered(_led(now)), reps))
     links = durable(_links(tested, bodies))
     roots = components(links)
-    now = durable(posted.join(roots, "id", "left").select("token", "id", F.coalesce("root", "id").alias("root")))
+    now = durable(posted.join(roots, "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root")))
     found = durable(_rest(now, reps, bodies, tested))
     if not found.isEmpty():
         roots = components(links.union(found))
