@@ -29,7 +29,17 @@ def r03(spark, sf_dir):
     return out.withColumns({"first": F.col("first").cast("timestamp_ntz"), "quiet_at": F.col("quiet_at").cast("timestamp_ntz")})
 
 
-@query("r04_file_states")
+# Looks of a path one after the other: each state follows from the look before and its state.
+@query("r04_file_states", """WITH RECURSIVE l AS (SELECT 'f' || user_id AS path, event_id AS seq, CASE WHEN event_id % 41 = 0 THEN -1 ELSE event_id % 5 // 2 END AS size, CASE WHEN event_id % 7 > 0 THEN 8 + event_id % 3 END AS planes, CASE WHEN user_id % 4 > 0 THEN 9 END AS expected,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+  d AS (SELECT *, CASE WHEN planes IS NULL OR planes < expected THEN 'INCOMPLETE' WHEN expected IS NULL THEN 'DEPTH_UNVERIFIED' WHEN planes > expected THEN 'FAILED' ELSE 'COMPLETE' END AS depth,
+    CASE WHEN planes IS NULL THEN 'structure is incomplete' WHEN expected IS NULL THEN 'no plane count is known' WHEN planes < expected THEN planes || ' of ' || expected || ' planes' WHEN planes > expected THEN planes || ' planes, ' || expected || ' named' ELSE 'quiet and complete' END AS why FROM l),
+  s AS (SELECT path, rn, seq, size, CASE WHEN size < 0 THEN 'REMOVED' ELSE 'PENDING' END AS state, CASE WHEN size < 0 THEN 'the file is gone' ELSE 'seen' END AS reason, true AS told FROM d WHERE rn = 1
+    UNION ALL SELECT path, rn, seq, size, state, reason, state <> was FROM (SELECT d.path, d.rn, d.seq, d.size, s.state AS was,
+      CASE WHEN d.size < 0 THEN 'REMOVED' WHEN s.state = 'REMOVED' THEN 'PENDING' WHEN d.size <> s.size THEN CASE WHEN s.state IN ('COMPLETE', 'DEPTH_UNVERIFIED', 'FAILED') THEN 'CHANGED' ELSE 'PENDING' END ELSE depth END AS state,
+      CASE WHEN d.size < 0 THEN 'the file is gone' WHEN s.state = 'REMOVED' THEN 'seen' WHEN d.size <> s.size THEN CASE WHEN s.state IN ('COMPLETE', 'DEPTH_UNVERIFIED', 'FAILED') THEN 'size or time changed' ELSE 'still growing' END ELSE why END AS reason
+      FROM s JOIN d ON d.path = s.path AND d.rn = s.rn + 1))
+  SELECT path, seq, state, reason FROM s WHERE told""")
 def r04(spark, sf_dir):
     events = files_as_stream(spark, f"{sf_dir}/events.parquet")
     looks = events.select(
@@ -45,7 +55,11 @@ def r05(spark, sf_dir):
     return jobs.drain(files_as_stream(spark, f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), state.depth_state(planes, expected).alias("state")))
 
 
-@query("r06_layouts")
+# The first file whose time differs from the first one's decides, by the channels before it.
+@query("r06_layouts", FILES + """, f AS (SELECT time_id // 20 AS dataset, time_id, channel, row_number() OVER (PARTITION BY time_id // 20 ORDER BY size) AS rn FROM files), o AS (SELECT dataset, time_id AS t0, channel AS c0 FROM f WHERE rn = 1),
+  k AS (SELECT dataset, min(rn) AS k FROM f JOIN o USING (dataset) WHERE time_id <> t0 GROUP BY dataset), a AS (SELECT dataset, count(DISTINCT channel) AS n, max(channel) AS most FROM f JOIN k USING (dataset) WHERE rn < k GROUP BY dataset),
+  l AS (SELECT dataset, channel AS later FROM f JOIN k USING (dataset) WHERE rn = k)
+  SELECT dataset, CASE WHEN n > 1 THEN 'multi' WHEN later = c0 THEN 'single' ELSE 'ambiguous' END AS kind, CASE WHEN n > 1 THEN array_to_string(range(1, most + 1), ',') ELSE CAST(c0 AS VARCHAR) END AS channels FROM o JOIN a USING (dataset) JOIN l USING (dataset)""")
 def r06(spark, sf_dir):
     f = _files(spark, sf_dir)
     return jobs.drain(state.layouts(f.select(F.expr("time_id div 20").alias("dataset"), F.col("size").alias("seq"), "time_id", "channel")), "update")
