@@ -367,4 +367,18 @@ def op7(spark, sf_dir):
 
 
 QUERIES = {"op7_minhash_near_dedup": op7}
-ORACLE = {}
+# All pairs that share a shingle, and all that links reach.
+ORACLE = {
+    "op7_minhash_near_dedup": r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+    both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT b, root FROM r JOIN both_ways ON a = id),
+    c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id = root AS kept FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+}
