@@ -130,7 +130,7 @@ def padded(psf: np.ndarray, shape: tuple[int, ...], fill: str = "zero") -> np.nd
     if fill == "mean":
         inner = psf[tuple(slice(1, -1) if n > 2 else slice(None) for n in psf.shape)]
         value = (psf.sum() - inner.sum()) / max(psf.size - inner.size, 1)
-    out = np.full(shape, value, np.float32)
+    out = np.full(shape, value, psf.dtype)
     at = tuple(slice((n - k) // 2, (n - k) // 2 + k) for n, k in zip(shape, psf.shape))
     out[at] = psf
     return out

@@ -170,7 +170,13 @@ def t04(spark, sf_dir):
     return pt.brightest(views.points(spark, sf_dir), 200).select("id", "response")
 
 
-@query("t04_spaced_spots")
+# Spots of an image from the brightest on: each is kept if none of those kept so far is nearer than 20, until there are 50.
+@query("t04_spaced_spots", """WITH RECURSIVE points AS (SELECT p_partkey AS id, CAST((p_partkey * 37) % 512 + p_size / 100.0 AS DOUBLE) AS x, CAST((p_partkey * 101) % 512 + (p_retailprice - floor(p_retailprice)) / 10 AS DOUBLE) AS y, p_size AS response FROM part),
+  o AS (SELECT *, id // 500 AS image, row_number() OVER (PARTITION BY id // 500 ORDER BY response DESC, y, x, id) AS rn FROM points),
+  g AS (SELECT DISTINCT image, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[]) AS kept FROM o
+    UNION ALL SELECT g.image, o.rn, CASE WHEN len(kept) < 50 AND len(list_filter(kept, lambda p: (p.x - o.x) ** 2 + (p.y - o.y) ** 2 < 400)) = 0 THEN list_append(kept, {'id': CAST(o.id AS BIGINT), 'x': o.x, 'y': o.y}) ELSE kept END FROM g JOIN o ON o.image = g.image AND o.rn = g.rn + 1),
+  l AS (SELECT image, unnest(arg_max(kept, rn)) AS k FROM g GROUP BY image)
+  SELECT o.id, o.x, o.y, o.response, o.image FROM l JOIN o ON o.id = l.k.id""")
 def t04b(spark, sf_dir):
     from lamella.operators.beads import greedy_spots
 

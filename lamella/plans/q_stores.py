@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lamella.functions import provenance
-from lamella.operators import beads, pipelines as pl, points as pt, project as pj, voxels as vx
+from lamella.operators import beads, pipelines as pl, project as pj, voxels as vx
 from lamella.plans import views
 from lamella.plans.q_pipelines import HALVES
+from lamella.plans.q_points import CROPS_SQL, crops
 from lamella.plans.q_sources import _folder, _projected, _store, _tiffs, _whole
 from lamella.plans.registry import query
 from lamella.sources import ome_zarr, tiff
@@ -132,18 +133,16 @@ def r14(spark, sf_dir):
     return ome_zarr.resume_problems(stores, plans, "dataset")
 
 
-@query("k13_padded_psf")
+# A crop of 5 x 3 x 3 in 9 x 7 x 7, filled with the mean of its border (all but the three voxels in its middle).
+@query("k13_padded_psf", CROPS_SQL + """ SELECT bead, round(sum(v) + (sum(v) - coalesce(sum(v) FILTER (abs(dz) <= 1 AND dy = 0 AND dx = 0), 0)) / 42.0 * (9 * 7 * 7 - 45), 4) AS total, CAST(sum(v) FILTER (dz = 0 AND dy = 0 AND dx = 0) AS DOUBLE) AS centre FROM k GROUP BY bead""")
 def k13(spark, sf_dir):
-    v = views.voxels(spark, sf_dir)
-    bead = v.filter("v % 97 = 5").select("t", "c", F.col("z").alias("bz"), F.col("y").alias("by"), F.col("x").alias("bx"), F.expr("(t * 10 + c) * 1000 + z * 100 + y * 10 + x").alias("bead"))
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        psf = np.zeros((5, 3, 3), np.float32)
+        psf = np.zeros((5, 3, 3))
         psf[pdf["dz"] + 2, pdf["dy"] + 1, pdf["dx"] + 1] = pdf["v"]
         wide = beads.padded(psf, (9, 7, 7), "mean")
         return pd.DataFrame([(pdf["bead"].iloc[0], float(wide.sum()), float(wide[4, 3, 3]))], columns=["bead", "total", "centre"])
 
-    return pt.crops(v, bead, {"z": 2, "y": 1, "x": 1}).groupBy("bead").applyInPandas(run, "bead long, total double, centre double")
+    return crops(spark, sf_dir).groupBy("bead").applyInPandas(run, "bead long, total double, centre double").withColumn("total", F.round("total", 4))
 
 
 @query("h14_run_stamp", "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS stamp, 'UTC' AS time_zone FROM orders")
