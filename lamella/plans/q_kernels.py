@@ -280,7 +280,12 @@ def k14(spark, sf_dir):
     return kernels.sample_region(_planes(spark, sf_dir, "mean"), 3500.0)
 
 
-@query("t06_prominent_maxima")
+# A peak stays if the ground within the tolerance below it, as far as it goes on, holds nothing that ranks before it; the highest one must stand that far over the lowest pixel.
+@query("t06_prominent_maxima", V.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT t, c, y, x, y * 10 + x AS i, max(v) AS v, arg_max(z, v * 100 + (10 - z)) AS z FROM voxels GROUP BY t, c, y, x),
+  k AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.t = a.t AND b.c = a.c AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.v > a.v OR (b.v = a.v AND b.i < a.i)))),
+  f AS (SELECT t, c, i AS peak, v AS top, y, x FROM k UNION SELECT f.t, f.c, peak, top, p.y, p.x FROM f JOIN p ON p.t = f.t AND p.c = f.c AND abs(p.y - f.y) <= 1 AND abs(p.x - f.x) <= 1 AND p.v > top - 2000),
+  l AS (SELECT DISTINCT f.t, f.c, peak FROM f JOIN p ON p.t = f.t AND p.c = f.c AND p.y = f.y AND p.x = f.x WHERE p.v > top OR (p.v = top AND p.i < peak)), m AS (SELECT t, c, min(v) AS low FROM p GROUP BY t, c)
+  SELECT k.t, k.c, k.y, k.x, CAST(k.v AS DOUBLE) AS v, CASE WHEN k.v > 0 THEN k.z END AS z FROM k JOIN m USING (t, c) WHERE k.v - low >= 2000 AND NOT EXISTS (SELECT 1 FROM l WHERE l.t = k.t AND l.c = k.c AND l.peak = k.i)""")
 def t06(spark, sf_dir):
     peaks = kernels.maxima(_planes(spark, sf_dir), tolerance=2000.0)
     return peaks.join(pt.first_maximum_z(_v(spark, sf_dir)), ["t", "c", "y", "x"])
