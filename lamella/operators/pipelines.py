@@ -6,10 +6,11 @@ import json
 import os
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.operators import project, resample, voxels as vx
+from lamella.operators import kernels, project, resample, voxels as vx
 from lamella.sources import ome_zarr, tiff
 
 
@@ -52,6 +53,20 @@ def multi_channel(volume: DataFrame, extents: tuple[int, int, int], matrices: di
     return compose(reduce(DataFrame.unionByName, aligned, plain), slots)
 
 
+def deconvolution_batch(volume: DataFrame, psfs: DataFrame, radius: dict[str, int], extents: tuple[int, int, int], tile: tuple[int, int, int], rounds: int = 10, variation: float = 0.0) -> DataFrame:
+    """Deconvolve every channel with the point-spread function of its own (c, dz, dy, dx, v); channels without one are left out.
+
+    The functions are small arrays, one a channel, held by every task.
+    """
+    shape = tuple(2 * radius[k] + 1 for k in "zyx")
+    kernels_by_channel: dict[int, np.ndarray] = {}
+    for r in psfs.select("c", "dz", "dy", "dx", "v").collect():
+        kernels_by_channel.setdefault(int(r["c"]), np.zeros(shape))[r["dz"] + radius["z"], r["dy"] + radius["y"], r["dx"] + radius["x"]] = r["v"]
+    done = [kernels.deconvolve(volume.filter(F.col("c") == c), psf, extents, tile, rounds, variation) for c, psf in sorted(kernels_by_channel.items()) if psf.sum() > 0]
+    empty = volume.limit(0).select("t", "c", "z", "y", "x", F.col("v").cast("double").alias("v"))
+    return reduce(DataFrame.unionByName, done, empty)
+
+
 def view(volume: DataFrame, channels: list[int], box: tuple[int, ...], operation: str, width: int) -> DataFrame:
     """Channels, region and operation of a view: stored, flip, side_by_side."""
     picked = vx.region(volume.filter(F.col("c").isin(channels)), box)

@@ -1,13 +1,14 @@
 """Queries of user-level jobs."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from lamella.functions import names as nm
 from lamella.functions import provenance
-from lamella.operators import alignment as al, kernels, pipelines as pl, project as pj, voxels as vx
+from lamella.operators import alignment as al, pipelines as pl, project as pj, voxels as vx
+from lamella.operators.beads import combined
 from lamella.plans import views
 from lamella.plans.q_kernels import IMAGES_SQL, bead_pairs, deskew_sql
+from lamella.plans.q_points import RADIUS, bead_kernels, bead_places
 from lamella.plans.registry import query
 from lamella.sources import text
 from lamella.streaming.jobs import shared_folder
@@ -65,8 +66,10 @@ def x06(spark, sf_dir):
 
 @query("x07_deconvolution_batch")
 def x07(spark, sf_dir):
-    psf = np.ones((3, 3, 3))
-    return pj.projection(kernels.deconvolve(_v(spark, sf_dir), psf, EXTENTS, (5, 10, 10), rounds=3, variation=0.01).withColumn("v", F.floor("v").cast("long")), "z", "max")
+    """Kernels from the accepted beads of each channel, then the deconvolution of all volumes with them."""
+    psf = combined(bead_kernels(spark, sf_dir).join(bead_places(spark, sf_dir).select("bead", "c"), "bead"), ["c"], "mean")
+    done = pl.deconvolution_batch(_v(spark, sf_dir), psf, RADIUS, EXTENTS, (5, 10, 10), rounds=3, variation=0.01)
+    return pj.projection(done.withColumn("v", F.floor("v").cast("long")), "z", "max")
 
 
 @query("x08_format_conversion", V + "SELECT t, c, z, y, x, v FROM voxels")

@@ -65,13 +65,13 @@ CROPS_SQL = V + """, b AS (SELECT t, c, z AS z0, y AS y0, x AS x0, (t * 10 + c)
 RADIUS = {"z": 2, "y": 1, "x": 1}
 
 
-def _beads(spark, sf_dir):
+def bead_places(spark, sf_dir):
     v = views.voxels(spark, sf_dir).filter("v % 97 = 5")
     return v.select("t", "c", F.col("z").alias("bz"), F.col("y").alias("by"), F.col("x").alias("bx"), F.expr("(t * 10 + c) * 1000 + z * 100 + y * 10 + x").alias("bead"))
 
 
 def crops(spark, sf_dir):
-    return pt.crops(views.voxels(spark, sf_dir), _beads(spark, sf_dir), RADIUS)
+    return pt.crops(views.voxels(spark, sf_dir), bead_places(spark, sf_dir), RADIUS)
 
 
 @query("j09_bead_crops", CROPS_SQL + "SELECT * FROM k")
@@ -93,7 +93,7 @@ QUALITY_SQL = CROPS_SQL + """, e AS (SELECT *, abs(dz) = 2 OR abs(dy) = 1 OR abs
 def _quality(spark, sf_dir):
     from lamella.operators.beads import bead_quality
 
-    beads = _beads(spark, sf_dir)
+    beads = bead_places(spark, sf_dir)
     return bead_quality(crops(spark, sf_dir), beads, RADIUS, ["t", "c"], saturation=45000.0, snr=2.0, sbr=3.5, off_centre=1.2)
 
 
@@ -113,7 +113,7 @@ def a19b(spark, sf_dir):
 COMBINED_SQL = QUALITY_SQL + """, u AS (SELECT r.t, r.c, bead, bead % 3 AS g, dz, dy, dx, greatest(v - background, 0) / integral AS v FROM k JOIN r USING (bead) WHERE reason = 'accepted')"""
 
 
-def _kernels(spark, sf_dir):
+def bead_kernels(spark, sf_dir):
     from lamella.operators.beads import normalised
 
     return normalised(crops(spark, sf_dir), _quality(spark, sf_dir)).withColumn("g", F.col("bead") % 3)
@@ -125,14 +125,14 @@ for _method, _value in (("median", "median(v)"), ("mean", "avg(v)")):
     def a20(spark, sf_dir, method=_method):
         from lamella.operators.beads import combined
 
-        return combined(_kernels(spark, sf_dir), ["g"], method).withColumn("v", F.round("v", 8))
+        return combined(bead_kernels(spark, sf_dir), ["g"], method).withColumn("v", F.round("v", 8))
 
 
 @query("a20_all_beads", COMBINED_SQL + " SELECT g, bead, dz, dy, dx, round(v / sum(v) OVER (PARTITION BY bead), 8) AS v FROM u")
 def a20c(spark, sf_dir):
     from lamella.operators.beads import combined
 
-    return combined(_kernels(spark, sf_dir), ["g"], "all").withColumn("v", F.round("v", 8))
+    return combined(bead_kernels(spark, sf_dir), ["g"], "all").withColumn("v", F.round("v", 8))
 
 
 @query("a21_psf_per_channel", COMBINED_SQL + """, w AS (SELECT printf('_Channel%04d-%s', c, CASE WHEN bead % 10 < 5 THEN 'left' ELSE 'right' END) AS psf, dz, dy, dx, avg(v) AS m FROM u GROUP BY ALL)
@@ -141,7 +141,7 @@ def a21(spark, sf_dir):
     from lamella.operators.beads import combined
 
     side = F.when(F.col("bead") % 10 < 5, "left").otherwise("right")
-    named = _kernels(spark, sf_dir).join(_beads(spark, sf_dir).select("bead", "c"), "bead").withColumn("psf", nm.source_key(F.col("c"), side))
+    named = bead_kernels(spark, sf_dir).join(bead_places(spark, sf_dir).select("bead", "c"), "bead").withColumn("psf", nm.source_key(F.col("c"), side))
     return combined(named, ["psf"], "mean").withColumn("v", F.round("v", 8))
 
 

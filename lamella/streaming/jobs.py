@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -51,8 +52,8 @@ def once(batch: DataFrame, manifest: DataFrame) -> DataFrame:
     return batch.dropDuplicates(["path", "size", "mtime"]).join(manifest.filter("status = 'OK'").select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
 
 
-def with_retries(jobs: DataFrame, run: Callable[[DataFrame], DataFrame], attempts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Run jobs (with a ``key`` column) and try the failed ones again; returns done and dead-letter tables.
+def with_retries(jobs: DataFrame, run: Callable[[DataFrame], DataFrame], attempts: int = 3, delay: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """Run jobs (with a ``key`` column) and try the failed ones again after ``delay`` seconds; returns done and dead-letter tables.
 
     ``run`` returns the jobs with a boolean ``ok``. Attempts are whole passes over what has
     failed, so a pass is one distributed job whatever the number of keys.
@@ -67,6 +68,8 @@ def with_retries(jobs: DataFrame, run: Callable[[DataFrame], DataFrame], attempt
         left = tried.filter("NOT ok").drop("ok", "attempt")
         if left.isEmpty():
             break
+        if n + 1 < attempts:
+            time.sleep(delay)
     return done, left
 
 

@@ -334,7 +334,7 @@ def test_layout_decisions():
 
 def test_retries_end_in_the_dead_letters(spark):
     work = spark.createDataFrame([(k, 0) for k in range(4)], "key int, tried int")
-    done, dead = jobs.with_retries(work, lambda df: df.withColumn("tried", F.col("tried") + 1).withColumn("ok", (F.col("key") > 0) & (F.col("tried") >= F.col("key"))))
+    done, dead = jobs.with_retries(work, lambda df: df.withColumn("tried", F.col("tried") + 1).withColumn("ok", (F.col("key") > 0) & (F.col("tried") >= F.col("key"))), delay=0.0)
     assert {r.key: r.attempt for r in done.collect()} == {1: 1, 2: 2, 3: 3} and [r.key for r in dead.collect()] == [0]
 
 
