@@ -179,16 +179,12 @@ class _Scorer:
         return n, sums / max(n, 1)
 
 
-def _sample(df: DataFrame, id_col, text_col, lang_col) -> DataFrame:
-    """About SAMPLE_PER_LANG whole texts a language, by id hash: a filter, no shuffle of texts."""
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+def _sample(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """About SAMPLE_PER_LANG whole texts of each language in ``counts``, by id hash: a filter, no shuffle of texts."""
     place = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1_000_000_007)) / 1_000_000_007.0
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(CALIBRATION_SHARE)) == 0
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    # The labels are joined with their counts: no list of labels passes through the driver.
-    chosen = rows.join(counts, "lang").filter(place < SAMPLE_PER_LANG / F.col("rows"))
-    return durable(chosen.select("lang", "text", part.alias("calibrates")))
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, SAMPLE_PER_LANG / n)])
+    return durable(rows.filter(place < F.try_element_at(shares, F.col("lang"))).select("lang", "text", part.alias("calibrates")))
 
 
 def _count_trigrams(batches):
@@ -208,22 +204,24 @@ def fit(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> lis
     cross-entropies of sample rows that the counts leave out.
     """
     bounded_batches(df.sparkSession)
-    sample = _sample(df, id_col, text_col, lang_col)
-    counted = sample.filter("NOT calibrates").select("lang", "text").mapInArrow(_count_trigrams, "lang string, code long, n long")
-    counted = durable(counted.groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    labels = durable(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
     out, last = [], None
     while True:
-        rest = counted.select("lang").distinct()
-        langs = [r["lang"] for r in (rest if last is None else rest.filter(F.col("lang") > last)).orderBy("lang").limit(LANGS_AT_ONCE).collect()]
-        if not langs:
+        page = (labels if last is None else labels.filter(F.col("lang") > last)).orderBy("lang").limit(LANGS_AT_ONCE).collect()
+        if not page:
             return out
-        last = langs[-1]
-        own = F.col("lang").isin(langs)
-        table = counted.filter(own).toPandas()
-        models = [LanguageModel.fit(part["code"].to_numpy().view(np.uint64), part["n"].to_numpy()) for _, part in sorted(table.groupby("lang"), key=lambda x: x[0])]
-        model = Identifier(langs, models)
-        seen = sample.filter("calibrates").filter(own).select("lang", "text").mapInArrow(_calibration(model), "lang string, k int, bits array<double>")
-        _limits(model, seen)
+        last = page[-1]["lang"]
+        sample = _sample(rows, {r["lang"]: r["rows"] for r in page})
+        counted = sample.filter("NOT calibrates").select("lang", "text").mapInArrow(_count_trigrams, "lang string, code long, n long")
+        table = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+        if not len(table):
+            continue
+        own = sorted(table.groupby("lang"), key=lambda x: x[0])
+        model = Identifier([lang for lang, _ in own], [LanguageModel.fit(part["code"].to_numpy().view(np.uint64), part["n"].to_numpy()) for _, part in own])
+        rest = sample.filter(F.col("calibrates") & F.col("lang").isin(model.langs)).select("lang", "text")
+        _limits(model, rest.mapInArrow(_calibration(model), "lang string, k int, bits array<double>"))
         out.append(model)
 
 
