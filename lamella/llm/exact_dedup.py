@@ -73,17 +73,19 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts without ids), the one whose whole row has the largest hash. Columns of any name
     are kept as they are.
     """
-    names = [f"_row.`{c}`" for c in df.columns]
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     rows = df.select(whole.alias("_row"), F.col(id_col).alias("_id"), *_content_key(text))
     repeated = copy_groups(df, id_col, text_col, salts).filter("group_size > 1")
-    joined = rows.join(repeated, _KEY, "left")
-    alone = joined.filter("group_size IS NULL").select("_row")
-    # Usually one row a group; partial aggregation keeps one a partition where there are many.
-    tie = F.xxhash64(F.to_json("_row"))
-    chosen = joined.filter("group_size IS NOT NULL AND _id <=> keep_id").groupBy(*_KEY).agg(F.max_by("_row", tie).alias("_row")).select("_row")
-    return alone.union(chosen).select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])
+    kept = rows.join(repeated, _KEY, "left").filter("group_size IS NULL OR _id <=> keep_id").select("_row", "_id", *_KEY)
+    # Ids that repeat a text, found without the texts; there are none where ids are unique.
+    twice = rows.select("_id", *_KEY).groupBy("_id", *_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not twice.isEmpty():
+        again = twice.select(F.col("_id").alias("_i"), *[F.col(k).alias(f"{k}2") for k in _KEY])
+        same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_sha2")) & (F.col("_len") == F.col("_len2")) & (F.col("_xx") == F.col("_xx2"))
+        one = kept.join(again, same, "left_semi").groupBy(*_KEY).agg(F.max_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+        kept = kept.join(again, same, "left_anti").select("_row").union(one.select("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def op8(spark, sf_dir):
