@@ -31,6 +31,7 @@ LANGS_AT_ONCE = 64
 DISCOUNT = 0.75
 CALIBRATION_SHARE = 4  # one row in so many of the sample calibrates the rejection
 FALSE_REJECT = 1e-4  # share of a language's own texts that the limits may reject
+MARGIN = 2.0  # limits are so many times the quantile: whole texts vary more than windows of the sample
 WINDOWS = range(3, 13)  # lengths 2^k at which the cross-entropy's spread is measured
 TEMPERATURE = 8.0
 
@@ -267,7 +268,7 @@ def _limits(model: Identifier, seen: DataFrame) -> None:
     quantiles = windows.join(scale, ["lang", "k"]).withColumn("z", z).groupBy("lang").agg(F.percentile_approx("z", 1 - FALSE_REJECT, 100_000).alias("q"))
     found = {r["lang"]: r["q"] for r in quantiles.collect()}
     # At least what a normal distribution gives for the rate.
-    model.quantile = np.array([max(found.get(lang) or 0.0, NormalDist().inv_cdf(1 - FALSE_REJECT)) for lang in model.langs])
+    model.quantile = MARGIN * np.array([max(found.get(lang) or 0.0, NormalDist().inv_cdf(1 - FALSE_REJECT)) for lang in model.langs])
 
 
 def _predict(model: Identifier, first: bool):
