@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "mixing", "packing", "license_scan", "topk", "chat_format", "lm_score", "near_dedup", "exact_dedup", "language_id", "line_dedup",
-    "periodic_runs", "decontamination",
+    "periodic_runs", "decontamination", "collocations",
 ]
 
 
