@@ -150,7 +150,7 @@ class _Filter:
         self.bits = min(FILTER_BITS, max(BLOCK_BITS, 1 << (BITS_PER_KEY * number).bit_length()))
         bit = keys.select(F.col("key").bitwiseAND(F.lit(self.bits - 1)).alias("bit")).distinct()
         blocks = bit.groupBy(F.expr(f"bit div {BLOCK_BITS}").alias("block")).applyInArrow(_block, "block long, bits binary")
-        out = np.zeros(self.bits // 8, np.uint8)
+        out = np.zeros(max(self.bits, BLOCK_BITS) // 8, np.uint8)
         for r in blocks.toLocalIterator():
             out[r["block"] * BLOCK_BITS // 8 :][: BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
         self.shared = keys.sparkSession.sparkContext.broadcast(out.tobytes())
