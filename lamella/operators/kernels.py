@@ -1,4 +1,4 @@
-"""Grouped numpy kernels: Fourier reconstruction, sweeps, alignment fits, deconvolution.
+"""Grouped numpy kernels: sample regions, maxima, deconvolution.
 
 Each kernel is a small function over arrays; Spark groups the rows so that a group
 is one camera column, one pair of images, or one tile with its halo.
@@ -6,8 +6,6 @@ is one camera column, one pair of images, or one tile with its halo.
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,164 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-@lru_cache(maxsize=64)
-def band_weights(nz: int, ny: int, slope: float, half: float, edge: float) -> np.ndarray:
-    """Tilted band of a (z, y) spectrum: one inside, cosine taper to zero over ``edge``."""
-    fz, fy = np.meshgrid(np.fft.fftfreq(nz), np.fft.fftfreq(ny), indexing="ij")
-    d = fz - slope * fy
-    d = np.abs(d - np.floor(d + 0.5))
-    return np.where(d <= half, 1.0, np.where(d >= half + edge, 0.0, 0.5 * (1 + np.cos(np.pi * (d - half) / edge))))
-
-
-def reconstruct_column(sparse: np.ndarray, factor: int, slope: float, edge: float = 0.05) -> np.ndarray:
-    """Dense (z, y) column from every factor-th plane: comb, 2-D FFT, tilted band mask, inverse, crop."""
-    n, ny = sparse.shape
-    dense = (n - 1) * factor + 1
-    pad_z, pad_y = 1 << (dense - 1).bit_length(), 1 << (ny - 1).bit_length()
-    while pad_z % factor:
-        pad_z += 1
-    comb = np.zeros((pad_z, pad_y))
-    comb[: dense : factor, :ny] = sparse
-    out = np.fft.ifft2(np.fft.fft2(comb) * band_weights(pad_z, pad_y, slope, 0.5 / factor - edge / 2, edge)).real
-    return (factor * out)[:dense, :ny]
-
-
-BLOCK = 8  # camera columns a group
-
-
-def _columns(pdf: pd.DataFrame, extents: tuple[int, int]):
-    """(x, dense (z, y) grid) of every camera column of a group; absent voxels are zero."""
-    for x, own in pdf.groupby("x"):
-        grid = np.zeros(extents)
-        grid[own["z"], own["y"]] = own["v"]
-        yield x, grid
-
-
-def _by_columns(voxels: DataFrame):
-    return voxels.withColumn("_b", F.floor(F.col("x") / BLOCK)).groupBy("t", "c", "_b")
-
-
-def reconstruct(voxels: DataFrame, factor: int, slope: float, extents: tuple[int, int]) -> DataFrame:
-    """Fourier reconstruction of a decimated scan of ``extents`` (planes, rows); columns of the camera are independent."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for x, grid in _columns(pdf, extents):
-            v = reconstruct_column(grid, factor, slope)
-            z, y = np.indices(v.shape).reshape(2, -1)
-            out.append(pd.DataFrame({"t": key[0], "c": key[1], "z": z, "y": y, "x": x, "v": v.ravel()}))
-        return pd.concat(out)
-
-    return _by_columns(voxels).applyInPandas(run, "t long, c long, z long, y long, x long, v double")
-
-
-def noise_column(column: np.ndarray, slope: float, band: float) -> tuple[np.ndarray, np.ndarray]:
-    """Residual outside the band, scaled to full noise, and the smoothed signal."""
-    w = band_weights(*column.shape, slope, band, 0.02)
-    spectrum = np.fft.fft2(column)
-    residual = np.fft.ifft2(spectrum * (1 - w)).real
-    share = np.mean((1 - w) ** 2)
-    return residual / math.sqrt(max(share, 1e-12)), np.fft.ifft2(spectrum * w).real
-
-
-def noise_band(voxels: DataFrame, slope: float, band: float, extents: tuple[int, int]) -> DataFrame:
-    """``signal, r`` rows for the noise fit, one camera column of ``extents`` (planes, rows) at a time."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, grid in _columns(pdf, extents):
-            r, s = noise_column(grid, slope, band)
-            out.append(pd.DataFrame({"t": key[0], "c": key[1], "signal": s.ravel(), "r": r.ravel()}))
-        return pd.concat(out)
-
-    return _by_columns(voxels).applyInPandas(run, "t long, c long, signal double, r double")
-
-
-@lru_cache(maxsize=64)
-def propagated_variance(nz: int, ny: int, factor: int, phase: int, slope: float, noise: float) -> np.ndarray:
-    """Variance of a reconstructed column for white noise in the kept planes."""
-    w = band_weights(nz, ny, slope, 0.5 / factor - 0.025, 0.05)
-    kernel = (factor * np.fft.ifft2(w).real) ** 2
-    kept = np.zeros((nz, ny))
-    kept[phase::factor] = noise * noise
-    return np.fft.ifft2(np.fft.fft2(kept) * np.fft.fft2(kernel)).real
-
-
-def variances(jobs: DataFrame, extents: tuple[int, int], slope: float) -> DataFrame:
-    """Variance of every voxel (z, y) of a reconstructed column for each row (t, c, sigma, factor, phase)."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                v = propagated_variance(*extents, int(r.factor), int(r.phase), slope, 1.0) * r.sigma**2
-                z, y = np.indices(v.shape).reshape(2, -1)
-                out.append(pd.DataFrame({"t": r.t, "c": r.c, "factor": r.factor, "phase": r.phase, "z": z, "y": y, "variance": v.ravel()}))
-            if out:
-                yield pd.concat(out)
-
-    return jobs.select("t", "c", "sigma", "factor", "phase").mapInPandas(run, "t long, c long, factor int, phase int, z long, y long, variance double")
-
-
-def bead_spectrum(section: np.ndarray, threshold: float = 0.05) -> tuple[float | None, float | None]:
-    """Support of a (z, y) bead section in its log amplitude over DC, and the largest factor that keeps it.
-
-    Unknown where DC is not positive; the factor is unbounded (None) without support.
-    """
-    if section.sum() <= 0:
-        return None, None
-    amplitude = np.abs(np.fft.fft2(section))
-    fz = np.abs(np.fft.fftfreq(section.shape[0]))
-    support = float(fz[(amplitude / amplitude[0, 0] >= threshold).any(axis=1)].max())
-    return support, float(math.floor(0.5 / support)) if support > 0 else None
-
-
-def bead_spectra(crops: DataFrame, radius: dict[str, int], threshold: float = 0.05) -> DataFrame:
-    """Support and bound of the factor of every bead: crops are summed over x first, absent voxels are zero."""
-    shape = 2 * radius["z"] + 1, 2 * radius["y"] + 1
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        section = np.zeros(shape)
-        section[pdf["dz"] + radius["z"], pdf["dy"] + radius["y"]] = pdf["v"]
-        return pd.DataFrame([(key[0], *bead_spectrum(section, threshold))])
-
-    return crops.groupBy("bead", "dz", "dy").agg(F.sum("v").alias("v")).groupBy("bead").applyInPandas(run, "bead long, support double, factor double")
-
-
-def sweep(voxels: DataFrame, factors: list[int], slope: float, extents: tuple[int, int], background: float = 0.0) -> DataFrame:
-    """All factors, phases and methods scored at the planes that were left out.
-
-    Rows: t, c, factor, phase, method and the mergeable sums of the study. The factor and
-    phase tables are fixed parameters; groups are BLOCK camera columns of ``extents`` (planes, rows).
-    """
-    wanted = [(f, p) for f in factors for p in range(f)]
-    names = ["n", "sr", "sp", "srr", "spp", "srp", "se", "sb", "power"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sums: dict[tuple, np.ndarray] = {}
-        for _, grid in _columns(pdf, extents):
-            for f, p in wanted:
-                kept = grid[p::f]
-                if len(kept) < 2:
-                    continue
-                n = (len(kept) - 1) * f + 1
-                z = np.arange(n)
-                share = (z % f)[:, None] / f
-                low = kept[z // f]
-                linear = low + (kept[np.minimum(z // f + 1, len(kept) - 1)] - low) * share
-                rest = z % f != 0
-                ref = grid[p : p + n][rest]
-                for method, pred in (("fourier", reconstruct_column(kept, f, slope)[rest]), ("linear", linear[rest])):
-                    d = pred - ref
-                    own = np.array([ref.size, ref.sum(), pred.sum(), (ref**2).sum(), (pred**2).sum(), (ref * pred).sum(), (d**2).sum(), d.sum(), ((ref - background) ** 2).sum()])
-                    sums[f, p, method] = sums.get((f, p, method), 0) + own
-        return pd.DataFrame([(*key[:2], *k, *v) for k, v in sums.items()], columns=["t", "c", "factor", "phase", "method", *names])
-
-    parts = _by_columns(voxels).applyInPandas(run, "t long, c long, factor int, phase int, method string, " + ", ".join(f"{k} double" for k in names))
-    noise = [F.lit(0.0).alias(k) for k in ("read_floor", "shot_floor", "read_noise", "shot_noise")]
-    return parts.groupBy("t", "c", "factor", "phase", "method").agg(*[F.sum(k).alias(k) for k in names]).select("*", *noise)
-
-
 def components_of(mask: np.ndarray) -> np.ndarray:
     """4-connected labels (from 1) of a plane by union-find."""
     labels, parent = np.zeros(mask.shape, int), [0]

@@ -26,16 +26,16 @@ def statistics(pairs: DataFrame, keys: list[str], background: float = 0.0) -> Da
     return rows.groupBy(*keys).agg(*[F.expr(f"sum({e})").alias(k) for k, e in SUMS.items()], *noise)
 
 
-def scores(fit: tuple[float, float] | None = None) -> dict:
-    """Scores of summed columns; NULL where undefined. ``fit`` is the noise model (read variance, gain).
+def scores(fit: tuple | None = None) -> dict:
+    """Scores of summed columns; NULL where undefined. ``fit`` is the noise model (read variance, gain): numbers or names of columns.
 
     ``nrmse`` relates the squared error to the power over the background, ``bias`` is the mean
     difference. ``excess`` removes the expected noise from both before it relates them, and
     ``noise_share`` is the noise's part of the squared error; both are unknown without a fit.
     """
-    variance, gain = fit or (None, None)
-    floor = F.lit(variance).cast("double") * F.col("read_floor") + F.lit(gain).cast("double") * F.col("shot_floor")
-    clean = F.col("power") - (F.lit(variance).cast("double") * F.col("read_noise") + F.lit(gain).cast("double") * F.col("shot_noise"))
+    variance, gain = ((F.col(v) if isinstance(v, str) else F.lit(v)).cast("double") for v in fit or (None, None))
+    floor = variance * F.col("read_floor") + gain * F.col("shot_floor")
+    clean = F.col("power") - (variance * F.col("read_noise") + gain * F.col("shot_noise"))
     ref2, pred2 = "(srr - sr * sr / greatest(n, 1))", "(spp - sp * sp / greatest(n, 1))"
     return {
         "nrmse": F.expr("CASE WHEN n > 0 AND power > 0 THEN sqrt(se / power) END"),
@@ -46,12 +46,17 @@ def scores(fit: tuple[float, float] | None = None) -> dict:
     }
 
 
-def pooled(stats: DataFrame, keys: list[str], fit: tuple[float, float] | None = None) -> DataFrame:
+def _merged(fit: tuple | None) -> list[Column]:
+    """Summed sums; columns of the noise model, one value a group, go along."""
+    return [*[F.sum(k).alias(k) for k in [*SUMS, *NOISE]], *[F.max(v).alias(v) for v in fit or () if isinstance(v, str)]]
+
+
+def pooled(stats: DataFrame, keys: list[str], fit: tuple | None = None) -> DataFrame:
     """Merged sums and their scores."""
-    return stats.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in [*SUMS, *NOISE]]).withColumns(scores(fit))
+    return stats.groupBy(*keys).agg(*_merged(fit)).withColumns(scores(fit))
 
 
-def verdicts(stats: DataFrame, keys: list[str], limit: float, fit: tuple[float, float] | None = None, evidence: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+def verdicts(stats: DataFrame, keys: list[str], limit: float, fit: tuple | None = None, evidence: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Pooled and worst-phase score of each factor, its verdict, and the increase over factor 2.
 
     A factor needs all its phases, each with a score, and eligible ``evidence`` (``by``,
@@ -60,7 +65,7 @@ def verdicts(stats: DataFrame, keys: list[str], limit: float, fit: tuple[float,
     """
     phase = stats.withColumns({"own": scores(fit)["nrmse"]})
     merged = phase.groupBy(*keys, "factor").agg(
-        *[F.sum(k).alias(k) for k in [*SUMS, *NOISE]], F.count(F.lit(1)).alias("phases"), F.max("own").alias("worst"), F.count_if(F.col("own").isNull()).alias("unscored")
+        *_merged(fit), F.count(F.lit(1)).alias("phases"), F.max("own").alias("worst"), F.count_if(F.col("own").isNull()).alias("unscored")
     )
     scored = merged.withColumns(scores(fit))
     if evidence is not None:
@@ -75,7 +80,7 @@ def verdicts(stats: DataFrame, keys: list[str], limit: float, fit: tuple[float,
     usable = F.when(complete & (F.col("unscored") == 0), F.col("excess"))
     base = F.max(F.when(F.col("factor") == 2, usable)).over(Window.partitionBy(*keys))
     increase = F.sqrt(F.greatest(usable * usable - base * base, F.lit(0.0)))
-    return scored.select(*keys, "factor", F.col("nrmse").alias("score"), "worst", "excess", verdict.alias("verdict"), F.when(usable.isNotNull() & base.isNotNull(), increase).alias("increase"))
+    return scored.select(*keys, "factor", F.col("nrmse").alias("score"), "worst", "excess", "noise_share", verdict.alias("verdict"), F.when(usable.isNotNull() & base.isNotNull(), increase).alias("increase"))
 
 
 def passing_range(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,19 +146,45 @@ def with_evidence(regions: DataFrame, minimum_signal: int = 64) -> DataFrame:
     return regions.withColumn("evidence", evidence(minimum_signal))
 
 
-def noise_fit(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Least squares of squared residuals on signal; a negative slope becomes a constant noise level."""
-    fit = rows.withColumn("rr", F.col("r").cast("double") * F.col("r")).groupBy(*keys).agg(
-        F.regr_slope("rr", "signal").alias("slope"), F.regr_intercept("rr", "signal").alias("intercept"), F.avg("rr").alias("mean")
-    )
-    return fit.select(*keys, F.greatest("slope", F.lit(0.0)).alias("gain"), F.when(F.col("slope") >= 0, F.col("intercept")).otherwise(F.col("mean")).alias("floor"))
+AGREEMENT = 0.25  # by how much two estimates of a noise may differ
+WIDEST = 0.45  # band distance beyond which no noise-only band is left
+
+
+def noise_fit(sums: DataFrame) -> DataFrame:
+    """``gain, sigma`` from the sums n, s, ss, r, sr of (spread signal s, squared residual r) and the kept ``fraction`` of bins.
 
+    Least squares of r on s; a slope that is not positive is no gain. The constant is divided
+    by the kept fraction; where it is not positive, there is no fit and both are null.
+    """
+    spread = F.expr("n * ss - s * s")
+    slope = F.when((F.col("n") > 2) & (spread > 0), F.expr("n * sr - s * r") / F.when(spread > 0, spread))
+    gain = F.greatest(F.coalesce(slope, F.lit(0.0)), F.lit(0.0))
+    fitted = sums.withColumn("gain", gain).withColumn("_v", F.expr("(r - gain * s) / greatest(n, 1) / fraction"))
+    known = (F.col("_v") > 0) & (F.col("_v") < float("inf"))
+    return fitted.withColumn("sigma", F.when(known, F.sqrt("_v"))).withColumn("gain", F.when(known, F.col("gain"))).drop("_v", "n", "s", "ss", "r", "sr", "fraction")
+
+
+def noise_acceptance(fits: DataFrame) -> DataFrame:
+    """``status`` (why a noise fit is not used, or ``accepted``), and ``variance, gain`` where it is.
 
-def bands_agree(bands: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Whether the noise of band 0 lies within a tolerance of band 1's."""
-    other = bands.filter("band = 1").select(*keys, F.col("sigma").alias("other"))
-    both = bands.filter("band = 0").join(other, keys)
-    return both.select(*keys, (F.abs(F.col("sigma") - F.col("other")) <= tolerance * F.col("other")).alias("accepted"))
+    Columns: band (where the fit begins), sigma, gain, check_sigma, check_gain (a second fit halfway to the
+    end), background_sigma, noise_known, noise_free, mean_signal (of the scored voxels). The fit
+    must agree with the verified background and with the second fit, at the mean scored signal,
+    within a quarter. A volume declared free of noise has no noise.
+    """
+    free, unknown = F.coalesce(F.col("noise_free"), F.lit(False)), F.col("sigma").isNull()
+    at_signal = F.col("sigma") * F.col("sigma") + F.col("gain") * F.col("mean_signal")
+    other = F.col("check_sigma") * F.col("check_sigma") + F.col("check_gain") * F.col("mean_signal")
+    background = F.when(F.col("background_sigma") > 0, F.col("background_sigma"))
+    status = (
+        F.when(free, "accepted").when(F.col("band") > WIDEST, "no noise-only band").when(unknown, "fit failed")
+        .when(~F.coalesce(F.col("noise_known"), F.lit(False)), "background unverified").when(background.isNull(), "no background sigma")
+        .when(F.abs(F.col("sigma") / background - 1) > AGREEMENT, "contradicts background").when(F.col("check_sigma").isNull(), "check failed")
+        .when(F.abs(other / at_signal - 1) > AGREEMENT, "unstable across band").otherwise("accepted")
+    )
+    out = fits.withColumn("status", status)
+    used = lambda c: F.when(F.col("status") == "accepted", F.when(free, F.lit(0.0)).otherwise(c))
+    return out.withColumns({"variance": used(F.col("sigma") * F.col("sigma")), "gain": used(F.col("gain"))})
 
 
 def compare(one: DataFrame, two: DataFrame, keys: list[str], offset: int, guard: tuple[int, int]) -> DataFrame:

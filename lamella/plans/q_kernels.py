@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import matrix as mx
 from lamella.operators import alignment as al, filters, kernels, points as pt, project as pj, resample as rs, voxels as vx
-from lamella.operators.sampling_study import noise_fit, pooled, verdicts
 from lamella.plans import views
-from lamella.plans.q_points import CROPS_SQL, RADIUS, crops
 from lamella.plans.registry import query
 
 W = H = D = 10
@@ -129,92 +127,6 @@ def j10(spark, sf_dir):
     return _v(spark, sf_dir).join(cells.select("z", "y"), ["z", "y"], "left_semi").select("t", "c", "z", "y", "x", "v")
 
 
-def band_sql(name: str, nz: int, ny: int, half: float, edge: float, slope: float = 0.3) -> str:
-    """CTEs ``name_w`` (weights by frequency) and ``name_k`` (dz, dy, k: their inverse transform, the kernel of a circular convolution)."""
-    f = lambda k, n: f"(CASE WHEN {k} < {(n + 1) // 2} THEN {k} ELSE {k} - {n} END / {n}.0e0)"
-    return f"""{name}_w AS (SELECT fz, fy, CASE WHEN d <= {half!r}e0 THEN 1.0e0 WHEN d >= {half!r}e0 + {edge!r}e0 THEN 0.0e0 ELSE 0.5e0 * (1 + cos(pi() * (d - {half!r}e0) / {edge!r}e0)) END AS w FROM (SELECT fz, fy, abs(q - floor(q + 0.5e0)) AS d FROM (
-        SELECT {f("kz", nz)} AS fz, {f("ky", ny)} AS fy, {f("kz", nz)} - {slope!r}e0 * {f("ky", ny)} AS q FROM (SELECT unnest(range({nz})) AS kz), (SELECT unnest(range({ny})) AS ky)))),
-      {name}_k AS (SELECT dz, dy, sum(w * cos(2 * pi() * (fz * dz + fy * dy))) / {nz * ny} AS k FROM {name}_w, (SELECT unnest(range({nz})) AS dz), (SELECT unnest(range({ny})) AS dy) GROUP BY dz, dy)"""
-
-
-@query("k01_fourier_reconstruction", V + ", " + band_sql("b", 16, 16, 0.5 / 2 - 0.05 / 2, 0.05) + """, g AS (SELECT unnest(range(9)) AS z), h AS (SELECT unnest(range(10)) AS y)
-    SELECT t, c, g.z, h.y, x, round(2 * sum(k * v), 3) AS v FROM (SELECT * FROM voxels WHERE z % 2 = 0) p, g, h JOIN b_k ON dz = (g.z - p.z + 16) % 16 AND dy = (h.y - p.y + 16) % 16 GROUP BY t, c, g.z, h.y, x""")
-def k01(spark, sf_dir):
-    return kernels.reconstruct(vx.decimate(_v(spark, sf_dir), 2, 0), 2, 0.3, (D // 2, H)).withColumn("v", F.round("v", 3))
-
-
-@query("k02_noise_band", V + ", " + band_sql("b", 10, 10, 0.2, 0.02) + """, g AS (SELECT unnest(range(10)) AS z), h AS (SELECT unnest(range(10)) AS y),
-    s AS (SELECT t, c, g.z, h.y, x, sum(k * v) AS s FROM voxels p, g, h JOIN b_k ON dz = (g.z - p.z + 10) % 10 AND dy = (h.y - p.y + 10) % 10 GROUP BY t, c, g.z, h.y, x),
-    r AS (SELECT t, c, s, (v - s) / sqrt((SELECT avg((1 - w) ** 2) FROM b_w)) AS r FROM s JOIN voxels USING (t, c, z, y, x))
-    SELECT t, c, round(greatest(regr_slope(r * r, s), 0), 3) AS gain, round(CASE WHEN regr_slope(r * r, s) >= 0 THEN regr_intercept(r * r, s) ELSE avg(r * r) END, 0) AS floor FROM r GROUP BY t, c""")
-def k02(spark, sf_dir):
-    fit = noise_fit(kernels.noise_band(_v(spark, sf_dir), 0.3, 0.2, (D, H)), ["t", "c"])
-    return fit.select("t", "c", F.round("gain", 3).alias("gain"), F.round("floor", 0).alias("floor"))
-
-
-@query("k03_propagated_variance", V + ", " + ", ".join(band_sql(f"b{f}", D, H, 0.5 / f - 0.025, 0.05) for f in (2, 3)) + """, m AS (SELECT t, c, median(v) AS median FROM voxels GROUP BY t, c), s AS (SELECT t, c, 1.4826 * median(abs(v - median)) AS sigma FROM voxels JOIN m USING (t, c) GROUP BY t, c),
-    j AS (SELECT 2 AS factor, dz, dy, (2 * k) ** 2 AS kk FROM b2_k UNION ALL SELECT 3, dz, dy, (3 * k) ** 2 FROM b3_k), p AS (SELECT factor, unnest(range(factor)) AS phase FROM (SELECT unnest([2, 3]) AS factor)),
-    u AS (SELECT p.factor, p.phase, g.z, h.y, sum(kk) AS u FROM p, (SELECT unnest(range(10)) AS z) g, (SELECT unnest(range(10)) AS y) h, (SELECT unnest(range(10)) AS kz) a, (SELECT unnest(range(10)) AS ky) b
-      JOIN j ON j.factor = p.factor AND a.kz % p.factor = p.phase AND dz = (g.z - a.kz + 10) % 10 AND dy = (h.y - b.ky + 10) % 10 GROUP BY ALL)
-    SELECT t, c, factor, phase, z, y, round(sigma * sigma * u, 2) AS variance FROM s, u""")
-def k03(spark, sf_dir):
-    sigma = pj.median_mad(_v(spark, sf_dir), ["t", "c"])
-    wanted = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(p).alias("p")) for f in (2, 3) for p in range(f)])
-    jobs = sigma.withColumn("j", F.explode(wanted)).select("t", "c", "sigma", F.col("j.f").alias("factor"), F.col("j.p").alias("phase"))
-    return kernels.variances(jobs, (D, H), 0.3).withColumn("variance", F.round("variance", 2))
-
-
-@query("k04_bead_spectra", CROPS_SQL + """, s AS (SELECT bead, dz, dy, sum(v) AS v FROM k GROUP BY ALL), f AS (SELECT kz, ky, CASE WHEN kz < 3 THEN kz ELSE kz - 5 END / 5.0e0 AS fz, CASE WHEN ky < 2 THEN ky ELSE ky - 3 END / 3.0e0 AS fy FROM (SELECT unnest(range(5)) AS kz), (SELECT unnest(range(3)) AS ky)),
-    a AS (SELECT bead, kz, ky, fz, sqrt(sum(v * cos(2 * pi() * (fz * dz + fy * dy))) ** 2 + sum(v * sin(2 * pi() * (fz * dz + fy * dy))) ** 2) AS a FROM s, f GROUP BY ALL), d AS (SELECT bead, sum(v) AS dc FROM s GROUP BY bead),
-    u AS (SELECT bead, max(abs(fz)) FILTER (a / dc >= 0.1) AS support FROM a JOIN d USING (bead) WHERE dc > 0 GROUP BY bead) SELECT bead, round(support, 6) AS support, CASE WHEN support > 0 THEN floor(0.5 / support) END AS factor FROM d LEFT JOIN u USING (bead)""")
-def k04(spark, sf_dir):
-    return kernels.bead_spectra(crops(spark, sf_dir), RADIUS, 0.1).withColumn("support", F.round("support", 6))
-
-
-# Planes kept and padded length of each factor and phase; a prediction is a circular convolution with the kernel of its length.
-_JOBS = [(2, 0, 5, 16), (2, 1, 5, 16), (3, 0, 4, 18), (3, 1, 3, 9), (3, 2, 3, 9), (4, 0, 3, 16), (4, 1, 3, 16), (4, 2, 2, 8), (4, 3, 2, 8)]
-_LENGTHS = sorted({(f, pad) for f, _, _, pad in _JOBS})
-SWEEP_SQL = (
-    V + ", " + ", ".join(band_sql(f"b{f}_{pad}", pad, 16, 0.5 / f - 0.025, 0.05) for f, pad in _LENGTHS)
-    + ", ker AS (" + " UNION ALL ".join(f"SELECT {f} AS factor, {pad} AS pad, dz, dy, k FROM b{f}_{pad}_k" for f, pad in _LENGTHS) + "), j AS (SELECT * FROM (VALUES " + ", ".join(map(str, _JOBS)) + ") v(factor, phase, n, pad)), "
-    + """q AS (SELECT *, unnest(range((n - 1) * factor + 1)) AS z FROM j), h AS (SELECT unnest(range(10)) AS y),
-    r AS (SELECT p.t, p.c, p.x, q.factor, q.phase, q.z, h.y, q.factor * sum(k * p.v) AS pred FROM q JOIN h ON q.z % q.factor <> 0 JOIN voxels p ON p.z >= q.phase AND p.z <= q.phase + (q.n - 1) * q.factor AND (p.z - q.phase) % q.factor = 0
-      JOIN ker ON ker.factor = q.factor AND ker.pad = q.pad AND dz = (q.z - (p.z - q.phase) + q.pad) % q.pad AND dy = (h.y - p.y + 16) % 16 GROUP BY p.t, p.c, p.x, q.factor, q.phase, q.z, h.y),
-    l AS (SELECT a.t, a.c, a.x, q.factor, q.phase, q.z, a.y, a.v + (b.v - a.v) * (q.z % q.factor) / CAST(q.factor AS DOUBLE) AS pred FROM q JOIN voxels a ON a.z = q.phase + q.z // q.factor * q.factor JOIN voxels b ON b.t = a.t AND b.c = a.c AND b.x = a.x AND b.y = a.y AND b.z = a.z + q.factor WHERE q.z % q.factor <> 0),
-    d AS (SELECT 'fourier' AS method, * FROM r UNION ALL SELECT 'linear', * FROM l),
-    s AS (SELECT d.t, d.c, method, factor, phase, sum((pred - v.v) ** 2) AS se, sum(CAST(v.v AS DOUBLE) * v.v) AS power FROM d JOIN voxels v ON v.t = d.t AND v.c = d.c AND v.x = d.x AND v.y = d.y AND v.z = d.phase + d.z GROUP BY ALL)
-    SELECT t, c, method, factor, round(sqrt(sum(se) / sum(power)), 6) AS score, round(max(sqrt(se / power)), 6) AS worst,
-      CASE WHEN count(*) <> factor THEN 'Incomplete' WHEN sqrt(sum(se) / sum(power)) <= 0.9 AND max(sqrt(se / power)) <= 0.9 THEN 'Pass' ELSE 'Fails' END AS verdict FROM s GROUP BY t, c, method, factor"""
-)
-
-
-@query("k05_sampling_sweep", SWEEP_SQL)
-def k05(spark, sf_dir):
-    sums = kernels.sweep(_v(spark, sf_dir), [2, 3, 4], 0.3, (D, H))
-    return verdicts(sums, ["t", "c", "method"], limit=0.9).select("t", "c", "method", "factor", F.round("score", 6).alias("score"), F.round("worst", 6).alias("worst"), "verdict")
-
-
-@query("k05_sweep_linear", V + """, l AS (SELECT t, c, y, x, list(v ORDER BY z) AS l FROM voxels GROUP BY ALL), k AS (SELECT unnest([2, 3, 4]) AS factor), p AS (SELECT factor, unnest(range(factor)) AS phase FROM k),
-  e AS (SELECT t, c, factor, phase, l, (9 - phase) // factor * factor + 1 AS n, unnest(range(10)) AS z FROM l, p),
-  d AS (SELECT t, c, factor, phase, CAST(l[phase + z + 1] AS DOUBLE) AS ref, l[phase + z // factor * factor + 1] + (coalesce(l[phase + (z // factor + 1) * factor + 1], 0) - l[phase + z // factor * factor + 1]) * ((z % factor) / CAST(factor AS DOUBLE)) AS pred FROM e WHERE z < n AND z % factor <> 0),
-  s AS (SELECT t, c, factor, phase, sum((pred - ref) ** 2) AS se, sum(ref * ref) AS power FROM d GROUP BY ALL), q AS (SELECT t, c, factor, count(*) AS phases, sqrt(sum(se) / sum(power)) AS score, max(sqrt(se / power)) AS worst FROM s GROUP BY ALL)
-  SELECT t, c, factor, round(score, 6) AS score, round(worst, 6) AS worst, CASE WHEN phases <> factor THEN 'Incomplete' WHEN score <= 0.9 AND worst <= 0.9 THEN 'Pass' ELSE 'Fails' END AS verdict FROM q""")
-def k05b(spark, sf_dir):
-    sums = kernels.sweep(_v(spark, sf_dir), [2, 3, 4], 0.3, (D, H)).filter("method = 'linear'")
-    return verdicts(sums, ["t", "c"], limit=0.9).select("t", "c", "factor", F.round("score", 6).alias("score"), F.round("worst", 6).alias("worst"), "verdict")
-
-
-@query("k06_dense_comparison", V + """, k AS (SELECT unnest([2, 3]) AS factor), p AS (SELECT factor, unnest(range(factor)) AS phase FROM k),
-  l AS (SELECT t, c, y, x, list(v ORDER BY z) AS l FROM voxels GROUP BY ALL),
-  e AS (SELECT t, c, factor, phase, l, (9 - phase) // factor * factor + 1 AS n, unnest(range(10)) AS z FROM l, p),
-  d AS (SELECT t, c, factor, phase, CAST(l[phase + z + 1] AS DOUBLE) AS ref, l[phase + z // factor * factor + 1] + (coalesce(l[phase + (z // factor + 1) * factor + 1], 0) - l[phase + z // factor * factor + 1]) * ((z % factor) / CAST(factor AS DOUBLE)) AS pred FROM e WHERE z < n AND z % factor <> 0)
-  SELECT t, c, factor, phase, CAST(count(*) AS BIGINT) AS voxels, round(sqrt(sum((pred - ref) ** 2) / sum(ref * ref)), 6) AS nrmse, round(sum(pred - ref) / count(*), 6) AS bias FROM d GROUP BY ALL""")
-def k06(spark, sf_dir):
-    sums = kernels.sweep(_v(spark, sf_dir), [2, 3], 0.3, (D, H)).filter("method = 'linear'")
-    out = pooled(sums, ["t", "c", "factor", "phase"])
-    return out.select("t", "c", "factor", "phase", F.col("n").cast("long").alias("voxels"), F.round("nrmse", 6).alias("nrmse"), F.round("bias", 6).alias("bias"))
-
-
 # Pairs of bead images with a known map; an image counts here once it has its full number of beads.
 IMAGES_SQL = "WITH i AS (SELECT p_partkey // 200 AS image FROM part GROUP BY 1 HAVING count(*) = 200) "
 

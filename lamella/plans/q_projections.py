@@ -238,27 +238,6 @@ def a16(spark, sf_dir):
     return _mask(spark, sf_dir)[2].withColumn("v", F.round("v", 4))
 
 
-@query(
-    "a17_noise_fit",
-    V + """, d AS (SELECT t, c, v AS s, CAST(lead(v) OVER (PARTITION BY t, c, z, y ORDER BY x) - v AS DOUBLE) AS r FROM voxels)
-    SELECT t, c, round(greatest(regr_slope(r * r, s), 0), 4) AS gain, round(CASE WHEN regr_slope(r * r, s) >= 0 THEN regr_intercept(r * r, s) ELSE avg(r * r) END, 2) AS floor FROM d WHERE r IS NOT NULL GROUP BY t, c""",
-)
-def a17(spark, sf_dir):
-    rows = _v(spark, sf_dir).withColumn("r", F.lead("v").over(Window.partitionBy("t", "c", "z", "y").orderBy("x")) - F.col("v")).filter("r IS NOT NULL")
-    fit = ss.noise_fit(rows.select("t", "c", F.col("v").alias("signal"), "r"), ["t", "c"])
-    return fit.select("t", "c", F.round("gain", 4).alias("gain"), F.round("floor", 2).alias("floor"))
-
-
-@query(
-    "a18_noise_acceptance",
-    V + """, b AS (SELECT t, x // 5 AS band, stddev_samp(v) AS sigma FROM voxels GROUP BY ALL)
-    SELECT a.t, abs(a.sigma - b.sigma) <= 0.25 * b.sigma AS accepted FROM b a JOIN b ON a.t = b.t AND a.band = 0 AND b.band = 1""",
-)
-def a18(spark, sf_dir):
-    bands = _v(spark, sf_dir).groupBy("t", F.expr("x div 5").alias("band")).agg(F.stddev_samp("v").alias("sigma"))
-    return ss.bands_agree(bands, ["t"], 0.25)
-
-
 @query(
     "j08_compare_volumes",
     V + """ SELECT a.t, count(*) AS voxels, sum(abs(a.v - b.v)) AS absolute, max(abs(a.v - b.v)) AS worst

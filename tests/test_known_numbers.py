@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import model
-from lamella.operators import beads, kernels, project as pj, resample as rs, sampling_study as ss
+from lamella.operators import beads, kernels, project as pj, reconstruction as rc, resample as rs, sampling_study as ss
 
 VOXEL = "t long, c long, z long, y long, x long, v long"
 DEFAULTS = {
@@ -188,12 +188,12 @@ def test_kernels_do_not_depend_on_the_rows_present(spark):
     rows = [(0, 1, z, y, x, int(rng.randint(1, 500)) if z < 6 and y > 2 and x > 1 else 0) for z in range(8) for y in range(8) for x in range(6)]
     full = spark.createDataFrame(rows, VOXEL)
     part = full.filter("v > 0")
-    psf = np.ones((3, 3, 3))
+    psf, scan = np.ones((3, 3, 3)), rc.Scan(0.116, 0.265, 25.0, padding=4)
     for f in (
         lambda v: kernels.deconvolve(v, psf, (6, 8, 8), (4, 4, 4), rounds=2).filter("v > 1e-9"),
-        lambda v: kernels.reconstruct(v.filter("z % 2 = 0").withColumn("z", F.expr("z div 2")), 2, 0.3, (4, 8)).filter("x > 1"),
-        lambda v: kernels.noise_band(v.filter("x > 1"), 0.3, 0.2, (8, 8)),
-        lambda v: kernels.sweep(v.filter("x > 1"), [2], 0.3, (8, 8)),
+        lambda v: rc.reconstruct(v.filter("z % 2 = 0").withColumn("z", F.expr("z div 2")), scan.every(2), (4, 8)).filter("x > 1"),
+        lambda v: rc.noise_sums(v, scan, (8, 8), 0.3, {"z": (0, 7), "y": (0, 7), "x": (2, 5)}),
+        lambda v: rc.sweep(v.filter("x > 1"), scan, [2], (8, 8)),
     ):
         one, two = (sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in f(v).collect()) for v in (full, part))
         assert one == two

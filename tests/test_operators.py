@@ -98,15 +98,6 @@ def test_coverage_contains_every_sampled_cell():
                     assert p in cells and cells[p][0] <= math.floor(yr) and math.ceil(yr) <= cells[p][1]
 
 
-def test_reconstruction_of_a_band_limited_wave():
-    z, y = np.mgrid[0:65, 0:64]
-    dense = 100 + 10 * np.cos(2 * np.pi * (0.02 * z + 0.05 * y))
-    got = kernels.reconstruct_column(dense[::2], 2, 0.4)
-    inner = slice(12, 50)
-    assert got.shape == dense.shape
-    assert np.abs(got[inner, inner] - dense[inner, inner]).max() < 12
-
-
 def _turned(m, degrees, shift):
     a = math.radians(degrees)
     return m @ np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]]) + shift
