@@ -22,7 +22,7 @@ def _folder(spark) -> str:
 def _store(spark, sf_dir, voxels=None, chunk=8, whole=True, **options) -> str:
     """A new store of the voxels (channels from 0); without ``whole``, chunks without voxels stay absent."""
     voxels = views.voxels(spark, sf_dir) if voxels is None else voxels
-    spark.dataSource.register(ome_zarr.OmeZarr)
+    ome_zarr.register(spark)
     n = voxels.agg(*[(F.max(k) + 1).alias(k) for k in "tczyx"]).first()
     root = _folder(spark) + "/a.zarr"
     shifted = voxels.withColumn("c", F.col("c") - 1)
@@ -52,6 +52,13 @@ def s12(spark, sf_dir):
     return _whole(spark, _store(spark, sf_dir), box="2:6,3:9,0:7", channels="0")
 
 
+@query("s12_plain_filter", V + "SELECT t, c, z, y, x, v FROM voxels WHERE z BETWEEN 2 AND 5 AND y > 2 AND y <= 8 AND x IN (1, 4, 6) AND c = 2 AND t >= 1")
+def s12b(spark, sf_dir):
+    """Filters of a plain read choose the chunks; those on y, x and whole axes are not evaluated again."""
+    voxels = spark.read.format("ome_zarr_voxels").load(_store(spark, sf_dir, chunk=4))
+    return voxels.filter("z BETWEEN 2 AND 5 AND y > 2 AND y <= 8 AND x IN (1, 4, 6) AND c = 1 AND t >= 1").withColumn("c", F.col("c") + 1)
+
+
 @query("s17_store_round_trip", V + "SELECT t, c, z, y, x, v FROM voxels")
 def s17(spark, sf_dir):
     return _whole(spark, _store(spark, sf_dir))
@@ -89,7 +96,7 @@ def _projected(spark, sf_dir):
 
 @query("s20_region_export", V + "SELECT t - 1 AS t, CASE c WHEN 2 THEN 1 ELSE 2 END AS c, z - 2 AS z, y - 1 AS y, x - 4 AS x, v FROM voxels WHERE z BETWEEN 2 AND 4 AND y BETWEEN 1 AND 7 AND x BETWEEN 4 AND 9 AND t BETWEEN 1 AND 3")
 def s20(spark, sf_dir):
-    spark.dataSource.register(ome_zarr.OmeZarr)
+    ome_zarr.register(spark)
     box = vx.clamp_box(4, 1, 20, 7, 2, 4, 10, 10, 10)
     return _whole(spark, region_export(views.voxels(spark, sf_dir), _folder(spark) + "/r.zarr", box, [2, 1], (1, 3)))
 

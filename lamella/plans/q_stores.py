@@ -95,6 +95,22 @@ def r11(spark, sf_dir):
     return found.select("committed", F.col("shape")[0].cast("int").alias("times"))
 
 
+@query("r11_stream_sink", V + "SELECT t, c, z, y, x, v FROM voxels")
+def r11b(spark, sf_dir):
+    """Planes arrive in eight files, one a batch; the store's stream sink commits the time points as they become whole."""
+    from lamella.streaming.sources import files_as_stream
+
+    ome_zarr.register(spark)
+    v = views.voxels(spark, sf_dir).withColumn("c", F.col("c") - 1)
+    n = v.agg(*[(F.max(k) + 1).alias(k) for k in "tcz"]).first()
+    folder, root = _folder(spark), _folder(spark) + "/stream.zarr"
+    vx.to_planes(v, 10, 10).repartition(8, "t", "c", "z").write.parquet(folder)
+    chunks = ome_zarr.plane_chunks(files_as_stream(spark, folder, files_per_trigger=1), 8)
+    sink = chunks.writeStream.format("ome_zarr").options(path=root, shape=f"{n['t']},{n['c']},{n['z']},10,10", chunk=8, run="all", checkpointLocation=jobs.shared_folder(spark))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return _whole(spark, root)
+
+
 @query("r12_recovered_store", V + "SELECT t, c, z, y, x, v FROM voxels WHERE t < (SELECT max(t) FROM voxels)")
 def r12(spark, sf_dir):
     return _whole(spark, _halted(spark, sf_dir))
@@ -169,7 +185,7 @@ def x10(spark, sf_dir):
     """Whole captures leave the stream, are deskewed once and appended to a store with their projections; the store is read back."""
     from lamella.streaming.sources import files_as_stream
 
-    spark.dataSource.register(ome_zarr.OmeZarr)
+    ome_zarr.register(spark)
     events = files_as_stream(spark, f"{sf_dir}/events.parquet")
     arrivals = events.filter("event_id % 1000 = 0").select(F.lit(1).cast("long").alias("position"), F.expr("event_id div 2000").alias("time_id"), F.expr("(event_id div 1000) % 2 + 1").alias("channel"))
     ready = state.complete_groups(arrivals, [1, 2]).filter("status = 'complete'").select(F.col("time_id").alias("t"))

@@ -3,6 +3,9 @@
 Read:  ``spark.read.format("ome_zarr").option("box", "z0:z1,y0:y1,x0:x1").load(root)``
 Write: ``chunks.write.format("ome_zarr").option("shape", "t,c,z,y,x").mode("append").save(root)``
 Both take ``projection`` (such as ``maxZ``) for the 4-D array [t,c,y,x] of that name.
+Voxels: ``spark.read.format("ome_zarr_voxels").load(root).filter("z < 5 AND y BETWEEN 3 AND 8")`` has a row a voxel;
+plain filters on t, c, z, y and x choose the chunks that are opened. ``register`` makes both known to a session.
+Stream: ``plane_chunks(planes).writeStream.format("ome_zarr")``, with ``shape`` as above; each batch commits what it made whole.
 
 A read lists no directories: the metadata gives the chunk grid, the box prunes it, and
 each partition opens only its own chunk files (an absent chunk is zero). Writes are
@@ -28,7 +31,10 @@ from math import ceil, prod
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 # Fixed values of the store format.
 CHUNK_XY, GZIP_LEVEL = 512, 1
@@ -145,38 +151,83 @@ class StoreReader(DataSourceReader):
         wanted = options.get("channels", "")
         self.channels = [int(c) for c in wanted.split(",")] if wanted else range(self.shape[1])
         self.box = _box(options.get("box", ""), self.shape)
+        self.planes = range(*self.box[0])
 
     def _axes(self):
-        (z0, z1), (y0, y1), (x0, x1) = self.box
+        _, (y0, y1), (x0, x1) = self.box
         ch, cw = self.chunks[3:]
-        return [self.times, self.channels, range(z0, z1), range(y0 // ch, ceil(y1 / ch)), range(x0 // cw, ceil(x1 / cw))]
+        return [self.times, self.channels, self.planes, range(y0 // ch, ceil(y1 / ch)), range(x0 // cw, ceil(x1 / cw))]
 
     def partitions(self):
         n = prod(len(a) for a in self._axes())
         return [ChunkRange(i, min(i + CHUNKS_PER_TASK, n)) for i in range(0, n, CHUNKS_PER_TASK)] or [ChunkRange(0, 0)]
 
-    def read(self, partition):
-        import pyarrow as pa
-
-        (_, _), (y0, y1), (x0, x1) = self.box
+    def _blocks(self, first, last):
+        """(t, c, z, top, left, pixels) of the chunks at places first to last - 1, cut to the box."""
+        _, (y0, y1), (x0, x1) = self.box
         ch, cw = self.chunks[3:]
         axes = self._axes()
         sizes = [len(a) for a in axes]
+        for i in range(first, last):
+            t, c, z, cy, cx = (a[int(k)] for a, k in zip(axes, np.unravel_index(i, sizes)))
+            name = f"{t}.{c}.{cy}.{cx}" if self.projection else f"{t}.{c}.{z}.{cy}.{cx}"
+            block = _read_chunk(os.path.join(self.root, self.array, name), ch, cw)
+            top, left = max(y0, cy * ch), max(x0, cx * cw)
+            low, right = min(y1, (cy + 1) * ch, self.shape[3]), min(x1, (cx + 1) * cw, self.shape[4])
+            yield t, c, z, top, left, block[top - cy * ch : low - cy * ch, left - cx * cw : right - cx * cw].astype(np.int32)
+
+    def read(self, partition):
+        import pyarrow as pa
+
         for start in range(partition.first, partition.last, CHUNKS_PER_BATCH):
             rows, pixels = [], []
-            for i in range(start, min(start + CHUNKS_PER_BATCH, partition.last)):
-                t, c, z, cy, cx = (a[int(k)] for a, k in zip(axes, np.unravel_index(i, sizes)))
-                name = f"{t}.{c}.{cy}.{cx}" if self.projection else f"{t}.{c}.{z}.{cy}.{cx}"
-                block = _read_chunk(os.path.join(self.root, self.array, name), ch, cw)
-                top, left = max(y0, cy * ch), max(x0, cx * cw)
-                low, right = min(y1, (cy + 1) * ch, self.shape[3]), min(x1, (cx + 1) * cw, self.shape[4])
-                pixels.append(block[top - cy * ch : low - cy * ch, left - cx * cw : right - cx * cw].ravel().astype(np.int32))
-                rows.append((t, c, z, top, left, low - top, right - left))
+            for *place, block in self._blocks(start, min(start + CHUNKS_PER_BATCH, partition.last)):
+                pixels.append(block.ravel())
+                rows.append((*place, *block.shape))
             columns = [pa.array(np.array(x, np.int32)) for x in zip(*rows)]
             ends = np.cumsum([0, *(len(p) for p in pixels)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pixels)))], [f.split()[0] for f in SCHEMA.split(", ")])
 
 
+VOXELS = "t int, c int, z int, y int, x int, v int"
+
+
+def _holds(f, n: int) -> bool:
+    """Whether a number meets a pushed filter."""
+    if isinstance(f, In):
+        return n in f.value
+    tests = {EqualTo: n == f.value, GreaterThan: n > f.value, GreaterThanOrEqual: n >= f.value, LessThan: n < f.value, LessThanOrEqual: n <= f.value}
+    return tests[type(f)]
+
+
+class VoxelReader(StoreReader):
+    """Voxels of the chunks that plain filters on t, c, z, y and x leave, a chunk a batch."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            if name not in ("t", "c", "z", "y", "x") or type(f) not in (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual):
+                yield f
+            elif name in ("y", "x"):
+                axis = 1 if name == "y" else 2
+                own = [n for n in range(*self.box[axis]) if _holds(f, n)]
+                self.box[axis] = (own[0], own[-1] + 1) if own else (0, 0)
+                if own and len(own) != own[-1] + 1 - own[0]:
+                    yield f  # a list with gaps narrows the box, Spark does the rest
+            else:
+                key = {"t": "times", "c": "channels", "z": "planes"}[name]
+                setattr(self, key, [n for n in getattr(self, key) if _holds(f, n)])
+
+    def read(self, partition):
+        import pyarrow as pa
+
+        for t, c, z, top, left, block in self._blocks(partition.first, partition.last):
+            y, x = np.indices(block.shape, dtype=np.int32)
+            own = [np.full(block.size, k, np.int32) for k in (t, c, z)]
+            columns = [*own, y.ravel() + np.int32(top), x.ravel() + np.int32(left), block.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(k) for k in columns], [f.split()[0] for f in VOXELS.split(", ")])
+
+
 def _read_chunk(path: str, ch: int, cw: int) -> np.ndarray:
     if not os.path.exists(path):
         return np.zeros((ch, cw), "<u2")
@@ -202,6 +253,7 @@ class StoreWriter(DataSourceWriter):
         self.scale = json.loads(options.get("scale", "null"))
         self.complete = options.get("complete", "false") == "true"
         self.time_labels = json.loads(options.get("time_labels", "null"))
+        self.batch = None  # (run, number) of a stream
         self.before, self.overwrite, self.target = 0, overwrite, f"projections/{self.projection}" if self.projection else "s0"
         existing = os.path.exists(os.path.join(self.root, self.target, ".zarray"))
         if os.path.exists(os.path.join(self.root, "s0", ".zarray")) and not (overwrite and not self.projection):
@@ -259,7 +311,7 @@ class StoreWriter(DataSourceWriter):
                 counts[t] = counts.get(t, 0) + n
         names = attrs.get(PROJECTIONS, {}).get("available", [])
         committed = self.before
-        while committed in counts and self._whole(committed, counts[committed], names):
+        while (committed in counts or self.batch) and self._whole(committed, counts.get(committed, 0), names):
             committed += 1
         for name in names:
             held = _load(os.path.join(self.root, "projections", name, ".zarray"))
@@ -290,6 +342,8 @@ class StoreWriter(DataSourceWriter):
         state = attrs.setdefault(STATE, {})
         known = state.get("timePointLabels", [])[: self.before]
         fresh = self.time_labels or [f"t{k:06d}" for k in range(len(known), committed)]
+        if self.batch:
+            state.setdefault("batches", {})[self.batch[0]] = self.batch[1]
         state |= {"status": "complete" if self.complete else "writing", "committedTimepoints": committed, "timePointLabels": (known + fresh)[:committed]}
 
     def _index(self, attrs):
@@ -325,6 +379,34 @@ class StoreWriter(DataSourceWriter):
         """Staged chunks stay invisible beyond the committed count and are overwritten by the next try."""
 
 
+class StoreStreamWriter(DataSourceStreamWriter):
+    """Batches of chunk rows; each commit advances the count over the time points that are whole by then.
+
+    A batch that failed has left chunks beyond the committed count, and when it is run again it writes the same
+    files: nothing is there twice. The last committed batch is noted, so telling it again changes nothing.
+    """
+
+    def __init__(self, options):
+        self.options = options
+        self.writer = StoreWriter(options, False)
+
+    def write(self, iterator):
+        return self.writer.write(iterator)
+
+    def commit(self, messages, batchId):
+        root, run = self.options["path"], self.options.get("run", "")
+        attributes = os.path.join(root, ".zattrs")
+        held = (_load(attributes) if os.path.exists(attributes) else {}).get(STATE, {}).get("batches", {})
+        if batchId <= held.get(run, -1):
+            return
+        writer = StoreWriter(self.options, False)  # with the count as it is now
+        writer.batch = run, batchId
+        writer.commit(messages)
+
+    def abort(self, messages, batchId):
+        """Chunks of the failed batch are invisible; the next try overwrites them."""
+
+
 class OmeZarr(DataSource):
     @classmethod
     def name(cls):
@@ -339,6 +421,28 @@ class OmeZarr(DataSource):
     def writer(self, schema, overwrite):
         return StoreWriter(self.options, overwrite)
 
+    def streamWriter(self, schema, overwrite):
+        return StoreStreamWriter(self.options)
+
+
+class OmeZarrVoxels(DataSource):
+    @classmethod
+    def name(cls):
+        return "ome_zarr_voxels"
+
+    def schema(self):
+        return VOXELS
+
+    def reader(self, schema):
+        return VoxelReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the store's formats known to a session and let it hand them filters."""
+    spark.dataSource.register(OmeZarr)
+    spark.dataSource.register(OmeZarrVoxels)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
 
 def to_chunks(voxels: DataFrame, chunk: int = CHUNK_XY, extents: tuple[int, int, int] | None = None) -> DataFrame:
     """Voxels as chunk rows (t, c, z, cy, cx, h, w, data): gathered in the JVM, packed a batch at a time.
@@ -346,32 +450,58 @@ def to_chunks(voxels: DataFrame, chunk: int = CHUNK_XY, extents: tuple[int, int,
     With ``extents`` (width, height, depth) every chunk of every (t, c) has a row, also one without voxels,
     so that a volume with empty regions is whole.
     """
-    cell = F.struct((F.col("y") % chunk).cast("int").alias("y"), (F.col("x") % chunk).cast("int").alias("x"), F.col("v").cast("int").alias("v"))
+    # A voxel is one number, its place in the chunk over its 16 bits: a chunk is gathered as one array of longs.
+    inner = {a: (F.col(a) % chunk).cast("int") for a in "yx"}
+    packed = (inner["y"].cast("long") * chunk + inner["x"]) * 65536 + F.col("v").cast("long").bitwiseAND(F.lit(65535))
     key = [F.col(k).cast("int").alias(k) for k in "tcz"] + [F.floor(F.col(a) / chunk).cast("int").alias(f"c{a}") for a in "yx"]
-    rows = voxels.select(*key, cell.alias("p"))
+    rows = voxels.select(*key, inner["y"].alias("y"), inner["x"].alias("x"), packed.alias("p"))
     if extents:
         width, height, depth = extents
         grid = voxels.select(F.col("t").cast("int").alias("t"), F.col("c").cast("int").alias("c")).distinct()
         for k, n in (("z", depth), ("cy", ceil(height / chunk)), ("cx", ceil(width / chunk))):
             grid = grid.withColumn(k, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        rows = rows.union(grid.select("t", "c", "z", "cy", "cx", F.lit(None).cast(rows.schema["p"].dataType).alias("p")))
-    cells = rows.groupBy("t", "c", "z", "cy", "cx").agg(F.collect_list("p").alias("p"), F.max("p.y").alias("h"), F.max("p.x").alias("w"))
-    rows = cells.select("t", "c", "z", "cy", "cx", (F.coalesce("h", F.lit(0)) + 1).alias("h"), (F.coalesce("w", F.lit(0)) + 1).alias("w"), "p.y", "p.x", "p.v")
+        rows = rows.union(grid.select("t", "c", "z", "cy", "cx", *[F.lit(None).cast(k).alias(n) for n, k in (("y", "int"), ("x", "int"), ("p", "long"))]))
+    cells = rows.groupBy("t", "c", "z", "cy", "cx").agg(F.collect_list("p").alias("p"), F.max("y").alias("h"), F.max("x").alias("w"))
+    rows = cells.select("t", "c", "z", "cy", "cx", (F.coalesce("h", F.lit(0)) + 1).alias("h"), (F.coalesce("w", F.lit(0)) + 1).alias("w"), "p")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             data = []
-            for h, w, y, x, v in zip(*(batch.column(k) for k in ("h", "w", "y", "x", "v"))):
+            for h, w, p in zip(*(batch.column(k) for k in ("h", "w", "p"))):
                 block = np.zeros((h.as_py(), w.as_py()), "<u2")
-                block[y.values.to_numpy(), x.values.to_numpy()] = v.values.to_numpy()
+                packed = p.values.to_numpy()
+                place = packed >> 16
+                block[place // chunk, place % chunk] = packed & 65535
                 data.append(block.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(data, pa.binary())], [*batch.schema.names[:7], "data"])
 
     return rows.mapInArrow(run, "t int, c int, z int, cy int, cx int, h int, w int, data binary")
 
 
+def plane_chunks(planes: DataFrame, chunk: int = CHUNK_XY) -> DataFrame:
+    """Planes (t, c, z, width, height, px) cut into chunk rows: a plane at a time, without state, so streams can be written."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for t, c, z, width, height, px in zip(*(batch.column(k) for k in ("t", "c", "z", "width", "height", "px"))):
+                w, h = width.as_py(), height.as_py()
+                image = np.asarray(px.values.to_numpy(zero_copy_only=False)).astype("<u2").reshape(h, w)
+                for cy in range(ceil(h / chunk)):
+                    for cx in range(ceil(w / chunk)):
+                        block = image[cy * chunk : (cy + 1) * chunk, cx * chunk : (cx + 1) * chunk]
+                        out.append((t.as_py(), c.as_py(), z.as_py(), cy, cx, *block.shape, block.tobytes()))
+            columns = list(zip(*out)) if out else [[]] * 8
+            kinds = [pa.int32()] * 7 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["t", "c", "z", "cy", "cx", "h", "w", "data"])
+
+    return planes.select("t", "c", "z", "width", "height", "px").mapInArrow(run, "t int, c int, z int, cy int, cx int, h int, w int, data binary")
+
+
 def projection_chunks(pixels: DataFrame, chunk: int = CHUNK_XY) -> DataFrame:
     """Projection pixels (t, c, h, w, v) as chunk rows of a projection array."""
     return to_chunks(pixels.select("t", "c", F.lit(0).alias("z"), F.col("h").alias("y"), F.col("w").alias("x"), "v"), chunk)
