@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from lamella.sources.ome_zarr import _load, _save, metadata
+from lamella.streaming.jobs import shared_folder
 
 
 class FolderReader(SimpleDataSourceStreamReader):
@@ -128,3 +129,16 @@ def files_as_stream(spark: SparkSession, path: str, files_per_trigger: int | Non
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def replayed(rows: DataFrame, order: str, batches: int) -> DataFrame:
+    """A table as a stream of several batches, in the order of a column: its ranges are written one after the other."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
+    value = F.col(order).cast("timestamp").cast("double") if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
+    ends = rows.select(value.alias("at")).approxQuantile("at", [k / batches for k in range(1, batches)], 0.001) if batches > 1 else []
+    part = F.lit(0)
+    for e in ends:
+        part = part + (value > e).cast("int")
+    for k in range(batches):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CHANNELS = 16  # most channels of a layout
@@ -40,9 +41,14 @@ def complete_groups(files: DataFrame, required: list[int], ts: str | None = None
     return groups.select("position", "time_id", status.alias("status")).filter("status IS NOT NULL")
 
 
-def depth_state(planes: Column, expected: Column) -> Column:
-    """State by plane count: fewer than named are incomplete, more are a failure, an unnamed count stays unverified."""
-    return F.when(expected.isNull(), "DEPTH_UNVERIFIED").when(planes < expected, "INCOMPLETE").when(planes > expected, "FAILED").otherwise("COMPLETE")
+def depth_state(planes: Column, expected: Column, from_folder: Column | None = None) -> Column:
+    """State by plane count: fewer than expected are incomplete, an unknown count stays unverified.
+
+    More planes than the name says are a failure; more than the folder's file says only show that the
+    file does not describe this volume, which stays unverified.
+    """
+    more = F.when(F.coalesce(from_folder, F.lit(False)), "DEPTH_UNVERIFIED").otherwise("FAILED") if from_folder is not None else F.lit("FAILED")
+    return F.when(expected.isNull(), "DEPTH_UNVERIFIED").when(planes < expected, "INCOMPLETE").when(planes > expected, more).otherwise("COMPLETE")
 
 
 def shown(files: DataFrame, allow_unverified: bool = False) -> DataFrame:
@@ -50,37 +56,60 @@ def shown(files: DataFrame, allow_unverified: bool = False) -> DataFrame:
     return files if allow_unverified else files.filter(~(F.col("arrived") & (F.col("state") == "DEPTH_UNVERIFIED")))
 
 
-def next_state(known: tuple | None, size: int, mtime: int, planes: int | None, expected: int | None) -> tuple[str, str]:
-    """State of a file after an observation, and why.
+def checked(planes: int | None, expected: int | None, from_folder: bool = False, problem: str | None = None, unsupported: str | None = None, changed: bool = False) -> tuple[str, str]:
+    """State of a quiet file by its check, and why.
 
-    ``known`` is (size, mtime, state). A file is pending until two looks agree, then its
-    depth is checked: fewer planes than named are incomplete, more are a failure, and an
-    unnamed depth stays unverified. A later difference is a new version.
+    ``problem`` is what its name is refused for, ``unsupported`` what its layout is; ``planes`` is unknown
+    where the structure is not complete. A file that changed meanwhile has not been checked.
     """
-    if size < 0:
-        return "REMOVED", "the file is gone"
-    if known is None or known[2] == "REMOVED":
-        return "PENDING", "seen"
-    if (known[0], known[1]) != (size, mtime):
-        return ("CHANGED", "size or time changed") if known[2] in ("COMPLETE", "DEPTH_UNVERIFIED", "FAILED") else ("PENDING", "still growing")
+    if changed:
+        return "INCOMPLETE", "changed while it was checked"
+    if problem:
+        return "FAILED", problem
     if planes is None:
         return "INCOMPLETE", "structure is incomplete"
+    if unsupported:
+        return "FAILED", f"unsupported layout: {unsupported}"
     if expected is None:
         return "DEPTH_UNVERIFIED", "no plane count is known"
     if planes < expected:
         return "INCOMPLETE", f"{planes} of {expected} planes"
     if planes > expected:
-        return "FAILED", f"{planes} planes, {expected} named"
+        return ("DEPTH_UNVERIFIED", f"{planes} planes, the folder says {expected}") if from_folder else ("FAILED", f"{planes} planes, {expected} named")
     return "COMPLETE", "quiet and complete"
 
 
+def next_state(known: tuple | None, size: int, mtime: int, planes: int | None, expected: int | None, **more) -> tuple[str, str]:
+    """State of a file after an observation, and why.
+
+    ``known`` is (size, mtime, state). A file is pending until two looks agree, then it is
+    ``checked``. A later difference is a new version.
+    """
+    if size < 0:
+        return "REMOVED", "the file is gone"
+    if known is None or known[2] == "REMOVED":
+        return "PENDING", "seen"
+    if (known[0], known[1]) != (size, mtime):
+        return ("CHANGED", "size or time changed") if known[2] in ("COMPLETE", "DEPTH_UNVERIFIED", "FAILED") else ("PENDING", "still growing")
+    return checked(planes, expected, **more)
+
+
+# What a look may say besides, and what holds where it does not.
+CHECK = {"from_folder": "boolean", "problem": "string", "unsupported": "string", "size_after": "long", "mtime_after": "long"}
+
+
 def file_states(looks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """State transitions of every path from looks (path, seq, size, mtime, planes, expected).
 
-    Rows: path, seq, state, reason; update mode, because a finished file may change. With a
-    timeout, a file that is not looked at again in time is given up as failed; timers keep a
-    stream running, so a stream that is to end takes none.
+    A look may also say whether ``expected`` comes ``from_folder``, a ``problem`` of the name, an ``unsupported``
+    layout, and ``size_after, mtime_after`` of the file after it was checked. Rows: path, seq, state,
+    reason; update mode, because a finished file may change. With a timeout, a file that is not
+    looked at again in time is given up as failed; timers keep a stream running, so a stream that
+    is to end takes none.
     """
+    for name, kind in CHECK.items():
+        if name not in looks.columns:
+            looks = looks.withColumn(name, F.lit(None).cast(kind))
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
         out = []
@@ -91,11 +120,16 @@ def file_states(looks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
             state.remove()
         else:
             for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-                optional = [None if pd.isna(x) else int(x) for x in (r.planes, r.expected)]
-                now, why = next_state(known, int(r.size), int(r.mtime), *optional)
+                given = lambda x: None if pd.isna(x) else x
+                whole = lambda x: None if pd.isna(x) else int(x)
+                after = (r.size if pd.isna(r.size_after) else int(r.size_after), r.mtime if pd.isna(r.mtime_after) else int(r.mtime_after))
+                changed = after != (r.size, r.mtime)
+                now, why = next_state(
+                    known, int(r.size), int(r.mtime), whole(r.planes), whole(r.expected), from_folder=bool(given(r.from_folder)), problem=given(r.problem), unsupported=given(r.unsupported), changed=changed
+                )
                 if known is None or now != known[2]:
                     out.append((key[0], int(r.seq), now, why))
-                known = (int(r.size), int(r.mtime), now)
+                known = (*(map(int, after) if changed and now == "INCOMPLETE" else (int(r.size), int(r.mtime))), now)
             if known[2] == "REMOVED":
                 state.remove()  # a file that comes back begins anew
             else:
@@ -109,6 +143,84 @@ def file_states(looks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     )
 
 
+class _Gate(StatefulProcessor):
+    """Readiness of one path; times are milliseconds."""
+
+    def __init__(self, quiet: int, timeout: int):
+        self.quiet, self.timeout = quiet, timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turn = handle.getValueState("turn", "size long, mtime long, since long, first long, done boolean")
+
+    def _forget_timers(self):
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+
+    def handleInputRows(self, key, rows, timerValues):
+        looks = pd.concat(list(rows)).sort_values("at")
+        turn = tuple(self.turn.get()) if self.turn.exists() else None
+        before, out = turn, []
+        for r in looks.itertuples():
+            at, seen = int(r.at), (int(r.size), int(r.mtime))
+            if turn and not turn[4] and at > turn[3] + self.timeout:
+                out.append((key[0], turn[3] + self.timeout, "TIMEOUT", turn[0]))
+                turn = (*turn[:4], True)
+            if seen[0] < 0:
+                if turn:
+                    out.append((key[0], at, "GONE", turn[0]))
+                turn = None
+            elif turn is None or (turn[4] and turn[:2] != seen):
+                turn = (*seen, at, at, False)  # a new version, with a turn of its own
+            elif turn[4]:
+                continue
+            elif turn[:2] != seen:
+                turn = (*seen, at, turn[3], False)
+            elif at - turn[2] >= self.quiet and r.structure:
+                after = (int(r.size_after), int(r.mtime_after))
+                if after != seen:
+                    turn = (*after, at, turn[3], False)  # changed while it was checked
+                else:
+                    out.append((key[0], at, "READY", turn[0]))
+                    turn = (*turn[:4], True)
+        if turn is None:
+            self.turn.clear()
+        else:
+            self.turn.update(turn)
+        if turn != before:
+            self._forget_timers()
+            if turn and not turn[4]:
+                self.handle.registerTimer(turn[3] + self.timeout)
+        yield pd.DataFrame(out, columns=["path", "at", "outcome", "size"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        out = []
+        if self.turn.exists():
+            turn = tuple(self.turn.get())
+            if not turn[4]:
+                out.append((key[0], turn[3] + self.timeout, "TIMEOUT", turn[0]))
+                self.turn.update((*turn[:4], True))
+        yield pd.DataFrame(out, columns=["path", "at", "outcome", "size"])
+
+    def close(self) -> None:
+        pass
+
+
+def readiness(looks: DataFrame, ts: str, quiet_ms: int, timeout_ms: int, late: str) -> DataFrame:
+    """``path, at, outcome, size``: when a file became READY, ran into its TIMEOUT or is GONE.
+
+    Looks: path, ``ts``, size (-1: no file), mtime, structure (its directories were read and are complete),
+    size_after, mtime_after (taken after that). A file is ready once it has been unchanged for ``quiet_ms``, its
+    structure is complete and it is still the same after the check. A turn ends ``timeout_ms`` after the
+    first look at a version, by an event-time timer where no look comes; a file that changes later has a
+    turn of its own. ``at`` is in milliseconds; looks of a path are expected in order, within ``late``.
+    """
+    at = F.unix_millis(F.col(ts).cast("timestamp"))
+    rows = looks.withWatermark(ts, late).select("path", ts, at.alias("at"), "size", "mtime", "structure", "size_after", "mtime_after")
+    looks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy("path").transformWithStateInPandas(_Gate(quiet_ms, timeout_ms), "path string, at long, outcome string, size long", "append", "EventTime")
+
+
 def layout_of(names: list[tuple[int | None, int | None]], quiet: bool) -> tuple[str, list[int]] | None:
     """Layout decided by (time, channel) tokens in order of arrival, or None while more is needed.
 
