@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "version int, pixel double, step double, angle double, sources array<array<string>>, matrices map<string,array<array<double>>>"
+SCHEMA = "version int, pixel double, step double, angle double, voxel array<double>, sources array<array<string>>, matrices map<string,array<array<double>>>"
 VERSIONS = (1, 2)
 
 
@@ -26,9 +26,21 @@ def parse(text: Column) -> Column:
     return F.when(record["version"].isin(*VERSIONS), record)
 
 
-def voxel_size(record: Column, legacy_pixel: Column) -> Column:
-    """Version 1 wrote the step where the deskewed pitch belongs; the pixel pitch replaces it."""
-    return F.when((record["version"] == 1) & (record["pixel"] == record["step"]), legacy_pixel).otherwise(record["pixel"])
+def _near(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
+
+
+def legacy_voxels(record: Column) -> Column:
+    """Whether a record has the voxel pitches (x, y, z) that old writers gave a deskewed volume: pixel, pixel cos, step sin of the angle."""
+    (x, y, z), a = [F.get(record["voxel"], F.lit(k)) for k in range(3)], F.radians(record["angle"])
+    old = _near(x, record["pixel"]) & _near(y, record["pixel"] * F.cos(a)) & _near(z, record["step"] * F.sin(a))
+    return F.coalesce((F.size(record["voxel"]) >= 3) & (record["pixel"] > 0) & old, F.lit(False))
+
+
+def voxel_size(record: Column) -> Column:
+    """Pitches (x, y, z) of a deskewed volume: its grid has the pixel's pitch on all axes, so legacy ones are replaced; NULL where none are recorded."""
+    held = F.when(F.size(record["voxel"]) >= 3, record["voxel"])
+    return F.when(legacy_voxels(record), F.array(*[record["pixel"]] * 3)).otherwise(held)
 
 
 def environment(spark: SparkSession) -> dict[str, Column]:

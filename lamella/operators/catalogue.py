@@ -185,7 +185,9 @@ def placements(sources: DataFrame, matrices: DataFrame, flip_left: bool, half_wi
         # The frame is the right half of the reference's own channel; the bare matrix is a right half's, too.
         reference = own.filter("is_reference").select(F.regexp_extract("source", "^_Channel([0-9]+)", 1).cast("int").alias("channel"))
         anchor = own.join(reference.withColumn("key", F.concat(F.format_string("_Channel%04d", "channel"), F.lit("-right"))).select("key"), F.col("source") == F.col("key")).select(*six)
-        frame = anchor.union(matrices.filter("source IS NULL").select(*six)).limit(1).select(*[F.col(k).alias(f"a_{k}") for k in six])
+        # The named one goes before the bare one, wherever their rows lie.
+        both = anchor.withColumn("bare", F.lit(1)).union(matrices.filter("source IS NULL").select(*six, F.lit(2)))
+        frame = both.agg(F.min(F.struct("bare", *six)).alias("first")).filter("first IS NOT NULL").select(*[F.col(f"first.{k}").alias(f"a_{k}") for k in six])
         rows = placed.join(frame, F.lit(True), "left")  # one row at most
         f = mx.mirror_x(F.lit(float(half_width)))
         m = [F.coalesce(F.col(k), F.lit(d)) for k, d in zip(six, one)]

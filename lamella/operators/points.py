@@ -50,15 +50,17 @@ def brightest(points: DataFrame, n: int) -> DataFrame:
 
 
 def shift_votes(fixed: DataFrame, moving: DataFrame, limit_x: float, limit_y: float, top: int = 300, bin_size: float = 2.0) -> DataFrame:
-    """Votes of all pairs of the brightest spots for a bounded shift, most votes first.
+    """``dx, dy, votes`` of all pairs of the brightest spots for a bounded shift in bins of ``bin_size`` pixels.
 
+    Differences are rounded to whole pixels before they are bounded, and these to bins, halves up.
     Both sides hold at most ``top`` rows by definition, so the pairing is bounded.
     """
     a = brightest(fixed, top).select(F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = brightest(moving, top).select(F.col("x").alias("bx"), F.col("y").alias("by"))
-    moves = a.crossJoin(b).select((F.col("ax") - F.col("bx")).alias("dx"), (F.col("ay") - F.col("by")).alias("dy"))
+    moves = a.crossJoin(b).select(F.floor(F.col("ax") - F.col("bx") + 0.5).alias("dx"), F.floor(F.col("ay") - F.col("by") + 0.5).alias("dy"))
     near = moves.filter((F.abs("dx") <= limit_x) & (F.abs("dy") <= limit_y))
-    return near.groupBy(F.floor(F.col("dx") / bin_size).alias("bin_x"), F.floor(F.col("dy") / bin_size).alias("bin_y")).agg(F.count(F.lit(1)).alias("votes"))
+    binned = {k: (F.floor(F.col(k) / bin_size + 0.5) * bin_size).cast("long") for k in ("dx", "dy")}
+    return near.groupBy(*[c.alias(k) for k, c in binned.items()]).agg(F.count(F.lit(1)).alias("votes"))
 
 
 def isolated(points: DataFrame, radii: dict[str, float]) -> DataFrame:

@@ -127,6 +127,44 @@ def median_mad(voxels: DataFrame, keys: list[str]) -> DataFrame:
     return spread.select(*keys, "median", (F.col("mad") * 1.4826).alias("sigma"))
 
 
+def _upper_median(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, median``: the order statistic n // 2 (from 0) of a histogram (keys, value, n)."""
+    up_to = F.sum("n").over(Window.partitionBy(*keys).orderBy(value))
+    placed = counts.select(*keys, value, up_to.alias("_up"), F.sum("n").over(Window.partitionBy(*keys)).alias("_n"))
+    return placed.filter(F.col("_up") > F.floor(F.col("_n") / 2)).groupBy(*keys).agg(F.min(value).alias("median"))
+
+
+def order_median_mad(voxels: DataFrame, keys: list[str], scale: float = 1 / 0.6744897501960817) -> DataFrame:
+    """``keys, median, sigma`` by order statistics: of n values the one at n // 2, no mean of two; sigma is scale * that of the distances from it.
+
+    Both come from histograms, so windows sort distinct values and not voxels.
+    """
+    counts = histogram(voxels, keys)
+    middle = _upper_median(counts, keys, "v")
+    apart = counts.join(middle, keys).groupBy(*keys, "median", F.abs(F.col("v") - F.col("median")).alias("d")).agg(F.sum("n").alias("n"))
+    spread = _upper_median(apart.select(*keys, "d", "n"), keys, "d").withColumnRenamed("median", "mad")
+    return middle.join(spread, keys).select(*keys, "median", (F.col("mad") * scale).alias("sigma"))
+
+
+LEAST_ROI = 64
+
+
+def roi_background(voxels: DataFrame, keys: list[str], box: tuple[int, int, int, int], width: int, height: int) -> DataFrame:
+    """``keys, median, sigma`` of the region (x, y, w, h) of planes, by order statistics.
+
+    A region of fewer than 64 pixels or outside the image is refused; a plane with a value in it that
+    is not finite has no estimate.
+    """
+    x, y, w, h = box
+    if w * h < LEAST_ROI:
+        raise ValueError(f"a background region has {LEAST_ROI} pixels at least")
+    if min(x, y) < 0 or x + w > width or y + h > height:
+        raise ValueError("the background region lies outside the image")
+    inner = voxels.filter(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1)).withColumn("v", F.col("v").cast("double"))
+    spoiled = inner.filter(F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))).select(*keys).distinct()
+    return order_median_mad(inner.join(spoiled, keys, "left_anti"), keys)
+
+
 def plane_digests(voxels: DataFrame, top: int) -> DataFrame:
     """Content hash of a volume as a hash of its planes' hashes, and its saturated voxels."""
     pixels = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"].cast("string")), ",")

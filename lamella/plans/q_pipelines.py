@@ -92,7 +92,7 @@ def x12(spark, sf_dir):
     shift = [F.lit(v) for v in (1.0, 0.0, 3.0, 0.0, 1.0, -1.0)]
     found = al.calibrate(*bead_pairs(spark, sf_dir), ["image"], adjust=shift)
     al.saved_set(found.filter("method = 'beads'"), folder, nm.source_key(F.col("image"), F.lit("right")))
-    lines = spark.read.text(folder).select(F.lit("set").alias("path"), F.col("value").alias("line"))
+    lines = spark.read.text(folder).select(F.lit("set").alias("path"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
     got = text.alignments(lines)
     return got.select("source", F.round("m00", 4).alias("m00"), F.round("m02").cast("long").alias("m02"), F.round("m12").cast("long").alias("m12"))
 
@@ -113,9 +113,12 @@ def p31(spark, sf_dir):
     return o.select("id", F.round(r["pixel"], 6).alias("pixel"), F.when(r.isNotNull(), F.array_join(kept, ",")).alias("sources"))
 
 
-@query("h13_provenance_voxel", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 0.116 ELSE 0.265 END AS voxel FROM orders")
+# Recorded pitches: of the pixel, as old writers gave them, anisotropic on purpose (not quite the old ones), none.
+@query("h13_provenance_voxel", """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '0.116,0.116,0.116' WHEN 1 THEN '0.116,0.116,0.116' WHEN 2 THEN '0.116,0.105,0.112' END AS voxel, o_orderkey % 4 = 1 AS legacy FROM orders""")
 def h13(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(
-        F.expr("CAST(o_orderkey % 2 + 1 AS INT)").alias("version"), F.lit(0.265).alias("pixel"), F.lit(0.265).alias("step"),
+        F.lit(2).alias("version"), F.lit(0.116).alias("pixel"), F.lit(0.265).alias("step"), F.lit(25.0).alias("angle"),
+        F.expr("CASE o_orderkey % 4 WHEN 0 THEN array(0.116D, 0.116D, 0.116D) WHEN 1 THEN array(0.116D, 0.116D * cos(radians(25D)), 0.265D * sin(radians(25D))) WHEN 2 THEN array(0.116D, 0.105D, 0.112D) END").alias("voxel"),
     )).alias("record"))
-    return o.select("id", provenance.voxel_size(provenance.parse(F.col("record")), F.lit(0.116)).alias("voxel"))
+    record = provenance.parse(F.col("record"))
+    return o.select("id", F.array_join(F.transform(provenance.voxel_size(record), lambda v: v.cast("string")), ",").alias("voxel"), provenance.legacy_voxels(record).alias("legacy"))

@@ -43,7 +43,7 @@ def a30(spark, sf_dir):
 
 
 @query("j04_shift_votes", P + """, a AS (SELECT x AS ax, y AS ay FROM fixed ORDER BY response DESC, y, x, id LIMIT 300), b AS (SELECT x AS bx, y AS mb FROM moving ORDER BY response DESC, y, x, id LIMIT 300)
-  SELECT CAST(floor((ax - bx) / 2) AS BIGINT) AS bin_x, CAST(floor((ay - mb) / 2) AS BIGINT) AS bin_y, count(*) AS votes FROM a, b WHERE abs(ax - bx) <= 40 AND abs(ay - mb) <= 20 GROUP BY 1, 2""")
+  SELECT CAST(2 * floor(floor(ax - bx + 0.5) / 2 + 0.5) AS BIGINT) AS dx, CAST(2 * floor(floor(ay - mb + 0.5) / 2 + 0.5) AS BIGINT) AS dy, count(*) AS votes FROM a, b WHERE abs(floor(ax - bx + 0.5)) <= 40 AND abs(floor(ay - mb + 0.5)) <= 20 GROUP BY 1, 2""")
 def j04(spark, sf_dir):
     return pt.shift_votes(*_halves(spark, sf_dir), 40.0, 20.0)
 

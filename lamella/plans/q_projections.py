@@ -101,6 +101,26 @@ def a11(spark, sf_dir):
     return pj.median_mad(_v(spark, sf_dir), ["t", "c"])
 
 
+# Of an even number of values the upper of the middle two; the region of one plane has 64 pixels.
+@query(
+    "a11_order_statistics",
+    V + """, r AS (SELECT t, c, v, row_number() OVER (PARTITION BY t, c ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY t, c) AS n FROM voxels), m AS (SELECT t, c, v AS median FROM r WHERE k = n // 2),
+    d AS (SELECT t, c, median, abs(v - median) AS d, row_number() OVER (PARTITION BY t, c ORDER BY abs(v - median)) - 1 AS k, count(*) OVER (PARTITION BY t, c) AS n FROM voxels JOIN m USING (t, c))
+    SELECT t, c, median, round(d / 0.6744897501960817e0, 4) AS sigma FROM d WHERE k = n // 2""",
+)
+def a11b(spark, sf_dir):
+    return pj.order_median_mad(_v(spark, sf_dir), ["t", "c"]).withColumn("sigma", F.round("sigma", 4))
+
+
+@query(
+    "a11_roi_background",
+    V + """, p AS (SELECT * FROM voxels WHERE x BETWEEN 1 AND 8 AND y BETWEEN 2 AND 9), m AS (SELECT t, c, z, list_sort(list(v))[33] AS median FROM p GROUP BY ALL)
+    SELECT t, c, z, CAST(any_value(median) AS DOUBLE) AS median, round(list_sort(list(abs(v - median)))[33] / 0.6744897501960817e0, 4) AS sigma FROM p JOIN m USING (t, c, z) GROUP BY t, c, z""",
+)
+def a11c(spark, sf_dir):
+    return pj.roi_background(_v(spark, sf_dir), ["t", "c", "z"], (1, 2, 8, 8), 10, 10).withColumn("sigma", F.round("sigma", 4))
+
+
 @query(
     "a26_size_estimate",
     "SELECT o_orderkey AS id, CASE WHEN CAST(o_orderkey AS HUGEINT) * 4000000000 * 400000000 > 9223372036854775807 THEN 9223372036854775807 ELSE CAST(CAST(o_orderkey AS HUGEINT) * 4000000000 * 400000000 AS BIGINT) END AS bytes FROM orders",

@@ -137,8 +137,10 @@ def _lines(spark, sf_dir):
         F.lit("Galvo DUs per step: 0.5"), F.concat(F.lit("Step size /um: "), F.expr("CASE WHEN s_suppkey % 3 = 0 THEN '0.3' ELSE '0.25' END")),
         F.concat(F.lit("Tilt angle: "), F.expr("cast(s_suppkey % 100 as string)")), F.concat(F.lit("Planes per volume: "), F.expr("cast((s_suppkey % 9) / 2 as string)")), F.lit("Interval: 2 min"),
         F.lit("Camera ROI X0, X1, Y0, Y1: 0 640 100 612"),
+        F.concat(F.lit("Exposure time /ms: "), F.expr("cast(s_suppkey % 4 * 10 as string)")), F.lit("Frame period /ms: none"), F.lit("Frame period /ms: 12.5"), F.lit("Frame period /ms: camera"), F.concat(F.lit("Effective detection NA: "), F.expr("CASE WHEN s_suppkey % 6 = 0 THEN '-1' ELSE '0.8' END")),
+        F.lit("Emission wavelength /nm: 9"), F.concat(F.lit("Emission wavelength /nm: "), F.expr("cast(500 + s_suppkey as string)")),
     )
-    return views.table(spark, sf_dir, "supplier").select(F.format_string("/data/run%d/params.txt", k).alias("path"), F.explode(lines).alias("line"))
+    return views.table(spark, sf_dir, "supplier").select(F.format_string("/data/run%d/params.txt", k).alias("path"), F.posexplode(lines).alias("n", "line")).repartition(5)
 
 
 PARAM_SQL = """WITH p AS (SELECT s_suppkey AS k, 0.1e0 + s_suppkey % 7 * 0.02e0 AS pixel, CASE WHEN s_suppkey % 5 <> 0 THEN 0.25 END AS product, CASE WHEN s_suppkey % 3 = 0 THEN 0.3 ELSE 0.25 END AS step, s_suppkey % 100 AS angle, (s_suppkey % 9) / 2.0 AS planes FROM supplier) """
@@ -146,16 +148,17 @@ PARAM_SQL = """WITH p AS (SELECT s_suppkey AS k, 0.1e0 + s_suppkey % 7 * 0.02e0
 
 @query("s07_strict_parameters", PARAM_SQL + "SELECT '/data/run' || k || '/params.txt' AS path, round(pixel * 1e3, 6) AS pixel_nm, round(product * 1e3, 6) AS step_nm, angle * 1.0 AS angle, 120.0 AS interval_s FROM p WHERE product IS NOT NULL")
 def s07(spark, sf_dir):
-    g = text.strict_geometry(text.parameters(_lines(spark, sf_dir))).filter("NOT isnan(step_nm)")
+    g = text.strict_geometry(text.parameters(_lines(spark, sf_dir)))
     return g.select("path", F.round("pixel_nm", 6).alias("pixel_nm"), F.round("step_nm", 6).alias("step_nm"), "angle", "interval_s")
 
 
 @query("s08_tolerant_parameters", PARAM_SQL + """SELECT '/data/run' || k || '/params.txt' AS path, round(coalesce(product, step), 6) AS step, CASE WHEN angle > 0 AND angle < 89.9 THEN angle * 1.0 END AS angle,
     CASE WHEN planes = floor(planes) AND planes >= 2 THEN CAST(planes AS INTEGER) END AS planes,
-    (CASE WHEN angle <= 0 OR angle >= 89.9 THEN 1 ELSE 0 END) + (CASE WHEN product IS NOT NULL AND step > 0.26 THEN 1 ELSE 0 END) + (CASE WHEN planes <> floor(planes) OR planes < 2 THEN 1 ELSE 0 END) AS warnings FROM p""")
+    (CASE WHEN angle <= 0 OR angle >= 89.9 THEN 1 ELSE 0 END) + (CASE WHEN product IS NOT NULL AND step > 0.26 THEN 1 ELSE 0 END) + (CASE WHEN planes <> floor(planes) OR planes < 2 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END) AS warnings,
+    CASE WHEN k % 4 > 0 THEN k % 4 * 10.0 END AS exposure_ms, CASE WHEN k % 6 > 0 THEN 0.8 END AS na, 500.0 + k AS wavelength_nm, 12.5 AS period_ms FROM p""")
 def s08(spark, sf_dir):
     g = text.tolerant_geometry(text.parameters(_lines(spark, sf_dir)))
-    return g.select("path", F.round("step", 6).alias("step"), "angle", "planes", F.size("warnings").alias("warnings"))
+    return g.select("path", F.round("step", 6).alias("step"), "angle", "planes", F.size("warnings").alias("warnings"), "exposure_ms", "na", "wavelength_nm", "period_ms")
 
 
 @query("s09_planes_per_volume", PARAM_SQL + "SELECT '/data/run' || k || '/params.txt' AS path, CAST(planes AS INTEGER) AS planes FROM p WHERE planes = floor(planes) AND planes >= 2")
@@ -170,11 +173,15 @@ def s10(spark, sf_dir):
     return found.select("path", F.round("pixel", 6).alias("pixel"))
 
 
-@query("s21_alignment_sets", "SELECT 'set' || p_partkey // 7 AS path, 'k' || p_partkey AS source, 1.0 AS m00, p_size * 1.0 AS m02, p_partkey % 7 = 3 AS is_reference FROM part")
+@query("s21_alignment_sets", """SELECT 'set' || p_partkey // 7 AS path, 'k' || p_partkey AS source, 1.0 AS m00, p_size * 1.0 AS m02, 0.0 AS m12, p_partkey % 7 = 3 AS is_reference FROM part
+    UNION ALL SELECT 'bare' || p_partkey AS path, NULL, 0.5, p_size * 1.0, -1.0 * p_partkey, false FROM part WHERE p_partkey % 5 = 0""")
 def s21(spark, sf_dir):
     part = views.table(spark, sf_dir, "part")
     rows = F.expr("CASE WHEN p_partkey % 7 = 3 THEN array(concat('source,k', p_partkey, ',1,0,', p_size, ',0,1,0'), concat('reference,k', p_partkey)) ELSE array(concat('source,k', p_partkey, ',1,0,', p_size, ',0,1,0')) END")
-    return text.alignments(part.select(F.expr("concat('set', p_partkey div 7)").alias("path"), F.explode(rows).alias("line"))).select("path", "source", "m00", "m02", "is_reference")
+    # The second row of a bare matrix comes from another partition, before the first.
+    row = lambda n, e: part.filter("p_partkey % 5 = 0").select(F.expr("concat('bare', p_partkey)").alias("path"), F.lit(n).alias("n"), F.expr(e).alias("line"))
+    bare = row(1, "concat('0, 1,-', p_partkey)").union(row(0, "concat('0.5,0, ', p_size)"))
+    return text.alignments(part.select(F.expr("concat('set', p_partkey div 7)").alias("path"), F.posexplode(rows).alias("n", "line")).union(bare)).select("path", "source", "m00", "m02", "m12", "is_reference")
 
 
 @query("s22_matrix_files", "SELECT p_partkey * 1.0 AS c0, p_size * 0.5 AS c1, 1.0 AS c2 FROM part")

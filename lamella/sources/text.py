@@ -16,18 +16,26 @@ MATRIX = "source string, reference boolean, m00 double, m01 double, m02 double,
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """``path, line`` of text files."""
-    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    """``path, n, line`` of small text files, read whole so that lines keep their numbers (from 0)."""
+    files = spark.read.text(paths, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\\r?\\n")).alias("n", "line"))
 
 
 def parameters(lines: DataFrame) -> DataFrame:
-    """One row per file with a text column for each known key; the last line of a key counts."""
-    split = lines.select("path", F.trim(F.split_part("line", F.lit(":"), F.lit(1))).alias("key"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value"))
-    return split.groupBy("path").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f) for k, f in (FIELDS | {"Interval": "interval", "Camera ROI X0, X1, Y0, Y1": "roi"}).items()])
+    """One row per file (path, n, line; n numbers the lines) with a text column for each known key.
+
+    The last line of a key counts, of a number's key the last one with a number.
+    """
+    key = F.trim(F.regexp_replace(F.split_part("line", F.lit(":"), F.lit(1)), "\ufeff", ""))
+    split = lines.filter(F.instr("line", ":") > 0).select("path", "n", key.alias("key"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value"))
+    last = lambda wanted: F.max_by("value", F.when(wanted, F.col("n")))
+    numbers = [last((F.col("key") == k) & F.col("value").try_cast("double").isNotNull()).alias(f) for k, f in FIELDS.items()]
+    texts = [last(F.col("key") == k).alias(f) for k, f in {"Interval": "interval", "Camera ROI X0, X1, Y0, Y1": "roi"}.items()]
+    return split.groupBy("path").agg(*numbers, *texts)
 
 
 def strict_geometry(params: DataFrame) -> DataFrame:
-    """Sampling in nanometres, angle, seconds and ROI size; files without the needed keys are left out."""
+    """Sampling in nanometres, angle, seconds and ROI size; files without the needed keys, or with NaN for one, are left out."""
     number = lambda c: F.col(c).try_cast("double")
     roi = F.split("roi", " +")
     edge = lambda i: F.try_element_at(roi, F.lit(i)).try_cast("double")
@@ -37,7 +45,7 @@ def strict_geometry(params: DataFrame) -> DataFrame:
         "path", (number("pixel") * 1e3).alias("pixel_nm"), (number("galvo") * number("units") * 1e3).alias("step_nm"), number("angle").alias("angle"),
         interval_seconds(F.col("interval")).alias("interval_s"), F.abs(edge(2) - edge(1)).alias("width"), F.abs(edge(4) - edge(3)).alias("height"),
     )
-    return out.filter("pixel_nm IS NOT NULL AND step_nm IS NOT NULL AND angle IS NOT NULL")
+    return out.filter(" AND ".join(f"{k} IS NOT NULL AND NOT isnan({k})" for k in ("pixel_nm", "step_nm", "angle")))
 
 
 def tolerant_geometry(params: DataFrame) -> DataFrame:
@@ -53,13 +61,15 @@ def tolerant_geometry(params: DataFrame) -> DataFrame:
     planes = good("planes")
     whole = F.when((planes == F.floor(planes)) & (planes >= 2), planes.cast("int"))
     warnings = F.array_compact(F.array(
-        bad("pixel", "Invalid Pixel size at object /um"), bad("angle", "Invalid Tilt angle"), bad("step", "Invalid Step size /um"),
+        bad("pixel", "Invalid Pixel size at object /um"), bad("angle", "Invalid Tilt angle"), bad("step", "Invalid Step size /um"), bad("exposure_ms", "Invalid Exposure time /ms"),
+        bad("na", "Invalid Effective detection NA"), bad("refractive_index", "Invalid Refractive index"), bad("wavelength_nm", "Invalid Emission wavelength /nm"), bad("period_ms", "Invalid Frame period /ms"),
         F.when(good("step").isNotNull() & product.isNotNull() & (F.abs(good("step") - product) > 1e-6), "Galvo product overrides the conflicting explicit step"),
         F.when(F.col("planes").isNotNull() & whole.isNull(), "Invalid plane count"),
     ))
     return params.select(
         "path", F.coalesce(good("pixel"), good("camera_pitch") / good("magnification")).alias("pixel"), good("angle").alias("angle"),
-        F.coalesce(product, good("step")).alias("step"), whole.alias("planes"), good("time_points").cast("int").alias("time_points"), warnings.alias("warnings"),
+        F.coalesce(product, good("step")).alias("step"), whole.alias("planes"), good("time_points").cast("int").alias("time_points"),
+        *[good(k).alias(k) for k in ("exposure_ms", "na", "refractive_index", "wavelength_nm", "period_ms")], warnings.alias("warnings"),
     )
 
 
@@ -75,12 +85,13 @@ def with_parameters(files: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def alignments(lines: DataFrame) -> DataFrame:
-    """Alignment sets: ``reference,<key>``, ``source,<key>,6 numbers``, or a bare 2x3 (two lines of three)."""
+    """Alignment sets of lines (path, n, line; n numbers them): ``reference,<key>``, ``source,<key>,6 numbers``, or a bare 2x3 (two lines of three, in their order)."""
     parts = lines.withColumn("p", F.transform(F.split("line", ","), lambda x: F.trim(x)))
-    reference = parts.filter("p[0] = 'reference'").groupBy("path").agg(F.max("p")[1].alias("ref"))
+    reference = parts.filter("p[0] = 'reference'").groupBy("path").agg(F.max_by("p", "n")[1].alias("ref"))
     numbers = [F.try_element_at("p", F.lit(i + 3)).try_cast("double").alias(k) for i, k in enumerate(("m00", "m01", "m02", "m10", "m11", "m12"))]
     tagged = parts.filter("p[0] = 'source'").select("path", F.col("p")[1].alias("source"), *numbers)
-    bare = parts.filter("size(p) = 3 AND try_cast(p[0] AS double) IS NOT NULL").groupBy("path").agg(F.collect_list(F.transform("p", lambda x: x.try_cast("double"))).alias("r"))
+    bare = parts.filter("size(p) = 3 AND try_cast(p[0] AS double) IS NOT NULL").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", F.transform("p", lambda x: x.try_cast("double")).alias("row")))).alias("r"))
+    bare = bare.withColumn("r", F.col("r.row"))
     plain = bare.filter("size(r) = 2").select("path", F.lit(None).cast("string").alias("source"), *[F.col("r")[i // 3][i % 3].alias(k) for i, k in enumerate(("m00", "m01", "m02", "m10", "m11", "m12"))])
     return tagged.unionByName(plain).join(reference, "path", "left").withColumn("is_reference", F.coalesce(F.col("source") == F.col("ref"), F.lit(False))).drop("ref")
 

@@ -301,7 +301,7 @@ def test_tiff_round_trip_and_half_written_files(tmp_path):
 
 def test_tolerant_parameters(spark):
     lines = [("/a/p.txt", x) for x in ("Step size /um: 0.3", "um per galvo DU: NaN", "Tilt angle: 95", "Planes per volume: 12", "Pixel size /um: 6.5", "System magnification: 50")]
-    r = text.tolerant_geometry(text.parameters(spark.createDataFrame(lines, "path string, line string"))).first()
+    r = text.tolerant_geometry(text.parameters(spark.createDataFrame([(p, n, x) for n, (p, x) in enumerate(lines)], "path string, n int, line string"))).first()
     assert (r.step, r.angle, r.planes) == (0.3, None, 12) and r.pixel == pytest.approx(0.13) and r.warnings == ["Invalid Tilt angle"]
 
 
