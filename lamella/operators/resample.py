@@ -41,14 +41,16 @@ def align_plane(image: np.ndarray, m: list[float], method: str = "linear", mirro
     return np.floor(sample_bilinear(image, sx, sy, method) + 0.5)
 
 
-def align_voxels(voxels: DataFrame, m: list[float], width: int, height: int, mirror: bool = False) -> DataFrame:
+def align_voxels(voxels: DataFrame, m: list[float], width: int, height: int, mirror: bool = False, box: tuple[int, int, int, int] | None = None) -> DataFrame:
     """The same alignment as a relation: each source voxel feeds the target pixels it can reach.
 
     A pixel's footprint under a near-rigid matrix is about two pixels wide: the rows it can reach are
     one short interval, and in each of them the columns are another, so a voxel becomes about
     five rows, in the JVM. Each voxel's own place is fed with nothing, so that pixels whose source lies
-    outside come out as zero and projections of the result count them.
+    outside come out as zero and projections of the result count them. With a ``box`` (first and last x, first and
+    last y of the result) only its pixels are made, all of them for each plane that has a voxel.
     """
+    x0, x1, y0, y1 = box or (0, width - 1, 0, height - 1)
     a = np.array([[m[0], m[1], m[2]], [m[3], m[4], m[5]], [0, 0, 1]], float)
     inv = np.linalg.inv(a)
     x = width - 1 - F.col("x") if mirror else F.col("x")
@@ -56,19 +58,25 @@ def align_voxels(voxels: DataFrame, m: list[float], width: int, height: int, mir
     slack = 1e-6
     reach = float(np.abs(a[1, :2]).sum()) + slack
     centre = a[1, 0] * F.col("sx") + a[1, 1] * F.col("sy") + a[1, 2]
-    rows = F.sequence(F.greatest(F.ceil(centre - reach), F.lit(0)), F.least(F.floor(centre + reach), F.lit(height - 1)))
-    fed = src.filter((centre + reach >= 0) & (centre - reach <= height - 1)).withColumn("y", F.explode(rows))
+    low, high = F.greatest(F.ceil(centre - reach), F.lit(y0)), F.least(F.floor(centre + reach), F.lit(y1))
+    fed = src.filter(low <= high).withColumn("y", F.explode(F.sequence(low, high)))
     # Columns x of that row with |inv[0] . (x, y, 1) - sx| < 1.
     middle = (F.col("sx") - inv[0, 1] * F.col("y") - inv[0, 2]) / inv[0, 0]
     half = abs(1 / inv[0, 0]) + slack
-    first, last = F.greatest(F.ceil(middle - half), F.lit(0)), F.least(F.floor(middle + half), F.lit(width - 1))
+    first, last = F.greatest(F.ceil(middle - half), F.lit(x0)), F.least(F.floor(middle + half), F.lit(x1))
     fed = fed.filter(first <= last).withColumn("x", F.explode(F.sequence(first, last)))
     px = F.round(inv[0, 0] * F.col("x") + inv[0, 1] * F.col("y") + inv[0, 2], 9)
     py = F.round(inv[1, 0] * F.col("x") + inv[1, 1] * F.col("y") + inv[1, 2], 9)
     fed = fed.withColumns({"px": px, "py": py}).filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
     weight = F.greatest(1 - F.abs(F.col("px") - F.col("sx")), F.lit(0.0)) * F.greatest(1 - F.abs(F.col("py") - F.col("sy")), F.lit(0.0))
     fed = fed.withColumn("w", weight).filter("w > 0").select("t", "c", "z", "y", "x", (F.col("w") * F.col("v")).alias("v"))
-    own = src.select("t", "c", "z", F.col("sy").alias("y"), F.col("sx").alias("x"), F.lit(0.0).alias("v"))
+    if box:
+        own = src.select("t", "c", "z").distinct()
+        for k, (a, b) in {"y": (y0, y1), "x": (x0, x1)}.items():
+            own = own.withColumn(k, F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long"))))
+        own = own.withColumn("v", F.lit(0.0))
+    else:
+        own = src.select("t", "c", "z", F.col("sy").alias("y"), F.col("sx").alias("x"), F.lit(0.0).alias("v"))
     return fed.union(own).groupBy("t", "c", "z", "y", "x").agg(F.floor(F.sum("v") + 0.5).cast("long").alias("v"))
 
 

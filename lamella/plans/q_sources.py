@@ -55,7 +55,7 @@ def s12(spark, sf_dir):
 @query("s12_plain_filter", V + "SELECT t, c, z, y, x, v FROM voxels WHERE z BETWEEN 2 AND 5 AND y > 2 AND y <= 8 AND x IN (1, 4, 6) AND c = 2 AND t >= 1")
 def s12b(spark, sf_dir):
     """Filters of a plain read choose the chunks; those on y, x and whole axes are not evaluated again."""
-    voxels = spark.read.format("ome_zarr_voxels").load(_store(spark, sf_dir, chunk=4))
+    voxels = ome_zarr.voxels(spark, _store(spark, sf_dir, chunk=4))
     return voxels.filter("z BETWEEN 2 AND 5 AND y > 2 AND y <= 8 AND x IN (1, 4, 6) AND c = 1 AND t >= 1").withColumn("c", F.col("c") + 1)
 
 

@@ -3,8 +3,10 @@
 Read:  ``spark.read.format("ome_zarr").option("box", "z0:z1,y0:y1,x0:x1").load(root)``
 Write: ``chunks.write.format("ome_zarr").option("shape", "t,c,z,y,x").mode("append").save(root)``
 Both take ``projection`` (such as ``maxZ``) for the 4-D array [t,c,y,x] of that name.
-Voxels: ``spark.read.format("ome_zarr_voxels").load(root).filter("z < 5 AND y BETWEEN 3 AND 8")`` has a row a voxel;
-plain filters on t, c, z, y and x choose the chunks that are opened. ``register`` makes both known to a session.
+Voxels: ``voxels(spark, root).filter("z < 5 AND y BETWEEN 3 AND 8")`` has a row a voxel; plain filters on t, c, z, y and
+x choose the chunks that are opened. Spark keeps one set of pushed filters for each opened read, so a read that is used
+twice in a query, under different filters, is to be opened twice; the format ``ome_zarr_voxels`` therefore
+prunes only with the option ``prune``. ``register`` makes the formats known to a session.
 Stream: ``plane_chunks(planes).writeStream.format("ome_zarr")``, with ``shape`` as above; each batch commits what it made whole.
 
 A read lists no directories: the metadata gives the chunk grid, the box prunes it, and
@@ -203,7 +205,14 @@ def _holds(f, n: int) -> bool:
 class VoxelReader(StoreReader):
     """Voxels of the chunks that plain filters on t, c, z, y and x leave, a chunk a batch."""
 
+    def __init__(self, options):
+        super().__init__(options)
+        self.prune = options.get("prune", "false") == "true"
+
     def pushFilters(self, filters):
+        if not self.prune:
+            yield from filters
+            return
         for f in filters:
             name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
             if name not in ("t", "c", "z", "y", "x") or type(f) not in (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual):
@@ -444,6 +453,12 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def voxels(spark: SparkSession, root: str, **options) -> DataFrame:
+    """The voxels of a store (t, c, z, y, x, v), for one place in a query: its filters choose the chunks to open."""
+    register(spark)
+    return spark.read.format("ome_zarr_voxels").options(prune="true", **options).load(root)
+
+
 def to_chunks(voxels: DataFrame, chunk: int = CHUNK_XY, extents: tuple[int, int, int] | None = None) -> DataFrame:
     """Voxels as chunk rows (t, c, z, cy, cx, h, w, data): gathered in the JVM, packed a batch at a time.
 

@@ -25,7 +25,17 @@ def volume(spark):
 def store(spark, volume, root):
     ome_zarr.register(spark)
     ome_zarr.write_store(volume, root, (X, Y, Z), T, C, 4)
-    return spark.read.format("ome_zarr_voxels").load(root)
+    return ome_zarr.voxels(spark, root)
+
+
+def test_a_plain_read_may_be_used_twice(spark, volume, tmp_path):
+    """Without pruning, the same read under two filters; with it, a read for each."""
+    store(spark, volume, f"{tmp_path}/a.zarr")
+    one = spark.read.format("ome_zarr_voxels").load(f"{tmp_path}/a.zarr")
+    expected = sorted(map(tuple, volume.filter("z = 1 OR (z = 3 AND x < 2)").collect()))
+    assert sorted(map(tuple, one.filter("z = 1").union(one.filter("z = 3 AND x < 2")).collect())) == expected
+    two = ome_zarr.voxels(spark, f"{tmp_path}/a.zarr").filter("z = 1").union(ome_zarr.voxels(spark, f"{tmp_path}/a.zarr").filter("z = 3 AND x < 2"))
+    assert sorted(map(tuple, two.collect())) == expected
 
 
 CASES = [
