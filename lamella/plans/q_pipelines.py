@@ -1,16 +1,18 @@
 """Queries of user-level jobs."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from lamella.functions import names as nm
 from lamella.functions import provenance
-from lamella.operators import alignment as al, pipelines as pl, project as pj, voxels as vx
+from lamella.operators import alignment as al, conversion as cv, pipelines as pl, project as pj, voxels as vx
 from lamella.operators.beads import combined
 from lamella.plans import views
 from lamella.plans.q_kernels import IMAGES_SQL, bead_pairs, deskew_sql
 from lamella.plans.q_points import RADIUS, bead_kernels, bead_places
 from lamella.plans.registry import query
-from lamella.sources import text
+from lamella.sources import ome_zarr, text, tiff
 from lamella.streaming.jobs import shared_folder
 
 V = f"WITH {views.VOXELS} "
@@ -22,6 +24,10 @@ def _v(spark, sf_dir):
     return views.voxels(spark, sf_dir)
 
 
+def _folder(spark) -> str:
+    return shared_folder(spark).removeprefix("file:").replace("//", "/")
+
+
 HALVES = ", ch AS (SELECT t, 2 * c - CASE WHEN x < 5 THEN 1 ELSE 0 END AS c, z, y, CASE WHEN x < 5 THEN x ELSE x - 5 END AS x, v FROM voxels), " + deskew_sql("dk", "ch", 5)
 
 
@@ -79,6 +85,52 @@ def x08(spark, sf_dir):
     return _whole(spark, _store(spark, sf_dir, s04(spark, sf_dir)))
 
 
+def _raw_files(spark, sf_dir):
+    """Plain TIFF files of all volumes, with their places in a plan."""
+    from lamella.plans.q_sources import _tiffs
+
+    root, names = _tiffs(spark, sf_dir, deflate="false")
+    return root, names.select("path", "t", (F.col("c") - 1).alias("c"), F.format_string("t%06d", "t").alias("label"))
+
+
+@query("x08_resumed_store", V + "SELECT t, 2 * (c - 1) + CASE WHEN x < 5 THEN 0 ELSE 1 END AS c, z, y, CASE WHEN x < 5 THEN x ELSE x - 5 END AS x, v FROM voxels")
+def x08b(spark, sf_dir):
+    """Files into a store of halves: a first run has only the first half of them, the second goes on in its store."""
+    _, files = _raw_files(spark, sf_dir)
+    root = _folder(spark) + "/converted.zarr"
+    half = files.agg(F.max("t")).first()[0] // 2
+    cv.files_to_store(files.filter(F.col("t") <= half), root, split=True, chunk=4)
+    cv.files_to_store(files, root, split=True, chunk=4)
+    return ome_zarr.voxels(spark, root)
+
+
+@query("x08_store_to_files", V + "SELECT t, c - 1 AS c, z, y, x, v FROM voxels")
+def x08c(spark, sf_dir):
+    """A store into deflated files; one of them is taken away, and only that one is written again."""
+    from lamella.plans.q_sources import _store
+
+    root, folder = _store(spark, sf_dir), _folder(spark)
+    first = cv.store_to_files(spark, root, folder)
+    os.remove(f"{folder}/{cv.NAME % (0, 0)}")
+    again = cv.store_to_files(spark, root, folder)
+    if (first, again) != (ome_zarr.metadata(root)["committed"] * ome_zarr.metadata(root)["shape"][1], 1):
+        raise AssertionError(f"{first} files, then {again}")
+    names = views.voxels(spark, sf_dir).select("t", (F.col("c") - 1).alias("c")).distinct().withColumn("path", F.concat(F.lit(folder + "/"), F.format_string(cv.NAME, "t", "c")))
+    return vx.to_voxels(tiff.planes(names, "t", "c").select("t", "c", "z", "width", "px")).withColumn("v", F.col("v").cast("int"))
+
+
+@query("x08_deflated_files", V + "SELECT t, c - 1 AS c, true AS deflated, sum(v) AS total FROM voxels GROUP BY t, c")
+def x08d(spark, sf_dir):
+    """Plain files deflated into another folder."""
+    root, files = _raw_files(spark, sf_dir)
+    folder = _folder(spark)
+    named = files.withColumn("name", F.substring_index("path", "/", -1))
+    cv.deflate_files(named.select("path", "name"), folder)
+    done = named.withColumn("path", F.concat(F.lit(folder + "/"), F.col("name")))
+    sums = tiff.planes(done, "t", "c").groupBy("path", "t", "c").agg(F.sum(F.aggregate("px", F.lit(0.0), lambda a, v: a + v)).cast("long").alias("total"))
+    return sums.join(tiff.deflated(done), "path").select("t", "c", "deflated", "total")
+
+
 @query("x11_view", V + "SELECT t, c, z - 2 AS z, y - 1 AS y, CASE WHEN x < 5 THEN x - 1 ELSE 12 - x END AS x, v FROM voxels WHERE c = 1 AND z BETWEEN 2 AND 6 AND y BETWEEN 1 AND 8 AND x BETWEEN 1 AND 8")
 def x11(spark, sf_dir):
     box = vx.clamp_box(1, 1, 8, 8, 2, 6, 10, 10, 10)

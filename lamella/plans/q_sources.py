@@ -39,10 +39,10 @@ def _whole(spark, root, **options):
     return ome_zarr.to_voxels(chunks).withColumn("c", F.col("c") + 1)
 
 
-def _tiffs(spark, sf_dir):
+def _tiffs(spark, sf_dir, deflate="true"):
     spark.dataSource.register(tiff.PlanesTiff)
     root = _folder(spark)
-    tiff.to_files(vx.to_planes(views.voxels(spark, sf_dir), 10, 10), "v_Time%06d_Channel%04d.tif").write.format("planes_tiff").option("deflate", "true").mode("append").save(root)
+    tiff.to_files(vx.to_planes(views.voxels(spark, sf_dir), 10, 10), "v_Time%06d_Channel%04d.tif").write.format("planes_tiff").option("deflate", deflate).mode("append").save(root)
     names = views.voxels(spark, sf_dir).select("t", "c").distinct().withColumn("path", F.concat(F.lit(root + "/"), F.format_string("v_Time%06d_Channel%04d.tif", "t", "c")))
     return root, names
 

@@ -459,6 +459,28 @@ def voxels(spark: SparkSession, root: str, **options) -> DataFrame:
     return spark.read.format("ome_zarr_voxels").options(prune="true", **options).load(root)
 
 
+def store_planes(wanted: DataFrame, root: str) -> DataFrame:
+    """``t, c, z, width, height, px`` of all planes of the volumes (t, c) in ``wanted``: each task puts planes together from their own chunks."""
+    m = metadata(root)
+    (_, _, depth, height, width), (ch, cw) = m["shape"], m["chunks"][3:]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for t, c, z in zip(*(col.to_pylist() for col in batch.columns)):
+                plane = np.zeros((ceil(height / ch) * ch, ceil(width / cw) * cw), "<u2")
+                for cy in range(ceil(height / ch)):
+                    for cx in range(ceil(width / cw)):
+                        plane[cy * ch : (cy + 1) * ch, cx * cw : (cx + 1) * cw] = _read_chunk(os.path.join(root, "s0", f"{t}.{c}.{z}.{cy}.{cx}"), ch, cw)
+                px = pa.array(plane[:height, :width].ravel().astype(np.int32))
+                columns = [*(pa.array([n], pa.int64()) for n in (t, c, z)), *(pa.array([n], pa.int32()) for n in (width, height)), pa.ListArray.from_arrays(pa.array([0, len(px)], pa.int32()), px)]
+                yield pa.RecordBatch.from_arrays(columns, ["t", "c", "z", "width", "height", "px"])
+
+    places = wanted.select("t", "c", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("z")).repartition("t", "c", F.expr("z div 16"))
+    return places.mapInArrow(run, "t long, c long, z long, width int, height int, px array<int>")
+
+
 def to_chunks(voxels: DataFrame, chunk: int = CHUNK_XY, extents: tuple[int, int, int] | None = None) -> DataFrame:
     """Voxels as chunk rows (t, c, z, cy, cx, h, w, data): gathered in the JVM, packed a batch at a time.
 

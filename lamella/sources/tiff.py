@@ -164,28 +164,56 @@ class TiffReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([p.path]), *(pa.array([n], pa.int32()) for n in (z, image.shape[1], image.shape[0])), px], ["path", "z", "width", "height", "px"])
 
 
-def planes(paths: DataFrame) -> DataFrame:
-    """``path, z, width, height, px`` of all planes of the files in ``paths``, a table however long.
+def deflated(paths: DataFrame) -> DataFrame:
+    """``path, deflated``: whether every plane of a file is compressed with Deflate; a file that cannot be read is not."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                try:
+                    out.append(all(tags.get(COMPRESSION, (1,))[0] in DEFLATE for tags, _ in directories(path)))
+                except (OSError, ValueError, struct.error):
+                    out.append(False)
+            yield pd.DataFrame({"path": pdf["path"], "deflated": out})
+
+    return paths.select("path").mapInPandas(run, "path string, deflated boolean")
+
+
+def planes(paths: DataFrame, *beside: str) -> DataFrame:
+    """``path, z, width, height, px`` of all planes of the files in ``paths``, a table however long, and its columns ``beside``.
 
     Directories are walked once, by the tasks; then the planes are dealt out and read, each by its strips.
     """
+
     def walk(batches):
         for pdf in batches:
             rows = [(path, z, order, json.dumps({str(k): list(v) if not isinstance(v, (str, bytes)) else None for k, v in tags.items() if k != DESCRIPTION})) for path in pdf["path"] for z, (tags, order) in enumerate(directories(path))]
             yield pd.DataFrame(rows, columns=["path", "z", "byte_order", "tags"])
 
+    found = paths.select("path").mapInPandas(walk, "path string, z int, byte_order string, tags string")
+    return _carried(found, paths, beside)
+
+
+def _carried(found: DataFrame, paths: DataFrame, beside: tuple[str, ...]) -> DataFrame:
+    """Planes of the directories ``found``, with columns of ``paths``."""
+    kinds = "".join(f", {c} {dict(paths.dtypes)[c]}" for c in beside)
+
     def fetch(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for path, z, order, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                path, z, order, text = (batch.column(k)[i].as_py() for k in range(4))
                 tags = {int(k): tuple(v) for k, v in json.loads(text).items() if v is not None}
                 image = read_plane(path, tags, order)
                 px = pa.ListArray.from_arrays(pa.array([0, image.size], pa.int32()), pa.array(image.ravel().astype(float)))
-                yield pa.RecordBatch.from_arrays([pa.array([path]), *(pa.array([n], pa.int32()) for n in (z, image.shape[1], image.shape[0])), px], ["path", "z", "width", "height", "px"])
+                own = [pa.array([path]), *(pa.array([n], pa.int32()) for n in (z, image.shape[1], image.shape[0])), px]
+                yield pa.RecordBatch.from_arrays([*own, *(c[i : i + 1] for c in batch.columns[4:])], ["path", "z", "width", "height", "px", *beside])
 
-    found = paths.select("path").mapInPandas(walk, "path string, z int, byte_order string, tags string")
-    return found.repartition("path", F.floor(F.col("z") / PLANES_PER_TASK)).mapInArrow(fetch, "path string, z int, width int, height int, px array<double>")
+    # What stands beside a path is joined to its directories; pixels are not shuffled for it.
+    known = found.join(paths.select("path", *beside), "path").select("path", "z", "byte_order", "tags", *beside) if beside else found
+    return known.repartition("path", F.floor(F.col("z") / PLANES_PER_TASK)).mapInArrow(fetch, f"path string, z int, width int, height int, px array<double>{kinds}")
 
 
 class PlaneWriter:
