@@ -9,9 +9,10 @@ it travels with the scoring tasks; languages beyond ``LANGS_AT_ONCE`` are scored
 Scoring reads every whole text. A worker looks an n-gram up in the sorted arrays when it
 meets it and remembers its scores in a table of fixed size.
 
-Rejection is calibrated: the cross-entropy of held-back sample texts and of their windows of
-2^k symbols gives mean and deviation by length for each language, and ``FALSE_REJECT`` the
-quantile of the standardised values above which a text is no text of that language.
+Rejection is calibrated on texts that the counts leave out: windows of 2^k symbols of some of them give
+mean and deviation of the cross-entropy by length for each language. The limit is the
+quantile of the standardised values of ``CALIBRATION_PER_LANG`` whole texts, by order, so that a further text of the
+language lies over it with a chance of ``FALSE_REJECT``; fewer texts than that takes are extrapolated by their tail.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from lamella.llm._shared import bounded_batches, durable, positional, read
 SAMPLE_PER_LANG = 400
 LANGS_AT_ONCE = 64
 DISCOUNT = 0.75
-CALIBRATION_SHARE = 4  # one row in so many of the sample calibrates the rejection
-FALSE_REJECT = 1e-4  # share of a language's own texts that the limits may reject
-MARGIN = 2.0  # limits are so many times the quantile: whole texts vary more than windows of the sample
+COUNTED_SHARE = 0.75  # of the sample; where labels are few, the rest calibrates
+CALIBRATION_PER_LANG = 4000  # whole texts a language that set the limits
+WINDOWED_PER_LANG = 100  # of these, as many are cut into windows
+FALSE_REJECT = 5e-4  # share of a language's own texts that the limits may reject
+TAIL = 0.1  # share of the standardised values that an extrapolation rests on
 WINDOWS = range(3, 13)  # lengths 2^k at which the cross-entropy's spread is measured
 TEMPERATURE = 8.0
 
@@ -181,11 +184,14 @@ class _Scorer:
 
 
 def _sample(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """About SAMPLE_PER_LANG whole texts of each language in ``counts``, by id hash: a filter, no shuffle of texts."""
+    """Whole texts of each language in ``counts``, by id hash: a filter, no shuffle of texts.
+
+    About COUNTED_SHARE of SAMPLE_PER_LANG are counted, CALIBRATION_PER_LANG others calibrate, the first WINDOWED_PER_LANG of them by windows, too.
+    """
     place = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1_000_000_007)) / 1_000_000_007.0
-    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(CALIBRATION_SHARE)) == 0
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, SAMPLE_PER_LANG / n)])
-    return durable(rows.filter(place < F.try_element_at(shares, F.col("lang"))).select("lang", "text", part.alias("calibrates")))
+    share = lambda extra: F.try_element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, COUNTED_SHARE * min(1.0, SAMPLE_PER_LANG / n) + extra / n)]), F.col("lang"))
+    near = rows.withColumn("_place", place).filter(F.col("_place") < share(CALIBRATION_PER_LANG))
+    return durable(near.select("lang", "text", (F.col("_place") >= share(0)).alias("calibrates"), (F.col("_place") < share(WINDOWED_PER_LANG)).alias("windowed")))
 
 
 def _count_trigrams(batches):
@@ -221,20 +227,25 @@ def fit(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> lis
             continue
         own = sorted(table.groupby("lang"), key=lambda x: x[0])
         model = Identifier([lang for lang, _ in own], [LanguageModel.fit(part["code"].to_numpy().view(np.uint64), part["n"].to_numpy()) for _, part in own])
-        rest = sample.filter(F.col("calibrates") & F.col("lang").isin(model.langs)).select("lang", "text")
+        rest = sample.filter(F.col("calibrates") & F.col("lang").isin(model.langs)).select("lang", "text", "windowed")
         _limits(model, rest.mapInArrow(_calibration(model), "lang string, k int, bits array<double>"))
         out.append(model)
 
 
 def _calibration(model):
-    """Cross-entropies of the windows of 2^k symbols of each text."""
+    """Cross-entropies of the windows of 2^k symbols of each windowed text; cross-entropy and length of each whole text (k = 0)."""
 
     def run(batches):
         scorer = _Scorer(model.models)
         for batch in batches:
             langs, ks, bits = [], [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, text, windowed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 j = model.langs.index(lang)
+                n, whole = scorer.entropies(text)
+                if n:
+                    langs.append(lang), ks.append(0), bits.append([float(whole[j]), float(n)])
+                if not windowed:
+                    continue
                 total = np.append(0, np.cumsum(np.concatenate([np.zeros(0), *(b[:, j].astype(float) for b in scorer.pieces(text))])))
                 for k in WINDOWS:
                     ends = np.arange(1 << k, len(total), 1 << k)
@@ -250,11 +261,11 @@ def _limits(model: Identifier, seen: DataFrame) -> None:
     Lengths without enough windows take the deviation of the longest one that has them,
     which is on the safe side: deviations fall with the length.
     """
-    windows = durable(seen.select("lang", "k", F.explode("bits").alias("bits")))
+    seen = durable(seen)
+    windows = seen.filter("k > 0").select("lang", "k", F.explode("bits").alias("bits"))
     moments = {(r["lang"], r["k"]): r for r in windows.groupBy("lang", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("sd")).collect()}
     size = len(model.langs), len(WINDOWS)
     model.mean, model.spread = np.full(size, 4.0), np.full(size, 2.0)
-    rows = []
     for i, lang in enumerate(model.langs):
         for j, k in enumerate(WINDOWS):
             r = moments.get((lang, k))
@@ -262,13 +273,23 @@ def _limits(model: Identifier, seen: DataFrame) -> None:
                 model.mean[i, j], model.spread[i, j] = r["mean"], max(r["sd"], 0.02)
             elif j:
                 model.mean[i, j], model.spread[i, j] = model.mean[i, j - 1], model.spread[i, j - 1]
-            rows.append((lang, k, float(model.mean[i, j]), float(model.spread[i, j])))
-    scale = windows.sparkSession.createDataFrame(rows, "lang string, k int, mean double, spread double")
-    z = (F.col("bits") - F.col("mean")) / F.col("spread")
-    quantiles = windows.join(scale, ["lang", "k"]).withColumn("z", z).groupBy("lang").agg(F.percentile_approx("z", 1 - FALSE_REJECT, 100_000).alias("q"))
-    found = {r["lang"]: r["q"] for r in quantiles.collect()}
-    # At least what a normal distribution gives for the rate.
-    model.quantile = MARGIN * np.array([max(found.get(lang) or 0.0, NormalDist().inv_cdf(1 - FALSE_REJECT)) for lang in model.langs])
+    model.quantile = np.ones(len(model.langs))
+    own: dict[str, list[float]] = {lang: [] for lang in model.langs}
+    for r in seen.filter("k = 0").select("lang", "bits").collect():  # CALIBRATION_PER_LANG a language
+        own[r["lang"]].append(model.excess(model.langs.index(r["lang"]), r["bits"][0], int(r["bits"][1])))
+    model.quantile = np.array([_quantile(np.sort(own[lang])) for lang in model.langs])
+
+
+def _quantile(z: np.ndarray) -> float:
+    """The limit that a further value exceeds with a chance of FALSE_REJECT; at least what a normal distribution gives."""
+    least = NormalDist().inv_cdf(1 - FALSE_REJECT)
+    rank = int(np.ceil((len(z) + 1) * (1 - FALSE_REJECT)))
+    if rank <= len(z):
+        return max(float(z[rank - 1]), least)
+    tail = z[int(len(z) * (1 - TAIL)) :]
+    if not len(tail):
+        return least
+    return max(float(tail[0] + (tail - tail[0]).mean() * np.log(TAIL / FALSE_REJECT)), float(z[-1]), least)
 
 
 def _predict(model: Identifier, first: bool):
