@@ -13,7 +13,7 @@ rows that repeat an id with another text are documents of their own.
 Besides, each run of ``PASSAGE`` words that occurs more than once is removed but for its
 first place, wherever lines and chunks begin. Every such run is found: the least hash among
 its runs of ``ANCHOR`` words depends on its words alone, so equal runs have equal anchors.
-Anchors and chunks that occur twice set bits of a filter of fixed size. The runs around one
+Anchors and chunks that occur twice set bits of a filter sized by their number. The runs around one
 anchor are a segment; segments that pass the filter (some by chance) are grouped whole by
 128 hash bits of their words, and all but the first go. Where an anchor has several segments,
 the runs of the first of each are grouped one by one, as they can be equal in part.
@@ -38,7 +38,8 @@ MIN_LINES = 2
 MIN_WORDS = 10
 PASSAGE = 50
 ANCHOR = 25
-FILTER_BITS = 1 << 27  # a fuller filter lets more through to the grouping, it loses nothing
+BITS_PER_KEY = 16
+MOST_BITS = 1 << 30  # 128 MB; beyond, the filter gets fuller and lets more through to the grouping, it loses nothing
 BLOCK_BITS = 1 << 16
 
 _PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the rolling hash, one a line of the window
@@ -151,17 +152,19 @@ def _packed(batches):
 
 
 def _filter(keys: DataFrame):
-    """A broadcast filter of the keys; FILTER_BITS whatever the input."""
-    bit = keys.select(F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit"))
+    """A broadcast filter of the keys, BITS_PER_KEY for each and MOST_BITS in all."""
+    keys = durable(keys.select("key"))
+    size = min(MOST_BITS, max(BLOCK_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+    bit = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("bit"))
     blocks = bit.repartition(F.expr(f"bit div {BLOCK_BITS}")).mapInArrow(_packed, "block long, bits binary")
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in blocks.toLocalIterator():
         out[r["block"] * BLOCK_BITS // 8 :][: BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
     return keys.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(FILTER_BITS - 1)
+    at = keys & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
