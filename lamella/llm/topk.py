@@ -25,6 +25,8 @@ so no block, list or query set has to fit in one place.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,9 +39,10 @@ QUERY_ROWS = 512
 BLOCK_ROWS = 2048
 SCALE = 256
 FIRST = 8
-END = 2**61  # partial scores are held at its ends: sums of LISTS of them fit a long
+NARROW = 2.0**60  # up to this bound of all products, partial scores are longs, beyond it decimals
+END = 10**37  # decimal partial scores are held at its ends: sums of LISTS of them fit a decimal
 
-_ENTRY = "query long, cls long, list int, part long"
+_NARROW, _WIDE = "long", "decimal(38,0)"
 
 
 def integer_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding") -> DataFrame:
@@ -51,13 +54,23 @@ def integer_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding") -> D
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, held at plus and minus END."""
+    """Exact integer inner products; those beyond NARROW are Python's whole numbers, held at plus and minus END."""
     most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
     if most < 2**53:  # every sum is a whole number that a double holds
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most < 2**60:
+    if most < NARROW:
         return a @ b.T
-    return np.clip(a.astype(object) @ b.astype(object).T, -END, END).astype(np.int64)
+    return _held(a.astype(object) @ b.astype(object).T)
+
+
+def _held(parts: np.ndarray) -> np.ndarray:
+    return np.maximum(np.minimum(parts, END), -END)
+
+
+def _column(parts: np.ndarray, kind: str) -> pa.Array:
+    if kind == _NARROW:
+        return pa.array(parts.astype(np.int64))
+    return pa.array([Decimal(int(p)) for p in parts], pa.decimal128(38))
 
 
 def _slices(dim: int) -> list[tuple[int, int]]:
@@ -103,33 +116,44 @@ def _pairs(batches):
             v, q = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(qids.as_py(), np.int64)
             x, y = np.frombuffer(body.as_py(), np.int64), np.frombuffer(qbody.as_py(), np.int64)
             width = len(x) // len(v)  # nought for an empty slice
-            yield k.as_py(), q, None if cut is None else np.frombuffer(cut.as_py(), np.int64), v, _product(y.reshape(len(q), width), x.reshape(len(v), width))
+            yield k.as_py(), q, None if cut is None else _cuts(cut), v, _product(y.reshape(len(q), width), x.reshape(len(v), width))
 
 
-def _entries(k, q, v, p):
-    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(np.full(len(q), k, np.int32)), pa.array(p)], ["query", "cls", "list", "part"])
+def _cuts(cut) -> np.ndarray:
+    """Cutoffs of the queries of a block: packed longs, or a list of decimals."""
+    if isinstance(cut, pa.ListScalar):
+        return np.array([int(c) for c in cut.as_py()], object)
+    return np.frombuffer(cut.as_py(), np.int64)
 
 
-def _first_lists(k):
+def _entries(k, q, v, p, kind):
+    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(np.full(len(q), k, np.int32)), _column(p, kind)], ["query", "cls", "list", "part"])
+
+
+def _first_lists(k, kind):
     """The k best entries of every block of a list."""
 
     def run(batches):
         for name, q, _, v, p in _pairs(batches):
-            kth = np.partition(p, -k, axis=1)[:, -k] if len(v) > k else np.full(len(q), np.iinfo(np.int64).min)
-            rows, columns = np.nonzero(p >= kth[:, None])
+            kth = np.partition(p, -k, axis=1)[:, -k] if len(v) > k else np.full(len(q), -END if p.dtype == object else np.iinfo(np.int64).min)
+            rows, columns = np.nonzero((p >= kth[:, None]).astype(bool))
             order = np.lexsort((v[columns], -p[rows, columns], rows))
             rows, columns = rows[order], columns[order]
             best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-            yield _entries(name, q[rows[best]], v[columns[best]], p[rows[best], columns[best]])
+            yield _entries(name, q[rows[best]], v[columns[best]], p[rows[best], columns[best]], kind)
 
     return run
 
 
-def _second_lists(batches):
+def _second_lists(kind):
     """The entries of a list that reach the uniform threshold."""
-    for name, q, cut, v, p in _pairs(batches):
-        rows, columns = np.nonzero(p >= _threshold(cut)[:, None])
-        yield _entries(name, q[rows], v[columns], p[rows, columns])
+
+    def run(batches):
+        for name, q, cut, v, p in _pairs(batches):
+            rows, columns = np.nonzero((p >= _threshold(cut)[:, None]).astype(bool))
+            yield _entries(name, q[rows], v[columns], p[rows, columns], kind)
+
+    return run
 
 
 def _threshold(cut):
@@ -137,12 +161,15 @@ def _threshold(cut):
     return -(-cut // LISTS)
 
 
-def _with_cuts(blocks: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Query blocks with the cutoffs of their queries (the least long where there are none) in the order of ``ids``."""
+def _with_cuts(blocks: DataFrame, cutoffs: DataFrame, kind: str) -> DataFrame:
+    """Query blocks with the cutoffs of their queries (the least number where there are none) in the order of ``ids``."""
+    least = F.lit(-(2**62) if kind == _NARROW else Decimal(-END * LISTS)).cast(kind)
     ids = blocks.filter("list = 0").select("dim", "piece", "ids")
     each = ids.mapInArrow(_unpacked, "dim int, piece long, at int, key long").join(cutoffs, "key", "left")
-    told = each.groupBy("dim", "piece").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("cutoff", F.lit(-END * LISTS)).alias("c")))).alias("cuts"))
-    packed = told.select("dim", "piece", F.transform("cuts", lambda c: c["c"]).alias("cuts")).mapInArrow(_packed, "dim int, piece long, cuts binary")
+    told = each.groupBy("dim", "piece").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("cutoff", least).alias("c")))).alias("cuts"))
+    packed = told.select("dim", "piece", F.transform("cuts", lambda c: c["c"]).alias("cuts"))
+    if kind == _NARROW:
+        packed = packed.mapInArrow(_packed, "dim int, piece long, cuts binary")
     return blocks.join(packed, ["dim", "piece"])
 
 
@@ -162,8 +189,16 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.binary())], ["dim", "piece", "cuts"])
 
 
-def _answer(batches):
+def _answer(kind):
     """(query, cls, part) of the entries that a list is asked for, as far as this pair of blocks holds them."""
+
+    def run(batches):
+        yield from _answered(batches, kind)
+
+    return run
+
+
+def _answered(batches, kind):
     for batch in batches:
         for ids, body, qids, qbody, wanted_q, wanted_v in zip(*(batch.column(c) for c in ("ids", "body", "qids", "qbody", "queries", "classes"))):
             v, q = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(qids.as_py(), np.int64)
@@ -174,7 +209,7 @@ def _answer(batches):
             (at_q, has_q), (at_v, has_v) = _places(q, ask_q), _places(v, ask_v)
             held = np.flatnonzero(has_q & has_v)
             for part in np.array_split(held, max(1, len(held) * max(width, 1) // 4_000_000)):  # bounded temporary arrays
-                yield pa.RecordBatch.from_arrays([pa.array(ask_q[part]), pa.array(ask_v[part]), pa.array(_rowwise(y[at_q[part]], x[at_v[part]]))], ["query", "cls", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(ask_q[part]), pa.array(ask_v[part]), _column(_rowwise(y[at_q[part]], x[at_v[part]]), kind)], ["query", "cls", "part"])
 
 
 def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,18 +222,18 @@ def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _rowwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows, exact and held as in ``_product``."""
     most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
-    if most < 2**60:
+    if most < NARROW:
         return (a * b).sum(axis=1, dtype=np.int64)
-    return np.array([max(-END, min(END, int(t))) for t in (a.astype(object) * b.astype(object)).sum(axis=1)], np.int64)
+    return _held(np.array([int(t) for t in (a.astype(object) * b.astype(object)).sum(axis=1)], object))
 
 
-def _whole(entries: DataFrame, lists: DataFrame, query_blocks: DataFrame, blocks: int, qblocks: int) -> DataFrame:
+def _whole(entries: DataFrame, lists: DataFrame, query_blocks: DataFrame, blocks: int, qblocks: int, kind: str) -> DataFrame:
     """``query, cls, score`` of (query, cls, known, missing): the lists are asked for the missing parts, block by block."""
     place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))  # noqa: E731  as the blocks were dealt
     asked = entries.select("query", "cls", F.explode("missing").alias("list"), place("cls", blocks).alias("block"), place("query", qblocks).alias("qblock"))
     packed = asked.groupBy("list", "block", "qblock").agg(F.collect_list("query").alias("queries"), F.collect_list("cls").alias("classes"))
     met = _met(lists, query_blocks, blocks).join(packed, ["list", "block", "qblock"])
-    parts = met.select("ids", "body", "qids", "qbody", "queries", "classes").mapInArrow(_answer, "query long, cls long, part long")
+    parts = met.select("ids", "body", "qids", "qbody", "queries", "classes").mapInArrow(_answer(kind), f"query long, cls long, part {kind}")
     known = entries.select("query", "cls", F.col("known").alias("part"))
     return known.union(parts).groupBy("query", "cls").agg(F.sum("part").alias("score"))
 
@@ -209,6 +244,13 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).drop("at")
 
 
+def _bound(vectors: DataFrame, queries: DataFrame) -> float:
+    """No sum of products of a vector and a query is larger."""
+    size = lambda df: df.agg(F.max(F.array_max(F.transform("comps", lambda c: F.abs(c.cast("double"))))), F.max(F.size("comps"))).first()
+    (a, dim), (b, _) = size(vectors), size(queries)
+    return float(a or 0) * float(b or 0) * (dim or 0)
+
+
 def _classes(vectors: DataFrame, k: int) -> DataFrame:
     """``key, comps, ids``: one row for each distinct vector, keyed by its smallest id, with the k smallest ids of its rows."""
     order = Window.partitionBy("comps").orderBy("vec_id")
@@ -221,9 +263,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     ``vectors`` and ``queries`` have ``vec_id, comps`` without nulls; a query never finds its
     own id. Vectors of other dimensions than the query's are not compared. Of rows that
-    repeat an id with different vectors the largest vector counts. Partial scores beyond
-    2^61 are held there, so that scores always fit a long. Queries without any candidate
-    have no rows, as has an empty table; extra columns are not read.
+    repeat an id with different vectors the largest vector counts. Scores are exact whatever
+    their size and rank so; those beyond a long are told as its ends. (Sums over a slice beyond
+    10^37 are held there.) Queries without any candidate have no rows, as has an empty table;
+    extra columns are not read.
     """
     bounded_batches(vectors.sparkSession)
     one = lambda df: df.groupBy("vec_id").agg(F.max("comps").alias("comps"))
@@ -233,35 +276,40 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     distinct = durable(asked.groupBy("comps").agg(F.min("vec_id").alias("key")).select("key", "comps"))
     n, m = classes.count(), distinct.count()
     blocks, qblocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // QUERY_ROWS))
+    kind = _NARROW if _bound(classes, distinct) < NARROW else _WIDE
+    entry = f"query long, cls long, list int, part {kind}"
     lists = durable(_blocks(classes.select("key", "comps"), BLOCK_ROWS, n))
     query_blocks = durable(_blocks(distinct, QUERY_ROWS, m))
 
     deep = FIRST * (k + 1)
-    first = _met(lists, query_blocks, blocks).mapInArrow(_first_lists(deep), _ENTRY)
+    first = _met(lists, query_blocks, blocks).mapInArrow(_first_lists(deep, kind), entry)
     order = Window.partitionBy("query", "list").orderBy(F.desc("part"), "cls")
     first = durable(first.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= deep).select("query", "cls").distinct())
     every = F.array(*[F.lit(i) for i in range(LISTS)])
-    resolved = _whole(first.select("query", "cls", F.lit(0).cast("long").alias("known"), every.alias("missing")), lists, query_blocks, blocks, qblocks)
+    resolved = _whole(first.select("query", "cls", F.lit(0).cast(kind).alias("known"), every.alias("missing")), lists, query_blocks, blocks, qblocks, kind)
     cutoffs = resolved.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cls"))).filter(F.col("at") == k + 1)
     cutoffs = durable(cutoffs.select(F.col("query").alias("key"), F.col("score").alias("cutoff")))
 
-    told = durable(_with_cuts(query_blocks, cutoffs))
-    second = _met(lists, told, blocks).mapInArrow(_second_lists, _ENTRY)
+    told = durable(_with_cuts(query_blocks, cutoffs, kind))
+    second = _met(lists, told, blocks).mapInArrow(_second_lists(kind), entry)
     given = second.groupBy("query", "cls").agg(F.sum("part").alias("known"), F.bit_or(F.expr("shiftleft(1, list)")).alias("given"))
     absent = F.filter(every, lambda i: F.col("given").bitwiseAND(F.pow(F.lit(2), i).cast("int")) == 0)
     summed = durable(given.select("query", "cls", "known", absent.alias("missing")))
     whole = summed.filter("size(missing) = 0").select("query", "cls", F.col("known").alias("score"))
     cut = cutoffs.select(F.col("key").alias("query"), "cutoff")
     under = F.expr(f"cutoff div {LISTS} + if(cutoff % {LISTS} > 0, 1, 0) - 1")  # the most that a missing part can be
-    open_ = summed.filter("size(missing) > 0").join(cut, "query", "left").filter(F.col("cutoff").isNull() | (F.col("known") + F.size("missing") * under >= F.col("cutoff")))
-    scored = whole.union(_whole(open_.select("query", "cls", "known", "missing"), lists, query_blocks, blocks, qblocks))
+    open_ = summed.filter("size(missing) > 0")
+    if kind == _NARROW:
+        open_ = open_.join(cut, "query", "left").filter(F.col("cutoff").isNull() | (F.col("known") + F.size("missing") * under >= F.col("cutoff")))
+    scored = whole.union(_whole(open_.select("query", "cls", "known", "missing"), lists, query_blocks, blocks, qblocks, kind))
 
     best = durable(_best(scored, k + 1))
     members = best.join(classes.select(F.col("key").alias("cls"), F.explode("ids").alias("vec_id")), "cls").select("query", "vec_id", "score")
     named = asked.join(distinct.withColumnRenamed("key", "query"), "comps").select(F.col("vec_id").alias("query_id"), "query")
     found = named.join(members, "query").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    told_score = F.least(F.greatest("score", F.lit(-(2**63))), F.lit(2**63 - 1)).cast("long")
+    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", told_score.alias("score"))
 
 
 def op4(spark, sf_dir):

@@ -8,9 +8,8 @@ SCHEMA = "vec_id long, embedding array<float>, score string"
 
 
 def score(a, b):
-    """Whole numbers without bounds; each half is held at 2^61."""
-    halves = [(0, len(a) // 2), (len(a) // 2, len(a))]
-    return sum(max(-(2**61), min(2**61, sum(x * y for x, y in zip(a[i:j], b[i:j])))) for i, j in halves)
+    """Whole numbers without bounds."""
+    return sum(x * y for x, y in zip(a, b))
 
 
 def brute(rows, k, every):
@@ -22,7 +21,7 @@ def brute(rows, k, every):
     for q, a in vectors.items():
         if q % every == 0:
             scored = sorted((-score(a, b), v) for v, b in vectors.items() if v != q and len(a) == len(b))
-            out |= {(q, n + 1, v, -s) for n, (s, v) in enumerate(scored[:k])}
+            out |= {(q, n + 1, v, max(-(2**63), min(2**63 - 1, -s))) for n, (s, v) in enumerate(scored[:k])}
     return out
 
 
@@ -56,7 +55,17 @@ def test_blocks_ties_and_negative_scores(spark, monkeypatch):
 def test_scores_beyond_a_long_are_held_at_its_ends(spark):
     rows = [(0, [1e12, 1e12]), (1, [1e12, 1e12]), (2, [-1e12, 1.0]), (4, [1e300, -1e300]), (6, [1.0, 1.0]), (8, [3e7, 3e7])]
     got = run(spark, rows, 5, 2)
-    assert got == brute(rows, 5, 2) and (0, 1, 1, 2**62) in got
+    assert got == brute(rows, 5, 2) and (0, 1, 1, 2**63 - 1) in got
+
+
+def test_scores_near_the_ends_of_a_long_are_exact(spark):
+    """Slices whose sums pass 2^61, whole scores just inside and outside a long, and large parts that cancel."""
+    rng = random.Random(5)
+    rows = [(0, [2.0**23, 0.0]), (1, [2.0**23, 0.0]), (2, [0.75 * 2.0**23, 0.0]), (3, [0.9 * 2.0**23, 0.0]), (5, [0.0, 1.0]), (7, [-(2.0**23), 3.0])]
+    assert run(spark, rows, 5, 10) == brute(rows, 5, 10)
+    wide = [(i, [rng.choice([-1, 1]) * rng.uniform(0.5, 1) * 2.0 ** rng.choice([20, 23, 24, 40]) for _ in range(6)]) for i in range(120)]
+    wide += [(200, [2.0**40, -(2.0**40), 1.0, 2.0**40, -(2.0**40), 1.0]), (201, [2.0**40] * 6), (210, [2.0**40, 2.0**40, 2.0, 2.0**40, 2.0**40, 3.0]), (211, [-(2.0**40)] * 6)]
+    assert run(spark, wide, 5, 10) == brute(wide, 5, 10)
 
 
 def test_an_id_repeated_with_other_vectors_counts_once(spark):
