@@ -178,9 +178,23 @@ def k11(spark, sf_dir):
     return al.chosen(turned, ["image"]).select("image", "method", F.round("m02").cast("long").alias("m02"), F.round("m12").cast("long").alias("m12"))
 
 
-@query("k12_tiled_deconvolution")
+def _deconvolution_sql(rounds: int) -> str:
+    """Tiles of 7 x 6 x 6 voxels (a core of 5 x 5 x 5 and its halo) as cells, the circular kernel as a table of pairs of cells, two joins a round."""
+    steps = "".join(f""", b{k} AS MATERIALIZED (SELECT t, c, tile, i, sum(w * v) AS b FROM e{k} JOIN nb ON j = cell GROUP BY t, c, tile, i),
+      g{k} AS MATERIALIZED (SELECT b.t, b.c, b.tile, j, sum(w * (u.v / greatest(b, 1e-6))) AS g FROM b{k} b JOIN u ON u.t = b.t AND u.c = b.c AND u.tile = b.tile AND u.cell = b.i JOIN nb ON nb.i = b.i GROUP BY b.t, b.c, b.tile, j),
+      e{k + 1} AS MATERIALIZED (SELECT e.t, e.c, e.tile, e.cell, greatest(e.v * g, 0) AS v FROM e{k} e JOIN g{k} g ON g.t = e.t AND g.c = e.c AND g.tile = e.tile AND g.j = e.cell)""" for k in range(rounds))
+    return V + f""", d AS (SELECT unnest(range(-2, 3)) AS dz), e AS (SELECT unnest(range(-1, 2)) AS dy), f AS (SELECT unnest(range(-1, 2)) AS dx), psf AS (SELECT dz, dy, dx, exp(-0.5e0 * (dz * dz + dy * dy + dx * dx)) AS w FROM d, e, f),
+      nb AS MATERIALIZED (SELECT (z * 6 + y) * 6 + x AS i, ((z - dz + 7) % 7 * 6 + (y - dy + 6) % 6) * 6 + (x - dx + 6) % 6 AS j, w / (SELECT sum(w) FROM psf) AS w FROM psf, (SELECT unnest(range(7)) AS z), (SELECT unnest(range(6)) AS y), (SELECT unnest(range(6)) AS x)),
+      o AS (SELECT az * 4 + ay * 2 + ax AS tile, az * 3 AS z0, ay * 4 AS y0, ax * 4 AS x0, az, ay, ax FROM (SELECT unnest([0, 1]) AS az), (SELECT unnest([0, 1]) AS ay), (SELECT unnest([0, 1]) AS ax)),
+      u AS MATERIALIZED (SELECT t, c, tile, ((z - z0) * 6 + y - y0) * 6 + x - x0 AS cell, CAST(v AS DOUBLE) AS v FROM voxels JOIN o ON z BETWEEN z0 AND z0 + 6 AND y BETWEEN y0 AND y0 + 5 AND x BETWEEN x0 AND x0 + 5),
+      e0 AS MATERIALIZED (SELECT t, c, tile, cell, greatest(avg(v) OVER (PARTITION BY t, c, tile), 1e-6) AS v FROM u){steps},
+      r AS (SELECT t, c, z0 + cell // 36 AS z, y0 + cell // 6 % 6 AS y, x0 + cell % 6 AS x, az, ay, ax, v FROM e{rounds} JOIN o USING (tile))
+    SELECT t, c, z, y, x, round(v, 2) AS v FROM r WHERE z // 5 = az AND y // 5 = ay AND x // 5 = ax"""
+
+
+@query("k12_tiled_deconvolution", _deconvolution_sql(5))
 def k12(spark, sf_dir):
-    return kernels.deconvolve(_v(spark, sf_dir), PSF, (W, H, D), (5, 5, 5), rounds=5)
+    return kernels.deconvolve(_v(spark, sf_dir), PSF, (W, H, D), (5, 5, 5), rounds=5).withColumn("v", F.round("v", 2))
 
 
 # Pixels of the mean projection over the threshold, joined to all they reach by their four neighbours; of components of equal size the first one in row order.
@@ -203,6 +217,16 @@ def t06(spark, sf_dir):
     return peaks.join(pt.first_maximum_z(_v(spark, sf_dir)), ["t", "c", "y", "x"])
 
 
-@query("t07_wanted_maxima")
+# The height of each peak over its saddle: of all ways to a pixel that ranks before it, the one whose lowest pixel is highest. Then the bisection over those heights.
+@query("t07_wanted_maxima", V.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT t, c, y, x, y * 10 + x AS i, max(v) AS v FROM voxels GROUP BY t, c, y, x),
+  k AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.t = a.t AND b.c = a.c AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.v > a.v OR (b.v = a.v AND b.i < a.i)))),
+  w AS (SELECT t, c, i AS peak, v AS top, y, x, v AS low FROM k UNION SELECT w.t, w.c, peak, top, p.y, p.x, least(low, p.v) FROM w JOIN p ON p.t = w.t AND p.c = w.c AND abs(p.y - w.y) <= 1 AND abs(p.x - w.x) <= 1),
+  h AS (SELECT w.t, w.c, peak, any_value(top) AS top, max(low) FILTER (p.v > top OR (p.v = top AND p.i < peak)) AS saddle, min(p.v) AS least_ FROM w JOIN p ON p.t = w.t AND p.c = w.c AND p.y = w.y AND p.x = w.x GROUP BY w.t, w.c, peak),
+  q AS (SELECT t, c, peak, CAST(top - coalesce(saddle, least_) AS DOUBLE) AS height FROM h), l AS (SELECT q.t, q.c, list(height) AS heights, any_value(span) AS span FROM q JOIN (SELECT t, c, CAST(max(v) - min(v) AS DOUBLE) AS span FROM p GROUP BY t, c) USING (t, c) GROUP BY q.t, q.c),
+  s AS (SELECT t, c, heights, 0 AS step, 0.0e0 AS lo, span AS hi, span AS best, len(list_filter(heights, lambda a: a >= span)) AS n, false AS done FROM l
+    UNION ALL SELECT t, c, heights, step + 1, CASE WHEN m > 8 THEN mid ELSE lo END, CASE WHEN m > 8 THEN hi ELSE mid END, CASE WHEN abs(m - 8) <= 1 OR abs(m - 8) < abs(n - 8) THEN mid ELSE best END, CASE WHEN abs(m - 8) < abs(n - 8) THEN m ELSE n END, abs(m - 8) <= 1
+    FROM (SELECT *, len(list_filter(heights, lambda a: a >= mid)) AS m FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE NOT done AND step < 10))),
+  z AS (SELECT t, c, best FROM s QUALIFY row_number() OVER (PARTITION BY t, c ORDER BY step DESC) = 1)
+  SELECT k.t, k.c, k.y, k.x, CAST(k.v AS DOUBLE) AS v FROM k JOIN q ON q.t = k.t AND q.c = k.c AND q.peak = k.i JOIN z ON z.t = k.t AND z.c = k.c WHERE height >= best""")
 def t07(spark, sf_dir):
     return kernels.maxima(_planes(spark, sf_dir), wanted=8)
