@@ -43,6 +43,38 @@ def voxel_size(record: Column) -> Column:
     return F.when(legacy_voxels(record), F.array(*[record["pixel"]] * 3)).otherwise(held)
 
 
+SKIP = "skip"
+# What a deskew run may do with the camera halves of a single file, and the view that shows the same.
+SINGLE_FILE = {
+    "whole image": ("side_by_side", "all"), "fold by midline": ("flip", "all"), "align with SIFT": ("flip_align_right", "all"), "align with SIFT matrix": ("flip_align_right", "all"),
+    "only left": ("stored", "left"), "only right": ("stored", "right"), "left & right separately": ("stored", "all"),
+}
+
+
+def view_of_settings(option: Column, combine: Column, order: Column, flip_half: Column, interpolate: Column, raw: Column | None = None) -> Column:
+    """The view that shows a result as the run that wrote it asked for: ``operation, selection, sources, flip_half, interpolate``.
+
+    A run that combined files takes its channels from the slots of ``order``, in their order and without the skipped
+    ones: whole widths side by side, halves mirrored on the ``flip_half`` side and aligned. A run of single files
+    always mirrors the right half. NULL for a raw dataset, for one of which nothing is recorded, and for
+    an option that is not known.
+    """
+    sources = F.filter(F.coalesce(order, F.array().cast("array<string>")), lambda s: s.isNotNull() & (s != SKIP))
+    combined = F.coalesce(combine, F.lit(False)) & (F.size(sources) > 0)
+    whole = F.exists(sources, lambda s: ~s.rlike("-(left|right)$"))
+    left = F.coalesce(flip_half == "left", F.lit(False))
+    nothing = F.array().cast("array<string>")
+
+    def view(operation, selection, chosen, side):
+        return F.struct(operation.alias("operation"), selection.alias("selection"), chosen.alias("sources"), side.alias("flip_half"), interpolate.alias("interpolate"))
+
+    together = F.when(whole, "side_by_side").when(left, "flip_align_left").otherwise("flip_align_right")
+    single = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in SINGLE_FILE.items() for x in (k, v[i])]), option)
+    out = F.when(combined, view(together, F.lit("configured"), sources, F.when(left & ~whole, "left").otherwise("right")))
+    out = out.when(single(0).isNotNull(), view(single(0), single(1), nothing, F.lit("right")))
+    return out if raw is None else F.when(~F.coalesce(raw, F.lit(False)), out)
+
+
 def environment(spark: SparkSession) -> dict[str, Column]:
     """Literals that stamp a run."""
     return {"spark_version": F.lit(spark.version), "time_zone": F.lit(spark.conf.get("spark.sql.session.timeZone")), "written": utc_stamp(F.current_timestamp())}

@@ -43,10 +43,16 @@ def split_deskew(volume: DataFrame, step: float, pixel: float, angle: float, ext
     return vx.concatenate(done, "x", widths)
 
 
-def multi_channel(volume: DataFrame, extents: tuple[int, int, int], matrices: dict[int, list[float]], slots: list[tuple[int, int]], geometry: tuple[float, float, float]) -> DataFrame:
-    """Halves, deskew, alignment of the channels that have a matrix, composition."""
+def multi_channel(volume: DataFrame, extents: tuple[int, int, int], matrices: dict[int, list[float]], slots: list[tuple[int, int]], geometry: tuple[float, float, float], mirrored: tuple[int, ...] = ()) -> DataFrame:
+    """Halves, deskew, alignment of the channels that have a matrix, composition.
+
+    The mirror of a channel is part of its deskew: x stays unmixed there, so it is a change of the key column
+    before the one resampling, and no pass of its own.
+    """
     width, height, depth = extents
-    deskewed = resample.deskew(canonical_halves(volume, width), *geometry, (width // 2, height, depth))
+    halves = canonical_halves(volume, width)
+    halves = halves.withColumn("x", F.when(F.col("c").isin(list(mirrored)), width // 2 - 1 - F.col("x")).otherwise(F.col("x")))
+    deskewed = resample.deskew(halves, *geometry, (width // 2, height, depth))
     plain = deskewed.filter(~F.col("c").isin(list(matrices)))
     _, tall, _ = resample.deskewed_size(*geometry, (width // 2, height, depth))
     aligned = [resample.align_voxels(deskewed.filter(F.col("c") == c), m, width // 2, tall) for c, m in matrices.items()]

@@ -35,9 +35,20 @@ def _distance2(scale: dict[str, float]) -> Column:
     return total
 
 
-def mutual_matches(fixed: DataFrame, moving: DataFrame, shift: tuple[float, float], radius: float) -> DataFrame:
-    """Pairs that are each other's nearest within a radius after a coarse shift; ties go to the smaller id."""
-    moved = moving.withColumns({"x": F.col("x") + shift[0], "y": F.col("y") + shift[1]})
+def credible(points: DataFrame, others: int) -> DataFrame:
+    """The brightest points, three times as many as there are others but 100 at least: fainter ones are no match for them."""
+    return brightest(points, max(100, 3 * others))
+
+
+def mutual_matches(fixed: DataFrame, moving: DataFrame, coarse: tuple[float, ...], radius: float) -> DataFrame:
+    """Pairs of credible points that are each other's nearest within a radius after a coarse map; ties go to the smaller id.
+
+    ``coarse`` is a shift (x, y) or a 2x3 matrix from moving to fixed.
+    """
+    a, b, c, d, e, f = coarse if len(coarse) == 6 else (1.0, 0.0, coarse[0], 0.0, 1.0, coarse[1])
+    counts = fixed.count(), moving.count()
+    fixed, moving = credible(fixed, counts[1]), credible(moving, counts[0])
+    moved = moving.select("id", (a * F.col("x") + b * F.col("y") + c).alias("x"), (d * F.col("x") + e * F.col("y") + f).alias("y"))
     d2 = _distance2({"x": 1.0, "y": 1.0})
     pairs = close_pairs(fixed.select("id", "x", "y"), moved.select("id", "x", "y"), {"x": radius, "y": radius}, d2 <= radius * radius).withColumn("d2", d2)
     best_a = F.row_number().over(Window.partitionBy("a_id").orderBy("d2", "b_id"))

@@ -52,6 +52,15 @@ def x03(spark, sf_dir):
     return pl.multi_channel(_v(spark, sf_dir), EXTENTS, {2: shift, 4: shift}, [(2, 1), (1, 2), (4, 3)], GEOMETRY)
 
 
+# The same with the right halves mirrored before they are moved.
+@query("x03_mirrored_channels", V + HALVES.replace("CASE WHEN x < 5 THEN x ELSE x - 5 END AS x", "CASE WHEN x < 5 THEN x ELSE 9 - x END AS x") + """, al AS (SELECT t, c, z, y, x, v FROM dk WHERE c IN (1, 3) UNION ALL
+    SELECT a.t, a.c, a.z, a.y, a.x, CASE WHEN a.x = 0 THEN 0 ELSE CAST(floor((a.v + b.v) / 2.0 + 0.5) AS BIGINT) END FROM dk a LEFT JOIN dk b ON b.t = a.t AND b.c = a.c AND b.z = a.z AND b.y = a.y AND b.x = a.x - 1 WHERE a.c IN (2, 4))
+    SELECT t, c, z, y, x, v FROM al""")
+def x03b(spark, sf_dir):
+    shift = [1.0, 0.0, 0.5, 0.0, 1.0, 0.0]
+    return pl.multi_channel(_v(spark, sf_dir), EXTENTS, {2: shift, 4: shift}, [(k, k) for k in (1, 2, 3, 4)], GEOMETRY, mirrored=(2, 4))
+
+
 @query("x04_canonical_halves", V + "SELECT t, 2 * c - CASE WHEN x < 5 THEN 1 ELSE 0 END AS c, z, y, CASE WHEN x < 5 THEN x ELSE x - 5 END AS x, v FROM voxels")
 def x04(spark, sf_dir):
     return pl.canonical_halves(_v(spark, sf_dir), 10)
@@ -166,6 +175,23 @@ def p31(spark, sf_dir):
 
 
 # Recorded pitches: of the pixel, as old writers gave them, anisotropic on purpose (not quite the old ones), none.
+# By the order's number: combined halves or whole widths with skipped slots, single files with every option, one that is not known, none, raw data.
+@query("p31_view_of_settings", """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 11 AS k, o_orderkey % 3 = 0 AS combine, o_orderkey % 2 = 0 AS flip_left, o_orderkey % 7 AS w FROM orders),
+    s AS (SELECT *, combine AND w <> 5 AS combined, w = 4 AS whole FROM o),
+    r AS (SELECT id, CASE WHEN k = 10 THEN NULL WHEN combined THEN CASE WHEN whole THEN 'side_by_side' WHEN flip_left THEN 'flip_align_left' ELSE 'flip_align_right' END
+        ELSE CASE k WHEN 0 THEN 'side_by_side' WHEN 1 THEN 'flip' WHEN 2 THEN 'flip_align_right' WHEN 3 THEN 'flip_align_right' WHEN 4 THEN 'stored' WHEN 5 THEN 'stored' WHEN 6 THEN 'stored' END END AS operation,
+      CASE WHEN combined THEN 'configured' WHEN k = 4 THEN 'left' WHEN k = 5 THEN 'right' ELSE 'all' END AS selection, CASE WHEN NOT combined THEN '' WHEN whole THEN '_Channel0002-whole,_Channel0001-whole' ELSE '_Channel0002-right,_Channel0001-left' END AS sources,
+      CASE WHEN combined AND NOT whole AND flip_left THEN 'left' ELSE 'right' END AS flip_half FROM s)
+    SELECT id, operation, CASE WHEN operation IS NOT NULL THEN selection END AS selection, CASE WHEN operation IS NOT NULL THEN sources END AS sources, CASE WHEN operation IS NOT NULL THEN flip_half END AS flip_half FROM r""")
+def p31b(spark, sf_dir):
+    options = F.array(*[F.lit(x) for x in [*provenance.SINGLE_FILE, "by hand", None, None, "whole image"]])
+    order = "CASE o_orderkey % 7 WHEN 5 THEN array('skip', NULL) WHEN 4 THEN array('_Channel0002-whole', 'skip', '_Channel0001-whole') ELSE array('_Channel0002-right', 'skip', '_Channel0001-left', 'skip') END"
+    o = views.table(spark, sf_dir, "orders")
+    k = F.expr("CAST(o_orderkey % 11 AS INT)")
+    view = provenance.view_of_settings(F.get(options, k), F.col("o_orderkey") % 3 == 0, F.expr(order), F.expr("if(o_orderkey % 2 = 0, 'left', 'right')"), F.lit(True), k == 10)
+    return o.select(F.col("o_orderkey").alias("id"), view.alias("v")).select("id", "v.operation", "v.selection", F.array_join("v.sources", ",").alias("sources"), "v.flip_half")
+
+
 @query("h13_provenance_voxel", """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '0.116,0.116,0.116' WHEN 1 THEN '0.116,0.116,0.116' WHEN 2 THEN '0.116,0.105,0.112' END AS voxel, o_orderkey % 4 = 1 AS legacy FROM orders""")
 def h13(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(

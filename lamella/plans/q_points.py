@@ -28,6 +28,17 @@ def j03(spark, sf_dir):
     return pt.mutual_matches(*_halves(spark, sf_dir), (3.0, -2.0), 20.0).withColumn("d2", F.round("d2", 6))
 
 
+# A few hundred faint channel's spots against thousands: the brighter list is cut to three times theirs.
+@query("j03_credible_matches", f"WITH {views.POINTS}, few AS (SELECT * FROM points WHERE id % 50 = 7), n AS (SELECT greatest(100, 3 * count(*)) AS most FROM few), many AS (SELECT * FROM points WHERE id % 50 <> 7 QUALIFY row_number() OVER (ORDER BY response DESC, y, x, id) <= (SELECT most FROM n))" + """,
+  d AS (SELECT m.id AS fixed_id, f.id AS moving_id, (m.x - (0.999e0 * f.x - 0.02e0 * f.y + 3)) ** 2 + (m.y - (0.02e0 * f.x + 0.999e0 * f.y - 2)) ** 2 AS d2 FROM many m, few f),
+  r AS (SELECT *, row_number() OVER (PARTITION BY fixed_id ORDER BY d2, moving_id) AS ra, row_number() OVER (PARTITION BY moving_id ORDER BY d2, fixed_id) AS rb FROM d)
+  SELECT fixed_id, moving_id, round(d2, 6) AS d2 FROM r WHERE ra = 1 AND rb = 1 AND d2 <= 400""")
+def j03b(spark, sf_dir):
+    p = views.points(spark, sf_dir)
+    found = pt.mutual_matches(p.filter("id % 50 <> 7"), p.filter("id % 50 = 7"), (0.999, -0.02, 3.0, 0.02, 0.999, -2.0), 20.0)
+    return found.withColumn("d2", F.round("d2", 6))
+
+
 @query("a30_rigid_fit", MATCH_SQL + """, p AS (SELECT fixed_id % 7 AS k, fx, fy, mx, my FROM r WHERE ra = 1 AND rb = 1),
   c AS (SELECT k, count(*) AS n, avg(fx) AS cfx, avg(fy) AS cfy, avg(mx) AS cmx, avg(my) AS cmy FROM p GROUP BY k),
   s AS (SELECT k, any_value(n) AS n, any_value(cfx) AS cfx, any_value(cfy) AS cfy, any_value(cmx) AS cmx, any_value(cmy) AS cmy,
