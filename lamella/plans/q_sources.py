@@ -1,5 +1,7 @@
 """Queries through sources and sinks: stores, TIFF files, parameter and alignment texts, logs."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from lamella.operators import catalogue as cat, voxels as vx
@@ -9,6 +11,7 @@ from lamella.plans import views
 from lamella.plans.q_catalogue import LOG_SQL, _log
 from lamella.plans.registry import query
 from lamella.sources import ome_zarr, text, tiff
+from lamella.streaming import looks
 from lamella.streaming.jobs import drain, shared_folder
 
 V = f"WITH {views.VOXELS} "
@@ -217,6 +220,25 @@ def r17(spark, sf_dir):
     return drain(spark.readStream.format("growing_store").load(root)).select(F.col("t").cast("long").alias("t"), "label")
 
 
+@query("r01_looks_by_tasks", V + "SELECT DISTINCT printf('v_Time%06d_Channel%04d.tif', CAST(t AS INTEGER), CAST(c AS INTEGER)) AS name, t % 3 = 1 AS gone FROM voxels WHERE t % 3 < 2")
+def r01b(spark, sf_dir):
+    """Two looks at a folder of which, between them, some files are taken away and some come back with an older time."""
+    from lamella.functions.names import base_name
+
+    root, _ = _tiffs(spark, sf_dir)
+    kept = shared_folder(spark)
+    takes = sorted(n for n in os.listdir(root) if n.endswith(".tif"))
+    before = looks.take_look(spark, root, kept, 1, (".tif",))
+    for name in takes:
+        time = int(name[6:12])
+        if time % 3 == 1:
+            os.remove(f"{root}/{name}")
+        elif time % 3 == 0:
+            os.utime(f"{root}/{name}", (10**9, 10**9))
+    told = looks.changes(before, looks.take_look(spark, root, kept, 2, (".tif",)))
+    return told.select(base_name(F.col("path")).alias("name"), (F.col("size") == -1).alias("gone"))
+
+
 @query("r01_folder_listing", V + "SELECT DISTINCT printf('v_Time%06d_Channel%04d.tif', CAST(t AS INTEGER), CAST(c AS INTEGER)) AS name FROM voxels")
 def r01(spark, sf_dir):
     from lamella.functions.names import base_name
