@@ -43,3 +43,20 @@ def test_notices_and_broken_lines_are_found(spark, known):
     ]
     got = {r[0]: (r[1], r[3]) for r in ls.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", True), 2: ("Apache-2.0", False), 3: ("GPL-3.0-or-later", False), 4: ("Unlicense", True)}
+
+
+def test_long_lists_are_searched_in_pages(spark, known, monkeypatch):
+    texts = [(k, f"before\n{known[name]}\nafter") for k, name in enumerate(("GPL-3.0", "Apache-2.0", "BSD-3-Clause", "MPL-2.0"))]
+    df = spark.createDataFrame([*texts, (9, "nothing of that kind")], "doc_id long, text string")
+    one = {r.doc_id: tuple(r) for r in ls.license_scan(df).collect()}
+    monkeypatch.setattr(ls, "PAGE_BYTES", 40_000)
+    assert {r.doc_id: tuple(r) for r in ls.license_scan(df).collect()} == one and sorted(one) == [0, 1, 2, 3]
+
+
+def test_nulls_empty_table_and_long_text(spark, known):
+    schema = "doc_id long, text string, licenses string, digest string, c long"
+    assert ls.license_scan(spark.createDataFrame([], schema)).count() == 0
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(None, known["MIT"] if "MIT" in known else ls._MIT, "x", "y", 1), (1, None, "x", "y", 1), (2, "", "x", "y", 1), (3, f"{long}\n{known['Apache-2.0']}\n{long}", "x", "y", 1)]
+    got = {r.doc_id: (r.licenses, r.whole_text) for r in ls.license_scan(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {None: ("MIT", True), 3: ("Apache-2.0", False)}
