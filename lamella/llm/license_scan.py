@@ -11,7 +11,6 @@ runs of normalised words with equal 128 hash bits.
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -19,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm._shared import bounded_batches, durable, read
+from lamella.llm._shared import bounded_batches, read
 from lamella.llm._words import word_hashes
 from lamella.llm.line_dedup import _hash, _lanes
 
 RUN = 20
-PAGE_BYTES = 32_000_000  # of long known texts that a task holds at a time
+LONG_BYTES = 64_000_000
 HEAD = 8  # words of a run by which candidates are found
 
 # Spellings that licence matching treats as equal (right becomes left).
@@ -211,14 +210,18 @@ def license_scan(df: DataFrame, known: DataFrame | None = None, id_col="doc_id",
     ``license_id, text``; of ids with one canonical text the smallest counts. The join
     is left to the planner: a short list of digests is broadcast by its size, a long one
     is shuffled by digest. Null and empty texts match nothing; rows that repeat an id
-    are one document; an empty table gives an empty result; extra columns are not read.
+    are one document; an empty table gives an empty result; extra columns are not read. Known
+    texts of RUN words or more are held by every task, so a list of over LONG_BYTES of them is refused.
     """
     known = known_table(df.sparkSession) if known is None else known
     bounded_batches(df.sparkSession)
     digests = known.select("license_id", canonical(F.col("text")).alias("c")).filter("c <> ''")
     digests = digests.groupBy(F.unhex(F.sha2("c", 256)).alias("digest"), "c").agg(F.min("license_id").alias("license_id"))
-    long_ones = durable(digests.filter(F.size(F.split("c", " ")) >= RUN).select("license_id", "c", "digest"))
-    pages = max(1, -(-(long_ones.agg(F.sum(F.octet_length("c"))).first()[0] or 0) // PAGE_BYTES))
+    long_texts = digests.filter(F.size(F.split("c", " ")) >= RUN).select("license_id", "c", "digest")
+    size = long_texts.agg(F.sum(F.octet_length("c"))).first()[0] or 0
+    if size > LONG_BYTES:
+        raise ValueError(f"long known texts of {size} bytes; every task holds them, {LONG_BYTES} at most")
+    long_ones = long_texts.collect()
     digests = digests.drop("c")
     lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: _digest(x))
     whole = F.array(_digest(F.col(text_col)))
@@ -227,10 +230,7 @@ def license_scan(df: DataFrame, known: DataFrame | None = None, id_col="doc_id",
     found = found.select("doc_id", "digest", "license_id", (F.col("place") == 0).alias("whole"), F.lit(False).alias("run"))
     rows = df.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("c"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, license_id string, whole boolean"
-    # Tasks hold a page of the long texts; a list of more than PAGE_BYTES takes a pass for each page.
-    paged = long_ones.withColumn("page", F.pmod(F.xxhash64("digest"), F.lit(pages)))
-    held = ([tuple(r) for r in paged.filter(F.col("page") == k).drop("page").collect()] for k in range(pages))
-    runs = reduce(DataFrame.union, [rows.mapInArrow(_find_runs(own), schema) for own in held]).withColumn("run", F.lit(True))
+    runs = rows.mapInArrow(_find_runs([tuple(r) for r in long_ones]), schema).withColumn("run", F.lit(True))
     n_whole, n_line, n_run = (F.count_if(x) for x in (F.expr("whole AND NOT run"), F.expr("NOT whole AND NOT run"), F.col("run")))
     n = n_whole + n_line + F.greatest(F.lit(0), n_run - F.greatest(n_whole, n_line))  # a run can be a line or the whole text
     each = found.union(runs).groupBy("doc_id", "digest", "license_id").agg(n.alias("n"), F.bool_or("whole").alias("whole"))

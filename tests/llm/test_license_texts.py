@@ -45,12 +45,10 @@ def test_notices_and_broken_lines_are_found(spark, known):
     assert got == {1: ("MIT", True), 2: ("Apache-2.0", False), 3: ("GPL-3.0-or-later", False), 4: ("Unlicense", True)}
 
 
-def test_long_lists_are_searched_in_pages(spark, known, monkeypatch):
-    texts = [(k, f"before\n{known[name]}\nafter") for k, name in enumerate(("GPL-3.0", "Apache-2.0", "BSD-3-Clause", "MPL-2.0"))]
-    df = spark.createDataFrame([*texts, (9, "nothing of that kind")], "doc_id long, text string")
-    one = {r.doc_id: tuple(r) for r in ls.license_scan(df).collect()}
-    monkeypatch.setattr(ls, "PAGE_BYTES", 40_000)
-    assert {r.doc_id: tuple(r) for r in ls.license_scan(df).collect()} == one and sorted(one) == [0, 1, 2, 3]
+def test_a_list_too_long_for_tasks_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(ls, "LONG_BYTES", 1000)
+    with pytest.raises(ValueError, match="every task holds them"):
+        ls.license_scan(spark.createDataFrame([(1, "MIT")], "doc_id long, text string"))
 
 
 def test_nulls_empty_table_and_long_text(spark, known):
