@@ -38,7 +38,7 @@ MIN_LINES = 2
 MIN_WORDS = 10
 PASSAGE = 50
 ANCHOR = 25
-BITS_PER_KEY = 16
+BITS_PER_KEY = 128  # one bit a key is set, so about one other key in so many passes by chance
 MOST_BITS = 1 << 30  # 128 MB; beyond, the filter gets fuller and lets more through to the grouping, it loses nothing
 BLOCK_BITS = 1 << 16
 
