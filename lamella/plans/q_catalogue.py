@@ -342,10 +342,11 @@ def u05(spark, sf_dir):
     return p.exceptAll(usable)
 
 
-@query("u06_output_clashes", "WITH o AS (SELECT o_orderkey AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'OUT' ELSE 'out' END || (o_orderkey // 3) AS output FROM orders WHERE o_orderstatus = 'F') SELECT dataset, output FROM o QUALIFY count(*) OVER (PARTITION BY lower(output)) > 1")
+@query("u06_output_clashes", "WITH o AS (SELECT o_orderkey AS dataset, CASE WHEN o_orderstatus <> 'F' THEN 'own' || o_orderkey ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'OUT' ELSE 'out' END || (o_orderkey // 3) END AS output FROM orders) SELECT dataset, output FROM o QUALIFY count(*) OVER (PARTITION BY lower(output)) > 1")
 def u06(spark, sf_dir):
-    o = views.table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    return cat.output_clashes(o.select(F.col("o_orderkey").alias("dataset"), F.expr("concat(CASE WHEN o_orderkey % 2 = 0 THEN 'OUT' ELSE 'out' END, o_orderkey div 3)").alias("output")))
+    o = views.table(spark, sf_dir, "orders")
+    output = "CASE WHEN o_orderstatus <> 'F' THEN concat('own', o_orderkey) ELSE concat(CASE WHEN o_orderkey % 2 = 0 THEN 'OUT' ELSE 'out' END, o_orderkey div 3) END"
+    return cat.output_clashes(o.select(F.col("o_orderkey").alias("dataset"), F.expr(output).alias("output")))
 
 
 # Files with faults by their numbers; then the checks one after the other.

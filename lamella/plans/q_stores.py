@@ -171,7 +171,7 @@ def h14(spark, sf_dir):
 def r02(spark, sf_dir):
     from lamella.streaming.sources import files_as_stream
 
-    orders = files_as_stream(spark, f"{sf_dir}/orders.parquet").filter("o_orderstatus <> 'P'")
+    orders = files_as_stream(spark, f"{sf_dir}/orders.parquet")
     path = F.concat(F.lit("f"), F.col("o_orderkey"))
     announced = orders.filter("o_orderkey % 3 > 0").select(path.alias("path"))
     listed = orders.filter("o_orderkey % 2 = 0").select(path.alias("path"))

@@ -13,9 +13,9 @@ FILES = f"WITH {views.FILES} "
 
 
 def _files(spark, sf_dir):
-    orders = files_as_stream(spark, f"{sf_dir}/orders.parquet").filter("o_orderstatus <> 'P'")
+    orders = files_as_stream(spark, f"{sf_dir}/orders.parquet")
     return orders.select(
-        F.expr("1 + o_orderkey % 3").alias("position"), F.expr("o_orderkey div 12").alias("time_id"), F.expr("1 + (o_orderkey div 3) % 4").alias("channel"),
+        F.expr("1 + o_orderkey % 3 + CASE WHEN o_orderstatus = 'P' THEN 3 ELSE 0 END").alias("position"), F.expr("o_orderkey div 12").alias("time_id"), F.expr("1 + (o_orderkey div 3) % 4").alias("channel"),
         F.col("o_orderdate").alias("mtime"), F.col("o_orderkey").alias("size"),
     )
 

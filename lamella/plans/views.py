@@ -13,9 +13,9 @@ VOXELS = """voxels AS (
   FROM events)"""
 
 FILES = """files AS (
-  SELECT 1 + o_orderkey % 3 AS position, o_orderkey // 12 AS time_id, 1 + (o_orderkey // 3) % 4 AS channel,
+  SELECT 1 + o_orderkey % 3 + CASE WHEN o_orderstatus = 'P' THEN 3 ELSE 0 END AS position, o_orderkey // 12 AS time_id, 1 + (o_orderkey // 3) % 4 AS channel,
          o_orderdate AS mtime, o_orderkey AS size
-  FROM orders WHERE o_orderstatus <> 'P')"""
+  FROM orders)"""
 
 POINTS = """points AS (
   SELECT p_partkey AS id, (p_partkey * 37) % 512 + p_size / 100.0 AS x,
@@ -40,12 +40,11 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per arriving file of a multi-position, multi-channel acquisition."""
+    """One row per arriving file of a multi-position, multi-channel acquisition; what pending orders take from positions 1 to 3 is at 4 to 6."""
     return (
         table(spark, sf_dir, "orders")
-        .filter("o_orderstatus <> 'P'")
         .select(
-            F.expr("1 + o_orderkey % 3").alias("position"),
+            F.expr("1 + o_orderkey % 3 + CASE WHEN o_orderstatus = 'P' THEN 3 ELSE 0 END").alias("position"),
             F.expr("o_orderkey div 12").alias("time_id"),
             F.expr("1 + (o_orderkey div 3) % 4").alias("channel"),
             F.col("o_orderdate").alias("mtime"),
