@@ -130,12 +130,9 @@ def file_states(looks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
                 if known is None or now != known[2]:
                     out.append((key[0], int(r.seq), now, why))
                 known = (*(map(int, after) if changed and now == "INCOMPLETE" else (int(r.size), int(r.mtime))), now)
-            if known[2] == "REMOVED":
-                state.remove()  # a file that comes back begins anew
-            else:
-                state.update(known)
-                if timeout_ms:
-                    state.setTimeoutDuration(timeout_ms)
+            state.update(known)  # also of a removed file, so that a further look at nothing tells nothing
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["path", "seq", "state", "reason"])
 
     return looks.groupBy("path").applyInPandasWithState(

@@ -64,3 +64,12 @@ def test_states_over_batches_equal_states_in_one(spark):
     one, many = (sorted(map(tuple, jobs.drain(state.file_states(replayed(df, "seq", n)), "update").collect()), key=lambda r: r[1]) for n in (1, 5))
     assert one == many
     assert [(s, x) for _, s, x, _ in one] == [(0, "PENDING"), (2, "INCOMPLETE"), (3, "PENDING"), (5, "COMPLETE"), (6, "REMOVED"), (7, "PENDING"), (8, "COMPLETE")]
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_a_removed_file_is_told_once_over_batches(spark, batches):
+    """Looks at nothing go on in the next batch; what comes back begins anew."""
+    rows = [(k, "a", size, 0, 9, 9) for k, size in enumerate([5, 5, -1, -1, -1, -1, 5, 5])]
+    df = spark.createDataFrame(rows, "seq long, path string, size long, mtime long, planes int, expected int")
+    got = jobs.drain(state.file_states(replayed(df, "seq", batches)), "update").collect()
+    assert sorted((r.seq, r.state) for r in got) == [(0, "PENDING"), (1, "COMPLETE"), (2, "REMOVED"), (6, "PENDING"), (7, "COMPLETE")]
