@@ -47,7 +47,7 @@ def pending(files: DataFrame, root: str) -> DataFrame:
 def files_to_store(files: DataFrame, root: str, split: bool = False, chunk: int = ome_zarr.CHUNK_XY, **options) -> int:
     """Convert the files of one dataset (path, t, c from 0, label of the time point) into a store, going on where one was begun.
 
-    All files have the shape of the plan; with ``split``, halves become channels. Returns the number of committed time points.
+    All files have the shape of the plan; with ``split``, halves become channels. A new store has 32-bit pixels if a file has. Returns the number of committed time points.
     """
     spark = files.sparkSession
     ome_zarr.register(spark)
@@ -61,6 +61,8 @@ def files_to_store(files: DataFrame, root: str, split: bool = False, chunk: int
     planes = _halved(planes) if split else planes
     width, channels = (shape["width"] // 2, 2 * count["c"]) if split else (shape["width"], count["c"])
     depth = shape["channels"] * shape["slices"] * shape["frames"]
+    if "dtype" not in options and not os.path.exists(os.path.join(root, "s0", ".zarray")):
+        options["dtype"] = "<u4" if tiff.bits(todo).agg(F.max("bits")).first()[0] > 16 else "<u2"
     begun = ome_zarr.metadata(root)["committed"] if os.path.exists(os.path.join(root, "s0", ".zarray")) else 0
     size = f"{count['t']},{channels},{depth},{shape['height']},{width}"
     writer = ome_zarr.plane_chunks(planes, chunk).write.format("ome_zarr").options(shape=size, chunk=chunk, complete="true", time_labels=json.dumps(labels[begun:]), **options)
@@ -85,7 +87,7 @@ def store_to_files(spark: SparkSession, root: str, folder: str, name: str = NAME
     todo = _missing(volumes.withColumn("file", F.format_string(name, "t", "c")), folder, overwrite).select("t", "c")
     number = todo.count()
     if number:
-        _write(tiff.to_files(ome_zarr.store_planes(todo, root), name), folder, deflate, overwrite)
+        _write(tiff.to_files(ome_zarr.store_planes(todo, root), name, bits=32 if m["dtype"] == "<u4" else 16), folder, deflate, overwrite)
     return number
 
 
@@ -97,7 +99,7 @@ def deflate_files(files: DataFrame, folder: str, overwrite: bool = False) -> int
     todo = _missing(named, folder, overwrite).select(F.col("source").alias("path"), "file")
     number = todo.count()
     if number:
-        planes = tiff.planes(todo, "file").drop("path").withColumnRenamed("file", "name")
+        planes = tiff.planes(todo.join(tiff.bits(todo), "path"), "file", "bits").drop("path").withColumnRenamed("file", "name")
         _write(tiff.to_files(planes, "%s", ("name",)), folder, True, overwrite)
     return number
 

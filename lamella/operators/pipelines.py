@@ -87,7 +87,7 @@ def view(volume: DataFrame, channels: list[int], box: tuple[int, ...], operation
     raise ValueError(f"unknown operation {operation}")
 
 
-def region_export(volume: DataFrame, target: str, box: tuple[int, ...], channels: list[int], times: tuple[int, int], sink: str = "store", overwrite: bool = False, **options) -> str:
+def region_export(volume: DataFrame, target: str, box: tuple[int, ...], channels: list[int], times: tuple[int, int], sink: str = "store", overwrite: bool = False, bits: int = 16, **options) -> str:
     """Write a box of some channels and time points (first to last) to a store or to TIFF files; returns ``target``.
 
     The result has its own numbering of channels (in the given order) and of time points, from
@@ -101,15 +101,15 @@ def region_export(volume: DataFrame, target: str, box: tuple[int, ...], channels
     width, height, depth = box[1] - box[0] + 1, box[3] - box[2] + 1, box[5] - box[4] + 1
     mode = "overwrite" if overwrite else "append"
     if sink == "store":
-        ome_zarr.write_store(out, target, (width, height, depth), times[1] - times[0] + 1, len(channels), mode=mode, complete="true", **options)
+        ome_zarr.write_store(out, target, (width, height, depth), times[1] - times[0] + 1, len(channels), mode=mode, complete="true", dtype="<u4" if bits > 16 else "<u2", **options)
     elif sink == "tiff":
-        tiff.to_files(vx.to_planes(out, width, height), "Time%06d_Channel%04d.tif").write.format("planes_tiff").options(**options).mode(mode).save(target)
+        tiff.to_files(vx.to_planes(out, width, height), "Time%06d_Channel%04d.tif", bits=bits).write.format("planes_tiff").options(**options).mode(mode).save(target)
     else:
         raise ValueError(f"unknown sink {sink}")
     return target
 
 
-def live_deskew(groups: DataFrame, volume: DataFrame, root: str, geometry: tuple[float, float, float], extents: tuple[int, int, int], channels: int, checkpoint: str) -> None:
+def live_deskew(groups: DataFrame, volume: DataFrame, root: str, geometry: tuple[float, float, float], extents: tuple[int, int, int], channels: int, checkpoint: str, dtype: str = "<u2") -> None:
     """Follow complete time points (a stream with ``t``), deskew their halves and append them and their projections to a store, once each.
 
     A micro-batch writes its new time points in order after those that the store has committed, by
@@ -130,7 +130,7 @@ def live_deskew(groups: DataFrame, volume: DataFrame, root: str, geometry: tuple
         six = project.six_projections(deskewed)
         views = {f"{kind}{axis}": six.filter(F.col("view") == axis).select("t", "c", "h", "w", F.col(f"{kind}_v").alias("v")) for kind in ("max", "mean") for axis in "XYZ"}
         labels = json.dumps([f"t{t:06d}" for t in fresh])
-        ome_zarr.write_store(deskewed, root, size, len(known) + len(fresh), 2 * channels, views=views, time_labels=labels)
+        ome_zarr.write_store(deskewed, root, size, len(known) + len(fresh), 2 * channels, views=views, time_labels=labels, dtype=dtype)
 
     query = groups.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()

@@ -23,17 +23,17 @@ def _folder(spark) -> str:
 
 
 def _store(spark, sf_dir, voxels=None, chunk=8, whole=True, **options) -> str:
-    """A new store of the voxels (channels from 0); without ``whole``, chunks without voxels stay absent."""
+    """A new store of the voxels (channels from 0), whose values may pass 16 bits; without ``whole``, chunks without voxels stay absent."""
     voxels = views.voxels(spark, sf_dir) if voxels is None else voxels
     ome_zarr.register(spark)
     n = voxels.agg(*[(F.max(k) + 1).alias(k) for k in "tczyx"]).first()
     root = _folder(spark) + "/a.zarr"
     shifted = voxels.withColumn("c", F.col("c") - 1)
     if whole:
-        ome_zarr.write_store(shifted, root, (n["x"], n["y"], n["z"]), n["t"], n["c"] - 1, chunk, **options)
+        ome_zarr.write_store(shifted, root, (n["x"], n["y"], n["z"]), n["t"], n["c"] - 1, chunk, dtype="<u4", **options)
     else:
         shape = f"{n['t']},{n['c'] - 1},{n['z']},{n['y']},{n['x']}"
-        ome_zarr.to_chunks(shifted, chunk).write.format("ome_zarr").options(shape=shape, chunk=chunk).mode("append").save(root)
+        ome_zarr.to_chunks(shifted, chunk).write.format("ome_zarr").options(shape=shape, chunk=chunk, dtype="<u4").mode("append").save(root)
     return root
 
 
@@ -45,7 +45,7 @@ def _whole(spark, root, **options):
 def _tiffs(spark, sf_dir, deflate="true"):
     spark.dataSource.register(tiff.PlanesTiff)
     root = _folder(spark)
-    tiff.to_files(vx.to_planes(views.voxels(spark, sf_dir), 10, 10), "v_Time%06d_Channel%04d.tif").write.format("planes_tiff").option("deflate", deflate).mode("append").save(root)
+    tiff.to_files(vx.to_planes(views.voxels(spark, sf_dir), 10, 10), "v_Time%06d_Channel%04d.tif", bits=32).write.format("planes_tiff").option("deflate", deflate).mode("append").save(root)
     names = views.voxels(spark, sf_dir).select("t", "c").distinct().withColumn("path", F.concat(F.lit(root + "/"), F.format_string("v_Time%06d_Channel%04d.tif", "t", "c")))
     return root, names
 
@@ -101,7 +101,7 @@ def _projected(spark, sf_dir):
 def s20(spark, sf_dir):
     ome_zarr.register(spark)
     box = vx.clamp_box(4, 1, 20, 7, 2, 4, 10, 10, 10)
-    return _whole(spark, region_export(views.voxels(spark, sf_dir), _folder(spark) + "/r.zarr", box, [2, 1], (1, 3)))
+    return _whole(spark, region_export(views.voxels(spark, sf_dir), _folder(spark) + "/r.zarr", box, [2, 1], (1, 3), bits=32))
 
 
 @query("s20_region_files", V + "SELECT t - 1 AS t, c - 1 AS c, z - 2 AS z, y - 1 AS y, x - 4 AS x, v FROM voxels WHERE z BETWEEN 2 AND 4 AND y BETWEEN 1 AND 7 AND x BETWEEN 4 AND 9 AND t BETWEEN 1 AND 3")
@@ -109,7 +109,7 @@ def s20b(spark, sf_dir):
     spark.dataSource.register(tiff.PlanesTiff)
     box = vx.clamp_box(4, 1, 20, 7, 2, 4, 10, 10, 10)
     v = views.voxels(spark, sf_dir)
-    root = region_export(v, _folder(spark) + "/r", box, [1, 2], (1, 3), sink="tiff", deflate="true")
+    root = region_export(v, _folder(spark) + "/r", box, [1, 2], (1, 3), sink="tiff", bits=32, deflate="true")
     names = v.filter("t BETWEEN 1 AND 3").select((F.col("t") - 1).alias("t"), (F.col("c") - 1).alias("c")).distinct()
     names = names.withColumn("path", F.concat(F.lit(root + "/"), F.format_string("Time%06d_Channel%04d.tif", "t", "c")))
     return vx.to_voxels(tiff.planes(names).join(names, "path").select("t", "c", "z", "width", "px")).withColumn("v", F.col("v").cast("int"))

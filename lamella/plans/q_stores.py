@@ -56,7 +56,7 @@ def s19b(spark, sf_dir):
     root, out = _folder(spark), None
     for view, kind in (("maxZ", "max"), ("meanZ", "mean")):
         pixels = pj.projection(views.voxels(spark, sf_dir), "z", kind).withColumn("z", F.lit(0).cast("long"))
-        tiff.to_files(vx.to_planes(pixels, 10, 10), f"{view}/v_Time%06d_Channel%04d-{view}.tif").write.format("planes_tiff").option("deflate", "true").mode("append").save(root)
+        tiff.to_files(vx.to_planes(pixels, 10, 10), f"{view}/v_Time%06d_Channel%04d-{view}.tif", bits=32).write.format("planes_tiff").option("deflate", "true").mode("append").save(root)
         names = pixels.select("t", "c").distinct().withColumn("path", F.concat(F.lit(f"{root}/{view}/"), F.format_string(f"v_Time%06d_Channel%04d-{view}.tif", "t", "c")))
         rows = vx.to_voxels(tiff.planes(names).join(names, "path").select("t", "c", "z", "width", "px")).select("t", "c", F.lit(view).alias("view"), "y", "x", F.col("v").cast("long").alias("v"))
         out = rows if out is None else out.union(rows)
@@ -67,7 +67,7 @@ def s19b(spark, sf_dir):
 def s19(spark, sf_dir):
     root, names = _tiffs(spark, sf_dir)
     # A second write leaves complete files as they are.
-    tiff.to_files(vx.to_planes(views.voxels(spark, sf_dir), 10, 10), "v_Time%06d_Channel%04d.tif").write.format("planes_tiff").mode("append").save(root)
+    tiff.to_files(vx.to_planes(views.voxels(spark, sf_dir), 10, 10), "v_Time%06d_Channel%04d.tif", bits=32).write.format("planes_tiff").mode("append").save(root)
     return tiff.structure(names).join(names, "path").select("t", "c", F.col("ready").alias("complete"))
 
 
@@ -106,7 +106,7 @@ def r11b(spark, sf_dir):
     folder, root = _folder(spark), _folder(spark) + "/stream.zarr"
     vx.to_planes(v, 10, 10).repartition(8, "t", "c", "z").write.parquet(folder)
     chunks = ome_zarr.plane_chunks(files_as_stream(spark, folder, files_per_trigger=1), 8)
-    sink = chunks.writeStream.format("ome_zarr").options(path=root, shape=f"{n['t']},{n['c']},{n['z']},10,10", chunk=8, run="all", checkpointLocation=jobs.shared_folder(spark))
+    sink = chunks.writeStream.format("ome_zarr").options(path=root, shape=f"{n['t']},{n['c']},{n['z']},10,10", chunk=8, dtype="<u4", run="all", checkpointLocation=jobs.shared_folder(spark))
     sink.trigger(availableNow=True).start().awaitTermination()
     return _whole(spark, root)
 
@@ -190,7 +190,7 @@ def x10(spark, sf_dir):
     arrivals = events.filter("event_id % 1000 = 0").select(F.lit(1).cast("long").alias("position"), F.expr("event_id div 2000").alias("time_id"), F.expr("(event_id div 1000) % 2 + 1").alias("channel"))
     ready = state.complete_groups(arrivals, [1, 2]).filter("status = 'complete'").select(F.col("time_id").alias("t"))
     root = _folder(spark) + "/live.zarr"
-    pl.live_deskew(ready, views.voxels(spark, sf_dir), root, (0.265, 0.116, 25.0), (10, 10, 10), 2, jobs.shared_folder(spark))
+    pl.live_deskew(ready, views.voxels(spark, sf_dir), root, (0.265, 0.116, 25.0), (10, 10, 10), 2, jobs.shared_folder(spark), dtype="<u4")
     if not os.path.exists(root):  # no capture was whole
         return spark.createDataFrame([], "t long, c long, view string, z long, y long, x long, v long")
     parts = [_whole(spark, root, **({} if view == "volume" else {"projection": view})).withColumn("view", F.lit(view)) for view in ("volume", "maxZ", "meanX")]
