@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.streaming.jobs import shared_folder
+
 
 def cells(points: DataFrame, axes: dict[str, float], spread: bool) -> DataFrame:
     """Bucket key per axis (floor(position / radius)); ``spread`` also lists the neighbouring cells.
@@ -19,12 +21,41 @@ def cells(points: DataFrame, axes: dict[str, float], spread: bool) -> DataFrame:
     return out
 
 
-def close_pairs(left: DataFrame, right: DataFrame, axes: dict[str, float], inside: Column) -> DataFrame:
-    """Pairs (columns of left as a_*, of right as b_*) for which ``inside`` holds."""
-    keys = [f"_{a}" for a in axes]
-    a = cells(left.select([F.col(c).alias(f"a_{c}") for c in left.columns] + [F.col(c) for c in axes]), axes, False).drop(*axes)
-    b = cells(right.select([F.col(c).alias(f"b_{c}") for c in right.columns] + [F.col(c) for c in axes]), axes, True).drop(*axes)
-    return a.join(b, keys).drop(*keys).filter(inside)
+def close_pairs(left: DataFrame, right: DataFrame, axes: dict[str, float], inside: Column, same: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (columns of left as a_*, of right as b_*) that agree in the columns ``same`` and for which ``inside`` holds.
+
+    The planner takes the spread side for as small as its source, so it is told not to send it to all tasks.
+    """
+    keys = [*(f"_same_{k}" for k in same), *(f"_{a}" for a in axes)]
+    held = [F.col(k).alias(f"_same_{k}") for k in same] + [F.col(c) for c in axes]
+    a = cells(left.select([F.col(c).alias(f"a_{c}") for c in left.columns] + held), axes, False).drop(*axes)
+    b = cells(right.select([F.col(c).alias(f"b_{c}") for c in right.columns] + held), axes, True).drop(*axes)
+    return a.hint("shuffle_hash").join(b, keys).drop(*keys).filter(inside)
+
+
+def crowded(points: DataFrame, radii: dict[str, float], inside: Column) -> DataFrame:
+    """``id`` of the points that have another one ``inside`` (of a_* and b_*), which holds for all points near enough to each other.
+
+    Cells are a third smaller than the radii. Where the box around a cell's points is itself inside, all of them
+    have another one; it takes no pairs. The other points, one to a crowded place, are compared with those of the cells around: the
+    number of pairs grows with the points, whatever their density.
+    """
+    least = F.lit(True)
+    for axis in radii:
+        least = least & F.col(axis).isNotNull() & (F.abs(axis) < float("inf"))
+    keyed = points.select("id", *radii).filter(least)
+    cell = {f"_{k}": F.floor(F.col(k) / (r / 1.5)).cast("long") for k, r in radii.items()}
+    keyed = keyed.withColumns(cell)
+    ends = [e for k in radii for e in (F.min(k).alias(f"a_{k}"), F.max(k).alias(f"b_{k}"))]
+    boxes = keyed.groupBy(*cell).agg((F.min("id") != F.max("id")).alias("several"), *ends)
+    boxes = boxes.select(*cell, (F.col("several") & inside).alias("all"))
+    known = keyed.join(boxes.hint("shuffle_hash"), list(cell))
+    rest = known.filter("NOT all").select(F.col("id").alias("a_id"), *[F.col(k).alias(f"a_{k}") for k in radii], *cell)
+    for k in cell:
+        rest = rest.withColumn(k, F.explode(F.array(*[F.col(k) + d for d in (-2, -1, 0, 1, 2)])))
+    others = keyed.select(F.col("id").alias("b_id"), *[F.col(k).alias(f"b_{k}") for k in radii], *cell)
+    met = rest.hint("shuffle_hash").join(others, list(cell)).filter((F.col("a_id") != F.col("b_id")) & inside)
+    return known.filter("all").select("id").union(met.select(F.col("a_id").alias("id")))
 
 
 def _distance2(scale: dict[str, float]) -> Column:
@@ -35,25 +66,65 @@ def _distance2(scale: dict[str, float]) -> Column:
     return total
 
 
-def credible(points: DataFrame, others: int) -> DataFrame:
-    """The brightest points, three times as many as there are others but 100 at least: fainter ones are no match for them."""
-    return brightest(points, max(100, 3 * others))
+def credible(points: DataFrame, others: int, own: int) -> DataFrame:
+    """The brightest of ``own`` points, three times as many as there are others but 100 at least: fainter ones are no match for them."""
+    most = max(100, 3 * others)
+    return points if most >= own else brightest_many(points, most)
+
+
+def brightest_many(points: DataFrame, n: int) -> DataFrame:
+    """As ``brightest``, for numbers that no single task should hold: the sorted table is kept, and its places up to the n-th are read."""
+    spark = points.sparkSession
+    folder = shared_folder(spark)
+    sorted_ = points.orderBy(F.desc("response"), "y", "x", "id").withColumn("_place", F.monotonically_increasing_id())
+    sorted_.write.parquet(folder)
+    kept = spark.read.parquet(folder)
+    # A place is the number of the part over the number in it; parts follow each other, and there are few of them.
+    left, end = n, None
+    for r in kept.groupBy(F.expr("shiftright(_place, 33)").alias("part")).count().orderBy("part").toLocalIterator():
+        if left <= r["count"]:
+            end = (r["part"] << 33) + left
+            break
+        left -= r["count"]
+    return (kept if end is None else kept.filter(F.col("_place") < end)).drop("_place")
+
+
+def _nearest(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """``id, other, d2``: the nearest other point within a radius, ties to the smaller id.
+
+    Radii grow to the full one: a point that has one nearer than a smaller radius takes no part in the next, so that dense
+    places are compared inside small cells only. The best is an aggregate; pairs are not shuffled.
+    """
+    spark, out, left = points.sparkSession, None, points
+    d2 = _distance2({"x": 1.0, "y": 1.0})
+    for r in (radius / 16, radius / 4, radius):
+        pairs = close_pairs(left, others, {"x": r, "y": r}, d2 <= r * r)
+        folder = shared_folder(spark)
+        pairs.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct(d2.alias("d2"), F.col("b_id").alias("other"))).alias("best")).select("id", "best.other", "best.d2").write.parquet(folder)
+        found = spark.read.parquet(folder)
+        out = found if out is None else out.union(found)
+        left = left.join(found.select("id").hint("shuffle_hash"), "id", "left_anti")
+    return out
 
 
 def mutual_matches(fixed: DataFrame, moving: DataFrame, coarse: tuple[float, ...], radius: float) -> DataFrame:
     """Pairs of credible points that are each other's nearest within a radius after a coarse map; ties go to the smaller id.
 
-    ``coarse`` is a shift (x, y) or a 2x3 matrix from moving to fixed.
+    ``coarse`` is a shift (x, y) or a 2x3 matrix from moving to fixed. Of points at one place only the one with the smallest id
+    can be a nearest one, so the others take no part.
     """
     a, b, c, d, e, f = coarse if len(coarse) == 6 else (1.0, 0.0, coarse[0], 0.0, 1.0, coarse[1])
     counts = fixed.count(), moving.count()
-    fixed, moving = credible(fixed, counts[1]), credible(moving, counts[0])
-    moved = moving.select("id", (a * F.col("x") + b * F.col("y") + c).alias("x"), (d * F.col("x") + e * F.col("y") + f).alias("y"))
-    d2 = _distance2({"x": 1.0, "y": 1.0})
-    pairs = close_pairs(fixed.select("id", "x", "y"), moved.select("id", "x", "y"), {"x": radius, "y": radius}, d2 <= radius * radius).withColumn("d2", d2)
-    best_a = F.row_number().over(Window.partitionBy("a_id").orderBy("d2", "b_id"))
-    best_b = F.row_number().over(Window.partitionBy("b_id").orderBy("d2", "a_id"))
-    return pairs.withColumns({"ra": best_a, "rb": best_b}).filter("ra = 1 AND rb = 1").select(F.col("a_id").alias("fixed_id"), F.col("b_id").alias("moving_id"), "d2")
+    fixed, moving = credible(fixed, counts[1], counts[0]), credible(moving, counts[0], counts[1])
+    spark, sides = fixed.sparkSession, []
+    for side in (fixed, moving.select("id", (a * F.col("x") + b * F.col("y") + c).alias("x"), (d * F.col("x") + e * F.col("y") + f).alias("y"))):
+        folder = shared_folder(spark)
+        side.groupBy("x", "y").agg(F.min("id").alias("id")).select("id", "x", "y").write.parquet(folder)
+        sides.append(spark.read.parquet(folder))
+    of_fixed = _nearest(*sides, radius).select(F.col("id").alias("fixed_id"), F.col("other").alias("moving_id"), "d2")
+    wanted = sides[1].join(of_fixed.select(F.col("moving_id").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi")
+    of_moving = _nearest(wanted, sides[0], radius).select(F.col("other").alias("fixed_id"), F.col("id").alias("moving_id"))
+    return of_fixed.join(of_moving.hint("shuffle_hash"), ["fixed_id", "moving_id"])
 
 
 def brightest(points: DataFrame, n: int) -> DataFrame:
@@ -76,16 +147,14 @@ def shift_votes(fixed: DataFrame, moving: DataFrame, limit_x: float, limit_y: fl
 
 def isolated(points: DataFrame, radii: dict[str, float]) -> DataFrame:
     """Points whose ellipsoid holds no other point."""
-    hits = close_pairs(points.select("id", *radii), points.select("id", *radii), radii, (F.col("a_id") != F.col("b_id")) & (_distance2(radii) <= 1))
-    return points.join(hits.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
+    return points.join(crowded(points, radii, _distance2(radii) <= 1).distinct().hint("shuffle_hash"), "id", "left_anti")
 
 
 def apart_from_others(points: DataFrame, distance: float, width: float, height: float, margin: float) -> DataFrame:
     """Drops both points of a pair closer than a distance (squared against squared), and border points."""
     inner = points.filter(F.col("x").between(margin, width - 1 - margin) & F.col("y").between(margin, height - 1 - margin))
     d2 = _distance2({"x": 1.0, "y": 1.0})
-    pairs = close_pairs(points.select("id", "x", "y"), points.select("id", "x", "y"), {"x": distance, "y": distance}, (F.col("a_id") != F.col("b_id")) & (d2 < distance * distance))
-    return inner.join(pairs.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
+    return inner.join(crowded(points, {"x": distance, "y": distance}, d2 < distance * distance).distinct().hint("shuffle_hash"), "id", "left_anti")
 
 
 def rigid_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
