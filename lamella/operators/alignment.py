@@ -134,9 +134,12 @@ def coarse_shift(fixed: np.ndarray, moving: np.ndarray, limit_x: int = LIMIT_X,
 
 
 def coarse_shifts(fixed: DataFrame, moving: DataFrame, keys: list[str], limit_x: int = LIMIT_X, limit_y: int = LIMIT_Y) -> DataFrame:
-    """``keys, dx, dy, score`` of every pair of image rows (keys, width, height, px) with equal keys."""
+    """``keys, dx, dy, score`` of every pair of image rows (keys, width, height, px) with equal keys.
+
+    The planner cannot know how long ``px`` is, so it is told to sort both sides: no task or driver holds a table of images.
+    """
     fields = ", ".join(f"{k} {dict(fixed.dtypes)[k]}" for k in keys)
-    pairs = fixed.join(moving.select(*keys, F.col("px").alias("other")), keys).select(*keys, "width", "height", "px", "other")
+    pairs = fixed.hint("merge").join(moving.select(*keys, F.col("px").alias("other")), keys).select(*keys, "width", "height", "px", "other")
 
     def run(batches):
         for pdf in batches:

@@ -134,8 +134,7 @@ IMAGES_SQL = "WITH i AS (SELECT p_partkey // 200 AS image FROM part GROUP BY 1 H
 def bead_pairs(spark, sf_dir):
     """(channel 1, channel 2) bead images of the full groups."""
     full = views.table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 200").alias("image")).count().filter("count = 200").select("image")
-    images = views.bead_images(spark, sf_dir).join(full, "image")
-    return [images.filter(F.col("c") == c).drop("c") for c in (1, 2)]
+    return [views.bead_images(spark, sf_dir, full, c).drop("c") for c in (1, 2)]
 
 
 @query("k08_robust_alignment", IMAGES_SQL + "SELECT image, true AS angle, image % 11 - 20 AS dx, 5 - image % 9 AS dy, true AS enough FROM i")
@@ -162,9 +161,9 @@ def k10(spark, sf_dir):
     beads = views.table(spark, sf_dir, "part").filter("(p_partkey + 4) % 9 <> 0").select(
         F.expr("p_partkey div 200").alias("image"), F.col("p_partkey").alias("id"), F.expr("30 + (CAST(p_partkey AS BIGINT) * p_partkey * 37 + 11 * p_partkey) % 196 + p_size / 100.0D").alias("x"), F.expr("30 + (CAST(p_partkey AS BIGINT) * p_partkey * p_partkey % 1009 * 53 + 17 * p_partkey) % 196 + (p_partkey % 83) / 100.0D").alias("y")
     ).join(spots.select("image").distinct(), "image")
-    crowd = pt.close_pairs(beads, beads, {"x": 12.0, "y": 12.0}, (F.col("a_image") == F.col("b_image")) & (F.col("a_id") != F.col("b_id")) & ((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2 < 144))
+    crowd = pt.close_pairs(beads, beads, {"x": 12.0, "y": 12.0}, (F.col("a_id") != F.col("b_id")) & ((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2 < 144), ("image",))
     alone = beads.join(crowd.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
-    hit = pt.close_pairs(alone, spots.select("image", "x", "y"), {"x": 1.0, "y": 1.0}, (F.col("a_image") == F.col("b_image")) & (F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) < 0.25))
+    hit = pt.close_pairs(alone, spots.select("image", "x", "y"), {"x": 1.0, "y": 1.0}, F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) < 0.25, ("image",))
     return alone.join(hit.select(F.col("a_id").alias("id"), F.lit(True).alias("found")).distinct(), "id", "left").select("image", "id", F.coalesce("found", F.lit(False)).alias("found"))
 
 

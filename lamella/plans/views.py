@@ -66,9 +66,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 BEAD_SIDE, BEADS = 256, 200  # pixels a side, beads an image
 
 
-def bead_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bead_images(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None, channel: int | None = None) -> DataFrame:
     """``image, c, width, height, px``: pairs of images of the parts' positions as bright beads, BEADS to an image.
 
+    ``wanted`` (image) and ``channel`` choose before anything is drawn: beads are joined and images are not.
+
     Channel 2 shows the beads of channel 1 turned by 0.05 degrees for each (image % 7) and shifted by
     (image % 11 - 20, 5 - image % 9) pixels, each channel without every ninth bead of its own.
     """
@@ -76,8 +78,13 @@ def bead_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     spots = table(spark, sf_dir, "part").select(
         image.alias("image"), F.col("p_partkey").alias("id"), (30 + F.expr("(CAST(p_partkey AS BIGINT) * p_partkey * 37 + 11 * p_partkey) % 196") + F.col("p_size") / 100.0).alias("x"), (30 + F.expr("(CAST(p_partkey AS BIGINT) * p_partkey * p_partkey % 1009 * 53 + 17 * p_partkey) % 196") + F.expr("p_partkey % 83") / 100.0).alias("y")
     )
+    if wanted is not None:
+        spots = spots.join(wanted.hint("shuffle_hash"), "image", "left_semi")
     both = spots.withColumn("c", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))).filter("(id + c * 4) % 9 <> 0")
 
+    if channel is not None:
+        both = both.filter(F.col("c") == channel)
+
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n, c = key
         x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
