@@ -90,15 +90,16 @@ def bounding(m: np.ndarray, extents: tuple[int, int, int]) -> tuple[np.ndarray,
 def affine(voxels: DataFrame, m: np.ndarray, extents: tuple[int, int, int], size: tuple[int, int, int] | None = None) -> DataFrame:
     """Trilinear resampling of every (t, c) under any invertible matrix: dense, zero outside the source.
 
-    Without ``size`` the output is the bounding box of the transformed extents. The output grid is
-    generated in Spark, each of its voxels asks for the corners that have weight, and an equi-join
-    on the voxel's place answers: no group holds a volume. A matrix that leaves x unmixed is cheaper by ``deskew``.
+    Without ``size`` the output is the bounding box of the transformed extents. Which corners an output voxel reads does not
+    depend on the volume, so the table of places and weights is made in Spark once and joined by place for all
+    volumes: no group holds a volume. A matrix that leaves x unmixed is cheaper by ``deskew``.
     """
     if size is None:
         m, size = bounding(m, extents)
     inv = np.linalg.inv(m)
-    grid = voxels.select("t", "c").distinct()
-    for axis, n in zip("zyx", size[::-1]):
+    volumes = voxels.select("t", "c").distinct()
+    grid = voxels.sparkSession.range(size[2]).withColumnRenamed("id", "z")
+    for axis, n in zip("yx", size[1::-1]):
         grid = grid.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     place = [F.round(float(r[0]) * F.col("x") + float(r[1]) * F.col("y") + float(r[2]) * F.col("z") + float(r[3]), 9) for r in inv[:3]]
     asked = grid.withColumns(dict(zip(("px", "py", "pz"), place)))
@@ -112,10 +113,10 @@ def affine(voxels: DataFrame, m: np.ndarray, extents: tuple[int, int, int], size
     fed = asked.filter(inside)
     for k, pair in corners:
         fed = fed.withColumn(f"c{k}", F.explode(pair))
-    fed = fed.select("t", "c", "z", "y", "x", *[F.col(f"c{k}.at").alias(f"s{k}") for k in "xyz"], (F.col("cx.w") * F.col("cy.w") * F.col("cz.w")).alias("w"))
+    fed = fed.select("z", "y", "x", *[F.col(f"c{k}.at").alias(f"s{k}") for k in "xyz"], (F.col("cx.w") * F.col("cy.w") * F.col("cz.w")).alias("w"))
     source = voxels.select("t", "c", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "v")
-    met = fed.join(source, ["t", "c", "sx", "sy", "sz"]).select("t", "c", "z", "y", "x", (F.col("w") * F.col("v")).alias("v"))
-    empty = grid.select("t", "c", "z", "y", "x", F.lit(0.0).alias("v"))
+    met = source.join(fed, ["sx", "sy", "sz"]).select("t", "c", "z", "y", "x", (F.col("w") * F.col("v")).alias("v"))
+    empty = volumes.crossJoin(grid).select("t", "c", "z", "y", "x", F.lit(0.0).alias("v"))
     return met.union(empty).groupBy("t", "c", "z", "y", "x").agg(F.floor(F.sum("v") + 0.5).cast("long").alias("v"))
 
 
