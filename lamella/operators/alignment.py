@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +94,6 @@ def detect(planes: DataFrame, keys: list[str], sigma: float = SIGMA) -> DataFram
                 found.insert(len(keys), "rank", np.arange(len(found)))
                 out.append(found)
             if out:
-                import pyarrow as pa
-
                 yield from pa.Table.from_pandas(pd.concat(out), preserve_index=False).to_batches()
 
     return planes.select(*keys, "width", "height", "px").mapInArrow(run, f"{fields}, rank long, x double, y double, response double")
@@ -107,19 +106,14 @@ def _texture(image: np.ndarray) -> np.ndarray:
     return np.where(out < median + 3 * spread, 0.0, out)
 
 
-def coarse_shift(fixed: np.ndarray, moving: np.ndarray, limit_x: int = LIMIT_X, limit_y: int = LIMIT_Y) -> tuple[int, int, float]:
-    """Shift (dx, dy) that brings ``moving`` onto ``fixed``, and its correlation.
+def _reduced(image: np.ndarray) -> tuple[int, np.ndarray]:
+    """The factor of reduction, four where the image is large enough, and the texture of the reduced image."""
+    factor = 4 if min(image.shape) >= 64 else 1
+    h, w = (n // factor * factor for n in image.shape)
+    return factor, _texture(image[:h, :w].reshape(h // factor, factor, w // factor, factor).mean(axis=(1, 3)))
 
-    Normalised correlation of the overlap of both textures, reduced four times where the images are
-    large enough, over all shifts within the limits.
-    """
-    factor = 4 if min(fixed.shape) >= 64 else 1
-
-    def reduced(image):
-        h, w = (n // factor * factor for n in image.shape)
-        return image[:h, :w].reshape(h // factor, factor, w // factor, factor).mean(axis=(1, 3))
 
-    a, b = _texture(reduced(fixed)), _texture(reduced(moving))
+def _best_shift(a: np.ndarray, b: np.ndarray, factor: int, limit_x: int, limit_y: int) -> tuple[int, int, float]:
     h, w = a.shape
     reach_x, reach_y = min(w - 1, math.ceil(limit_x / factor)), min(h - 1, math.ceil(limit_y / factor))
     best = (0, 0, -1.0)
@@ -133,30 +127,53 @@ def coarse_shift(fixed: np.ndarray, moving: np.ndarray, limit_x: int = LIMIT_X,
     return best
 
 
+def coarse_shift(fixed: np.ndarray, moving: np.ndarray, limit_x: int = LIMIT_X, limit_y: int = LIMIT_Y) -> tuple[int, int, float]:
+    """Shift (dx, dy) that brings ``moving`` onto ``fixed``, and its correlation.
+
+    Normalised correlation of the overlap of both textures, reduced four times where the images are
+    large enough, over all shifts within the limits.
+    """
+    (factor, a), (_, b) = _reduced(fixed), _reduced(moving)
+    return _best_shift(a, b, factor, limit_x, limit_y)
+
+
 def coarse_shifts(fixed: DataFrame, moving: DataFrame, keys: list[str], limit_x: int = LIMIT_X, limit_y: int = LIMIT_Y) -> DataFrame:
     """``keys, dx, dy, score`` of every pair of image rows (keys, width, height, px) with equal keys.
 
-    The planner cannot know how long ``px`` is, so it is told to sort both sides: no task or driver holds a table of images.
+    Images are reduced to their textures where they are made, a sixteenth of them, and only textures are joined. The
+    planner cannot know how long those are, so it is told to sort both sides: no task or driver holds a table of them.
     """
     fields = ", ".join(f"{k} {dict(fixed.dtypes)[k]}" for k in keys)
-    pairs = fixed.hint("merge").join(moving.select(*keys, F.col("px").alias("other")), keys).select(*keys, "width", "height", "px", "other")
+
+    def textures(images: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for i, (px, w, h) in enumerate(zip(batch.column("px"), batch.column("width").to_pylist(), batch.column("height").to_pylist())):
+                    factor, a = _reduced(np.asarray(px.values.to_numpy(zero_copy_only=False), float).reshape(h, w))
+                    columns = [*(batch.column(k).slice(i, 1) for k in keys), pa.array([factor]), pa.array([a.shape[1]]), pa.array([a.tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*keys, "factor", "width", "texture"])
+
+        return images.select(*keys, "width", "height", "px").mapInArrow(run, f"{fields}, factor long, width long, texture binary")
+
+    pairs = textures(fixed).hint("merge").join(textures(moving).select(*keys, F.col("texture").alias("other")), keys)
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                a, b = (np.array(p, float).reshape(r.height, r.width) for p in (r.px, r.other))
-                out.append((*(getattr(r, k) for k in keys), *coarse_shift(a, b, limit_x, limit_y)))
+                a, b = (np.frombuffer(t, float).reshape(-1, r.width) for t in (r.texture, r.other))
+                out.append((*(getattr(r, k) for k in keys), *_best_shift(a, b, r.factor, limit_x, limit_y)))
             yield pd.DataFrame(out, columns=[*keys, "dx", "dy", "score"])
 
     return pairs.mapInPandas(run, f"{fields}, dx long, dy long, score double")
 
 
-def _rigid(f: np.ndarray, m: np.ndarray) -> tuple[float, float, float]:
-    """Angle and shift of the least-squares rigid map of m onto f."""
-    cf, cm = f.mean(0), m.mean(0)
+def _rigid(f: np.ndarray, m: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float, float]:
+    """Angle and shift of the (weighted) least-squares rigid map of m onto f."""
+    w = np.ones(len(f)) if weights is None else weights
+    cf, cm = np.average(f, 0, w), np.average(m, 0, w)
     p, q = f - cf, m - cm
-    a = math.atan2((q[:, 0] * p[:, 1] - q[:, 1] * p[:, 0]).sum(), (q * p).sum())
+    a = math.atan2((w * (q[:, 0] * p[:, 1] - q[:, 1] * p[:, 0])).sum(), (w[:, None] * q * p).sum())
     c, s = math.cos(a), math.sin(a)
     return a, cf[0] - c * cm[0] + s * cm[1], cf[1] - s * cm[0] - c * cm[1]
 

@@ -64,6 +64,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BEAD_SIDE, BEADS = 256, 200  # pixels a side, beads an image
+DRAWN = 16  # images that one task draws
 
 
 def bead_images(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None, channel: int | None = None) -> DataFrame:
@@ -73,9 +74,14 @@ def bead_images(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = Non
 
     Channel 2 shows the beads of channel 1 turned by 0.05 degrees for each (image % 7) and shifted by
     (image % 11 - 20, 5 - image % 9) pixels, each channel without every ninth bead of its own.
+
+    An image is over a hundred times longer than its beads, so the number of tasks follows the number of images
+    and not the bytes of the beads, by which they would be merged into a few.
     """
     image = F.expr(f"p_partkey div {BEADS}")
-    spots = table(spark, sf_dir, "part").select(
+    part = table(spark, sf_dir, "part")
+    tasks = part.count() // (BEADS * DRAWN) + 1
+    spots = part.select(
         image.alias("image"), F.col("p_partkey").alias("id"), (30 + F.expr("(CAST(p_partkey AS BIGINT) * p_partkey * 37 + 11 * p_partkey) % 196") + F.col("p_size") / 100.0).alias("x"), (30 + F.expr("(CAST(p_partkey AS BIGINT) * p_partkey * p_partkey % 1009 * 53 + 17 * p_partkey) % 196") + F.expr("p_partkey % 83") / 100.0).alias("y")
     )
     if wanted is not None:
@@ -100,4 +106,4 @@ def bead_images(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = Non
                 out[cy - 8 : cy + 9, cx - 8 : cx + 9] += 900 * np.exp(-((gx + cx - px) ** 2 + (gy + cy - py) ** 2) / 8.0)
         return pd.DataFrame([(n, c, BEAD_SIDE, BEAD_SIDE, out.ravel())], columns=["image", "c", "width", "height", "px"])
 
-    return both.groupBy("image", "c").applyInPandas(draw, "image long, c long, width int, height int, px array<double>")
+    return both.repartition(tasks, "image", "c").groupBy("image", "c").applyInPandas(draw, "image long, c long, width int, height int, px array<double>")
