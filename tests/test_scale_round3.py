@@ -14,6 +14,19 @@ from lamella.plans import views
 SF = "/root/testdata/sf0.001"
 
 
+def test_distorted_spots_do_not_turn_the_map():
+    rng = np.random.RandomState(3)
+    m = rng.uniform(20, 220, (120, 2))
+    true = (math.radians(0.3), -15.0, 4.0)
+    f = al._moved(m, true) + rng.normal(0, 0.02, m.shape)
+    off = (m[:, 0] > 120) & (np.arange(len(m)) % 3 > 0)  # overlapping spots on one side, all drawn one way
+    f[off] += (0.1, 0.7)
+    fit, pairs, _ = al.refined(f, m, (0.0, -13.0, 2.0))
+    assert pairs == 120
+    assert abs(math.degrees(fit[0]) - 0.3) < 0.02
+    assert abs(fit[1] + 15) < 0.1 and abs(fit[2] - 4) < 0.1
+
+
 def test_bead_images_are_dealt_by_their_number(spark, tmp_path):
     spark.range(views.BEADS * views.DRAWN * 3).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     images = views.bead_images(spark, str(tmp_path), channel=1).select("image", F.spark_partition_id().alias("task"))
