@@ -106,7 +106,11 @@ def predict(rows: DataFrame, candidate: Column, samples: int = 256) -> DataFrame
         k = col("ky_") * i / float(samples)
         return sinc(k * col("blur")) / F.when(hold, 1.0).otherwise(sinc(k * col("l0")))
 
-    worst = F.aggregate(F.sequence(F.lit(1), F.lit(samples)), F.lit(1.0), lambda low, i: F.least(low, ratio(i)))
+    # Inside the first lobe the ratio has one direction: with g(x) = pi x cot(pi x) - 1, which falls from 0 to 1, its slope has the sign of
+    # g(k blur) - g(k l0). So the least of 1 and all samples is that of 1 and the last one. Settings without that sign of lobe are sampled.
+    first_lobe = (F.abs(col("ky_") * col("blur")) < 1) & (F.abs(col("ky_") * col("l0")) < 1)
+    sampled = F.aggregate(F.sequence(F.lit(1), F.lit(samples)), F.lit(1.0), lambda low, i: F.least(low, ratio(i)))
+    worst = F.when(first_lobe, F.least(F.lit(1.0), ratio(F.lit(samples)))).otherwise(sampled)
     planes = plane_count(col("extent"), col("candidate"))
     seconds = ((planes - 1) * col("frame_ms") + col("frame_exposure_ms") + col("flyback_ms")) / 1000
     present = ((plane_count(col("extent"), col("step")) - 1) * col("t0") + col("exposure_ms") + col("flyback_ms")) / 1000
@@ -125,10 +129,12 @@ def predict(rows: DataFrame, candidate: Column, samples: int = 256) -> DataFrame
 def step_interval(settings: DataFrame, samples: int = 1001) -> DataFrame:
     """``id, lo, hi``: the first unbroken run of passing steps among ``samples`` from minimum_step to maximum_step; NULL if none.
 
-    Candidates are generated inside each row and reduced again by the next aggregate.
+    Candidates are generated inside each row and reduced again by the next aggregate. Settings are short and their candidates many,
+    so they are dealt to tasks by their number and not by their bytes, and by id, so that candidates need no shuffle.
     """
     last = samples - 1
-    each = support(settings).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    tasks = int(settings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = support(settings.repartition(tasks, "id")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(last))))
     tried = predict(each, F.col("minimum_step") + (F.col("maximum_step") - F.col("minimum_step")) * F.col("i") / float(last))
     passed = F.col("alias_pass") & F.col("motion_pass")
     runs = tried.groupBy("id").agg(

@@ -34,6 +34,29 @@ def test_bead_images_are_dealt_by_their_number(spark, tmp_path):
     assert len(tasks) > 1 and sum(r["count"] for r in tasks) == views.DRAWN * 3
 
 
+def test_step_interval_is_dealt_to_tasks(spark):
+    from lamella.plans.q_matrices import _settings
+
+    one = _settings(spark, SF).coalesce(1)
+    assert model.step_interval(one).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_least_motion_ratio_needs_no_samples(spark):
+    from lamella.plans.q_matrices import _settings
+
+    rows = model.support(_settings(spark, SF).withColumn("relative_motion_floor", F.lit(0.0)))
+    rows = rows.withColumn("f", F.explode(F.array(*[F.lit(v) for v in (0.3, 0.7, 1.0, 1.6, 2.4)])))
+    few, many = (model.predict(rows, F.col("f") * F.col("step"), n).select("id", "f", "relative_motion").orderBy("id", "f").toPandas() for n in (1, 256))
+    pd.testing.assert_frame_equal(few, many, rtol=1e-12)
+    got = many.dropna()
+    assert len(got) and (got["relative_motion"] < 1).any()
+    r = model.predict(rows, F.col("f") * F.col("step"))
+    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+    for x in r.filter("relative_motion IS NOT NULL AND scan_mode <> 1").limit(20).collect():
+        least = min(1.0, *(sinc(x.ky_ * i / 256 * x.blur) / sinc(x.ky_ * i / 256 * x.l0) for i in range(1, 257)))
+        assert x.relative_motion == pytest.approx(least, rel=1e-12)
+
+
 def test_coarse_shifts_join_textures(spark):
     rng = np.random.RandomState(1)
     image = np.zeros((128, 128))
