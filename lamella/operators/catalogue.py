@@ -213,6 +213,21 @@ def _file_reason():
     return F.when(~F.col("readable"), "unreadable").when(named != slices, "depth differs from its name").when(by_folder, "depth differs from its folder's")
 
 
+FILES_PER_TASK = 250_000
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files dealt by dataset, so that a task has some FILES_PER_TASK of them however many there are.
+
+    Sorted, files are many times longer than in a shuffle, by whose bytes tasks would be merged. Fewer tasks
+    than the session's shuffles have would be dealt anew by the joins.
+    """
+    number = files.count()
+    if number <= FILES_PER_TASK:
+        return files.repartition("dataset")
+    return files.repartition(max(number // FILES_PER_TASK + 1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "dataset")
+
+
 def conversion_plan(sources: DataFrame, parameters: DataFrame, split: bool = False) -> tuple[DataFrame, DataFrame]:
     """(plan, left out): a row per dataset with its shape, layout, sampling, counts and the reason to refuse it; and files with reasons.
 
@@ -222,20 +237,31 @@ def conversion_plan(sources: DataFrame, parameters: DataFrame, split: bool = Fal
     out; a tie is no answer. Slots must not be doubled, incomplete time points are left out, sampling must
     agree, halves need whole and even camera widths, and no two datasets may write one output.
     """
-    known = sources.join(parameters, "dataset", "left").withColumn("reason", _file_reason())
+    group, point = Window.partitionBy("dataset"), Window.partitionBy("dataset", "time_no")
+    known = _dealt(sources).join(parameters, "dataset", "left").withColumn("reason", _file_reason())
     shaped = known.withColumn("shape", F.concat_ws("x", "width", "height", "slices", "stored_channels", "frames"))
-    shape = majority(shaped.filter("reason IS NULL"), ["dataset"], "shape").withColumnsRenamed({"shape": "common", "tie": "shape_tie"})
-    sorted_out = shaped.join(shape, "dataset", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("common").isNotNull() & (F.col("shape") != F.col("common")), "other shape")))
-    good = sorted_out.filter("reason IS NULL AND common IS NOT NULL")
-    wide = good.groupBy("dataset").agg(
-        F.countDistinct("channel").alias("channels"), F.max("width").alias("width"), F.max("height").alias("height"), F.max("stored_channels").alias("stored"),
-        F.max("roi_width").alias("roi_width"), F.max("roi_height").alias("roi_height"), F.min("pixel").alias("pixel"), F.min("dz").alias("dz"),
-        ((F.max("pixel") > F.min("pixel")) | (F.max("dz") > F.min("dz"))).alias("uneven"),
+    sound = F.col("reason").isNull() & F.col("dataset").isNotNull()
+    ranked = shaped.withColumn("n", F.count(F.when(sound, 1)).over(Window.partitionBy("dataset", "shape"))).withColumn("most", F.nullif(F.max("n").over(group), F.lit(0)))
+    leading = F.when(F.col("n") == F.col("most"), F.col("shape"))
+    voted = ranked.withColumns({"first": F.min(leading).over(group), "last": F.max(leading).over(group)})
+    voted = voted.withColumns({"common": F.when(F.col("first") == F.col("last"), F.col("first")), "shape_tie": F.col("first") != F.col("last")})
+    sorted_out = voted.withColumn("reason", F.coalesce("reason", F.when(F.col("common").isNotNull() & (F.col("shape") != F.col("common")), "other shape")))
+    good = F.col("reason").isNull() & F.col("common").isNotNull()
+    channels = F.collect_set(F.when(F.col("good"), F.col("channel")))
+    checked = sorted_out.withColumn("good", good).withColumns({"channels": F.size(channels.over(group)).cast("long"), "have": F.size(channels.over(point)).cast("long"), "sound": F.max("good").over(point) & F.col("time_no").isNotNull()})
+
+    # The sums of a time point, then those of its dataset: both lie in the task that has the dataset.
+    own = lambda k: F.when(F.col("good"), F.col(k))
+    most = {"channels": "channels", "width": "width", "height": "height", "stored": "stored_channels", "roi_width": "roi_width", "roi_height": "roi_height", "pixel_to": "pixel", "dz_to": "dz"}
+    points = checked.groupBy("dataset", "time_no").agg(
+        F.max("common").alias("common"), F.bool_or("shape_tie").alias("shape_tie"), *[F.max(own(k)).alias(n) for n, k in most.items()], F.min(own("pixel")).alias("pixel"), F.min(own("dz")).alias("dz"),
+        F.max(own("have")).alias("have"), F.count_if("good").alias("files"),
     )
-    points = good.groupBy("dataset", "time_no").agg(F.countDistinct("channel").alias("have"), F.count(F.lit(1)).alias("files")).join(wide.select("dataset", "channels"), "dataset")
+    told = lambda rule: F.when(F.count("have") > 0, F.count_if(F.expr(rule)))
     counted = points.groupBy("dataset").agg(
-        F.count_if(F.expr("have = channels AND files = have")).alias("points"), F.count_if(F.col("have") < F.col("channels")).alias("incomplete"), F.count_if(F.col("files") > F.col("have")).alias("conflicts")
-    )
+        F.max("common").alias("common"), F.bool_or("shape_tie").alias("shape_tie"), *[F.max(n).alias(n) for n in most], F.min("pixel").alias("pixel"), F.min("dz").alias("dz"),
+        told("have = channels AND files = have").alias("points"), told("have < channels").alias("incomplete"), told("files > have").alias("conflicts"),
+    ).withColumn("uneven", (F.col("pixel_to") > F.col("pixel")) | (F.col("dz_to") > F.col("dz")))
     clashes = output_clashes(sources.select("dataset", "output").distinct()).select("dataset", F.lit(True).alias("clash"))
     whole = (F.coalesce(F.col("stored"), F.lit(1)) == 1) & (F.col("roi_width").isNull() | ((F.col("width") == F.col("roi_width")) & (F.col("height") == F.col("roi_height"))))
     layout = F.when(F.col("width").isNull(), None).when(~whole, "stored").otherwise("halves" if split else "whole")
@@ -243,8 +269,7 @@ def conversion_plan(sources: DataFrame, parameters: DataFrame, split: bool = Fal
         F.when(F.col("shape_tie"), "no majority shape").when(F.col("points").isNull(), "no sound file").when(F.col("conflicts") > 0, "conflicting files").when(F.col("points") == 0, "no complete time point")
         .when(F.col("uneven"), "sampling differs").when(F.lit(split) & ~whole, "halves need whole widths").when(F.lit(split) & (F.col("width") % 2 != 0), "odd width").when(F.col("clash"), "output clash")
     )
-    every = sources.select("dataset").distinct().join(shape, "dataset", "left").join(wide, "dataset", "left").join(counted, "dataset", "left").join(clashes, "dataset", "left")
+    every = counted.join(clashes, "dataset", "left")
     plan = every.select("dataset", F.col("common").alias("shape"), layout.alias("layout"), "channels", "points", "incomplete", "conflicts", "pixel", "dz", reason.alias("refused"))
-    short = points.filter("have < channels").select("dataset", "time_no", F.lit(True).alias("short"))
-    left = sorted_out.join(short, ["dataset", "time_no"], "left").withColumn("reason", F.coalesce("reason", F.when(F.col("short"), "incomplete time point")))
+    left = checked.withColumn("reason", F.coalesce("reason", F.when(F.col("sound") & (F.col("have") < F.col("channels")), "incomplete time point")))
     return plan, left.filter("reason IS NOT NULL").select("dataset", "path", "reason")
