@@ -131,14 +131,19 @@ def files_as_stream(spark: SparkSession, path: str, files_per_trigger: int | Non
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def replayed(rows: DataFrame, order: str, batches: int) -> DataFrame:
-    """A table as a stream of several batches, in the order of a column: its ranges are written one after the other."""
+    """A table as a stream of several batches, in the order of a column: its ranges are written one after the other, each by the same number of tasks."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
     value = F.col(order).cast("timestamp").cast("double") if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
     ends = rows.select(value.alias("at")).approxQuantile("at", [k / batches for k in range(1, batches)], 0.001) if batches > 1 else []
     part = F.lit(0)
     for e in ends:
         part = part + (value > e).cast("int")
+    files = rows.count() // (batches * ROWS_PER_FILE) + 1
     for k in range(batches):
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        own = rows.filter(part == k)
+        (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)

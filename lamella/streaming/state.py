@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CHANNELS = 16  # most channels of a layout
@@ -140,67 +139,32 @@ def file_states(looks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     )
 
 
-class _Gate(StatefulProcessor):
-    """Readiness of one path; times are milliseconds."""
-
-    def __init__(self, quiet: int, timeout: int):
-        self.quiet, self.timeout = quiet, timeout
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.turn = handle.getValueState("turn", "size long, mtime long, since long, first long, done boolean")
-
-    def _forget_timers(self):
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-
-    def handleInputRows(self, key, rows, timerValues):
-        looks = pd.concat(list(rows)).sort_values("at")
-        turn = tuple(self.turn.get()) if self.turn.exists() else None
-        before, out = turn, []
-        for r in looks.itertuples():
-            at, seen = int(r.at), (int(r.size), int(r.mtime))
-            if turn and not turn[4] and at > turn[3] + self.timeout:
-                out.append((key[0], turn[3] + self.timeout, "TIMEOUT", turn[0]))
-                turn = (*turn[:4], True)
-            if seen[0] < 0:
-                if turn:
-                    out.append((key[0], at, "GONE", turn[0]))
-                turn = None
-            elif turn is None or (turn[4] and turn[:2] != seen):
-                turn = (*seen, at, at, False)  # a new version, with a turn of its own
-            elif turn[4]:
-                continue
-            elif turn[:2] != seen:
-                turn = (*seen, at, turn[3], False)
-            elif at - turn[2] >= self.quiet and r.structure:
-                after = (int(r.size_after), int(r.mtime_after))
-                if after != seen:
-                    turn = (*after, at, turn[3], False)  # changed while it was checked
-                else:
-                    out.append((key[0], at, "READY", turn[0]))
-                    turn = (*turn[:4], True)
-        if turn is None:
-            self.turn.clear()
-        else:
-            self.turn.update(turn)
-        if turn != before:
-            self._forget_timers()
-            if turn and not turn[4]:
-                self.handle.registerTimer(turn[3] + self.timeout)
-        yield pd.DataFrame(out, columns=["path", "at", "outcome", "size"])
+BUCKETS = 1024  # states of a gate; the paths of a bucket share one, as calls and states cost more than looks
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = []
-        if self.turn.exists():
-            turn = tuple(self.turn.get())
-            if not turn[4]:
-                out.append((key[0], turn[3] + self.timeout, "TIMEOUT", turn[0]))
-                self.turn.update((*turn[:4], True))
-        yield pd.DataFrame(out, columns=["path", "at", "outcome", "size"])
 
-    def close(self) -> None:
-        pass
+def _looked(turn: tuple | None, look: tuple, quiet: int, timeout: int) -> tuple[tuple | None, list]:
+    """The turn (size, mtime, since, first, done) of a path after a look, and what is told: (at, outcome, size); times are milliseconds."""
+    at, size, mtime, structure, *after = look
+    seen, out = (size, mtime), []
+    if turn and not turn[4] and at > turn[3] + timeout:
+        out.append((turn[3] + timeout, "TIMEOUT", turn[0]))
+        turn = (*turn[:4], True)
+    if size < 0:
+        if turn:
+            out.append((at, "GONE", turn[0]))
+        return None, out
+    if turn is None or (turn[4] and turn[:2] != seen):
+        return (*seen, at, at, False), out  # a new version, with a turn of its own
+    if turn[4]:
+        return turn, out
+    if turn[:2] != seen:
+        return (*seen, at, turn[3], False), out
+    if at - turn[2] >= quiet and structure:
+        if tuple(map(int, after)) != seen:
+            return (*map(int, after), at, turn[3], False), out  # changed while it was checked
+        out.append((at, "READY", size))
+        return (*turn[:4], True), out
+    return turn, out
 
 
 def readiness(looks: DataFrame, ts: str, quiet_ms: int, timeout_ms: int, late: str) -> DataFrame:
@@ -211,11 +175,36 @@ def readiness(looks: DataFrame, ts: str, quiet_ms: int, timeout_ms: int, late: s
     structure is complete and it is still the same after the check. A turn ends ``timeout_ms`` after the
     first look at a version, by an event-time timer where no look comes; a file that changes later has a
     turn of its own. ``at`` is in milliseconds; looks of a path are expected in order, within ``late``.
+    Paths are dealt to ``BUCKETS`` states; the timer of a bucket is that of its turn that ends first.
     """
     at = F.unix_millis(F.col(ts).cast("timestamp"))
-    rows = looks.withWatermark(ts, late).select("path", ts, at.alias("at"), "size", "mtime", "structure", "size_after", "mtime_after")
-    looks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy("path").transformWithStateInPandas(_Gate(quiet_ms, timeout_ms), "path string, at long, outcome string, size long", "append", "EventTime")
+    seen = ["size", "mtime", "structure", "size_after", "mtime_after"]
+    rows = looks.withWatermark(ts, late).select(F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).alias("bucket"), "path", ts, at.alias("at"), *seen)
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        turns = {path: tuple(turn) for path, *turn in zip(*state.get)} if state.exists else {}
+        out, told_until = [], state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            given = pd.concat(list(batches)).sort_values("at", kind="stable")
+            for path, *look in zip(*(given[k].tolist() for k in ["path", "at", *seen])):
+                turn, told = _looked(turns.get(path), look, quiet_ms, timeout_ms)
+                out += [(path, *x) for x in told]
+                if turn is None:
+                    turns.pop(path, None)
+                else:
+                    turns[path] = turn
+        for path, turn in turns.items():
+            if not turn[4] and turn[3] + timeout_ms < told_until:
+                out.append((path, turn[3] + timeout_ms, "TIMEOUT", turn[0]))
+                turns[path] = (*turn[:4], True)
+        state.update(tuple(map(list, zip(*((path, *turn) for path, turn in turns.items())))) if turns else ([],) * 6)
+        ends = [turn[3] + timeout_ms for turn in turns.values() if not turn[4]]
+        if ends:
+            state.setTimeoutTimestamp(max(min(ends), told_until + 1))
+        yield pd.DataFrame(out, columns=["path", "at", "outcome", "size"])
+
+    held = "path array<string>, size array<long>, mtime array<long>, since array<long>, first array<long>, done array<boolean>"
+    return rows.groupBy("bucket").applyInPandasWithState(update, "path string, at long, outcome string, size long", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def layout_of(names: list[tuple[int | None, int | None]], quiet: bool) -> tuple[str, list[int]] | None:
