@@ -84,6 +84,11 @@ class _Chunks:
         fresh[1:] = (self.key[order][1:] != self.key[order][:-1]) | (self.row[order][1:] != self.row[order][:-1])
         return np.sort(order[fresh])
 
+    def repeats(self, distinct: np.ndarray) -> np.ndarray:
+        """Whether a row has equal removable chunks."""
+        rows = len(self.before) - 1
+        return np.bincount(self.row[self.removable], minlength=rows) > np.bincount(self.row[distinct], minlength=rows)
+
 
 def _chunked(column: pa.Array):
     """(first row, end row, bytes, lines before each row, chunks) over a text column."""
@@ -168,6 +173,16 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _passing(shared):
+    """The keys that pass the filter, as an expression: only they go to Python, the texts beside them do not."""
+
+    @F.arrow_udf("boolean")
+    def passing(keys: pa.Array) -> pa.Array:
+        return pa.array(_passes(np.frombuffer(shared.value, np.uint8), keys.to_numpy().view(np.uint64)))
+
+    return passing
+
+
 def _tags(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
     return mix(mix(rows.view(np.uint64)) + places.view(np.uint64))
 
@@ -176,7 +191,7 @@ _FOUND = "doc_id long, row long, place long, body string, anchor long, n long, a
 
 
 def _emit(shared):
-    """What passes the filter: (doc_id, row, place, body) of chunks, (doc_id, row, place, anchor, n, a, b, tag) of segments."""
+    """What passes the filter: (doc_id, row, place, body) of chunks, (doc_id, row, place, anchor, n, a, b, tag) of segments; (doc_id, row, -1) of rows with a removable chunk twice."""
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
@@ -185,7 +200,10 @@ def _emit(shared):
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, _, raw, _, c in _chunked(batch.column(2)):
                 use = c.distinct()
+                twice = first + np.flatnonzero(c.repeats(use))
                 use = use[_passes(bits, c.key[use])]
+                if len(twice):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[twice]), pa.array(rows[twice]), pa.array(np.full(len(twice), -1)), pa.nulls(len(twice), pa.string()), *[pa.nulls(len(twice), pa.int64())] * 5], names)
                 if len(use):
                     at = first + c.row[use]
                     bodies = pa.array([raw[a:b].tobytes() for a, b in zip(c.begins[use], c.ends[use])], pa.binary()).cast(pa.string())
@@ -204,12 +222,11 @@ def _emit(shared):
 
 
 def _emit_passages(shared):
-    """(doc_id, row, place, a, b) of the single passages of the segments whose rows and tags pass the filter."""
+    """(doc_id, row, place, a, b) of the single passages of the segments whose tags pass the filter."""
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            batch = batch.filter(pa.array(_passes(bits, batch.column(1).to_numpy().view(np.uint64))))
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, _, words, offsets in word_hashes(batch.column(2), EXACT):
                 _, row, place, start, n = _segments(words, offsets)
@@ -289,9 +306,7 @@ def _clean(batches):
         n, gone, out = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
         for first, end, _, before, c in _chunked(texts):
             n[first:end] = np.diff(before)
-            own = c.removable
-            repeats = np.bincount(c.row[own], minlength=end - first) > np.bincount(c.row[c.distinct()], minlength=end - first)
-            for i in np.flatnonzero(repeats | asked[first:end] | ~named[first:end]):
+            for i in np.flatnonzero(c.repeats(c.distinct()) | asked[first:end] | ~named[first:end]):
                 text, row = texts[first + i].as_py() or "", range(c.before[i], c.before[i + 1])
                 lines = text.split("\n")
                 spans = [(lines[c.first[k] - before[i] : c.end[k] - before[i]], c.removable[k]) for k in row]
@@ -301,17 +316,6 @@ def _clean(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(gone), text], ["doc_id", "n_lines", "n_removed", "text"])
 
 
-def _of_rows(shared, passing: bool):
-    """The rows that pass the filter, or those that do not."""
-
-    def run(batches):
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            yield batch.filter(pa.array(_passes(bits, batch.column(1).to_numpy().view(np.uint64)) == passing))
-
-    return run
-
-
 def _after_first(places: DataFrame, firsts: DataFrame, key: list[str], n) -> DataFrame:
     """(doc_id, row, begin, end): words of the ``n`` passages at each place but the first; what overlaps the first stays."""
     other = places.join(firsts, key).filter("row <> f.row OR place <> f.place")
@@ -345,23 +349,27 @@ def line_dedup(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     hits = placed.select("row", "place", *key).join(repeated, ["sha", "size", "xx"]).filter("row <> first")
     hits = hits.select("row", F.col("place").alias("begin"), F.lit(None).cast("long").alias("end"))
 
-    segments = found.filter("body IS NULL").select("doc_id", "row", "place", "anchor", "n", "a", "b", "tag")
+    segments = found.filter("anchor IS NOT NULL").select("doc_id", "row", "place", "anchor", "n", "a", "b", "tag")
     kinds = durable(segments.groupBy("anchor", "n", "a", "b").agg(F.min(F.struct("doc_id", "row", "place", "tag")).alias("f"), F.count(F.lit(1)).alias("times")))
     again = _after_first(segments, kinds.filter("times > 1").drop("times"), ["anchor", "n", "a", "b"], F.col("n"))
 
     several = kinds.groupBy("anchor").count().filter("count > 1")
     partly = kinds.join(several, "anchor").select(F.explode(F.array("f.tag", "f.row")).alias("key"))
-    passages = durable(named.mapInArrow(_emit_passages(_filter(partly)), "doc_id long, row long, place long, a long, b long"))
+    parted = _filter(partly)
+    passages = durable(named.filter(_passing(parted)("row")).mapInArrow(_emit_passages(parted), "doc_id long, row long, place long, a long, b long"))
     firsts = passages.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "place")).alias("f"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     again = again.union(_after_first(passages, firsts, ["a", "b"], F.lit(1)))
 
     drops = durable(hits.union(again).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("drops")))
-    # Only rows with something to drop (and a few by chance) are shuffled to meet it.
-    touched = _filter(drops.select(F.col("row").alias("key")))
-    schema = "doc_id long, row long, text string"
-    apart = rows.mapInArrow(_of_rows(touched, False), schema).select("doc_id", "text", F.lit(None).cast(drops.schema["drops"].dataType).alias("drops"))
-    met = rows.mapInArrow(_of_rows(touched, True), schema).join(drops, "row", "left").select("doc_id", "text", "drops")
-    return apart.union(met).mapInArrow(_clean, "doc_id long, n_lines long, n_removed long, text string")
+    # Only rows with something to drop, or that repeat a chunk of their own, or without an id are taken to Python (and a few by chance);
+    # those with something to drop are shuffled to meet it. All others stay as they are.
+    touched = _passing(_filter(drops.select(F.col("row").alias("key")).union(found.filter("place < 0").select("row"))))
+    asked = F.col("doc_id").isNull() | touched("row")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    apart = rows.filter(~asked).select("doc_id", (feeds + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), text.alias("text"))
+    met = rows.filter(asked).join(drops, "row", "left").select("doc_id", "text", "drops")
+    return apart.union(met.mapInArrow(_clean, "doc_id long, n_lines long, n_removed long, text string"))
 
 
 def op10(spark, sf_dir):

@@ -46,3 +46,17 @@ def test_repetition_inside_a_text_keeps_its_first_place(spark):
     words = " ".join(f"v{k}" for k in range(70))
     out = line_dedup.line_dedup(spark.createDataFrame([(None, f"{words}\n{words}\nend")], "doc_id long, text string")).collect()
     assert out[0]["text"] == f"{words}\nend"
+
+
+def test_only_rows_with_something_to_drop_go_to_python(spark):
+    """One pass takes rows apart, those that were asked for; a row that repeats but its own chunk, or has no id, is among them."""
+    rng = random.Random(4)
+    own = lambda n: "\n".join(f"line {rng.randrange(10**9)} of a passage of six" for _ in range(n))
+    chunk = own(8)
+    texts = [(1, f"{chunk}\nmiddle\n{chunk}"), (2, "free\n\ntext\n"), (3, None), (4, ""), (None, f"{own(3)}\nend")]
+    df = line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["doc_id"]: r for r in df.collect()}
+    assert {i: r["n_lines"] for i, r in got.items()} == {1: 17, 2: 4, 3: 1, 4: 1, None: 4}
+    assert got[1]["n_removed"] > 0 and {i for i, r in got.items() if r["n_removed"]} == {1}
+    assert [got[i]["text"] for i in (2, 3, 4, None)] == ["free\n\ntext\n", "", "", texts[4][1]]
