@@ -11,7 +11,9 @@ The probability of a token is factored by class: P(class | history) * P(token |
   tilted by a weight for every pair of previous token's class and token that occurs. The counts of
   these pairs come from all training text; weights move by gradient steps in the tasks that hold the
   counts of one previous class. Tokens that do not occur after a class keep weight 0 there.
-  Rare tokens have their add-one frequencies among the rare.
+  Rare tokens have their add-one frequencies among the rare. With ``rare_pairs`` these are tilted, too: all
+  pairs of previous class and rare token are counted in a table that grows with the corpus, and their
+  weights have a closed form (``_rare_weights``), so that no token's pairs are left out.
 * P(class | history) is a maximum-entropy model over hashed features of the two
   previous tokens: the bigram, the trigram, and the skip feature that looks past the
   previous token. Its sufficient statistics, counts of (history, class), come from all
@@ -41,6 +43,7 @@ FEATURES = 4096  # rows of the hashed weight table
 STEPS = 8
 RIDGE = 1.0
 INSIDE_STEPS, INSIDE_RIDGE = 20, 0.5
+PRIORS = tuple(10.0**k for k in range(1, 9))  # choices for the tokens that the frequencies of rare tokens weigh against pairs
 FLUSH = 2_000_000  # words gathered before counts are passed on
 
 END = 0x0E0D  # key of the end mark
@@ -234,6 +237,59 @@ def train_inside(texts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray,
     return theta, norm
 
 
+def _rare_pairs(vocabulary: Vocabulary):
+    """(key, before, n): how often each rare token follows each class, summed over many batches before they leave the task."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            keys, before = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((before, keys))
+            keys, before = keys[order], before[order]
+            first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (before[1:] != before[:-1]))[: len(keys)])
+            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(before[first]), pa.array(np.diff(np.append(first, len(keys))))], ["key", "before", "n"])
+
+        for batch in batches:
+            for _, _, keys, places, _, starts in _streams(batch.column(0), vocabulary):
+                rare = places < 0
+                held.append((keys[rare], _previous(places, starts, vocabulary)[rare]))
+                size += int(rare.sum())
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def rare_table(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``key, n, pairs``: count of each rare token, and by previous class (a map of N_BEFORE at most)."""
+    # Both sums are made where a key's rows are.
+    pairs = texts.mapInArrow(_rare_pairs(vocabulary), "key long, before long, n long").repartition("key").groupBy("key", "before").agg(F.sum("n").alias("n"))
+    return durable(pairs.groupBy("key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("before", "n"))).alias("pairs")))
+
+
+def _rare_weights(table: DataFrame, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gain, log10 of the normaliser) by previous class: a rare token's share is (n + 1 + gain * pairs) / whole / normaliser.
+
+    This is a softmax over the rare tokens whose weights match the counts of pairs, smoothed by a prior of
+    so many tokens at their frequencies: gain = whole / prior, normaliser = 1 + pairs of the class / prior. The prior of
+    a class is the one of ``PRIORS`` under which its pairs are likeliest, each left out in turn; if frequencies alone do better, gain is 0.
+    """
+    one = table.select("n", F.explode("pairs").alias("before", "own"))
+    share, own = (F.col("n") + 1) / float(whole), F.col("own")
+    sums = [F.sum(own * F.log(own - 1 + prior * share)).alias(f"s{i}") for i, prior in enumerate(PRIORS)]
+    gain, norm = np.zeros(N_BEFORE), np.zeros(N_BEFORE)
+    for r in one.groupBy("before").agg(F.sum("own").alias("own"), F.sum(own * F.log(share)).alias("plain"), *sums).collect():
+        likely = [r[f"s{i}"] - r["own"] * np.log(r["own"] - 1 + prior) for i, prior in enumerate(PRIORS)]
+        best = int(np.argmax(likely))
+        if likely[best] > r["plain"]:
+            gain[r["before"]], norm[r["before"]] = whole / PRIORS[best], np.log10(1 + r["own"] / PRIORS[best])
+    return gain, norm
+
+
 def features(history: np.ndarray) -> np.ndarray:
     """Rows of the weight table that a history switches on: bias, bigram, skip, trigram."""
     one, two = history // N_BEFORE, history % N_BEFORE
@@ -310,6 +366,8 @@ class Model:
     distinct: int  # V
     rare_tokens: int
     rare_distinct: int
+    rare_norm: np.ndarray  # log10 normaliser of the rare tokens by previous class
+    rare_pairs: bool = False  # rare tokens are told apart by the class before them
 
     def tables(self):
         """log10 P(class | history), log10 share of the class by place, and the base's log10(c + 1) by place."""
@@ -322,22 +380,24 @@ class Model:
 
 
 def _score(model: Model):
-    """Sums over a text's frequent tokens, and its rare tokens with their numbers of times."""
+    """Sums over a text's frequent tokens, and its rare tokens (after each class, if these tell) with their numbers of times."""
 
     def run(batches):
         by_class, inside, plain = model.tables()
         v = model.vocabulary
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for first, end, keys, places, text, starts in _streams(batch.column(2), v):
                 n = end - first
                 history, before, cls = _histories(places, text, starts, v), _previous(places, starts, v), v.class_of()[places]
                 p = by_class[history, cls] + inside[places] + (model.theta[before, places] - model.norm[before, cls]) / np.log(10)
                 known = places >= 0
                 rare = np.flatnonzero(~known)
-                order = rare[np.lexsort((keys[rare], text[rare]))]
+                p -= np.where(known, 0.0, model.rare_norm[before])
+                after = before if model.rare_pairs else np.zeros_like(before)
+                order = rare[np.lexsort((after[rare], keys[rare], text[rare]))]
                 fresh = np.ones(len(order), bool)
-                fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (text[order][1:] != text[order][:-1])
+                fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (text[order][1:] != text[order][:-1]) | (after[order][1:] != after[order][:-1])
                 begin = np.flatnonzero(fresh)
                 times = np.diff(np.append(begin, len(order)))
                 ends = np.append(0, np.cumsum(np.bincount(text[order][begin], minlength=n))).astype(np.int32)
@@ -345,12 +405,13 @@ def _score(model: Model):
                     np.bincount(text, minlength=n), np.bincount(text, known, n).astype(np.int64), np.bincount(text, plain[places], n), np.bincount(text, p, n),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order][begin].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(after[order][begin])),
                 )):
                     column.append(pa.array(values))
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 3]
             arrays = [pa.concat_arrays([x.cast(t) for x in c]) if c else pa.array([], t) for c, t in zip(out, types)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_frequent", "plain", "model", "rare", "times"]
+                [batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_frequent", "plain", "model", "rare", "times", "after"]
             )
 
     return run
@@ -381,13 +442,14 @@ def held_out(id_col):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(7)) == 2
 
 
-def lm_score(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def lm_score(df: DataFrame, id_col="doc_id", text_col="text", rare_pairs: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``base_score`` is the add-one unigram score, ``score`` the model's; both are log10
     probabilities. Null texts count as empty: their only token is the end mark. Rows that
     repeat an id are scored each; with no training rows every token is equally unknown.
-    An empty table gives an empty result; extra columns are not read.
+    An empty table gives an empty result; extra columns are not read. With ``rare_pairs`` rare tokens
+    are tilted by the class before them, as frequent ones are, by a table of all their pairs.
     """
     bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
@@ -396,27 +458,36 @@ def lm_score(df: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     v = _vocabulary(counts, texts)
     statistics = durable(texts.mapInArrow(_history_counts(v), "history long, cls long, n long").groupBy("history", "cls").agg(F.sum("n").alias("n")))
-    model = Model(v, train(statistics), *train_inside(texts, v), totals["n"], totals["v"], totals["n"] - int(v.counts.sum()), totals["v"] - len(v.keys))
-
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_frequent long, plain double, model double, rare array<long>, times array<long>"
+    rare_tokens, rare_distinct = totals["n"] - int(v.counts.sum()), totals["v"] - len(v.keys)
+    gain, norm = np.zeros(N_BEFORE), np.zeros(N_BEFORE)
+    if rare_pairs:
+        others = rare_table(texts, v)
+        gain, norm = _rare_weights(others, rare_tokens + rare_distinct + 1)
+    else:
+        frequent = int(v.counts.min()) if len(v.keys) else 0
+        others = counts.filter(F.col("n") <= frequent)  # rare tokens have no larger count
+    model = Model(v, train(statistics), *train_inside(texts, v), totals["n"], totals["v"], rare_tokens, rare_distinct, norm, rare_pairs)
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_frequent long, plain double, model double, rare array<long>, times array<long>, after array<long>"
     scored = durable(rows.mapInArrow(_score(model), schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
-    frequent = int(v.counts.min()) if len(v.keys) else 0
-    others = counts.filter(F.col("n") <= frequent)  # rare tokens have no larger count
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times", "after")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"), F.col("r.after").alias("after"))
+    weight = F.col("n") + 1
+    if rare_pairs:
+        weight = weight + F.array(*map(F.lit, gain.tolist()))[F.col("after").cast("int")] * F.coalesce(F.try_element_at("pairs", "after"), F.lit(0))
     joined = rare.join(others, "key").groupBy("row").agg(
-        F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("lift")
+        F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("lift"), F.sum(F.col("times") * F.log10(weight)).alias("tilted")
     )
-    out = scored.drop("rare", "times").join(joined, "row", "left").withColumns({"known": F.coalesce("known", F.lit(0)), "lift": F.coalesce("lift", F.lit(0.0))})
+    out = scored.drop("rare", "times", "after").join(joined, "row", "left").withColumns({"known": F.coalesce("known", F.lit(0)), "lift": F.coalesce("lift", F.lit(0.0)), "tilted": F.coalesce("tilted", F.lit(0.0))})
     unseen = F.col("n_tokens") - F.col("n_frequent")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.col("known")).alias("n_known"), F.lit(totals["n"]).cast("long").alias("train_tokens"),
         (F.col("plain") + F.col("lift") - F.col("n_tokens") * float(np.log10(totals["n"] + totals["v"] + 1))).alias("base_score"),
-        (F.col("model") + F.col("lift") - unseen * float(np.log10(model.rare_tokens + model.rare_distinct + 1))).alias("score"),
+        (F.col("model") + F.col("tilted") - unseen * float(np.log10(model.rare_tokens + model.rare_distinct + 1))).alias("score"),
     )
 
 
 def op6(spark, sf_dir):
-    return lm_score(read(spark, sf_dir, "documents"))
+    return lm_score(read(spark, sf_dir, "documents"), rare_pairs=True)
 
 
 QUERIES = {"op6_lm_score": op6}

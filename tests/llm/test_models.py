@@ -203,6 +203,40 @@ def test_lm_scores_equal_plain_sums(spark, monkeypatch):
         assert math.isclose(got[i], total / math.log(10), rel_tol=1e-6, abs_tol=1e-6), i
 
 
+def test_lm_pairs_of_rare_tokens_count(spark, monkeypatch):
+    """Rare tokens are tilted by all their pairs with the class before them; after every class the rare and the unknown token sum to one."""
+    monkeypatch.setattr(lm, "VOCABULARY", 40)
+    docs = [d for d in corpus(80)] + [(900, "", None), (901, "ka zzz ka zzz", None), (902, None, None)]
+    plain = {r.doc_id: r for r in lm.lm_score(table(spark, docs)).collect()}
+    kept, score, weights = {}, lm._score, lm._rare_weights
+    monkeypatch.setattr(lm, "_score", lambda model: kept.setdefault("model", model) and score(model))
+    monkeypatch.setattr(lm, "_rare_weights", lambda *a: kept.setdefault("weights", weights(*a)))
+    got = {r.doc_id: r for r in lm.lm_score(table(spark, docs), rare_pairs=True).collect()}
+    m, (gain, norm) = kept["model"], kept["weights"]
+    v, place = m.vocabulary, {int(k): i for i, k in enumerate(m.vocabulary.keys.tolist())}
+    counts, pairs, asked = Counter(), Counter(), {}
+    for i, t, _ in docs:
+        ts, before, asked[i] = [int(h) for _, _, w, _ in word_hashes(pa.array([t])) for h in w] + [lm.END], v.BEGIN, []
+        for t in ts:
+            if t not in place:
+                asked[i].append((before, t))
+                if zlib.crc32(str(i).encode()) % 7 != 2:
+                    counts[t] += 1
+                    pairs[before, t] += 1
+            before = v.RARE if t not in place else v.classes[place[t]]
+    whole = m.rare_tokens + m.rare_distinct + 1
+    assert sum(counts.values()) == m.rare_tokens and (gain > 0).any()
+    share = lambda b, t: (counts[t] + 1 + gain[b] * pairs[b, t]) / whole / 10 ** norm[b]
+    for b in range(lm.N_BEFORE):
+        assert math.isclose(sum(share(b, t) for t in counts) + 1 / whole / 10 ** norm[b], 1.0, rel_tol=1e-9)
+    for i, own in asked.items():
+        change = sum(math.log10(share(b, t)) - math.log10((counts[t] + 1) / whole) for b, t in own)
+        assert math.isclose(got[i].score, plain[i].score + change, rel_tol=1e-6, abs_tol=1e-6), i
+        assert math.isclose(got[i].base_score, plain[i].base_score, rel_tol=1e-9, abs_tol=1e-9) and got[i].n_known == plain[i].n_known
+    held = [i for i in got if got[i].held_out and i < 900]
+    assert sum(got[i].score - plain[i].score for i in held) > 0
+
+
 def test_lm_class_model_is_a_distribution():
     rng = np.random.RandomState(0)
     weights = rng.normal(size=(lm.FEATURES, lm.N_CLASSES))
@@ -212,3 +246,7 @@ def test_lm_class_model_is_a_distribution():
 
 def test_lm_empty_tables(spark):
     assert lm.lm_score(table(spark, [])).count() == 0
+
+
+def test_lm_empty_tables_with_rare_pairs(spark):
+    assert lm.lm_score(table(spark, []), rare_pairs=True).count() == 0
