@@ -19,12 +19,15 @@ the query's own). Equal queries are asked once, for k + 1 rows. This keeps very
 from filling the lists with ties, and drops nothing.
 
 A list is cut into blocks of about ``BLOCK_ROWS`` vectors and the queries into blocks of
-``QUERY_ROWS``; each pair of blocks is one row of an equi-join on (dimension, slice, block of vectors),
-so no block, list or query set has to fit in one place.
+``QUERY_ROWS``. Blocks are dealt to at most ``SLABS`` slabs of a list, and up to ``GATHERED`` blocks of
+queries go together to every slab. Such a place is one partition: its queries come first and are held, its
+blocks of vectors follow one by one. So queries are copied ``SLABS`` times however many vectors there are,
+no list or query set has to fit in one place, and no copies are broadcast or pass through the driver.
 """
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 import numpy as np
@@ -37,6 +40,8 @@ from lamella.llm._shared import bounded_batches, durable, read
 LISTS = 2
 QUERY_ROWS = 512
 BLOCK_ROWS = 2048
+SLABS = 32
+GATHERED = 32
 SCALE = 256
 FIRST = 8
 NARROW = 2.0**60  # up to this bound of all products, partial scores are longs, beyond it decimals
@@ -101,22 +106,54 @@ def _blocks(vectors: DataFrame, rows: int, n: int) -> DataFrame:
     return dealt.mapInArrow(_pack, "dim int, list int, block long, piece long, ids binary, body binary")
 
 
-def _met(vectors: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
-    """Every block of each list beside every block of the queries' same slice: the query blocks are dealt to all blocks of vectors."""
-    asked = queries.withColumnsRenamed({"ids": "qids", "body": "qbody", "block": "qblock"}).drop("piece").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    columns = ["list", "ids", "body", "qids", "qbody", *(["cuts"] if "cuts" in queries.columns else []), "block", "qblock"]
-    return vectors.drop("piece").join(asked, ["dim", "list", "block"]).select(*columns)
+def _places(blocks: int, qblocks: int) -> tuple[int, int]:
+    """Slabs of a list, and sets of query blocks that go together."""
+    return min(blocks, SLABS), -(-qblocks // GATHERED)
 
 
-def _pairs(batches):
-    """(list, query keys, cutoffs, vector keys, partial scores) of each pair of blocks."""
+def _dealt(vectors: DataFrame, queries: DataFrame, blocks: int, qblocks: int, asked: DataFrame | None = None) -> DataFrame:
+    """Every slab of each list beside every set of query blocks of the same slice, one partition each: queries (block -1) first, then each
+    block's vectors and what it is asked for (``list, query, cls``)."""
+    slabs, sets = _places(blocks, qblocks)
+    place = lambda block, qblock: ((F.col("list") * slabs + block % slabs) * sets + qblock).cast("int").alias("place")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    out = vectors.withColumn("set", each(sets)).select(place(F.col("block"), F.col("set")), "block", F.lit(0).alias("kind"), "dim", "piece", "ids", "body")
+    held = queries.withColumn("slab", each(slabs)).select(place(F.col("slab"), F.floor(F.col("block") / GATHERED)), F.lit(-1).cast("long").alias("block"), F.lit(0).alias("kind"), "dim", "piece", "ids", "body", *(["cuts"] if "cuts" in queries.columns else []))
+    out = out.unionByName(held, allowMissingColumns=True)
+    if asked is not None:
+        at = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))  # noqa: E731  as the blocks were dealt
+        wanted = asked.select(place(at("cls", blocks), F.floor(at("query", qblocks) / GATHERED)), at("cls", blocks).alias("block"), F.lit(1).alias("kind"), "query", "cls")
+        out = out.unionByName(wanted, allowMissingColumns=True)
+    return out.repartitionById(LISTS * slabs * sets, "place").sortWithinPartitions("place", "block", "kind", "dim", "piece")
+
+
+def _met(batches, places):
+    """The rows of dealt partitions in turn: (list, place, queries, vectors, asked).
+
+    ``queries`` are the place's, pieces of (keys, vectors, cutoffs) by dimension, ``vectors`` the block's, pieces of (keys, vectors) by
+    dimension; ``asked`` is None where the last of these pieces is new, else the entries asked for.
+    """
+    here, block, queries, vectors = None, None, {}, {}
     for batch in batches:
-        cuts = batch.column("cuts") if "cuts" in batch.schema.names else [None] * batch.num_rows
-        for k, ids, body, qids, qbody, cut in zip(*(batch.column(i) for i in range(5)), cuts):
-            v, q = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(qids.as_py(), np.int64)
-            x, y = np.frombuffer(body.as_py(), np.int64), np.frombuffer(qbody.as_py(), np.int64)
-            width = len(x) // len(v)  # nought for an empty slice
-            yield k.as_py(), q, None if cut is None else _cuts(cut), v, _product(y.reshape(len(q), width), x.reshape(len(v), width))
+        place, blocks, kind = (batch.column(c).to_numpy() for c in ("place", "block", "kind"))
+        cuts = batch.column("cuts") if "cuts" in batch.schema.names else None
+        starts = np.flatnonzero(np.r_[True, (kind[1:] == 0) | (kind[1:] != kind[:-1]) | (blocks[1:] != blocks[:-1]) | (place[1:] != place[:-1])]) if len(place) else []
+        for lo, hi in zip(starts, [*starts[1:], len(place)]):  # a piece, or all that a block is asked for
+            if here != place[lo]:
+                here, block, queries = int(place[lo]), None, {}
+            if block != blocks[lo]:
+                block, vectors = blocks[lo], {}
+            if kind[lo]:
+                yield here // places, here, queries, vectors, (batch.column("query")[lo:hi].to_numpy(), batch.column("cls")[lo:hi].to_numpy())
+                continue
+            dim, keys = batch.column("dim")[lo].as_py(), np.frombuffer(batch.column("ids")[lo].as_py(), np.int64)
+            body = np.frombuffer(batch.column("body")[lo].as_py(), np.int64)
+            body = body.reshape(len(keys), len(body) // len(keys))  # nought wide for an empty slice
+            if block < 0:
+                queries.setdefault(dim, []).append((keys, body, None if cuts is None or not cuts[lo].is_valid else _cuts(cuts[lo])))
+            else:
+                vectors.setdefault(dim, []).append((keys, body))
+                yield here // places, here, queries, {dim: vectors[dim]}, None
 
 
 def _cuts(cut) -> np.ndarray:
@@ -130,28 +167,74 @@ def _entries(k, q, v, p, kind):
     return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(np.full(len(q), k, np.int32)), _column(p, kind)], ["query", "cls", "list", "part"])
 
 
-def _first_lists(k, kind):
-    """The k best entries of every block of a list."""
+class _Best:
+    """The k best entries so far of each query of a piece."""
+
+    def __init__(self, queries: np.ndarray, k: int, kind: str):
+        self.queries, self.k, self.kind = queries, k, kind
+        self.least = np.full(len(queries), -2 * END, object) if kind == _WIDE else np.full(len(queries), np.iinfo(np.int64).min)
+        self.held, self.kept = [], None
+        self.waiting = 0
+
+    def add(self, v: np.ndarray, p: np.ndarray) -> None:
+        p = p.astype(object) if self.kind == _WIDE else p
+        least = self.least
+        if len(v) > self.k and self.kept is None:
+            least = np.partition(p, -self.k, axis=1)[:, -self.k] - 1
+        rows, columns = np.nonzero((p > least[:, None]).astype(bool))
+        self.held.append((rows, v[columns], p[rows, columns]))
+        self.waiting += len(rows)
+        if self.kept is None or self.waiting > 2 * self.k * len(self.queries):
+            self.cut()
+
+    def cut(self) -> None:
+        rows, cls, parts = (np.concatenate(c) for c in zip(*([self.kept] if self.kept else []), *self.held))
+        order = np.lexsort((cls, -parts, rows))
+        rows, cls, parts = rows[order], cls[order], parts[order]
+        at = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        self.least[rows[at == self.k - 1]] = parts[at == self.k - 1]
+        best = at < self.k
+        self.kept, self.held, self.waiting = (rows[best], cls[best], parts[best]), [], 0
+
+
+def _first_lists(k, kind, places):
+    """The k best entries of every slab of a list."""
+
+    def told(name, best):
+        for pool in best.values():
+            if pool.held:
+                pool.cut()
+            rows, cls, parts = pool.kept
+            yield _entries(name, pool.queries[rows], cls, parts, kind)
 
     def run(batches):
-        for name, q, _, v, p in _pairs(batches):
-            kth = np.partition(p, -k, axis=1)[:, -k] if len(v) > k else np.full(len(q), -END if p.dtype == object else np.iinfo(np.int64).min)
-            rows, columns = np.nonzero((p >= kth[:, None]).astype(bool))
-            order = np.lexsort((v[columns], -p[rows, columns], rows))
-            rows, columns = rows[order], columns[order]
-            best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-            yield _entries(name, q[rows[best]], v[columns[best]], p[rows[best], columns[best]], kind)
+        at, best = None, {}
+        for name, here, queries, vectors, _ in _met(batches, places):
+            if at is not None and at[1] != here:
+                yield from told(at[0], best)
+                best = {}
+            at = name, here
+            for dim, pieces in vectors.items():
+                v, x = pieces[-1]
+                for i, (q, y, _) in enumerate(queries.get(dim, ())):
+                    best.setdefault((dim, i), _Best(q, k, kind)).add(v, _product(y, x))
+        if at is not None:
+            yield from told(at[0], best)
 
     return run
 
 
-def _second_lists(kind):
+def _second_lists(kind, places):
     """The entries of a list that reach the uniform threshold."""
 
     def run(batches):
-        for name, q, cut, v, p in _pairs(batches):
-            rows, columns = np.nonzero((p >= _threshold(cut)[:, None]).astype(bool))
-            yield _entries(name, q[rows], v[columns], p[rows, columns], kind)
+        for name, _, queries, vectors, _ in _met(batches, places):
+            for dim, pieces in vectors.items():
+                v, x = pieces[-1]
+                for q, y, cut in queries.get(dim, ()):
+                    p = _product(y, x)
+                    rows, columns = np.nonzero((p >= _threshold(cut)[:, None]).astype(bool))
+                    yield _entries(name, q[rows], v[columns], p[rows, columns], kind)
 
     return run
 
@@ -170,7 +253,7 @@ def _with_cuts(blocks: DataFrame, cutoffs: DataFrame, kind: str) -> DataFrame:
     packed = told.select("dim", "piece", F.transform("cuts", lambda c: c["c"]).alias("cuts"))
     if kind == _NARROW:
         packed = packed.mapInArrow(_packed, "dim int, piece long, cuts binary")
-    return blocks.join(packed, ["dim", "piece"])
+    return blocks.join(packed.hint("merge"), ["dim", "piece"])  # bodies are far longer than on disk, by which the planner would broadcast them
 
 
 def _unpacked(batches):
@@ -189,33 +272,38 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.binary())], ["dim", "piece", "cuts"])
 
 
-def _answer(kind):
-    """(query, cls, part) of the entries that a list is asked for, as far as this pair of blocks holds them."""
+def _answer(kind, places):
+    """(query, cls, part) of the entries that a list is asked for."""
 
     def run(batches):
-        yield from _answered(batches, kind)
+        sorted_q, sorted_v, at_q, at_v = {}, {}, None, None
+        for _, _, queries, vectors, asked in _met(batches, places):
+            if asked is None:
+                continue
+            if at_q is not queries:
+                at_q, sorted_q = queries, {dim: _by_key(pieces) for dim, pieces in queries.items()}
+            if at_v is not vectors:
+                at_v, sorted_v = vectors, {dim: _by_key(pieces) for dim, pieces in vectors.items()}
+            for dim in sorted_v.keys() & sorted_q.keys():
+                (q, y), (v, x) = sorted_q[dim], sorted_v[dim]
+                (of_q, has_q), (of_v, has_v) = _found(q, asked[0]), _found(v, asked[1])
+                held = np.flatnonzero(has_q & has_v)
+                for part in np.array_split(held, max(1, len(held) * x.shape[1] // 4_000_000)):  # bounded temporary arrays
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[0][part]), pa.array(asked[1][part]), _column(_rowwise(y[of_q[part]], x[of_v[part]]), kind)], ["query", "cls", "part"])
 
     return run
 
 
-def _answered(batches, kind):
-    for batch in batches:
-        for ids, body, qids, qbody, wanted_q, wanted_v in zip(*(batch.column(c) for c in ("ids", "body", "qids", "qbody", "queries", "classes"))):
-            v, q = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(qids.as_py(), np.int64)
-            x, y = np.frombuffer(body.as_py(), np.int64), np.frombuffer(qbody.as_py(), np.int64)
-            width = len(x) // len(v)
-            x, y = x.reshape(len(v), width), y.reshape(len(q), width)
-            ask_q, ask_v = wanted_q.values.to_numpy(), wanted_v.values.to_numpy()
-            (at_q, has_q), (at_v, has_v) = _places(q, ask_q), _places(v, ask_v)
-            held = np.flatnonzero(has_q & has_v)
-            for part in np.array_split(held, max(1, len(held) * max(width, 1) // 4_000_000)):  # bounded temporary arrays
-                yield pa.RecordBatch.from_arrays([pa.array(ask_q[part]), pa.array(ask_v[part]), _column(_rowwise(y[at_q[part]], x[at_v[part]]), kind)], ["query", "cls", "part"])
-
-
-def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted key, and whether it is there."""
+def _by_key(pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all pieces in their order, and the vectors."""
+    keys = np.concatenate([p[0] for p in pieces])
     order = np.argsort(keys)
-    at = order[np.minimum(np.searchsorted(keys[order], wanted), len(keys) - 1)]
+    return keys[order], np.concatenate([p[1] for p in pieces])[order]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key among sorted keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return at, keys[at] == wanted
 
 
@@ -229,11 +317,8 @@ def _rowwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _whole(entries: DataFrame, lists: DataFrame, query_blocks: DataFrame, blocks: int, qblocks: int, kind: str) -> DataFrame:
     """``query, cls, score`` of (query, cls, known, missing): the lists are asked for the missing parts, block by block."""
-    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))  # noqa: E731  as the blocks were dealt
-    asked = entries.select("query", "cls", F.explode("missing").alias("list"), place("cls", blocks).alias("block"), place("query", qblocks).alias("qblock"))
-    packed = asked.groupBy("list", "block", "qblock").agg(F.collect_list("query").alias("queries"), F.collect_list("cls").alias("classes"))
-    met = _met(lists, query_blocks, blocks).join(packed, ["list", "block", "qblock"])
-    parts = met.select("ids", "body", "qids", "qbody", "queries", "classes").mapInArrow(_answer(kind), f"query long, cls long, part {kind}")
+    asked = entries.select("query", "cls", F.explode("missing").alias("list"))
+    parts = _dealt(lists, query_blocks, blocks, qblocks, asked).mapInArrow(_answer(kind, math.prod(_places(blocks, qblocks))), f"query long, cls long, part {kind}")
     known = entries.select("query", "cls", F.col("known").alias("part"))
     return known.union(parts).groupBy("query", "cls").agg(F.sum("part").alias("score"))
 
@@ -282,7 +367,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     query_blocks = durable(_blocks(distinct, QUERY_ROWS, m))
 
     deep = FIRST * (k + 1)
-    first = _met(lists, query_blocks, blocks).mapInArrow(_first_lists(deep, kind), entry)
+    places = math.prod(_places(blocks, qblocks))
+    first = _dealt(lists, query_blocks, blocks, qblocks).mapInArrow(_first_lists(deep, kind, places), entry)
     order = Window.partitionBy("query", "list").orderBy(F.desc("part"), "cls")
     first = durable(first.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= deep).select("query", "cls").distinct())
     every = F.array(*[F.lit(i) for i in range(LISTS)])
@@ -291,7 +377,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     cutoffs = durable(cutoffs.select(F.col("query").alias("key"), F.col("score").alias("cutoff")))
 
     told = durable(_with_cuts(query_blocks, cutoffs, kind))
-    second = _met(lists, told, blocks).mapInArrow(_second_lists(kind), entry)
+    second = _dealt(lists, told, blocks, qblocks).mapInArrow(_second_lists(kind, places), entry)
     given = second.groupBy("query", "cls").agg(F.sum("part").alias("known"), F.bit_or(F.expr("shiftleft(1, list)")).alias("given"))
     absent = F.filter(every, lambda i: F.col("given").bitwiseAND(F.pow(F.lit(2), i).cast("int")) == 0)
     summed = durable(given.select("query", "cls", "known", absent.alias("missing")))
@@ -305,7 +391,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     best = durable(_best(scored, k + 1))
     members = best.join(classes.select(F.col("key").alias("cls"), F.explode("ids").alias("vec_id")), "cls").select("query", "vec_id", "score")
-    named = asked.join(distinct.withColumnRenamed("key", "query"), "comps").select(F.col("vec_id").alias("query_id"), "query")
+    named = asked.join(distinct.withColumnRenamed("key", "query").hint("merge"), "comps").select(F.col("vec_id").alias("query_id"), "query")
     found = named.join(members, "query").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     told_score = F.least(F.greatest("score", F.lit(-(2**63))), F.lit(2**63 - 1)).cast("long")

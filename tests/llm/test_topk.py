@@ -78,3 +78,27 @@ def test_few_candidates_and_empty_tables(spark):
     assert [tuple(r) for r in top_k(v, v.filter("vec_id = 0")).collect()] == [(0, 1, 1, -65536)]
     none = integer_vectors(spark.createDataFrame([], SCHEMA))
     assert top_k(none, none).count() == 0
+
+
+def nodes(plan, under=()):
+    """(name, names above it) of every node of a physical plan."""
+    name = plan.nodeName()
+    yield name, under
+    below = plan.children()
+    for child in [plan.initialPlan()] if name == "AdaptiveSparkPlan" else [below.apply(i) for i in range(below.size())]:
+        yield from nodes(child, (*under, name))
+
+
+def test_queries_are_copied_to_slabs_and_never_broadcast(spark, monkeypatch):
+    """However many blocks there are: copies of queries for each of them went through the driver, 2 GB of them at 600,000 vectors."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 128)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
+    monkeypatch.setattr(topk, "SLABS", 3, raising=False)
+    monkeypatch.setattr(topk, "GATHERED", 2, raising=False)
+    plans, durable = [], topk.durable
+    monkeypatch.setattr(topk, "durable", lambda df: plans.append(list(nodes(df._jdf.queryExecution().executedPlan()))) or durable(df))
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(-128, 128) / 128 for _ in range(8)]) for i in range(1500)] + [(2000 + i, [rng.randrange(-4, 4) / 4.0]) for i in range(60)]
+    assert run(spark, rows, 3, 30) == brute(rows, 3, 30)
+    assert any(name == "Generate" for plan in plans for name, _ in plan)
+    assert not [under for plan in plans for name, under in plan if name == "Generate" and "BroadcastExchange" in under]
