@@ -159,7 +159,7 @@ def k09(spark, sf_dir):
 def k10(spark, sf_dir):
     spots = al.detect(bead_pairs(spark, sf_dir)[0], ["image"])
     beads = views.table(spark, sf_dir, "part").filter("(p_partkey + 4) % 9 <> 0").select(
-        F.expr("p_partkey div 200").alias("image"), F.col("p_partkey").alias("id"), F.expr("30 + (CAST(p_partkey AS BIGINT) * p_partkey * 37 + 11 * p_partkey) % 196 + p_size / 100.0D").alias("x"), F.expr("30 + (CAST(p_partkey AS BIGINT) * p_partkey * p_partkey % 1009 * 53 + 17 * p_partkey) % 196 + (p_partkey % 83) / 100.0D").alias("y")
+        F.expr("p_partkey div 200").alias("image"), F.col("p_partkey").alias("id"), F.expr(f"30 + {views.BEAD_X} + p_size / 100.0D").alias("x"), F.expr(f"30 + {views.BEAD_Y} + (p_partkey % 83) / 100.0D").alias("y")
     ).join(spots.select("image").distinct(), "image")
     crowd = pt.close_pairs(beads, beads, {"x": 12.0, "y": 12.0}, (F.col("a_id") != F.col("b_id")) & ((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2 < 144), ("image",))
     alone = beads.join(crowd.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")

@@ -66,6 +66,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 BEAD_SIDE, BEADS = 256, 200  # pixels a side, beads an image
 DRAWN = 16  # images that one task draws
 
+# Whole pixels of a part's bead. Keys are reduced before they are multiplied: the cube of a key from 2,097,152 on is no long.
+BEAD_X = "(CAST(p_partkey AS BIGINT) % 196 * (p_partkey % 196) * 37 + 11 * (p_partkey % 196)) % 196"
+BEAD_Y = "(CAST(p_partkey AS BIGINT) % 1009 * (p_partkey % 1009) * (p_partkey % 1009) % 1009 * 53 + 17 * p_partkey) % 196"
+
 
 def bead_images(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None, channel: int | None = None) -> DataFrame:
     """``image, c, width, height, px``: pairs of images of the parts' positions as bright beads, BEADS to an image.
@@ -82,7 +86,7 @@ def bead_images(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = Non
     part = table(spark, sf_dir, "part")
     tasks = part.count() // (BEADS * DRAWN) + 1
     spots = part.select(
-        image.alias("image"), F.col("p_partkey").alias("id"), (30 + F.expr("(CAST(p_partkey AS BIGINT) * p_partkey * 37 + 11 * p_partkey) % 196") + F.col("p_size") / 100.0).alias("x"), (30 + F.expr("(CAST(p_partkey AS BIGINT) * p_partkey * p_partkey % 1009 * 53 + 17 * p_partkey) % 196") + F.expr("p_partkey % 83") / 100.0).alias("y")
+        image.alias("image"), F.col("p_partkey").alias("id"), (30 + F.expr(BEAD_X) + F.col("p_size") / 100.0).alias("x"), (30 + F.expr(BEAD_Y) + F.expr("p_partkey % 83") / 100.0).alias("y")
     )
     if wanted is not None:
         spots = spots.join(wanted.hint("shuffle_hash"), "image", "left_semi")
